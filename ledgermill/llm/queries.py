@@ -8,11 +8,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgermill.llm.exact_dedup import exact_groups
+from ledgermill.llm.html_extract import extract_main_text
+from ledgermill.llm.id_shards import encode_to_shards
 from ledgermill.llm.jaccard_join import jaccard_components
 from ledgermill.llm.mixing import plan_mix
+from ledgermill.llm.personal_data import find_personal_data
 from ledgermill.llm.piece_table import piece_digests
 from ledgermill.llm.quality_rules import quality_rules
 from ledgermill.llm.shared import read_table, ship
+from ledgermill.llm.token_counts import count_tokens
+from ledgermill.llm.warc import deduplicate_pages
 
 
 def op1_distribution_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +26,10 @@ def op1_distribution_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(docs).select("doc_id", *(f"quality.{f}" for f in fields))
 
 
+def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_personal_data(read_table(spark, sf_dir, "documents"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(read_table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
@@ -33,16 +42,37 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(read_table(spark, sf_dir, "documents"))
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(read_table(spark, sf_dir, "pages"))
+
+
+def op8_id_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_to_shards(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+
+
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_digests(read_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op10_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return deduplicate_pages(read_table(spark, sf_dir, "pages")).drop("url")
+
+
 _OPERATORS = (
     op1_distribution_divergence,
+    op2_personal_data,
     op3_exact_dedup,
     op4_curriculum_mix,
     op5_jaccard_join,
+    op6_token_counts,
+    op7_html_extraction,
+    op8_id_shards,
     op9_sentencepiece,
+    op10_warc_revisits,
 )
 
 
