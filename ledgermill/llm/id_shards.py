@@ -78,8 +78,21 @@ class WordTable:
         splits = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
         self.by_words = [s["type"] for s in steps] == ["NFC", "Replace", "Lowercase"] and bool(splits) and splits[0].get("pattern") == {"Regex": _SPLIT} and splits[0].get("behavior") == "Removed" and not spec["model"].get("dropout")
         self.special = re.compile("|".join(re.escape(t["content"]) for t in spec.get("added_tokens", [])) or "(?!)")
+        vocabulary = self.library.get_vocab()
+        self.suffix = spec["model"].get("end_of_word_suffix") or ""
+        self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, dtype=bool)
+        self.ends[[i for token, i in vocabulary.items() if self.suffix and token.endswith(self.suffix)]] = True
         self.table: dict[str, bytes] = {}
 
+    def _apart(self, words: list[str]) -> list[bytes]:
+        """The ids of each word, from one call over all of them: the suffix of a word's last token shows where it ends."""
+        ids = np.array(self.library.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, dtype=f"<u{self.width}")
+        bounds = np.flatnonzero(self.ends[ids]) + 1
+        if len(bounds) != len(words):
+            return self._whole(words)
+        raw, at = ids.tobytes(), (bounds * self.width).tolist()
+        return [raw[a:b] for a, b in zip([0, *at], at)]
+
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype=f"<u{self.width}").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -97,7 +110,7 @@ class WordTable:
                 missing = list({w for ws in words if ws is not None for w in ws})
             for lo in range(0, len(missing), 4096):
                 some = missing[lo : lo + 4096]
-                table.update(zip(some, self._whole(some)))
+                table.update(zip(some, self._apart(some)))
         return [self._whole([text])[0] if ws is None else b"".join([table[w] for w in ws]) for text, ws in zip(texts, words)]
 
 
