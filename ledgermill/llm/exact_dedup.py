@@ -19,7 +19,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgermill.llm.shared import SPACE, stage, text_or_empty
+from ledgermill.llm.key_filter import build_filter, may_match, without_keys
+from ledgermill.llm.shared import SPACE, packed, stage, text_or_empty, unpacked
 
 #: Groups of at least 1/HOT_SHARE of the rows are hot: there are at most HOT_SHARE of them.
 HOT_SHARE = 1000
@@ -81,7 +82,10 @@ def exact_groups(docs: DataFrame, digest: Digest = F.md5) -> DataFrame:
 
 def _strays(contents: DataFrame, groups: DataFrame, n_rows: int) -> DataFrame:
     """Rows whose content differs from that of the smallest id of their group, as a staged table."""
-    members = stage(with_group(contents, groups, "h", n_rows).where("group_rows IS NOT NULL"))
+    # texts that surely have no other of their hash stay where they are
+    marked = may_match(contents, "h", build_filter(groups.select("h"), "h"), "may_repeat")
+    shared = marked.where("may_repeat").drop("may_repeat")
+    members = stage(with_group(shared, groups, "h", n_rows).where("group_rows IS NOT NULL"))
     salts = F.ceil(F.col("group_rows") / SALT_ROWS)
     first = members.where(F.col("doc_id").eqNullSafe(F.col("first_id"))).groupBy("h").agg(F.min("content").alias("first_content"), F.first("group_rows").alias("group_rows"))
     dealt = first.select("h", "first_content", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)).alias("salt"))
@@ -92,9 +96,10 @@ def _strays(contents: DataFrame, groups: DataFrame, n_rows: int) -> DataFrame:
 def drop_copies(docs: DataFrame, digest: Digest = F.md5) -> DataFrame:
     """docs without the copies: all columns of the row that stays of each group."""
     found = stage(exact_groups(docs, digest))
-    dropped = found.where(~F.col("keep_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("dropped_id"), F.col("h").alias("dropped_h")).distinct()
-    hashed = docs.withColumn("content_h", F.unhex(digest(normalised(text_or_empty()))))
-    left = hashed.join(dropped, F.col("doc_id").eqNullSafe(F.col("dropped_id")) & (F.col("content_h") == F.col("dropped_h")), "left_anti")
+    identity = lambda doc_id, h: F.unhex(F.md5(F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("")), F.hex(h))))
+    moved = found.where(~F.col("keep_id").eqNullSafe(F.col("doc_id")))
+    hashed = packed(docs).withColumn("content_h", F.unhex(digest(normalised(text_or_empty("row.text")))))
+    left = without_keys(hashed, identity(F.col("row.doc_id"), F.col("content_h")), moved.select(identity(F.col("doc_id"), F.col("h")).alias("gone")))
     if not found.where("repeats > 1").isEmpty():  # rows that repeat in full: one of each stays
-        left = left.dropDuplicates(["doc_id", "content_h"])
-    return left.select(*docs.columns)
+        left = left.withColumn("kept_id", F.col("row.doc_id")).dropDuplicates(["kept_id", "content_h"])
+    return unpacked(left)

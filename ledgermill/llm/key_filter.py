@@ -32,3 +32,12 @@ def may_match(rows: DataFrame, column: str, key_filter: DataFrame, name: str) ->
     byte = F.conv(F.hex(F.substring(F.col("filter_bits"), (F.floor(inside / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
     joined = rows.join(F.broadcast(key_filter), F.floor(at / _ROW) == F.col("filter_row"), "left")
     return joined.withColumn(name, F.coalesce(F.getbit(byte, (inside % 8).cast("int")) == 1, F.lit(False))).drop("filter_row", "filter_bits")
+
+
+def without_keys(rows: DataFrame, key: Column, gone: DataFrame) -> DataFrame:
+    """rows whose binary key is not in gone (one binary column): only rows that the filter cannot clear are shuffled."""
+    name = gone.columns[0]
+    marked = may_match(rows.withColumn("filter_key", key), "filter_key", build_filter(gone, name), "filter_hit")
+    clear = marked.where("NOT filter_hit").select(*rows.columns)
+    left = marked.where("filter_hit").join(gone.distinct(), F.col("filter_key") == F.col(name), "left_anti")
+    return clear.unionByName(left.select(*rows.columns))

@@ -44,6 +44,22 @@ def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+def packed(rows: DataFrame) -> DataFrame:
+    """rows as one struct column ``row``, so that columns of any name can stand beside it."""
+    return rows.select(F.struct("*").alias("row"))
+
+
+def unpacked(rows: DataFrame) -> DataFrame:
+    return rows.select("row.*")
+
+
+def free_name(rows: DataFrame, name: str) -> str:
+    taken = {c.lower() for c in rows.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def partitions_of(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
