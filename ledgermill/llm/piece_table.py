@@ -28,7 +28,6 @@ from pyspark.sql import functions as F
 
 MARK = "▁"
 TABLE_ENTRIES = 200_000
-#: Ids written out in a row at once when a text is hashed.
 _CHUNKS = re.compile(f"{MARK}+[^{MARK}\\n]*|[^{MARK}\\n]+|\\n")
 
 
@@ -44,60 +43,83 @@ class PieceTable:
         self.guard = self.model.encode("a")
         self.table: dict[str, tuple[int, bytes, str]] = {}
 
-    def _segment(self, chunk: str) -> list[int]:
-        if chunk == MARK:
-            return [self.mark_id]
-        if chunk.startswith(MARK):
-            return self.model.encode(chunk[1:])  # the model puts the first marker back
-        # a chunk after a line break has no marker: it is segmented behind one whose pieces stay apart
-        behind = self.model.encode("\n" + chunk)
+    def _segment(self, chunks: list[str]) -> list[list[int]]:
+        """Ids of chunks. The model puts the first marker of a text; a chunk without one is segmented behind a line break."""
+        marked = [c.startswith(MARK) for c in chunks]
         head = self.model.encode("\n")
-        if behind[: len(head)] != head:
-            raise ValueError("pieces of this model cross line breaks")
-        return behind[len(head) :]
-
-    def entry(self, chunk: str) -> tuple[int, bytes, str]:
-        """Number of ids, the ids in decimal joined by commas, and the text that they decode to."""
-        found = self.table.get(chunk)
-        if found is None:
-            ids = self._segment(chunk)
-            text = self.model.decode(self.guard + ids)[1:]
-            if len(self.table) >= TABLE_ENTRIES:
-                self.table.clear()
-            found = self.table[chunk] = (len(ids), ",".join(map(str, ids)).encode(), text)
-        return found
+        found = self.model.encode([c[1:] if m else "\n" + c for c, m in zip(chunks, marked)], num_threads=1)
+        out = []
+        for chunk, m, ids in zip(chunks, marked, found):
+            if chunk == MARK:
+                ids = [self.mark_id]
+            elif not m:
+                if ids[: len(head)] != head:
+                    raise ValueError("pieces of this model cross line breaks")
+                ids = ids[len(head) :]
+            out.append(ids)
+        return out
+
+    def _learn(self, chunks: set[str]) -> None:
+        """Puts chunks in the table: number of ids, ids in decimal joined by commas, the text that they decode to."""
+        new = list(chunks)
+        for lo in range(0, len(new), 4096):
+            some = new[lo : lo + 4096]
+            ids = self._segment(some)
+            texts = self.model.decode([self.guard + i for i in ids], num_threads=1)
+            self.table.update((c, (len(i), ",".join(map(str, i)).encode(), t[1:])) for c, i, t in zip(some, ids, texts))
 
     def chunks(self, text: str) -> list[str]:
         return _CHUNKS.findall(MARK + text.replace(" ", MARK)) if text else []
 
-    def encode(self, text: str) -> tuple[int, bytes, str]:
-        """Number of ids, ids in decimal joined by commas, decoded text."""
-        look, entry = self.table.get, self.entry
-        found = [look(c) or entry(c) for c in self.chunks(text)]
-        return sum(f[0] for f in found), b",".join([f[1] for f in found]), "".join([f[2] for f in found])[1:]
-
-    def ids(self, text: str) -> list[int]:
-        joined = self.encode(text)[1]
-        return [int(x) for x in joined.split(b",")] if joined else []
+    def encode(self, texts: list[str]) -> list[tuple[int, bytes, str]]:
+        """Of each text the number of ids, the ids in decimal joined by commas, and the decoded text."""
+        chunks, table = [self.chunks(t) for t in texts], self.table
+        new = {c for cs in chunks for c in cs if c not in table}
+        if len(table) + len(new) > TABLE_ENTRIES:
+            table.clear()
+            new = {c for cs in chunks for c in cs}
+        self._learn(new)
+        out = []
+        for cs in chunks:
+            found = [table[c] for c in cs]
+            out.append((sum([f[0] for f in found]), b",".join([f[1] for f in found]), "".join([f[2] for f in found])[1:]))
+        return out
 
 
 _tables: dict[str, PieceTable] = {}
 
 
+def _table(model_path: str) -> PieceTable:
+    if model_path not in _tables:
+        _tables[model_path] = PieceTable(model_path)
+    return _tables[model_path]
+
+
+def _blocks(column: pa.Array, chars: int = 200_000) -> Iterator[list[str]]:
+    held: list[str] = []
+    size = 0
+    for value in column:
+        held.append(value.as_py() or "")
+        size += len(held[-1])
+        if size >= chars:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 def piece_digests(docs: DataFrame, model_path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if model_path not in _tables:
-            _tables[model_path] = PieceTable(model_path)
-        table = _tables[model_path]
+        table = _table(model_path)
         for batch in batches:
             n, ids, decoded = [], [], []
-            for value in batch.column(1):
-                count, joined, text = table.encode(value.as_py() or "")
-                n.append(count)
-                ids.append(hashlib.sha256(joined).hexdigest())
-                decoded.append(hashlib.sha256(text.encode()).hexdigest())
+            for texts in _blocks(batch.column(1)):
+                for count, joined, text in table.encode(texts):
+                    n.append(count)
+                    ids.append(hashlib.sha256(joined).hexdigest())
+                    decoded.append(hashlib.sha256(text.encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
@@ -108,12 +130,11 @@ def encode_documents(docs: DataFrame, model_path: str) -> DataFrame:
     """doc_id, ids (array) and decoded text of every row."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if model_path not in _tables:
-            _tables[model_path] = PieceTable(model_path)
-        table = _tables[model_path]
+        table = _table(model_path)
         for batch in batches:
-            texts = [value.as_py() or "" for value in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([table.ids(t) for t in texts], pa.list_(pa.int32())), pa.array([table.encode(t)[2] for t in texts], pa.string())], names=["doc_id", "ids", "decoded"])
+            rows = [row for texts in _blocks(batch.column(1)) for row in table.encode(texts)]
+            ids = [[int(x) for x in joined.split(b",")] if joined else [] for _, joined, _ in rows]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array([t for _, _, t in rows], pa.string())], names=["doc_id", "ids", "decoded"])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     return rows.mapInArrow(each, "doc_id bigint, ids array<int>, decoded string")
