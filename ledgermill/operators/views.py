@@ -33,7 +33,7 @@ def daily_sales(orders: DataFrame) -> DataFrame:
 
 def product_sales(items: DataFrame) -> DataFrame:
     """sku, product, quantity, sales of the items with a sku; of several names of a sku the least is shown."""
-    known = items.where("sku IS NOT NULL AND sku <> ''")
+    known = items.where(F.col("sku").isNotNull() & (F.col("sku").cast("string") != ""))
     return known.groupBy("sku").agg(F.min("name").alias("product"), total("qty").alias("quantity"), total("total").alias("sales"))
 
 

@@ -83,7 +83,7 @@ def _report(name: str, registry: dict, report: str, sql: str) -> None:
     @register(name, sql)
     def _(star: StarSchema) -> DataFrame:
         orders = star.orders if report == "sales_by_city" else star.plain_orders
-        return registry[report].build(orders, star.items)
+        return registry[report].build(orders, star.product_lines)
 
 
 for _name, _sqls in _REPORT_SQL.items():
@@ -217,15 +217,18 @@ def _mv_daily(star: StarSchema) -> DataFrame:
     return views.daily_sales(star.plain_orders)
 
 
+def _product_view(star: StarSchema) -> DataFrame:
+    return views.product_sales(star.product_lines)
+
+
 @register("mv_products", f"SELECT sku, min(name) AS product, {_PRODUCT} FROM {_ITEMS} WHERE sku IS NOT NULL GROUP BY sku")
 def _mv_products(star: StarSchema) -> DataFrame:
-    return views.product_sales(star.items.where("sku IS NOT NULL").withColumn("sku", F.col("sku").cast("string"))).withColumn("sku", F.col("sku").cast("bigint"))
+    return _product_view(star)
 
 
-@register("mv_top_products", f"SELECT sku, min(name) AS product, {_PRODUCT} FROM {_ITEMS} GROUP BY sku ORDER BY sales DESC, CAST(sku AS VARCHAR) LIMIT 20")
+@register("mv_top_products", f"SELECT sku, min(name) AS product, {_PRODUCT} FROM {_ITEMS} GROUP BY sku ORDER BY sales DESC, sku LIMIT 20")
 def _mv_top(star: StarSchema) -> DataFrame:
-    view = views.product_sales(star.items.withColumn("sku", F.col("sku").cast("string")))
-    return views.top_products(view).withColumn("sku", F.col("sku").cast("bigint"))
+    return views.top_products(_product_view(star))
 
 
 @register("affected_keys", f"""WITH {_IMAGES}, ids AS (SELECT o_orderkey FROM orders WHERE o_orderkey % 7 = 0 OR o_orderkey % 11 = 0)
