@@ -14,14 +14,14 @@ from ledgermill.llm.jaccard_join import drop_near_copies
 from ledgermill.llm.mixing import mix_documents
 from ledgermill.llm.piece_table import piece_digests
 from ledgermill.llm.quality_rules import quality_rules
-from ledgermill.llm.shared import read_table, ship, stage
+from ledgermill.llm.shared import free_name, read_table, ship, stage
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
     ship(spark)
-    verdict = "stage_quality"
-    return quality_rules(docs, column=verdict).where(f"{verdict}.kept").select(*docs.columns)
+    verdict = free_name(docs, "quality")
+    return quality_rules(docs, column=verdict).where(f"{verdict}.kept").drop(verdict)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

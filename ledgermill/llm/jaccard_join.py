@@ -19,6 +19,8 @@ separates them. The join therefore works on three levels:
 
 Texts of one set are one node, so copies never multiply. Shingles move as packed arrays, a row for
 a task's share of a key range, and a key range holds about RANGE_KEYS keys at every input size.
+Shingles of very many documents are counted first and dealt by document, so that no task holds all
+documents of one.
 
 Shingles are 64-bit hashes (48 bits when they are compared), and a node is a 64-bit hash of its set.
 
@@ -40,13 +42,18 @@ from pyspark.sql import functions as F
 
 from ledgermill.llm.exact_dedup import with_group
 from ledgermill.llm.graph import connected_components
+from ledgermill.llm.key_filter import without_keys
 from ledgermill.llm.metric_links import Group
-from ledgermill.llm.shared import partitions_of, stage
+from ledgermill.llm.shared import packed, partitions_of, stage, unpacked
 from ledgermill.llm.text_arrays import mix, windows, words_of
 
 PERCENT, SIZE = 75, 5
 RANGE_KEYS, LEAF_KEYS, FLUSH_KEYS = 2_000_000, 1_500_000, 1_500_000
 ROUNDS, ROUND_PIVOTS, SALTS = 8, 4, 64
+#: A shingle is common from this many nodes on, and from one node in COMMON_SHARE on.
+COMMON_LEAST, COMMON_SHARE = 1000, 2000
+#: Share of the nodes that a task holds at once from which it counts a shingle towards the common ones.
+NOMINATED_SHARE = 0.001
 
 _SALT_A, _SALT_B = np.uint64(0x9E6C63D0876A9A35), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -78,23 +85,63 @@ def shingle_sets(docs: DataFrame, size: int = SIZE) -> DataFrame:
     return rows.mapInArrow(each, "doc_id bigint, n_shingles bigint, node bigint")
 
 
-def _packed(values: list[np.ndarray], kind) -> bytes:
-    return np.concatenate(values).astype(kind).tobytes() if values else b""
+def _held_nodes(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[list[tuple[np.int64, np.ndarray]]]:
+    """Distinct nodes of a task with their 48-bit keys, FLUSH_KEYS keys at a time."""
+    held, seen, total = [], set(), 0
+    for batch in batches:
+        for _, keys in _sets(batch.column(0), size):
+            node = _node(keys)
+            if len(keys) and node not in seen:
+                seen.add(node)
+                held.append((node, keys >> np.uint64(16)))
+                total += len(keys)
+                if total >= FLUSH_KEYS:
+                    yield held
+                    held, seen, total = [], set(), 0
+    if held:
+        yield held
 
 
-def _key_ranges(docs: DataFrame, size: int, n_ranges: int) -> DataFrame:
-    """The keys of all nodes, packed: a row for a task's keys of one range."""
+def _common_keys(docs: DataFrame, size: int, n_nodes: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of very many nodes, sorted, with their counts.
+
+    At most COMMON_SHARE x (mean keys of a node) keys reach the driver. They only decide how work is
+    dealt, so it does not matter that a key which no task nominates is missed.
+    """
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in _held_nodes(batches, size):
+            keys, counts = np.unique(np.concatenate([k for _, k in held]), return_counts=True)
+            many = counts >= max(3, NOMINATED_SHARE * len(held))
+            yield pa.RecordBatch.from_arrays([pa.array(keys[many].view(np.int64)), pa.array(counts[many])], names=["key", "n"])
+
+    nominated = docs.select(F.col("text").cast("string")).mapInArrow(each, "key bigint, n bigint")
+    common = nominated.groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= max(least, n_nodes // COMMON_SHARE))
+    found = sorted((r["key"], r["n"]) for r in common.collect())
+    return np.array([k for k, _ in found], dtype=np.uint64), np.array([n for _, n in found], dtype=np.int64)
+
+
+def _is_in(keys: np.ndarray, table: np.ndarray) -> np.ndarray:
+    return table[np.minimum(np.searchsorted(table, keys), len(table) - 1)] == keys if len(table) else np.zeros(len(keys), dtype=bool)
+
+
+def _key_ranges(docs: DataFrame, size: int, n_ranges: int, n_buckets: int, common: np.ndarray) -> DataFrame:
+    """The keys of all nodes, packed: a row for a task's keys of one range.
+
+    Common keys are dealt by their nodes instead, to parts n_ranges + bucket: no task holds all nodes of one.
+    """
 
     def pack(held: list[tuple[np.int64, np.ndarray]]) -> pa.RecordBatch:
-        keys = np.concatenate([k for _, k in held]) >> np.uint64(16)
+        keys = np.concatenate([k for _, k in held])
         owner = np.repeat(np.arange(len(held)), [len(k) for _, k in held])
         nodes, sizes = np.array([n for n, _ in held], dtype=np.int64), np.array([len(k) for _, k in held], dtype=np.int32)
-        part = (keys % np.uint64(n_ranges)).astype(np.int32)
+        by_node = n_ranges + (nodes.view(np.uint64) % np.uint64(n_buckets)).astype(np.int32)
+        part = np.where(_is_in(keys, common), by_node[owner], (keys % np.uint64(n_ranges)).astype(np.int32))
         order = np.argsort(part, kind="stable")
         keys, owner, part = keys[order], owner[order], part[order]
-        bounds = np.searchsorted(part, np.arange(n_ranges + 1))
+        bounds = np.searchsorted(part, np.arange(n_ranges + n_buckets + 1))
         rows: list[dict] = []
-        for p in range(n_ranges):
+        for p in range(n_ranges + n_buckets):
             k, o = keys[bounds[p] : bounds[p + 1]], owner[bounds[p] : bounds[p + 1]]
             if len(k):
                 heads = np.flatnonzero(np.concatenate(([True], o[1:] != o[:-1])))
@@ -103,18 +150,7 @@ def _key_ranges(docs: DataFrame, size: int, n_ranges: int) -> DataFrame:
         return pa.RecordBatch.from_pylist(rows, schema=pa.schema([("part", pa.int32()), *((c, pa.binary()) for c in ("nodes", "sizes", "runs", "low", "high"))]))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, seen, total = [], set(), 0
-        for batch in batches:
-            for _, keys in _sets(batch.column(0), size):
-                node = _node(keys)
-                if len(keys) and node not in seen:
-                    seen.add(node)
-                    held.append((node, keys))
-                    total += len(keys)
-                    if total >= FLUSH_KEYS:
-                        yield pack(held)
-                        held, seen, total = [], set(), 0
-        if held:
+        for held in _held_nodes(batches, size):
             yield pack(held)
 
     return docs.select(F.col("text").cast("string")).mapInArrow(each, "part int, nodes binary, sizes binary, runs binary, low binary, high binary")
@@ -124,7 +160,7 @@ def _column(table: pa.Table, name: str, kind) -> np.ndarray:
     return np.frombuffer(b"".join(x.as_py() for x in table.column(name)), dtype=kind)
 
 
-def _shared_keys(ranges: DataFrame, n_buckets: int) -> DataFrame:
+def _shared_keys(ranges: DataFrame, n_ranges: int, n_buckets: int, common: np.ndarray, common_counts: np.ndarray) -> DataFrame:
     """Keys of two or more nodes with their number of nodes, packed by bucket of nodes."""
     schema = pa.schema([("bucket", pa.int32()), *((c, pa.binary()) for c in ("nodes", "sizes", "keys", "counts"))])
 
@@ -132,6 +168,11 @@ def _shared_keys(ranges: DataFrame, n_buckets: int) -> DataFrame:
         runs = _column(table, "runs", np.int32)
         keys = _column(table, "low", np.uint32).astype(np.uint64) | (_column(table, "high", np.uint16).astype(np.uint64) << np.uint64(32))
         run_of = np.repeat(np.arange(len(runs)), runs)
+        part = table.column("part")[0].as_py()
+        if part >= n_ranges:
+            counts = common_counts[np.searchsorted(common, keys)]
+            row = {"bucket": part - n_ranges, "nodes": _column(table, "nodes", np.int64)[run_of].tobytes(), "sizes": _column(table, "sizes", np.int32)[run_of].tobytes(), "keys": keys.tobytes(), "counts": counts.astype(np.uint32).tobytes()}
+            return pa.Table.from_pylist([row], schema=schema)
         order = np.argsort(keys)
         keys, run_of = keys[order], run_of[order]
         same = keys[1:] == keys[:-1]
@@ -167,6 +208,8 @@ def _survivors(shared: DataFrame, percent: int) -> DataFrame:
         nodes, keys, counts, sizes = (_column(table, c, k) for c, k in (("nodes", np.int64), ("keys", np.uint64), ("counts", np.uint32), ("sizes", np.int32)))
         order = np.lexsort((keys, counts, nodes))
         nodes, keys, sizes = nodes[order], keys[order], sizes[order]
+        once = np.concatenate(([True], (nodes[1:] != nodes[:-1]) | (keys[1:] != keys[:-1])))[: len(nodes)]  # tasks may have met a node each
+        nodes, keys, sizes = nodes[once], keys[once], sizes[once]
         heads = np.flatnonzero(np.concatenate(([True], nodes[1:] != nodes[:-1]))[: len(nodes)])
         rows = []
         for a, b in zip(heads, np.append(heads[1:], len(nodes))):
@@ -295,13 +338,15 @@ def _links(survivors: DataFrame, percent: int, leaf_keys: int) -> DataFrame:
     return found
 
 
-def jaccard_components(docs: DataFrame, percent: int = PERCENT, size: int = SIZE, range_keys: int = RANGE_KEYS, leaf_keys: int = LEAF_KEYS) -> DataFrame:
+def jaccard_components(docs: DataFrame, percent: int = PERCENT, size: int = SIZE, range_keys: int = RANGE_KEYS, leaf_keys: int = LEAF_KEYS, common_least: int = COMMON_LEAST) -> DataFrame:
     """doc_id, n_shingles, component_id of every row: the smallest doc_id reachable by links, itself included."""
     sets = stage(shingle_sets(docs, size))
     n_rows, total = sets.agg(F.count(F.lit(1)), F.coalesce(F.sum("n_shingles"), F.lit(0))).first()
     spread = partitions_of(docs.sparkSession)
     n_ranges = max(spread, total // range_keys + 1)
-    shared = _shared_keys(_key_ranges(docs, size, n_ranges), max(spread, n_ranges // 4))
+    n_buckets = max(spread, n_ranges // 4)
+    common, counts = _common_keys(docs, size, n_rows, common_least)
+    shared = _shared_keys(_key_ranges(docs, size, n_ranges, n_buckets, common), n_ranges, n_buckets, common, counts)
     survivors = stage(_survivors(shared, percent))
     roots = connected_components(_links(survivors, percent, leaf_keys))
     marked = sets.join(roots, "node", "left").withColumn("class", F.coalesce("root", "node"))
@@ -315,5 +360,6 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, size: int = SIZE
 def drop_near_copies(docs: DataFrame, **parameters) -> DataFrame:
     """docs without rows that another row of their component stands for: the smallest doc_id stays."""
     found = stage(jaccard_components(docs, **parameters))
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti")
+    identity = lambda doc_id: F.unhex(F.md5(F.col(doc_id).cast("string")))
+    gone = found.where("doc_id <> component_id").select(identity("doc_id").alias("gone"))
+    return unpacked(without_keys(packed(docs), F.coalesce(identity("row.doc_id"), F.lit(b"")), gone))

@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgermill.llm.shared import WORD, stage, text_or_empty
+from ledgermill.llm.shared import WORD, packed, stage, text_or_empty, unpacked
 
 WEIGHTS = (3, 1, 2)
 SHARE, REPEATS = 1.5, 2.0
@@ -62,10 +62,10 @@ def _time_of(share: Column, start: Column, end: Column) -> Column:
 
 
 def plan_mix(docs: DataFrame, seed: int = 17, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, repeats: float = REPEATS, schedules: tuple[tuple[float, float], ...] = SCHEDULES) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken, copies and positions of every row, sorted by first position."""
+    """doc_id, source, size, source_size, target, taken, copies, positions and row_key of every row, sorted by first position."""
     words = F.regexp_count(text_or_empty(), F.lit(WORD)).cast("long")
     order = F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), words.cast("string"))), 1, 12)
-    sizes = stage(docs.select("doc_id", F.col("source").cast("string").alias("source"), words.alias("size"), order.alias("place_hash")))
+    sizes = stage(docs.select("doc_id", F.col("source").cast("string").alias("source"), words.alias("size"), order.alias("place_hash"), _row_key("doc_id", "text").alias("row_key")))
     targets = stage(source_targets(sizes, weights, share, repeats))
     # the number of sources is that of targets: beyond Spark's broadcast limit this is a shuffle join
     joined = sizes.join(targets.withColumnRenamed("source", "target_source"), F.col("source").eqNullSafe(F.col("target_source"))).drop("target_source")
@@ -86,15 +86,20 @@ def plan_mix(docs: DataFrame, seed: int = 17, weights: tuple[int, ...] = WEIGHTS
     placed = placed.withColumns({"epochs": epochs, "offset": offset, "curve_start": start, "curve_end": end})
     positions = F.transform("epochs", lambda e: _time_of((e * F.col("source_size") + F.col("offset")) / F.col("target"), F.col("curve_start"), F.col("curve_end")))
     mixed = placed.withColumns({"positions": positions, "copies": F.size("epochs").cast("long")})
-    mixed = mixed.select("doc_id", "source", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "positions")
+    mixed = mixed.select("doc_id", "source", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "positions", "row_key")
     return mixed.withColumn("position", F.get("positions", F.lit(0))).orderBy("position", "doc_id")
 
 
+def _row_key(doc_id: str, text: str) -> Column:
+    return F.unhex(F.md5(F.concat_ws(":", F.coalesce(F.col(doc_id).cast("string"), F.lit("")), text_or_empty(text))))
+
+
 def mix_documents(docs: DataFrame, **parameters) -> DataFrame:
     """Rows of docs as often as the mix takes them, range-sorted by training position."""
-    mix = stage(plan_mix(docs, **parameters))
-    taken = mix.where("copies > 0").select(F.col("doc_id").alias("taken_id"), "size", "positions").distinct()
-    words = F.regexp_count(text_or_empty(), F.lit(WORD))
-    rows = docs.withColumn("mix_words", words).join(taken, F.col("doc_id").eqNullSafe(F.col("taken_id")) & (F.col("mix_words") == F.col("size")))
-    each = rows.select(*docs.columns, F.explode("positions").alias("mix_position"))
-    return each.orderBy("mix_position", "doc_id").select(*docs.columns)
+    mix = stage(plan_mix(docs, **parameters).select("row_key", "positions"))
+    taken = mix.where(F.size("positions") > 0).select(F.col("row_key").alias("taken_key"), "positions")
+    rows = packed(docs).withColumn("row_key", _row_key("row.doc_id", "row.text"))
+    if not mix.groupBy("row_key").count().where("count > 1").isEmpty():
+        rows = rows.dropDuplicates(["row_key"])  # one row stands for those that repeat it, with the places of all
+    each = rows.join(taken, F.col("row_key") == F.col("taken_key")).select("row", F.explode("positions").alias("position"))
+    return unpacked(each.orderBy("position", "row.doc_id"))

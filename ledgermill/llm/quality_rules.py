@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgermill.llm.text_arrays import Words, windows, words_of
 
@@ -178,5 +179,4 @@ def quality_rules(
         kept = ~failed & (by_class <= max_class_distance) & (by_word <= max_word_distance)
         return {"n_words": n_words, "word_chars": chars - classes[:, 0], "n_symbols": classes[:, 5], "n_dup_lines": lines, "n_repeat_words": repeats, "base_failed": failed, "kept": kept, "class_distance": by_class, "word_distance": by_word}
 
-    names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(judge, f"{names}, `{column}` struct<{FIELDS}>")
+    return docs.mapInArrow(judge, T.StructType([*docs.schema.fields, T.StructField(column, T.StructType.fromDDL(FIELDS))]))

@@ -60,7 +60,7 @@ def families(corpus):
     return rows
 
 
-@pytest.mark.parametrize("sizes", [{}, {"leaf_keys": 2000}, {"leaf_keys": 300, "range_keys": 5000}], ids=["leaves", "rounds", "blocks"])
+@pytest.mark.parametrize("sizes", [{}, {"leaf_keys": 2000}, {"leaf_keys": 300, "range_keys": 5000}, {"common_least": 4}], ids=["leaves", "rounds", "blocks", "common"])
 def test_components(spark, families, sizes):
     docs = spark.createDataFrame(families, "doc_id bigint, text string")
     assert collections.Counter(tuple(r) for r in jaccard_components(docs, **sizes).collect()) == brute(families)
