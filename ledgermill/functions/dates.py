@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ledgermill.functions.text import ascii_digits, clean_text, let
 
 _TIME = r"(?:(?:T|\s+)(\d{1,2}):(\d{1,2})(?::(\d{1,2})(?:\.\d+)?)?\s*(?:Z|[+-]\d{2}:?\d{2})?)?$"
+_ISO = r"^\d{4}-\d{2}-\d{2}(T\d{2}:\d{2}:\d{2})?$"
 _YEAR_FIRST = r"(?i)^(\d{4})-(\d{1,2})-(\d{1,2})" + _TIME
 _YEAR_LAST = r"(?i)^(\d{1,2})-(\d{1,2})-(\d{4})" + _TIME
 _COMPACT = r"(?i)^(\d{4})(\d{2})(\d{2})" + _TIME
@@ -44,6 +45,7 @@ def parse_date(raw: Column) -> Column:
 
     def chain(text: Column) -> Column:
         found = F.coalesce(
+            F.when(text.rlike(_ISO), text.try_cast("timestamp_ntz")),  # the usual form, without taking it apart
             _moment(text, _YEAR_FIRST, 1, _number(text, _YEAR_FIRST, 2), 3),
             _moment(text, _YEAR_FIRST, 1, _number(text, _YEAR_FIRST, 3), 2),
             _moment(text, _YEAR_LAST, 3, _number(text, _YEAR_LAST, 1), 2),

@@ -19,26 +19,23 @@ def parse_items(raw: Column) -> Column:
 
 
 def read_items(parsed: Column) -> Column:
-    """Per line: its fields, parsed amounts, and whether it is an object, readable, negative."""
+    """Per line: its fields, parsed amounts, and whether it is readable and negative."""
 
     def line(value: Column, place: Column) -> Column:
         get = lambda name: F.try_variant_get(value, f"$.{name}", "string")
-        return F.struct(
-            place.alias("place"),
-            get("sku").alias("sku"),
-            get("name").alias("name"),
-            *(get(a).alias(f"raw_{a}") for a in _AMOUNTS),
-            *(parse_money(get(a)).alias(a) for a in _AMOUNTS),
-            F.schema_of_variant(value).startswith("OBJECT").alias("is_object"),
-            F.to_json(value).alias("extra"),
-        )
+        return F.struct(place.alias("place"), get("sku").alias("sku"), get("name").alias("name"), *(get(a).alias(f"raw_{a}") for a in _AMOUNTS), F.to_json(value).alias("extra"))
+
+    def priced(x: Column) -> Column:
+        fields = ("place", "sku", "name", *(f"raw_{a}" for a in _AMOUNTS), "extra")
+        return F.struct(*(x[f].alias(f) for f in fields), *(parse_money(x[f"raw_{a}"]).alias(a) for a in _AMOUNTS))
 
     def judged(x: Column) -> Column:
-        readable = x["is_object"] & x["qty"]["ok"] & x["unit_price"]["ok"] & x["total"]["ok"]
+        readable = x["qty"]["ok"] & x["unit_price"]["ok"] & x["total"]["ok"]
         below = (x["qty"]["value"] < 0) | (x["unit_price"]["value"] < 0) | (x["total"]["value"] < 0)
         return x.withField("readable", readable).withField("negative", readable & below)
 
-    return F.transform(F.transform(parsed, line), judged)
+    # an element that is no object has no fields, so none of its amounts can be read
+    return F.transform(F.transform(F.transform(parsed, line), priced), judged)
 
 
 def kept_items(lines: Column) -> Column:
@@ -57,7 +54,7 @@ def item_corrections(lines: Column) -> Column:
     def of(x: Column) -> Column:
         names = {a: F.concat(F.lit("items["), x["place"].cast("string"), F.lit(f"].{a}")) for a in _AMOUNTS}
         found = F.array(*(money_correction(names[a], x[f"raw_{a}"], x[a]) for a in _AMOUNTS))
-        return F.filter(found, lambda c: c.isNotNull() & x["is_object"])
+        return F.filter(found, lambda c: c.isNotNull())
 
     return F.coalesce(F.flatten(F.transform(lines, of)), F.array())
 

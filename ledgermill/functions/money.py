@@ -13,6 +13,7 @@ from ledgermill.schema import CURRENCY_WORDS, DIGITS_CONVERTED, MONEY_NORMALIZED
 #: Numbers as float() reads them: digits grouped by single underscores, point, exponent, or a word for no finite number.
 _D = r"[0-9]+(?:_[0-9]+)*"
 _NUMBER = rf"^[+-]?(?:{_D}\.?(?:{_D})?|\.{_D})(?:[eE][+-]?{_D})?$"
+_PLAIN = r"^-?[0-9]{1,300}(?:\.[0-9]{1,300})?$"
 _NOT_FINITE = r"(?i)^[+-]?(?:inf|infinity|nan)$"
 
 
@@ -35,7 +36,8 @@ def parse_money(raw: Column) -> Column:
     def from_text(text: Column) -> Column:
         return let(ascii_digits(text), lambda digits: _from_digits(text, digits))
 
-    return let(clean_text(raw), from_text)
+    plain = F.struct(raw.try_cast("double").alias("value"), F.lit(True).alias("ok"), F.lit(None).cast("string").alias("rule"))
+    return F.when(raw.rlike(_PLAIN), plain).otherwise(let(clean_text(raw), from_text))
 
 
 def _from_digits(text: Column, digits: Column) -> Column:

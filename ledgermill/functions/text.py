@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ledgermill.schema import ASCII_DIGITS, CURRENCY, EMAIL_PATTERN, FOREIGN_DIGITS
 
-_EDGES = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
+#: All white space of Unicode, and the separators of ASCII.
+WHITE_SPACE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -20,7 +21,7 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
 def clean_text(raw: Column) -> Column:
     """Null as empty, no-break spaces as spaces, zero-width spaces dropped, Unicode white space trimmed."""
     visible = F.translate(F.coalesce(raw.cast("string"), F.lit("")), " ​", " ")
-    return F.regexp_replace(visible, _EDGES, "")
+    return F.btrim(visible, F.lit(WHITE_SPACE))
 
 
 def ascii_digits(text: Column) -> Column:
