@@ -37,18 +37,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgermill.llm.exact_dedup import with_group
 from ledgermill.llm.graph import connected_components
 from ledgermill.llm.key_filter import without_keys
 from ledgermill.llm.metric_links import Group
-from ledgermill.llm.shared import packed, partitions_of, stage, unpacked
+from ledgermill.llm.shared import packed, partitions_of, stage, text_or_empty, unpacked
 from ledgermill.llm.text_arrays import mix, windows, words_of
 
 PERCENT, SIZE = 75, 5
-RANGE_KEYS, LEAF_KEYS, FLUSH_KEYS = 2_000_000, 1_500_000, 1_500_000
+RANGE_KEYS, LEAF_KEYS, FLUSH_KEYS = 1_000_000, 1_500_000, 1_000_000
+#: Nodes of a chunk, so that a place in it fits two bytes.
+CHUNK_NODES = 60_000
 ROUNDS, ROUND_PIVOTS, SALTS = 8, 4, 64
 #: A shingle is common from this many nodes on, and from one node in COMMON_SHARE on.
 COMMON_LEAST, COMMON_SHARE = 1000, 2000
@@ -72,21 +75,33 @@ def _node(keys: np.ndarray) -> np.int64:
 
 
 def shingle_sets(docs: DataFrame, size: int = SIZE) -> DataFrame:
-    """doc_id, n_shingles, node of every row; rows of one set have one node."""
+    """doc_id, n_shingles, node, content (a digest of id and text) of every row; rows of one set have one node."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts, nodes = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
             for i, keys in _sets(batch.column(1), size):
                 counts[i], nodes[i] = len(keys), _node(keys)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts), pa.array(nodes)], names=["doc_id", "n_shingles", "node"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts), pa.array(nodes), batch.column(2)], names=["doc_id", "n_shingles", "node", "content"])
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInArrow(each, "doc_id bigint, n_shingles bigint, node bigint")
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), _content_key().alias("content"))
+    return rows.mapInArrow(each, "doc_id bigint, n_shingles bigint, node bigint, content binary")
+
+
+def _content_key() -> Column:
+    return F.unhex(F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), text_or_empty())))
+
+
+def _one_of_each(docs: DataFrame, sets: DataFrame, n_rows: int) -> DataFrame:
+    """The texts of docs without those whose set a row of a smaller doc_id has too."""
+    several = sets.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("group_rows")).where("group_rows > 1")
+    found = with_group(sets, stage(several), "node", n_rows)
+    gone = found.where("first_id IS NOT NULL AND NOT doc_id <=> first_id").select(F.col("content").alias("gone"))
+    return without_keys(docs.select("doc_id", "text"), _content_key(), stage(gone)).select("text")
 
 
 def _held_nodes(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[list[tuple[np.int64, np.ndarray]]]:
-    """Distinct nodes of a task with their 48-bit keys, FLUSH_KEYS keys at a time."""
+    """Chunks of distinct nodes of a task with their 48-bit keys."""
     held, seen, total = [], set(), 0
     for batch in batches:
         for _, keys in _sets(batch.column(0), size):
@@ -95,14 +110,14 @@ def _held_nodes(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[list[t
                 seen.add(node)
                 held.append((node, keys >> np.uint64(16)))
                 total += len(keys)
-                if total >= FLUSH_KEYS:
+                if total >= FLUSH_KEYS or len(held) == CHUNK_NODES:
                     yield held
                     held, seen, total = [], set(), 0
     if held:
         yield held
 
 
-def _common_keys(docs: DataFrame, size: int, n_nodes: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+def _common_keys(texts: DataFrame, size: int, n_nodes: int, least: int) -> tuple[np.ndarray, np.ndarray]:
     """Keys of very many nodes, sorted, with their counts.
 
     At most COMMON_SHARE x (mean keys of a node) keys reach the driver. They only decide how work is
@@ -115,7 +130,7 @@ def _common_keys(docs: DataFrame, size: int, n_nodes: int, least: int) -> tuple[
             many = counts >= max(3, NOMINATED_SHARE * len(held))
             yield pa.RecordBatch.from_arrays([pa.array(keys[many].view(np.int64)), pa.array(counts[many])], names=["key", "n"])
 
-    nominated = docs.select(F.col("text").cast("string")).mapInArrow(each, "key bigint, n bigint")
+    nominated = texts.select(F.col("text").cast("string")).mapInArrow(each, "key bigint, n bigint")
     common = nominated.groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= max(least, n_nodes // COMMON_SHARE))
     found = sorted((r["key"], r["n"]) for r in common.collect())
     return np.array([k for k, _ in found], dtype=np.uint64), np.array([n for _, n in found], dtype=np.int64)
@@ -125,100 +140,121 @@ def _is_in(keys: np.ndarray, table: np.ndarray) -> np.ndarray:
     return table[np.minimum(np.searchsorted(table, keys), len(table) - 1)] == keys if len(table) else np.zeros(len(keys), dtype=bool)
 
 
-def _key_ranges(docs: DataFrame, size: int, n_ranges: int, n_buckets: int, common: np.ndarray) -> DataFrame:
-    """The keys of all nodes, packed: a row for a task's keys of one range.
+_PACKED = "chunk bigint, places binary, keys binary, nodes binary, sizes binary"
+
+
+def _six_bytes(keys: np.ndarray) -> bytes:
+    return keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def _from_six_bytes(raw: bytes) -> np.ndarray:
+    wide = np.zeros((len(raw) // 6, 8), dtype=np.uint8)
+    wide[:, :6] = np.frombuffer(raw, dtype=np.uint8).reshape(-1, 6)
+    return wide.view("<u8").ravel()
+
+
+def _key_ranges(texts: DataFrame, size: int, n_ranges: int, n_buckets: int, common: np.ndarray) -> DataFrame:
+    """The keys of all nodes, packed: a row for a chunk's keys of one range, eight bytes a key.
 
-    Common keys are dealt by their nodes instead, to parts n_ranges + bucket: no task holds all nodes of one.
+    A node is named by its chunk and its place there. Parts from n_ranges on are buckets of chunks:
+    they get the chunk's nodes and sizes, and its common keys, so that no task holds all nodes of one.
     """
+    schema = pa.schema([("part", pa.int32()), ("chunk", pa.int64()), *((c, pa.binary()) for c in ("places", "keys", "nodes", "sizes"))])
 
-    def pack(held: list[tuple[np.int64, np.ndarray]]) -> pa.RecordBatch:
-        keys = np.concatenate([k for _, k in held])
-        owner = np.repeat(np.arange(len(held)), [len(k) for _, k in held])
+    def pack(held: list[tuple[np.int64, np.ndarray]], number: int) -> pa.RecordBatch:
         nodes, sizes = np.array([n for n, _ in held], dtype=np.int64), np.array([len(k) for _, k in held], dtype=np.int32)
-        by_node = n_ranges + (nodes.view(np.uint64) % np.uint64(n_buckets)).astype(np.int32)
-        part = np.where(_is_in(keys, common), by_node[owner], (keys % np.uint64(n_ranges)).astype(np.int32))
+        chunk = (TaskContext.get().partitionId() << 32) + number
+        home = n_ranges + int(mix(np.array([chunk], dtype=np.uint64))[0] % np.uint64(n_buckets))
+        keys = np.concatenate([k for _, k in held])
+        places = np.repeat(np.arange(len(held), dtype=np.uint16), sizes)
+        part = (keys % np.uint64(n_ranges)).astype(np.int32)
+        part[_is_in(keys, common)] = n_ranges
         order = np.argsort(part, kind="stable")
-        keys, owner, part = keys[order], owner[order], part[order]
-        bounds = np.searchsorted(part, np.arange(n_ranges + n_buckets + 1))
-        rows: list[dict] = []
-        for p in range(n_ranges + n_buckets):
-            k, o = keys[bounds[p] : bounds[p + 1]], owner[bounds[p] : bounds[p + 1]]
-            if len(k):
-                heads = np.flatnonzero(np.concatenate(([True], o[1:] != o[:-1])))
-                who = o[heads]
-                rows.append({"part": p, "nodes": nodes[who].tobytes(), "sizes": sizes[who].tobytes(), "runs": np.diff(np.append(heads, len(o))).astype(np.int32).tobytes(), "low": (k & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes(), "high": (k >> np.uint64(32)).astype(np.uint16).tobytes()})
-        return pa.RecordBatch.from_pylist(rows, schema=pa.schema([("part", pa.int32()), *((c, pa.binary()) for c in ("nodes", "sizes", "runs", "low", "high"))]))
+        keys, places = keys[order], places[order]
+        bounds = np.searchsorted(part[order], np.arange(n_ranges + 2))
+        rows = [{"part": home, "chunk": chunk, "nodes": nodes.tobytes(), "sizes": sizes.tobytes()}]
+        for p in range(n_ranges + 1):
+            at = slice(bounds[p], bounds[p + 1])
+            if at.start < at.stop:
+                rows.append({"part": p if p < n_ranges else home, "chunk": chunk, "places": places[at].tobytes(), "keys": _six_bytes(keys[at])})
+        return pa.RecordBatch.from_pylist(rows, schema=schema)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for held in _held_nodes(batches, size):
-            yield pack(held)
-
-    return docs.select(F.col("text").cast("string")).mapInArrow(each, "part int, nodes binary, sizes binary, runs binary, low binary, high binary")
-
+        for number, held in enumerate(_held_nodes(batches, size)):
+            yield pack(held, number)
 
-def _column(table: pa.Table, name: str, kind) -> np.ndarray:
-    return np.frombuffer(b"".join(x.as_py() for x in table.column(name)), dtype=kind)
+    return texts.select(F.col("text").cast("string")).mapInArrow(each, f"part int, {_PACKED}")
 
 
 def _shared_keys(ranges: DataFrame, n_ranges: int, n_buckets: int, common: np.ndarray, common_counts: np.ndarray) -> DataFrame:
-    """Keys of two or more nodes with their number of nodes, packed by bucket of nodes."""
-    schema = pa.schema([("bucket", pa.int32()), *((c, pa.binary()) for c in ("nodes", "sizes", "keys", "counts"))])
+    """Keys of two or more nodes with their number of nodes, and the nodes, packed by bucket and chunk."""
+    schema = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), *((c, pa.binary()) for c in ("places", "keys", "counts", "nodes", "sizes"))])
+
+    def forward(table: pa.Table) -> list[dict]:
+        rows = table.to_pylist()
+        for r in rows:
+            r["bucket"] = r.pop("part") - n_ranges
+            if r["keys"] is not None:
+                keys = _from_six_bytes(r["keys"])
+                r |= {"keys": keys.tobytes(), "counts": common_counts[np.searchsorted(common, keys)].astype(np.uint32).tobytes()}
+        return rows
 
     def each(table: pa.Table) -> pa.Table:
-        runs = _column(table, "runs", np.int32)
-        keys = _column(table, "low", np.uint32).astype(np.uint64) | (_column(table, "high", np.uint16).astype(np.uint64) << np.uint64(32))
-        run_of = np.repeat(np.arange(len(runs)), runs)
-        part = table.column("part")[0].as_py()
-        if part >= n_ranges:
-            counts = common_counts[np.searchsorted(common, keys)]
-            row = {"bucket": part - n_ranges, "nodes": _column(table, "nodes", np.int64)[run_of].tobytes(), "sizes": _column(table, "sizes", np.int32)[run_of].tobytes(), "keys": keys.tobytes(), "counts": counts.astype(np.uint32).tobytes()}
-            return pa.Table.from_pylist([row], schema=schema)
+        if table.column("part")[0].as_py() >= n_ranges:
+            return pa.Table.from_pylist(forward(table), schema=schema)
+        chunks = table.column("chunk").to_numpy()
+        bucket_of = mix(chunks.astype(np.uint64)) % np.uint64(n_buckets)
+        packed = table.column("keys").to_pylist()
+        keys = _from_six_bytes(b"".join(packed))
+        row_of = np.repeat(np.arange(len(chunks), dtype=np.int32), [len(k) // 6 for k in packed])
+        places = np.frombuffer(b"".join(table.column("places").to_pylist()), dtype=np.uint16)
         order = np.argsort(keys)
-        keys, run_of = keys[order], run_of[order]
+        keys = keys[order]
         same = keys[1:] == keys[:-1]
         several = np.concatenate((same, [False])) | np.concatenate(([False], same))
-        keys, run_of = keys[several], run_of[several]
-        nodes = _column(table, "nodes", np.int64)[run_of]
-        order = np.lexsort((nodes, keys))
-        keys, run_of, nodes = keys[order], run_of[order], nodes[order]
-        new = np.concatenate(([True], (keys[1:] != keys[:-1]) | (nodes[1:] != nodes[:-1])))[: len(keys)]
-        keys, run_of, nodes = keys[new], run_of[new], nodes[new]
+        keys, order = keys[several], order[several]
         heads = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))[: len(keys)])
-        counts = np.repeat(np.diff(np.append(heads, len(keys))), np.diff(np.append(heads, len(keys))))
-        keep = counts > 1
-        keys, nodes, counts, sizes = keys[keep], nodes[keep], counts[keep], _column(table, "sizes", np.int32)[run_of[keep]]
-        bucket = (nodes.view(np.uint64) % np.uint64(n_buckets)).astype(np.int32)
-        order = np.argsort(bucket, kind="stable")
-        bounds = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
+        lengths = np.diff(np.append(heads, len(keys)))
+        counts = np.repeat(lengths, lengths).astype(np.uint32)
+        row_of, places = row_of[order], places[order]
+        by_row = np.argsort(row_of, kind="stable")
+        keys, counts, places, row_of = keys[by_row], counts[by_row], places[by_row], row_of[by_row]
+        heads = np.flatnonzero(np.concatenate(([True], row_of[1:] != row_of[:-1]))[: len(row_of)])
         rows = []
-        for b in range(n_buckets):
-            at = order[bounds[b] : bounds[b + 1]]
-            if len(at):
-                rows.append({"bucket": b, "nodes": nodes[at].tobytes(), "sizes": sizes[at].tobytes(), "keys": keys[at].tobytes(), "counts": counts[at].astype(np.uint32).tobytes()})
+        for a, b in zip(heads, np.append(heads[1:], len(row_of))):
+            chunk = int(chunks[row_of[a]])
+            rows.append({"bucket": int(bucket_of[row_of[a]]), "chunk": chunk, "places": places[a:b].tobytes(), "keys": keys[a:b].tobytes(), "counts": counts[a:b].tobytes()})
         return pa.Table.from_pylist(rows, schema=schema)
 
-    return ranges.groupBy("part").applyInArrow(each, "bucket int, nodes binary, sizes binary, keys binary, counts binary")
+    return ranges.groupBy("part").applyInArrow(each, "bucket int, chunk bigint, places binary, keys binary, counts binary, nodes binary, sizes binary")
 
 
 def _survivors(shared: DataFrame, percent: int) -> DataFrame:
     """node, n, keys (sorted, shared ones only) and regions (those it visits) of nodes that may have partners."""
     schema = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("keys", pa.binary()), ("regions", pa.list_(pa.int64()))])
 
-    def each(table: pa.Table) -> pa.Table:
-        nodes, keys, counts, sizes = (_column(table, c, k) for c, k in (("nodes", np.int64), ("keys", np.uint64), ("counts", np.uint32), ("sizes", np.int32)))
-        order = np.lexsort((keys, counts, nodes))
-        nodes, keys, sizes = nodes[order], keys[order], sizes[order]
-        once = np.concatenate(([True], (nodes[1:] != nodes[:-1]) | (keys[1:] != keys[:-1])))[: len(nodes)]  # tasks may have met a node each
-        nodes, keys, sizes = nodes[once], keys[once], sizes[once]
-        heads = np.flatnonzero(np.concatenate(([True], nodes[1:] != nodes[:-1]))[: len(nodes)])
-        rows = []
-        for a, b in zip(heads, np.append(heads[1:], len(nodes))):
-            n = int(sizes[a])
+    def of_chunk(rows: list[dict], out: list[dict]) -> None:
+        read = lambda name, kind: np.frombuffer(b"".join(r[name] for r in rows if r[name] is not None), dtype=kind)
+        nodes, sizes = read("nodes", np.int64), read("sizes", np.int32)
+        places, keys, counts = read("places", np.uint16), read("keys", np.uint64), read("counts", np.uint32)
+        order = np.lexsort((keys, counts, places))
+        places, keys = places[order], keys[order]
+        bounds = np.searchsorted(places, np.arange(len(nodes) + 1))
+        for i, (a, b) in enumerate(zip(bounds, bounds[1:])):
+            n = int(sizes[i])
             visits = n - (percent * n + 99) // 100 + 1 - (n - (b - a))
-            if visits > 0:
+            if b > a and visits > 0:
                 own = keys[a:b]
-                rows.append({"node": int(nodes[a]), "n": n, "keys": np.sort(own).tobytes(), "regions": own[:visits].view(np.int64)})
-        return pa.Table.from_pylist(rows, schema=schema)
+                out.append({"node": int(nodes[i]), "n": n, "keys": np.sort(own).tobytes(), "regions": own[:visits].view(np.int64)})
+
+    def each(table: pa.Table) -> pa.Table:
+        by_chunk: dict[int, list[dict]] = {}
+        for r in table.to_pylist():
+            by_chunk.setdefault(r["chunk"], []).append(r)
+        out: list[dict] = []
+        for rows in by_chunk.values():
+            of_chunk(rows, out)
+        return pa.Table.from_pylist(out, schema=schema)
 
     return shared.groupBy("bucket").applyInArrow(each, "node bigint, n bigint, keys binary, regions array<bigint>")
 
@@ -345,8 +381,10 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, size: int = SIZE
     spread = partitions_of(docs.sparkSession)
     n_ranges = max(spread, total // range_keys + 1)
     n_buckets = max(spread, n_ranges // 4)
-    common, counts = _common_keys(docs, size, n_rows, common_least)
-    shared = _shared_keys(_key_ranges(docs, size, n_ranges, n_buckets, common), n_ranges, n_buckets, common, counts)
+    texts = _one_of_each(docs, sets, n_rows)
+    common, counts = _common_keys(texts, size, n_rows, common_least)
+    shared = _shared_keys(_key_ranges(texts, size, n_ranges, n_buckets, common), n_ranges, n_buckets, common, counts)
+    # rows that repeat in full may leave a node in several chunks: it is then its own partner, which changes nothing
     survivors = stage(_survivors(shared, percent))
     roots = connected_components(_links(survivors, percent, leaf_keys))
     marked = sets.join(roots, "node", "left").withColumn("class", F.coalesce("root", "node"))
