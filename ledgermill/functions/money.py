@@ -36,8 +36,12 @@ def parse_money(raw: Column) -> Column:
     def from_text(text: Column) -> Column:
         return let(ascii_digits(text), lambda digits: _from_digits(text, digits))
 
-    plain = F.struct(raw.try_cast("double").alias("value"), F.lit(True).alias("ok"), F.lit(None).cast("string").alias("rule"))
-    return F.when(raw.rlike(_PLAIN), plain).otherwise(let(clean_text(raw), from_text))
+    def known(value: Column, ok: bool) -> Column:
+        return F.struct(value.alias("value"), F.lit(ok).alias("ok"), F.lit(None).cast("string").alias("rule"))
+
+    # most amounts are plain or missing, and need none of the steps
+    none, plain = known(F.lit(None).cast("double"), False), known(raw.try_cast("double"), True)
+    return F.when(raw.isNull(), none).when(raw.rlike(_PLAIN), plain).otherwise(let(clean_text(raw), from_text))
 
 
 def _from_digits(text: Column, digits: Column) -> Column:

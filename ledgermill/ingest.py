@@ -124,4 +124,6 @@ def status_counts(found: DataFrame) -> DataFrame:
 
 def error_histogram(found: DataFrame) -> DataFrame:
     """error_code and n_rows."""
-    return found.select(F.explode("error_codes").alias("error_code")).groupBy("error_code").agg(F.count(F.lit(1)).alias("n_rows"))
+    # the outer form keeps the optimiser from copying the whole classification into a filter below the explosion
+    codes = found.select(F.explode_outer("error_codes").alias("error_code")).where("error_code IS NOT NULL")
+    return codes.groupBy("error_code").agg(F.count(F.lit(1)).alias("n_rows"))
