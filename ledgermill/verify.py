@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from ledgermill.api import Engine
 from ledgermill.ingest import QUARANTINE_TABLE, RAW_TABLE, RUNS_FILE, VALIDATED_TABLE
-from ledgermill.refresh import DAILY, PRODUCTS
+from ledgermill.operators.dedup import repeated_keys
+from ledgermill.refresh import DAILY, PRODUCTS, daily_view, product_view
 
 
 def verify(engine: Engine) -> list[tuple[str, bool]]:
@@ -30,4 +31,6 @@ def verify(engine: Engine) -> list[tuple[str, bool]]:
         ("one currency", facts["odd_currency"] == 0),
         ("every record has its first time", facts["no_first"] == 0),
         ("views exist", store.version(DAILY) is not None and store.version(PRODUCTS) is not None),
+        ("days are unique", repeated_keys(daily_view(store), "day").isEmpty()),
+        ("skus are unique", repeated_keys(product_view(store), "sku").isEmpty()),
     ]
