@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MARK = "▁"
-TABLE_ENTRIES = 200_000
+TABLE_ENTRIES = 150_000
 _CHUNKS = re.compile(f"{MARK}+[^{MARK}\\n]*|[^{MARK}\\n]+|\\n")
 
 
@@ -74,15 +74,16 @@ class PieceTable:
     def encode(self, texts: list[str]) -> list[tuple[int, bytes, str]]:
         """Of each text the number of ids, the ids in decimal joined by commas, and the decoded text."""
         chunks, table = [self.chunks(t) for t in texts], self.table
-        new = {c for cs in chunks for c in cs if c not in table}
+        distinct = set().union(*chunks)
+        new = distinct.difference(table)
         if len(table) + len(new) > TABLE_ENTRIES:
             table.clear()
-            new = {c for cs in chunks for c in cs}
+            new = distinct
         self._learn(new)
         out = []
         for cs in chunks:
-            found = [table[c] for c in cs]
-            out.append((sum([f[0] for f in found]), b",".join([f[1] for f in found]), "".join([f[2] for f in found])[1:]))
+            counts, ids, pieces = zip(*map(table.__getitem__, cs)) if cs else ((), (), ())
+            out.append((sum(counts), b",".join(ids), "".join(pieces)[1:]))
         return out
 
 

@@ -67,8 +67,18 @@ def partitions_of(spark: SparkSession) -> int:
 _shipped: set[str] = set()
 
 
+#: Rows that go to a Python worker at once, in place of Spark's 10,000: texts are long, and the batches lie outside the heap.
+BATCH_ROWS = 1000
+_BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def ship(spark: SparkSession) -> None:
-    """Sends this library's code to the executors, once for an application."""
+    """Sends this library's code to the executors, once for an application, and bounds the batches of texts.
+
+    A batch size that is not Spark's own is left alone.
+    """
+    if spark.conf.get(_BATCH_SETTING) == "10000":
+        spark.conf.set(_BATCH_SETTING, str(BATCH_ROWS))
     context = spark.sparkContext
     if context.applicationId not in _shipped:
         package = Path(__file__).resolve().parents[1]
