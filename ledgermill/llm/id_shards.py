@@ -103,15 +103,16 @@ class WordTable:
             plain = self.by_words and not _RARE.search(text) and not self.special.search(text)
             words.append(_WORDS.findall(text.lower()) if plain else None)
         table = self.table
-        missing = list({w for ws in words if ws is not None for w in ws if w not in table})
+        distinct = set().union(*(ws for ws in words if ws is not None))
+        missing = list(distinct.difference(table))
         if missing:
             if len(table) + len(missing) > TABLE_ENTRIES:
                 table.clear()
-                missing = list({w for ws in words if ws is not None for w in ws})
+                missing = list(distinct)
             for lo in range(0, len(missing), 4096):
                 some = missing[lo : lo + 4096]
                 table.update(zip(some, self._apart(some)))
-        return [self._whole([text])[0] if ws is None else b"".join([table[w] for w in ws]) for text, ws in zip(texts, words)]
+        return [self._whole([text])[0] if ws is None else b"".join(map(table.__getitem__, ws)) for text, ws in zip(texts, words)]
 
 
 _tables: dict[str, WordTable] = {}
