@@ -42,6 +42,8 @@ MAX_WORD_DISTANCE, MIN_COMMON_WORDS = 0.31, 100
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 FIELDS = ", ".join(f"{c}: bigint" for c in COUNTS) + ", base_failed: boolean, kept: boolean, class_distance: double, word_distance: double"
 
+_PART = 1 << 20
+
 _CLASS_OF = np.full(256, 7, dtype=np.int64)
 _CLASS_OF[[0x20, *range(0x09, 0x0E)]] = 0
 _CLASS_OF[97:123], _CLASS_OF[65:91], _CLASS_OF[48:58], _CLASS_OF[0xC0:] = 1, 2, 3, 6
@@ -67,8 +69,11 @@ def _histograms(block: Words, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarra
         _TABLE.append(_common_table())
     known, bins, n_bins = _TABLE[0]
     n, width = len(block.offsets) - 1, len(CLASSES) + 1
-    text_of = np.repeat(np.arange(n), np.diff(block.offsets))
-    classes = np.bincount(text_of * width + _CLASS_OF[block.data], minlength=n * width).reshape(n, width)[:, :-1]
+    if n == 1:  # a very long text is counted in parts
+        classes = sum(np.bincount(_CLASS_OF[block.data[a : a + _PART]], minlength=width) for a in range(0, max(1, len(block.data)), _PART))[None, :-1]
+    else:
+        text_of = np.repeat(np.arange(n), np.diff(block.offsets))
+        classes = np.bincount(text_of * width + _CLASS_OF[block.data], minlength=n * width).reshape(n, width)[:, :-1]
     at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
     word_bin = np.where(known[at] == hashes, bins[at], n_bins)
     text_of = np.repeat(np.arange(n), np.diff(block.bounds))

@@ -23,6 +23,8 @@ _BASE = 0x9E3779B97F4A7C15
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
 #: Multipliers of the words of a window, by place.
 _PLACES = np.array([0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], dtype=np.uint64)
+#: Bytes hashed at once: a very long text takes several turns.
+SEGMENT = 4 << 20
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -55,10 +57,21 @@ class Words:
     bounds: np.ndarray  # words of text i: bounds[i] up to bounds[i + 1]
 
     def hashes(self) -> np.ndarray:
-        sums = np.zeros(len(self.data) + 1, dtype=np.uint64)
-        np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * _power_table(_BASE, len(self.data)), out=sums[1:])
-        h = (sums[self.ends] - sums[self.starts]) * _power_table(_BASE_INVERSE, max(1, len(self.data)))[self.starts]
-        return mix(h + (self.ends - self.starts).astype(np.uint64) * _PLACES[0])
+        """A hash of each word, the same wherever it stands."""
+        parts, i, n = [], 0, len(self.starts)
+        while i < n:
+            j = max(i + 1, int(np.searchsorted(self.ends, self.starts[i] + SEGMENT, side="right")))
+            parts.append(self._hashes(i, j))
+            i = j
+        return np.concatenate(parts) if parts else np.zeros(0, dtype=np.uint64)
+
+    def _hashes(self, i: int, j: int) -> np.ndarray:
+        base = self.starts[i]
+        data, starts, ends = self.data[base : self.ends[j - 1]], self.starts[i:j] - base, self.ends[i:j] - base
+        sums = np.zeros(len(data) + 1, dtype=np.uint64)
+        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _power_table(_BASE, len(data)), out=sums[1:])
+        h = (sums[ends] - sums[starts]) * _power_table(_BASE_INVERSE, len(data))[starts]
+        return mix(h + (ends - starts).astype(np.uint64) * _PLACES[0])
 
 
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
