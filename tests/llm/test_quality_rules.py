@@ -35,7 +35,7 @@ def test_other_columns_pass(documents):
 def test_junk_goes_and_prose_stays(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/../sf0.01/documents.parquet").dropDuplicates(["doc_id"])
     labels = spark.read.parquet(f"{sf_dir}/../sf0.01/labels.parquet").dropDuplicates(["doc_id"])
-    rows = quality_rules(docs).join(labels, "doc_id").where("NOT quality.base_failed").select("quality.kept", labels["quality"].alias("label")).collect()
+    rows = quality_rules(docs, column="q").join(labels, "doc_id").where("NOT q.base_failed").select("q.kept", labels["quality"].alias("label")).collect()
     good = [r["kept"] for r in rows if r["label"] == 1]
     bad = [r["kept"] for r in rows if r["label"] == 0]
     assert np.mean(good) > 0.97 and np.mean(bad) < 0.2
