@@ -15,6 +15,8 @@ import numpy as np
 
 #: Feature numbers are hashes of names below this bound.
 WIDTH = 1 << 14
+#: Steps of the padded sequences that are decoded at once; a longer sequence is decoded by itself.
+PADDED_STEPS = 500_000
 
 
 def feature(name: str) -> int:
@@ -66,8 +68,13 @@ class ChainCRF:
         order = np.argsort(lengths, kind="stable")
         order = order[lengths[order] > 0]
         scores = self._scores(data)
-        for lo in range(0, len(order), batch):
-            which = order[lo : lo + batch]
+        lo = 0
+        while lo < len(order):
+            count = min(batch, len(order) - lo)
+            while count > 1 and count * lengths[order[lo + count - 1]] > PADDED_STEPS:
+                count //= 2
+            which = order[lo : lo + count]
+            lo += count
             at, real = self._padded(data.bounds, which)
             best = scores[at[:, 0]] + self.first
             back = np.zeros((at.shape[1], len(which), len(self.first)), dtype=np.int8)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 from ledgermill.llm.crf import feature
@@ -18,7 +19,11 @@ CLOSES = {
 }
 CONTAINERS = frozenset("ul ol dl table tbody thead tfoot div section article main body html nav aside form blockquote".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)(?:>|\Z)", re.S)
+#: Outermost and innermost elements of a path that count; what lies between in deeper nesting does not.
+PATH_ENDS = 64
+
+# a quote opens a value only behind an equals sign; what no ">" ends reaches to the end of the page
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+)(?:>|\Z)", re.S)
 _NAMED = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _PARTS = re.compile(r"[a-z]+")
 _SENTENCE = re.compile(r"[.!?…。]")
@@ -36,6 +41,7 @@ def blocks_of(page: str) -> list[Block]:
     """Blocks with text in page order. A line break or an inline element does not end a block."""
     found: list[Block] = []
     stack: list[tuple[str, str]] = []
+    opened: Counter[str] = Counter()
     pieces: list[str] = []
     linked = [0]
     at, skip_to = 0, ""
@@ -44,7 +50,7 @@ def blocks_of(page: str) -> list[Block]:
         if pieces:
             text = " ".join("".join(pieces).split())
             if text:
-                path = tuple(stack)
+                path = tuple(stack if len(stack) <= 2 * PATH_ENDS else stack[:PATH_ENDS] + stack[-PATH_ENDS:])
                 tag = next((t for t, _ in reversed(path) if t not in INLINE), "")
                 found.append(Block(text, tag, path, linked[0]))
             pieces.clear()
@@ -54,9 +60,13 @@ def blocks_of(page: str) -> list[Block]:
         if raw:
             text = html.unescape(raw) if "&" in raw else raw
             pieces.append(text)
-            if any(t == "a" for t, _ in stack):
+            if opened["a"]:
                 linked[0] += len(text)
 
+    def close(i: int) -> None:
+        opened.subtract(t for t, _ in stack[i:])
+        del stack[i:]
+
     while True:
         match = _TOKEN.search(page, at)
         if match is None:
@@ -64,16 +74,16 @@ def blocks_of(page: str) -> list[Block]:
             break
         add(page[at : match.start()])
         at = match.end()
-        tag = (match[2] or match[5] or "").lower()
+        tag = (match[2] or "").lower()
         if not tag:
             continue
-        closing, attributes = match[1] or match[4], match[3] or match[6] or ""
+        closing, attributes = match[1], match[3]
         if closing:
             if tag not in INLINE:
                 flush()
-            for i in range(len(stack) - 1, -1, -1):
+            for i in range(len(stack) - 1, -1, -1) if opened[tag] else ():
                 if stack[i][0] == tag:
-                    del stack[i:]
+                    close(i)
                     break
                 if tag in INLINE and stack[i][0] not in INLINE:
                     break
@@ -94,21 +104,23 @@ def blocks_of(page: str) -> list[Block]:
             continue
         if tag not in INLINE:
             # an open paragraph ends at the next block, and with it the inline elements inside
-            for i in range(len(stack) - 1, -1, -1):
+            for i in range(len(stack) - 1, -1, -1) if opened["p"] else ():
                 if stack[i][0] in CONTAINERS:
                     break
                 if stack[i][0] == "p":
-                    del stack[i:]
+                    close(i)
                     break
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in CLOSES.get(tag, ()):
-                    del stack[i:]
+            siblings = CLOSES.get(tag, ())
+            for i in range(len(stack) - 1, -1, -1) if any(opened[t] for t in siblings) else ():
+                if stack[i][0] in siblings:
+                    close(i)
                 elif stack[i][0] in CONTAINERS:
                     break
         if attributes.rstrip().endswith("/") and tag in ("path", "use"):
             continue
         names = " ".join(a or b or c for a, b, c in _NAMED.findall(attributes)) if attributes else ""
         stack.append((tag, names.lower()))
+        opened[tag] += 1
     flush()
     return found
 

@@ -46,6 +46,23 @@ def test_parts_of_a_page():
     assert main_texts([page, ""], default_model()) == ["A heading of it\nFirst & long sentence of the text, which goes on.\nSecond one here, with more words in it.", ""]
 
 
+def test_quotes_outside_values_and_deep_nesting():
+    assert [b.text for b in blocks_of("<p title=Bob's>one</p><p don't>it's two</p><p x='a>b'>three</p>")] == ["one", "it's two", "three"]
+    deep = blocks_of("<div class=outer>" + "<div>x" * 20_000 + "</div>" * 20_000 + "</i>" * 20_000 + "</div><p>y")
+    assert len(deep) == 20_001 and deep[-1].path == (("p", ""),) and deep[-2].path[0] == ("div", "outer") and len(deep[-2].path) == 128
+
+
+def test_decoding_does_not_depend_on_the_batch(monkeypatch):
+    rng = np.random.default_rng(1)
+    data = Sequences.of([[[int(rng.integers(0, 50))] for _ in range(int(n))] for n in rng.integers(0, 40, 60)])
+    model = ChainCRF(3)
+    model.weights[:50] = rng.normal(size=(50, 3))
+    model.transitions[:] = rng.normal(size=(3, 3))
+    whole = model.decode(data)
+    monkeypatch.setattr("ledgermill.llm.crf.PADDED_STEPS", 64)
+    assert (model.decode(data) == whole).all()
+
+
 def test_broken_pages(spark):
     odd = ["<p>a<", "<!-- open", "<script>x", "</div></p>", "<a href='x>y'>z", "\x00<p>&#0;&nosuch;", "<" * 5000, "<p>" * 5000, None, ""]
     rows = spark.createDataFrame([(i, None, t) for i, t in enumerate(odd)], "page_id bigint, url string, html string")
