@@ -51,8 +51,8 @@ TABLE_ENTRIES = 400_000
 # The text handling that the table knows how to take apart.
 _SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 #: Characters outside these may normalise, lower or split in ways left to the library.
-_RARE = re.compile("[^\\t\\n\\r -~¡-įı-ɏ‐-‧€]")
-_LETTER = "a-zA-ZªµºÀ-ÖØ-öø-ɏ"
+_RARE = re.compile("[^\\t\\n\\r -~¡-įı-ſ‐-‧€]")
+_LETTER = "a-zA-ZªµºÀ-ÖØ-öø-ſ"
 _DIGIT = "0-9²³¹¼-¾"
 _WORDS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_DIGIT}]|[^\\t\\n\\r {_LETTER}{_DIGIT}]+")
 

@@ -54,6 +54,16 @@ def test_word_table_equals_the_library():
     assert not other.by_words and np.frombuffer(other.encode(["a b"])[0], dtype="<u2").tolist() == Tokenizer.from_file(BYTES).encode("a b").ids
 
 
+def test_every_letter_equals_the_libraries():
+    """Lower-casing can leave the range of letters that the word table takes apart (Ɔ to ɔ)."""
+    words, pieces = WordTable(WORDS), PieceTable(PIECES)
+    library, model = Tokenizer.from_file(WORDS), sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    texts = [t for c in map(chr, range(1, 0x2200)) for t in (f"w{c}'s", f"1{c}{c} ")]
+    for text, raw, (_, joined, _) in zip(texts, words.encode(texts), pieces.encode(texts)):
+        assert np.frombuffer(raw, dtype="<u2").tolist() == library.encode(text, add_special_tokens=False).ids, text
+        assert joined.decode() == ",".join(map(str, model.encode(text))), text
+
+
 def test_shards(documents, corpus):
     library, start, want = Tokenizer.from_file(WORDS), 0, []
     for i, t in sorted(corpus, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")):
