@@ -114,20 +114,21 @@ def _sample(star: StarSchema) -> DataFrame:
     return sample_rows(star.table("orders").select("o_orderkey", "o_custkey"), 100, ["o_orderkey"])
 
 
-# a second image of the orders: some are new, some changed, some gone
+# two images of the orders, by period: some are new, some changed, some gone
 
-_IMAGES = """old AS (SELECT * FROM orders WHERE o_orderkey % 10 <> 0),
-    new AS (SELECT * REPLACE (CASE WHEN o_orderkey % 7 = 0 THEN o_totalprice + 100 ELSE o_totalprice END AS o_totalprice,
-                              CASE WHEN o_orderkey % 11 = 0 THEN o_orderdate + INTERVAL 40 DAY ELSE o_orderdate END AS o_orderdate) FROM orders WHERE o_orderkey % 13 <> 0)"""
+_OLD_UNTIL, _NEW_FROM = "2000-01-01", "1997-01-01"
+_IMAGES = f"""old AS (SELECT * FROM orders WHERE o_orderdate < TIMESTAMP '{_OLD_UNTIL}'),
+    new AS (SELECT * REPLACE (CASE WHEN o_orderstatus = 'P' THEN o_totalprice + 100 ELSE o_totalprice END AS o_totalprice,
+                              CASE WHEN o_orderpriority = '1-URGENT' THEN o_orderdate + INTERVAL 40 DAY ELSE o_orderdate END AS o_orderdate) FROM orders WHERE o_orderdate >= TIMESTAMP '{_NEW_FROM}')"""
 _VERSION = "concat_ws('|', CAST(o_totalprice AS VARCHAR), CAST(o_orderdate AS VARCHAR))"
 
 
 def _images(star: StarSchema) -> tuple[DataFrame, DataFrame]:
-    key = F.col("order_id")
-    old = star.plain_orders.where(key % 10 != 0)
-    new = star.plain_orders.where(key % 13 != 0).withColumns({
-        "total_amount": F.when(key % 7 == 0, F.col("total_amount") + 100).otherwise(F.col("total_amount")),
-        "order_date": F.when(key % 11 == 0, F.col("order_date") + F.expr("INTERVAL 40 DAYS")).otherwise(F.col("order_date")),
+    moment = lambda day: F.lit(day).cast("timestamp_ntz")
+    old = star.plain_orders.where(F.col("order_date") < moment(_OLD_UNTIL))
+    new = star.plain_orders.where(F.col("order_date") >= moment(_NEW_FROM)).withColumns({
+        "total_amount": F.when(F.col("status") == "P", F.col("total_amount") + 100).otherwise(F.col("total_amount")),
+        "order_date": F.when(F.col("payment_method") == "1-URGENT", F.col("order_date") + F.expr("INTERVAL 40 DAYS")).otherwise(F.col("order_date")),
     })
     return _hashed(old), _hashed(new)
 
@@ -187,24 +188,25 @@ def _changed_orders(star: StarSchema) -> DataFrame:
 
 
 @register("join_affected_groups", f"""SELECT strftime(o_orderdate, '%Y-%m-%d') AS day, CAST(count(*) AS BIGINT) AS orders, {_sum('o_totalprice')} AS sales FROM orders
-    WHERE strftime(o_orderdate, '%Y-%m-%d') IN (SELECT strftime(o_orderdate, '%Y-%m-%d') FROM orders WHERE o_orderkey % 500 = 0) GROUP BY 1""")
+    WHERE strftime(o_orderdate, '%Y-%m-%d') IN (SELECT strftime(o_orderdate, '%Y-%m-%d') FROM orders WHERE o_totalprice >= 499000) GROUP BY 1""")
 def _affected_groups(star: StarSchema) -> DataFrame:
-    days = views.affected_days(star.plain_orders.where(F.col("order_id") % 500 == 0))
+    days = views.affected_days(star.plain_orders.where("total_amount >= 499000"))
     return views.daily_sales(star.plain_orders.join(days, views.day_of(F.col("order_date")) == F.col("day"), "left_semi"))
 
 
-@register("join_vanished_keys", f"""WITH {_IMAGES} SELECT DISTINCT strftime(o_orderdate, '%Y-%m-%d') AS day FROM old WHERE o_custkey % 50 = 0
-    EXCEPT SELECT strftime(o_orderdate, '%Y-%m-%d') FROM new WHERE o_custkey % 50 = 0""")
+@register("join_vanished_keys", f"""WITH {_IMAGES} SELECT DISTINCT strftime(o_orderdate, '%Y-%m-%d') AS day FROM old
+    EXCEPT SELECT strftime(o_orderdate, '%Y-%m-%d') FROM new""")
 def _vanished(star: StarSchema) -> DataFrame:
-    old, new = (i.where(F.col("customer_id") % 50 == 0) for i in _images(star))
+    old, new = _images(star)
     return views.affected_days(old).join(views.affected_days(new), "day", "left_anti")
 
 
-@register("additive_upsert", f"""WITH parts AS (SELECT o_orderstatus AS status, 1 AS orders, o_totalprice AS sales FROM orders WHERE o_orderkey % 2 = 0 UNION ALL SELECT o_orderstatus, 1, o_totalprice FROM orders WHERE o_orderkey % 2 = 1)
+@register("additive_upsert", f"""WITH parts AS (SELECT o_orderstatus AS status, 1 AS orders, o_totalprice AS sales FROM orders)
     SELECT status, CAST(sum(orders) AS BIGINT) AS orders, round(sum(CAST(sales AS DECIMAL(18,2))))::BIGINT AS sales FROM parts GROUP BY status""")
 def _additive(star: StarSchema) -> DataFrame:
-    half = lambda k: star.plain_orders.where(F.col("order_id") % 2 == k).groupBy("status").agg(F.count(F.lit(1)).alias("orders"), F.sum(F.col("total_amount").cast("decimal(18,2)")).alias("sales"))
-    return merge.add_into(half(0), half(1), ["status"], ["orders", "sales"]).withColumn("sales", F.round("sales").cast("bigint"))
+    earlier = F.col("order_date") < F.lit(_OLD_UNTIL).cast("timestamp_ntz")
+    part = lambda rows: star.plain_orders.where(rows).groupBy("status").agg(F.count(F.lit(1)).alias("orders"), F.sum(F.col("total_amount").cast("decimal(18,2)")).alias("sales"))
+    return merge.add_into(part(earlier), part(~earlier | F.col("order_date").isNull()), ["status"], ["orders", "sales"]).withColumn("sales", F.round("sales").cast("bigint"))
 
 
 # views
@@ -231,10 +233,10 @@ def _mv_top(star: StarSchema) -> DataFrame:
     return views.top_products(_product_view(star))
 
 
-@register("affected_keys", f"""WITH {_IMAGES}, ids AS (SELECT o_orderkey FROM orders WHERE o_orderkey % 7 = 0 OR o_orderkey % 11 = 0)
+@register("affected_keys", f"""WITH {_IMAGES}, ids AS (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P' OR o_orderpriority = '1-URGENT')
     SELECT DISTINCT strftime(o_orderdate, '%Y-%m-%d') AS day FROM (SELECT o_orderkey, o_orderdate FROM old UNION ALL SELECT o_orderkey, o_orderdate FROM new) WHERE o_orderkey IN (SELECT o_orderkey FROM ids)""")
 def _affected_keys(star: StarSchema) -> DataFrame:
-    changed = (F.col("order_id") % 7 == 0) | (F.col("order_id") % 11 == 0)
+    changed = (F.col("status") == "P") | (F.col("payment_method") == "1-URGENT")
     return views.affected_days(*(i.where(changed) for i in _images(star)))
 
 
