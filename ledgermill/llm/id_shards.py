@@ -47,6 +47,8 @@ NULL_ID = -(1 << 63)
 #: Keys in one part of the index, on average.
 PART_KEYS = 200_000
 TABLE_ENTRIES = 400_000
+#: New words encoded by one call of the library; its time for a word grows with the length of a text.
+CALL_WORDS = 512
 
 # The text handling that the table knows how to take apart.
 _SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
@@ -109,8 +111,8 @@ class WordTable:
             if len(table) + len(missing) > TABLE_ENTRIES:
                 table.clear()
                 missing = list(distinct)
-            for lo in range(0, len(missing), 4096):
-                some = missing[lo : lo + 4096]
+            for lo in range(0, len(missing), CALL_WORDS):
+                some = missing[lo : lo + CALL_WORDS]
                 table.update(zip(some, self._apart(some)))
         return [self._whole([text])[0] if ws is None else b"".join(map(table.__getitem__, ws)) for text, ws in zip(texts, words)]
 
