@@ -321,6 +321,16 @@ def _email(star: StarSchema) -> DataFrame:
     return cleaned.select("doc_id", "email", text.email_is_broken(F.col("email")).alias("broken"))
 
 
+@register("email_whole", r"""WITH e AS (SELECT doc_id, regexp_replace(regexp_replace(trim(text, chr(32) || chr(10)), '@{2,}', '@', 'g'), '\.{2,}', '.', 'g') AS email
+    FROM (SELECT doc_id, replace(replace(replace(text, ' ', ''), '.', '..'), ',', '@@') AS text FROM documents))
+    SELECT doc_id, email, NOT regexp_matches(email, '^[^@\s]+@[^@\s]+\.[^@\s]+$') AS broken FROM e""")
+def _email_whole(star: StarSchema) -> DataFrame:
+    """As email, but over whole texts: every run is collapsed, and broken is decided on all of a text."""
+    spoiled = F.replace(F.replace(F.replace("text", F.lit(" "), F.lit("")), F.lit("."), F.lit("..")), F.lit(","), F.lit("@@"))
+    cleaned = star.table("documents").select("doc_id", text.clean_email(spoiled).alias("email"))
+    return cleaned.select("doc_id", "email", text.email_is_broken(F.col("email")).alias("broken"))
+
+
 @register("date_norm", """WITH d AS (SELECT o_orderkey, CAST(o_orderdate AS TIMESTAMP) + INTERVAL 10 YEAR AS t, o_orderkey % 5 AS k FROM orders)
     SELECT o_orderkey, CASE WHEN k = 4 OR year(t) > 2100 THEN NULL WHEN k = 2 AND day(t) <= 12 THEN make_timestamp(year(t), day(t), month(t), 0, 0, 0) ELSE date_trunc('day', t) END AS order_date FROM d""")
 def _date_norm(star: StarSchema) -> DataFrame:

@@ -1,4 +1,5 @@
 import math
+import re
 
 import duckdb
 import pytest
@@ -28,3 +29,15 @@ def test_same_as_sql(spark, sf_dir, duck, name):
     expected = duck.sql(ORACLES[name])
     assert sorted(frame.columns) == sorted(expected.columns)
     assert _rows(frame.columns, frame.collect()) == _rows(expected.columns, expected.fetchall())
+
+
+def test_whole_texts_are_cleaned_as_emails(spark, sf_dir):
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()}
+    rows = {r["doc_id"]: r for r in QUERIES["email_whole"](spark, sf_dir).collect()}
+    assert rows.keys() == texts.keys()
+    for i, raw in texts.items():
+        spoiled = raw.replace(" ", "").replace(".", "..").replace(",", "@@").strip(" \n")
+        email = re.sub(r"\.{2,}", ".", re.sub("@{2,}", "@", spoiled))
+        assert rows[i]["email"] == email
+        assert rows[i]["broken"] == (re.fullmatch(r"[^@\s]+@[^@\s]+\.[^@\s]+", email) is None)
+    assert max(len(r["email"]) for r in rows.values()) > 60
