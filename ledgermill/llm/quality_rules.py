@@ -1,17 +1,20 @@
 """Quality rules: base counts of a text, and its divergence from the reference of its language.
 
 Two histograms describe a text: its characters by class, and its words by a list of common words
-(all others form one bin). The reference of a language is the histogram of all its documents. A
-text is rejected when the Jensen-Shannon distance (base 2, 0 to 1) of either histogram to the
+(all others form one bin). The reference of a language is the median of each bin over its distinct
+contents that pass the base rule, each histogram weighted one, so that neither copies, long texts nor
+a junk group of less than half of the contents move it far. A text is rejected when the Jensen-Shannon distance (base 2, 0 to 1) of either histogram to the
 reference is above a threshold; texts below a minimum length are not judged by that histogram.
 
 Defined results: a null text is empty and fails the base rule; a text whose language is null or has
-no word list is judged by the base rule alone; rows are judged one by one, so repeated rows get the
+no word list, or in which no text passes the base rule, is judged by the base rule alone; contents are
+equal when their words are; rows are judged one by one, so repeated rows get the
 same verdict; an empty table gives an empty result; other columns pass through untouched.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,6 +46,8 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 FIELDS = ", ".join(f"{c}: bigint" for c in COUNTS) + ", base_failed: boolean, kept: boolean, class_distance: double, word_distance: double"
 
 _PART = 1 << 20
+#: Shares of a histogram are whole numbers up to this.
+LEVELS = 10_000
 
 _CLASS_OF = np.full(256, 7, dtype=np.int64)
 _CLASS_OF[[0x20, *range(0x09, 0x0E)]] = 0
@@ -95,6 +100,15 @@ def _repeated(window: np.ndarray, size: int) -> int:
     return int((np.cumsum(edge) > 0).sum())
 
 
+def _base(block: Words, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words, words in repeated windows, and whether the base rule rejects, for each text."""
+    n_words = np.diff(block.bounds)
+    repeats = np.zeros(len(n_words), np.int64)
+    for i in np.flatnonzero(n_words > 5):
+        repeats[i] = _repeated(windows(hashes[block.bounds[i] : block.bounds[i + 1]]), 5)
+    return n_words, repeats, (n_words < MIN_WORDS) | (100 * repeats > MAX_REPEAT_PERCENT * n_words)
+
+
 def _duplicate_lines(text: bytes) -> int:
     lines = [x for x in text.split(b"\n") if x.strip()]
     return len(lines) - len(set(lines))
@@ -138,9 +152,63 @@ def language_references(docs: DataFrame) -> dict[str, tuple[list[int], list[int]
     return {name: tuple([bins[k] for k in sorted(bins)] for bins in both) for name, both in found.items()}
 
 
+def central_references(docs: DataFrame) -> dict[str, tuple[list[float], list[float]]]:
+    """Medians, by bin, of the shares in LEVELS of each listed language's distinct contents that pass the base rule.
+
+    As many rows reach the driver as there are word lists and bins; what is shuffled of a content is its digest
+    and four bytes for each bin that it fills.
+    """
+    pair = np.dtype([("bin", "<u2"), ("level", "<u2")])
+    names = sorted(COMMON_WORDS)
+    n_bins = len({w for ws in COMMON_WORDS.values() for w in ws}) + 1 + len(CLASSES)
+
+    def levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, digests, packed = [], [], []
+            for block in words_of(batch.column(1)):
+                hashes = block.hashes()
+                passed = np.flatnonzero(~_base(block, hashes)[2])
+                both = [(2 * LEVELS * x + x.sum(axis=1, keepdims=True)) // np.maximum(2 * x.sum(axis=1, keepdims=True), 1) for x in _histograms(block, hashes)]
+                found = np.concatenate(both, axis=1)
+                for i in passed:
+                    bins = np.flatnonzero(found[i])
+                    row = np.empty(len(bins), dtype=pair)
+                    row["bin"], row["level"] = bins, found[i, bins]
+                    at.append(block.first + i)
+                    digests.append(hashlib.md5(hashes[block.bounds[i] : block.bounds[i + 1]].tobytes(), usedforsecurity=False).digest())
+                    packed.append(row.tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(digests, pa.binary()), pa.array(packed, pa.binary())], names=["lang", "content", "levels"])
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[str, np.ndarray] = {}
+        for batch in batches:
+            lang = np.array(batch.column(0).to_pylist(), dtype=object)
+            for name in set(lang):
+                packed = batch.column(1).filter(pa.array(lang == name))
+                pairs = np.frombuffer(b"".join(packed.to_pylist()), dtype=pair)
+                places, n = np.unique(pairs["bin"].astype(np.int64) * (LEVELS + 1) + pairs["level"], return_counts=True)
+                table = counts.setdefault(name, np.zeros((n_bins, LEVELS + 1), np.int64))
+                table.reshape(-1)[places] += n
+                empty = len(packed) - np.bincount(pairs["bin"], minlength=n_bins)
+                table[:, 0] += empty
+        for name, table in counts.items():
+            bins, at = np.nonzero(table)
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(bins), pa.string()), pa.array(bins, pa.int32()), pa.array(at, pa.int32()), pa.array(table[bins, at])], names=["lang", "bin", "level", "n"])
+
+    known = docs.where(F.col("lang").isin(names)).select(F.col("lang").cast("string"), F.col("text").cast("string"))
+    contents = known.mapInArrow(levels, "lang string, content binary, levels binary")
+    distinct = contents.groupBy("lang", "content").agg(F.min("levels").alias("levels")).select("lang", "levels")
+    parts = distinct.mapInArrow(counted, "lang string, bin int, level int, n bigint")
+    rows = parts.groupBy("lang", "bin").agg(F.percentile("level", F.lit(0.5), F.col("n")).alias("median"))
+    found: dict[str, list[float]] = {}
+    for r in rows.collect():  # at most languages x bins
+        found.setdefault(r["lang"], [0.0] * n_bins)[r["bin"]] = r["median"]
+    return {name: (bins[: len(CLASSES)], bins[len(CLASSES) :]) for name, bins in found.items()}
+
+
 def quality_rules(
     docs: DataFrame,
-    references: dict[str, tuple[list[int], list[int]]] | None = None,
+    references: dict[str, tuple[list[float], list[float]]] | None = None,
     column: str = "quality",
     max_class_distance: float = MAX_CLASS_DISTANCE,
     max_word_distance: float = MAX_WORD_DISTANCE,
@@ -149,9 +217,9 @@ def quality_rules(
 ) -> DataFrame:
     """docs (text, lang and any other columns) with a struct ``column`` of FIELDS added, without a shuffle of texts.
 
-    A column of that name in docs is replaced. ``references`` default to those of docs itself.
+    A column of that name in docs is replaced. ``references`` default to the medians of docs itself.
     """
-    references = language_references(docs) if references is None else references
+    references = central_references(docs) if references is None else references
     docs = docs.drop(column)
     text_at, lang_at = ([c.lower() for c in docs.columns].index(c) for c in ("text", "lang"))
 
@@ -167,17 +235,14 @@ def quality_rules(
         hashes = block.hashes()
         classes, common = _histograms(block, hashes)
         n = len(classes)
-        n_words = np.diff(block.bounds)
+        n_words, repeats, failed = _base(block, hashes)
         chars = classes.sum(axis=1)
-        lines, repeats = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        lines = np.zeros(n, np.int64)
         newline = np.flatnonzero(block.data == 10)
         several = np.diff(np.searchsorted(newline, block.offsets)) > 0
         for i in range(n):
             if several[i]:
                 lines[i] = _duplicate_lines(block.data[block.offsets[i] : block.offsets[i + 1]].tobytes())
-            if n_words[i] > 5:
-                repeats[i] = _repeated(windows(hashes[block.bounds[i] : block.bounds[i + 1]]), 5)
-        failed = (n_words < MIN_WORDS) | (100 * repeats > MAX_REPEAT_PERCENT * n_words)
         refs = [[references[x][k] if x in references else [0] * width for x in lang] for k, width in enumerate((classes.shape[1], common.shape[1]))]
         by_class = np.where(chars >= min_chars, js_distance(classes, np.array(refs[0], dtype=np.float64).reshape(classes.shape)), 0.0)
         by_word = np.where(n_words >= min_common_words, js_distance(common, np.array(refs[1], dtype=np.float64).reshape(common.shape)), 0.0)

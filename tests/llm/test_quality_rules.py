@@ -1,9 +1,10 @@
 import collections
+import random
 import re
 
 import numpy as np
 
-from ledgermill.llm.quality_rules import COMMON_WORDS, js_distance, language_references, quality_rules
+from ledgermill.llm.quality_rules import CLASSES, COMMON_WORDS, LEVELS, central_references, js_distance, language_references, quality_rules
 
 
 def base(text):
@@ -62,3 +63,40 @@ def test_short_texts_are_not_judged(spark):
 
 def test_empty_table(no_documents):
     assert quality_rules(no_documents).count() == 0
+
+
+def _prose(rng, n):
+    return " ".join(rng.choice(COMMON_WORDS["en"]) if rng.random() < 0.5 else "".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(n))
+
+
+def _junk(rng):
+    return " ".join("".join(rng.choice("0123456789#*$%&|<>") for _ in range(6)) for _ in range(400))
+
+
+def test_a_junk_group_of_a_third_does_not_move_the_reference(spark):
+    rng = random.Random(5)
+    good = [(i, _prose(rng, rng.randint(500, 700)), "en") for i in range(60)]
+    same, junk = _junk(rng), _junk(rng).split()
+    groups = {"copies": [same] * 30, "near copies": [" ".join([*junk[:-1], f"#{k}%%{k}"]) for k in range(30)], "failing": ["1|%& 2|%& " * 2000 + str(k) for k in range(30)]}
+    for name, texts in groups.items():
+        rows = good + [(1000 + k, t, "en") for k, t in enumerate(texts)]
+        found = quality_rules(spark.createDataFrame(rows, "doc_id bigint, text string, lang string")).select("doc_id", "quality.kept").collect()
+        assert {r["doc_id"] for r in found if r["kept"]} == {i for i, _, _ in good}, name
+
+
+def test_references_are_medians_of_distinct_contents(spark):
+    rng = random.Random(6)
+    texts = [_prose(rng, rng.randint(10, 80)) for _ in range(20)] + ["too short", "so and so " * 50, None]
+    copies = [texts[0]] * 8 + [texts[1].replace(" ", " \n")]
+    docs = spark.createDataFrame([(t, "en") for t in texts + copies] + [(texts[2], "xx"), (texts[3], None)], "text string, lang string")
+    found = central_references(docs)
+    assert set(found) == {"en"}
+    passed = [t for t in texts if not base(t)[5]]
+    levels = lambda n, total: (2 * LEVELS * n + total) // (2 * total)
+    others = sum(len(w) for t in passed for w in t.split() if w not in COMMON_WORDS["en"])
+    assert len(passed) == 20 and others and found["en"][0][CLASSES.index("symbol")] == 0
+    lower = [[levels(sum(c.islower() for c in t), len(t)) for t in ts] for ts in (passed, [passed[0], copies[-1], *passed[2:]])]
+    assert found["en"][0][CLASSES.index("lower")] in [np.median(x) for x in lower]
+    words = sorted({w for ws in COMMON_WORDS.values() for w in ws})
+    for w in ("the", "of", "no"):
+        assert found["en"][1][words.index(w)] == np.median([levels(t.split().count(w), len(t.split())) for t in passed])
