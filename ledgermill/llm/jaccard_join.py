@@ -28,7 +28,9 @@ Defined results: a text without words (null, empty, white space) has an empty se
 nothing; a null doc_id never becomes a component_id unless all rows of the component have none;
 rows that share a doc_id are linked by their own texts alone, each row with its result; an empty
 table gives an empty result; other columns are ignored by ``jaccard_components`` and kept by
-``drop_near_copies``.
+``drop_near_copies``. The latter keeps exactly one row of each component: the first by doc_id, nulls
+last, then by the digest of id and text; of rows that repeat both, any one stays. Rows without words
+all stay.
 """
 
 from __future__ import annotations
@@ -43,9 +45,9 @@ from pyspark.sql import functions as F
 
 from ledgermill.llm.exact_dedup import with_group
 from ledgermill.llm.graph import connected_components
-from ledgermill.llm.key_filter import without_keys
+from ledgermill.llm.key_filter import build_filter, may_match, without_keys
 from ledgermill.llm.metric_links import Group
-from ledgermill.llm.shared import packed, partitions_of, stage, text_or_empty, unpacked
+from ledgermill.llm.shared import WORD, packed, partitions_of, stage, text_or_empty, unpacked
 from ledgermill.llm.text_arrays import mix, windows, words_of
 
 PERCENT, SIZE = 75, 5
@@ -88,8 +90,8 @@ def shingle_sets(docs: DataFrame, size: int = SIZE) -> DataFrame:
     return rows.mapInArrow(each, "doc_id bigint, n_shingles bigint, node bigint, content binary")
 
 
-def _content_key() -> Column:
-    return F.unhex(F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), text_or_empty())))
+def _content_key(prefix: str = "") -> Column:
+    return F.unhex(F.md5(F.concat_ws(":", F.coalesce(F.col(f"{prefix}doc_id").cast("string"), F.lit("")), text_or_empty(f"{prefix}text"))))
 
 
 def _one_of_each(docs: DataFrame, sets: DataFrame, n_rows: int) -> DataFrame:
@@ -374,8 +376,8 @@ def _links(survivors: DataFrame, percent: int, leaf_keys: int) -> DataFrame:
     return found
 
 
-def jaccard_components(docs: DataFrame, percent: int = PERCENT, size: int = SIZE, range_keys: int = RANGE_KEYS, leaf_keys: int = LEAF_KEYS, common_least: int = COMMON_LEAST) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row: the smallest doc_id reachable by links, itself included."""
+def _classes(docs: DataFrame, percent: int = PERCENT, size: int = SIZE, range_keys: int = RANGE_KEYS, leaf_keys: int = LEAF_KEYS, common_least: int = COMMON_LEAST) -> tuple[DataFrame, int]:
+    """doc_id, n_shingles, content and class (a number of the component, null without words) of every row, and the number of rows."""
     sets = stage(shingle_sets(docs, size))
     n_rows, total = sets.agg(F.count(F.lit(1)), F.coalesce(F.sum("n_shingles"), F.lit(0))).first()
     spread = partitions_of(docs.sparkSession)
@@ -388,16 +390,31 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, size: int = SIZE
     survivors = stage(_survivors(shared, percent))
     roots = connected_components(_links(survivors, percent, leaf_keys))
     marked = sets.join(roots, "node", "left").withColumn("class", F.coalesce("root", "node"))
-    marked = marked.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("class")).alias("class"))
-    marked = stage(marked)
+    marked = marked.select("doc_id", "n_shingles", "content", F.when(F.col("n_shingles") > 0, F.col("class")).alias("class"))
+    return stage(marked), n_rows
+
+
+def jaccard_components(docs: DataFrame, **parameters) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row: the smallest doc_id reachable by links, itself included."""
+    marked, n_rows = _classes(docs, **parameters)
+    marked = marked.drop("content")
     least = marked.where("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("group_rows"))
     least = stage(least.where("group_rows > 1"))
     return with_group(marked, least, "class", n_rows).select("doc_id", "n_shingles", F.coalesce("least_id", "doc_id").alias("component_id"))
 
 
 def drop_near_copies(docs: DataFrame, **parameters) -> DataFrame:
-    """docs without rows that another row of their component stands for: the smallest doc_id stays."""
-    found = stage(jaccard_components(docs, **parameters))
-    identity = lambda doc_id: F.unhex(F.md5(F.col(doc_id).cast("string")))
-    gone = found.where("doc_id <> component_id").select(identity("doc_id").alias("gone"))
-    return unpacked(without_keys(packed(docs), F.coalesce(identity("row.doc_id"), F.lit(b"")), gone))
+    """docs with one row of each component: the first by (doc_id, nulls last, digest of id and text)."""
+    marked, n_rows = _classes(docs, **parameters)
+    rank = F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "content")
+    first = marked.where("class IS NOT NULL").groupBy("class").agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("group_rows"))
+    first = stage(first.where("group_rows > 1").select("class", F.col("first.content").alias("first_content"), "group_rows"))
+    found = stage(with_group(marked, first, "class", n_rows).where("first_content IS NOT NULL").select("content", "first_content"))
+    whole = packed(docs).withColumn("near_key", _content_key("row."))
+    left = without_keys(whole, F.col("near_key"), found.where("content <> first_content").select(F.col("content").alias("gone")))
+    again = found.where("content = first_content").groupBy("content").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("content")
+    again = stage(again)
+    if not again.isEmpty():  # rows that repeat in full: one of each stays
+        hit = may_match(left, "near_key", build_filter(again, "content"), "near_hit").withColumn("near_hit", F.col("near_hit") & text_or_empty("row.text").rlike(WORD))
+        left = hit.where("NOT near_hit").unionByName(hit.where("near_hit").dropDuplicates(["near_key"]))
+    return unpacked(left)

@@ -134,3 +134,16 @@ def test_many_copies_are_one_node(spark):
     docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "a b c d e f g h i j").otherwise(F.concat_ws(" ", *(F.md5(F.concat(F.col("id").cast("string"), F.lit(k))) for k in range(8)))).alias("text"))
     rows = jaccard_components(docs).groupBy((F.col("doc_id") % 3 == 0).alias("copy")).agg(F.count_distinct("component_id").alias("n")).collect()
     assert {r["copy"]: r["n"] for r in rows} == {True: 1, False: 2000}
+
+
+def test_one_row_of_each_component_stays(spark):
+    words = lambda name: " ".join(f"{name}{i}" for i in range(40))
+    near = lambda name: f"{words(name)} more"
+    rows = [
+        (3, words("a"), "stays"), (7, near("a"), "goes"), (7, words("b"), "stays"), (None, words("a") + " else", "goes"),
+        (8, words("c"), "one of c"), (8, near("c"), "one of c"), (None, words("d"), "one of d"), (None, near("d"), "one of d"), (None, words("e"), "stays"),
+        (9, words("f"), "one of f"), (9, words("f"), "one of f"), (10, near("f"), "goes"), (None, words("g"), "one of g"), (None, words("g"), "one of g"),
+        (11, "", "stays"), (11, "", "stays"), (None, None, "stays"), (None, " ", "stays"), (12, words("h"), "stays"),
+    ]
+    left = collections.Counter(r["is"] for r in drop_near_copies(spark.createDataFrame(rows, "doc_id bigint, text string, `is` string")).collect())
+    assert left == {"stays": sum(r[2] == "stays" for r in rows), **{f"one of {x}": 1 for x in "cdfg"}}
