@@ -265,6 +265,30 @@ def _mv_ledger(star: StarSchema) -> DataFrame:
     return views.ledger_refresh(views.daily_sales(old), no_products, views.contributions(old), new).daily
 
 
+_NEW_PRODUCTS = f"WITH {_IMAGES} SELECT CAST(sku AS VARCHAR) AS sku, min(name) AS product, {_PRODUCT} FROM {_ITEMS} WHERE order_id IN (SELECT o_orderkey FROM new) AND sku IS NOT NULL GROUP BY sku"
+
+
+@register("mv_incremental_products", _NEW_PRODUCTS)
+def _mv_incremental_products(star: StarSchema) -> DataFrame:
+    """The product view of the old image, refreshed for the products of the orders that differ."""
+    old, new = _images(star)
+    versions = lambda i: i.select("order_id", "record_hash")
+    gone = versions(old).exceptAll(versions(new)).unionByName(versions(new).exceptAll(versions(old))).select("order_id").distinct()
+    old_items, new_items = (star.items.withColumn("sku", F.col("sku").cast("string")).join(i.select("order_id"), "order_id", "left_semi") for i in (old, new))
+    skus = views.affected_products(*(i.join(gone, "order_id", "left_semi") for i in (old_items, new_items)))
+    return views.refresh_products(views.product_sales(old_items), new_items, skus)
+
+
+@register("mv_ledger_products", _NEW_PRODUCTS)
+def _mv_ledger_products(star: StarSchema) -> DataFrame:
+    """The product view of the old image, with the signed differences of the new one's line items."""
+    line = F.struct(F.col("sku").cast("string").alias("sku"), "name", "qty", F.lit(None).cast("double").alias("unit_price"), "total", F.lit(None).cast("string").alias("extra"))
+    lines = star.items.groupBy("order_id").agg(F.collect_list(line).alias("items"))
+    old, new = (i.join(lines, "order_id", "left").withColumn("order_id", F.col("order_id").cast("string")) for i in _images(star))
+    view = views.product_sales(old.select(F.explode("items").alias("i")).select("i.*"))
+    return views.ledger_refresh(views.daily_sales(old), view, views.contributions(old), new).products
+
+
 # rules, on dirty fields made of clean ones
 
 _NBSP, _ZERO_WIDTH = " ", "​"
