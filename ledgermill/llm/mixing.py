@@ -16,7 +16,8 @@ so that no source, however large, is sorted by one task.
 
 Defined results: a null text has no words, is never taken and has no position; a null source is one
 source, the last; rows that repeat count one by one; an empty table gives an empty result; other
-columns are ignored by ``plan_mix`` and kept by ``mix_documents``.
+columns are ignored by ``plan_mix`` and kept by ``mix_documents``, which tells rows apart by all of
+their columns, so that one doc_id may stand in several sources and on several texts.
 """
 
 from __future__ import annotations
@@ -24,7 +25,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgermill.llm.shared import WORD, packed, stage, text_or_empty, unpacked
+from ledgermill.llm.key_filter import build_filter, may_match
+from ledgermill.llm.shared import WORD, packed, row_digest, stage, text_or_empty, unpacked
 
 WEIGHTS = (3, 1, 2)
 SHARE, REPEATS = 1.5, 2.0
@@ -32,6 +34,8 @@ SHARE, REPEATS = 1.5, 2.0
 SCHEDULES = ((1.5, 0.5), (1.0, 1.0), (0.5, 1.5))
 #: Documents of a source in one range of the hash, on average.
 RANGE_ROWS = 2000
+#: Places in the mix that meet one copy of a row that repeats in full.
+SALT_ROWS = 1000
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, repeats: float = REPEATS) -> DataFrame:
@@ -62,10 +66,16 @@ def _time_of(share: Column, start: Column, end: Column) -> Column:
 
 
 def plan_mix(docs: DataFrame, seed: int = 17, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, repeats: float = REPEATS, schedules: tuple[tuple[float, float], ...] = SCHEDULES) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken, copies, positions and row_key of every row, sorted by first position."""
+    """doc_id, source, size, source_size, target, taken, copies, positions and position (the first) of every row, sorted by position."""
+    plan = _plan(docs, F.lit(None).cast("binary"), seed, weights, share, repeats, schedules).drop("row_key")
+    return plan.withColumn("position", F.get("positions", F.lit(0))).orderBy("position", "doc_id")
+
+
+def _plan(docs: DataFrame, row_key: Column, seed: int = 17, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, repeats: float = REPEATS, schedules: tuple[tuple[float, float], ...] = SCHEDULES) -> DataFrame:
+    """plan_mix, unsorted, with a column row_key, by which rows of one hash are ordered."""
     words = F.regexp_count(text_or_empty(), F.lit(WORD)).cast("long")
     order = F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), words.cast("string"))), 1, 12)
-    sizes = stage(docs.select("doc_id", F.col("source").cast("string").alias("source"), words.alias("size"), order.alias("place_hash"), _row_key("doc_id", "text").alias("row_key")))
+    sizes = stage(docs.select("doc_id", F.col("source").cast("string").alias("source"), words.alias("size"), order.alias("place_hash"), row_key.alias("row_key")))
     targets = stage(source_targets(sizes, weights, share, repeats))
     # the number of sources is that of targets: beyond Spark's broadcast limit this is a shuffle join
     joined = sizes.join(targets.withColumnRenamed("source", "target_source"), F.col("source").eqNullSafe(F.col("target_source"))).drop("target_source")
@@ -75,7 +85,7 @@ def plan_mix(docs: DataFrame, seed: int = 17, weights: tuple[int, ...] = WEIGHTS
     ranges = dealt.groupBy("place", "range").agg(F.sum("size").alias("range_size"))
     running = Window.partitionBy("place").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     ranges = ranges.select("place", "range", F.coalesce(F.sum("range_size").over(running), F.lit(0)).alias("range_start"))
-    inside = Window.partitionBy("place", "range").orderBy("unit", F.col("doc_id").asc_nulls_last(), "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("place", "range").orderBy("unit", F.col("doc_id").asc_nulls_last(), "size", "row_key").rowsBetween(Window.unboundedPreceding, -1)
     placed = dealt.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(ranges, ["place", "range"])
     offset = F.col("range_start") + F.col("inside")
     epochs = F.when(
@@ -86,20 +96,27 @@ def plan_mix(docs: DataFrame, seed: int = 17, weights: tuple[int, ...] = WEIGHTS
     placed = placed.withColumns({"epochs": epochs, "offset": offset, "curve_start": start, "curve_end": end})
     positions = F.transform("epochs", lambda e: _time_of((e * F.col("source_size") + F.col("offset")) / F.col("target"), F.col("curve_start"), F.col("curve_end")))
     mixed = placed.withColumns({"positions": positions, "copies": F.size("epochs").cast("long")})
-    mixed = mixed.select("doc_id", "source", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "positions", "row_key")
-    return mixed.withColumn("position", F.get("positions", F.lit(0))).orderBy("position", "doc_id")
-
-
-def _row_key(doc_id: str, text: str) -> Column:
-    return F.unhex(F.md5(F.concat_ws(":", F.coalesce(F.col(doc_id).cast("string"), F.lit("")), text_or_empty(text))))
+    return mixed.select("doc_id", "source", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "positions", "row_key")
 
 
 def mix_documents(docs: DataFrame, **parameters) -> DataFrame:
     """Rows of docs as often as the mix takes them, range-sorted by training position."""
-    mix = stage(plan_mix(docs, **parameters).select("row_key", "positions"))
-    taken = mix.where(F.size("positions") > 0).select(F.col("row_key").alias("taken_key"), "positions")
-    rows = packed(docs).withColumn("row_key", _row_key("row.doc_id", "row.text"))
-    if not mix.groupBy("row_key").count().where("count > 1").isEmpty():
-        rows = rows.dropDuplicates(["row_key"])  # one row stands for those that repeat it, with the places of all
-    each = rows.join(taken, F.col("row_key") == F.col("taken_key")).select("row", F.explode("positions").alias("position"))
+    keyed = lambda rows, prefix="": row_digest(rows, docs.schema, prefix)
+    plan = stage(_plan(docs, keyed(docs.columns), **parameters).select("row_key", "positions"))
+    several = stage(plan.groupBy("row_key").agg(F.count(F.lit(1)).alias("n_rows")).where("n_rows > 1"))
+    taken = plan.where(F.size("positions") > 0).select(F.col("row_key").alias("taken_key"), "positions")
+    rows = packed(docs).withColumn("row_key", keyed(docs.columns, "row."))
+    salt, met = F.lit(0).cast("long"), rows.withColumn("salt", F.lit(0).cast("long"))
+    if not several.isEmpty():
+        # one row stands for those that repeat it in full, and is dealt to as many tasks as its places call for
+        salts = F.ceil(F.coalesce("n_rows", F.lit(1)) / SALT_ROWS)
+        counts = several.withColumnsRenamed({"row_key": "several_key"})
+        once = may_match(rows, "row_key", build_filter(several, "row_key"), "may_repeat")
+        again = once.where("may_repeat").drop("may_repeat").dropDuplicates(["row_key"])
+        dealt = again.join(counts, F.col("row_key") == F.col("several_key"), "left").select("row", "row_key", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)).alias("salt"))
+        met = once.where("NOT may_repeat").select("row", "row_key", F.lit(0).cast("long").alias("salt")).unionByName(dealt)
+        taken = taken.join(counts, F.col("taken_key") == F.col("several_key"), "left")
+        salt = F.pmod(F.xxhash64("positions"), salts)
+    taken = taken.select("taken_key", "positions", salt.alias("taken_salt"))
+    each = met.join(taken, (F.col("row_key") == F.col("taken_key")) & (F.col("salt") == F.col("taken_salt"))).select("row", F.explode("positions").alias("position"))
     return unpacked(each.orderBy("position", "row.doc_id"))

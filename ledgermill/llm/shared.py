@@ -9,6 +9,7 @@ from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: White space of the word contracts: space, tab, line feed, vertical tab, form feed, return.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -53,6 +54,17 @@ def unpacked(rows: DataFrame) -> DataFrame:
     return rows.select("row.*")
 
 
+def row_digest(columns: list[str], schema: T.StructType, prefix: str = "") -> Column:
+    """128 bits over the columns of a row: rows that agree in all of them have the same."""
+    parts = []
+    for c in columns:
+        value = F.col(f"{prefix}`{c}`")
+        nested = isinstance(schema[c].dataType, (T.ArrayType, T.MapType, T.StructType))
+        text = F.to_json(value, {"ignoreNullFields": "false"}) if nested else value.cast("string")
+        parts.append(F.coalesce(F.concat(F.length(text).cast("string"), F.lit(":"), text), F.lit("-")))
+    return F.unhex(F.md5(F.concat_ws(",", *parts)))
+
+
 def free_name(rows: DataFrame, name: str) -> str:
     taken = {c.lower() for c in rows.columns}
     while name in taken:

@@ -1,9 +1,10 @@
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pytest
 
-from ledgermill.llm.mixing import SCHEDULES, mix_documents, plan_mix
+from ledgermill.llm.mixing import SCHEDULES, _plan, mix_documents, plan_mix
+from ledgermill.llm.shared import row_digest
 
 
 def targets(sizes):
@@ -71,3 +72,18 @@ def test_documents_are_repeated_whole(documents):
 
 def test_empty_table(no_documents):
     assert plan_mix(no_documents).count() == 0 and mix_documents(no_documents).count() == 0
+
+
+def test_rows_are_told_apart_by_all_columns(spark):
+    """Each row comes out as often as the plan takes a row like it: ids on several texts and sources, null ids, full repeats."""
+    words = lambda n, w: " ".join([w] * n)
+    rows = [(1, words(5, "a"), "s1", "x"), (1, words(5, "a"), "s2", "x"), (1, words(5, "a"), "s2", "y"), (1, words(5, "b"), "s2", "x"), (None, words(5, "a"), "s1", "x"), (None, words(5, "a"), None, None), (None, None, "s1", "x")]
+    rows += [(2, words(6, "c"), "s1", "z")] * 40 + [(i, words(7, f"d{i}"), "s3", "x") for i in range(10, 40)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, n_chars string")
+    planned = Counter()
+    for r in _plan(docs, row_digest(docs.columns, docs.schema)).collect():
+        planned[bytes(r["row_key"])] += r["copies"]
+    mixed = Counter(tuple(r) for r in mix_documents(docs).collect())
+    keys = {bytes(r["k"]): tuple(r)[:4] for r in docs.select("*", row_digest(docs.columns, docs.schema).alias("k")).collect()}
+    assert mixed == Counter({keys[k]: n for k, n in planned.items() if n}) and len(keys) == len(set(rows))
+    assert sum(n for r, n in mixed.items() if r[2] == "s2") == sum(r["copies"] for r in plan_mix(docs).where("source = 's2'").collect())
