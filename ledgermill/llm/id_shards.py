@@ -197,7 +197,7 @@ def shard_table(shards: DataFrame, folder: str) -> DataFrame:
                 lengths = np.diff(np.append(docs["start"].astype(np.int64), n_ids))
                 yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(docs[c]).astype(np.int64)) for c in ("doc_id", "number")] + [pa.array(np.full(n_docs, shard, dtype=np.int32)), pa.array(docs["start"].astype(np.int64)), pa.array(lengths)], names=["doc_id", "number", "shard", "start", "length"])
 
-    return shards.select("shard").repartition("shard").mapInArrow(each, "doc_id bigint, number bigint, shard int, start bigint, length bigint")
+    return shards.select("shard").repartition(max(1, shards.count())).mapInArrow(each, "doc_id bigint, number bigint, shard int, start bigint, length bigint")
 
 
 def _key_hash(doc_id: np.ndarray, number: np.ndarray) -> np.ndarray:
@@ -304,7 +304,7 @@ def lookup(keys: DataFrame, folder: str, n_parts: int) -> DataFrame:
     return keys.withColumn("part", _part_of(n_parts)).groupBy("part").applyInArrow(each, "doc_id bigint, number bigint, shard int, start bigint, length bigint")
 
 
-def read_ids(places: DataFrame, folder: str) -> DataFrame:
+def read_ids(places: DataFrame, folder: str, n_shards: int) -> DataFrame:
     """doc_id, number, shard, start, n_tokens, ids_crc32 of looked-up places, from the payloads at their offsets."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -324,7 +324,8 @@ def read_ids(places: DataFrame, folder: str) -> DataFrame:
         if source is not None:
             source.close()
 
-    ordered = places.where("shard IS NOT NULL").repartition("shard").sortWithinPartitions("shard", "start")
+    # a given number of partitions is not merged, though the places are far smaller than the payloads they lead to
+    ordered = places.where("shard IS NOT NULL").repartition(max(1, n_shards), "shard").sortWithinPartitions("shard", "start")
     return ordered.select("doc_id", "number", "shard", "start", "length").mapInArrow(each, "doc_id bigint, number bigint, shard int, start bigint, length bigint, ids_crc32 bigint")
 
 
@@ -335,11 +336,11 @@ def encode_to_shards(docs: DataFrame, tokenizer_path: str, end_id: int, folder:
     shards = stage(write_shards(docs, tokenizer_path, end_id, folder))
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     bases = shards.select(F.col("shard").alias("base_shard"), F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("base"))
-    n_docs = shards.agg(F.coalesce(F.sum("n_docs"), F.lit(0))).first()[0]
+    n_docs, n_shards = shards.agg(F.coalesce(F.sum("n_docs"), F.lit(0)), F.count(F.lit(1))).first()
     n_parts = max(partitions_of(spark), n_docs // PART_KEYS + 1)
     table = shard_table(shards, folder)
     stage(build_index(table, folder, n_parts))
-    read = read_ids(lookup(table.select("doc_id", "number"), folder, n_parts), folder)
+    read = read_ids(lookup(table.select("doc_id", "number"), folder, n_parts), folder, n_shards)
     joined = read.join(bases, F.col("shard") == F.col("base_shard"))
     return joined.select(
         F.when(F.col("doc_id") != F.lit(NULL_ID), F.col("doc_id")).alias("doc_id"),

@@ -8,9 +8,10 @@ where they are read; only repeated ones are shuffled.
 Payloads are equal when SHA-1 and MD5 agree, so a forged pair of one SHA-1 stays apart.
 
 Defined results: a null page is an empty payload; a null page_id ranks after all others, and rows of
-one payload without any id are all responses; of rows that share page_id and payload the first is the
-response; payloads below ``min_bytes`` are all responses; a null url is written as an empty target;
-an empty table writes no archive and gives an empty result.
+one payload without any id are all responses; of rows that share page_id and payload the one of the
+smallest url is the response, each with its own url; payloads below ``min_bytes`` are all responses; a
+null url is written as an empty target; an empty table writes no archive and gives an empty result;
+columns beside page_id, url and html are ignored.
 """
 
 from __future__ import annotations
@@ -38,15 +39,23 @@ _SPACE_OF_IDS = uuid.UUID("3f0c6b0e-6f0e-5c1a-9c3e-0b1d6a3e52aa")
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
-def resolve_revisits(pages: DataFrame, min_bytes: int = MIN_BYTES) -> tuple[DataFrame, DataFrame]:
-    """(page_id, h, repeats, first_id, first_url) of payloads with several rows, and the groups' digests h."""
+def _headers(pages: DataFrame) -> DataFrame:
+    """page_id, url, h (digests of the payload), size and record, a digest of the three that name a row."""
     payload = F.coalesce(F.col("html").cast("string"), F.lit(""))
-    headers = pages.select(F.col("page_id").cast("long").alias("doc_id"), F.col("url").cast("string").alias("url"), _digest(payload).alias("h"), F.octet_length(payload).alias("size"))
-    rows = stage(headers.where(F.col("size") >= min_bytes).groupBy("doc_id", "h").agg(F.count(F.lit(1)).alias("repeats"), F.min("url").alias("url")))
-    groups = rows.groupBy("h").agg(F.min("doc_id").alias("first_id"), F.min_by("url", F.coalesce("doc_id", F.lit((1 << 63) - 1))).alias("first_url"), F.sum("repeats").alias("group_rows"))
-    groups = stage(groups.where("group_rows > 1"))
+    named = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), payload.alias("html"), _digest(payload).alias("h"))
+    return named.withColumn("record", F.unhex(F.md5(F.concat_ws(":", F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.hex("h"), "url"))))
+
+
+def resolve_revisits(pages: DataFrame, min_bytes: int = MIN_BYTES) -> tuple[DataFrame, DataFrame]:
+    """(record, repeats, first_id, first_url, is_first) of payloads with several rows, and the groups' digests h."""
+    headers = _headers(pages).where(F.octet_length("html") >= min_bytes)
+    rows = stage(headers.groupBy("record").agg(F.first("page_id").alias("doc_id"), F.first("url").alias("url"), F.first("h").alias("h"), F.count(F.lit(1)).alias("repeats")))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "url", "record"))
+    groups = stage(rows.groupBy("h").agg(least.alias("least"), F.sum("repeats").alias("group_rows")).where("group_rows > 1"))
     total = rows.agg(F.coalesce(F.sum("repeats"), F.lit(0))).first()[0]
-    resolved = with_group(rows, groups, "h", total).where("group_rows IS NOT NULL").select("doc_id", "h", "repeats", "first_id", "first_url")
+    found = with_group(rows, groups, "h", total).where("group_rows IS NOT NULL")
+    is_first = F.col("least.doc_id").isNull() | (F.col("least.record") == F.col("record"))
+    resolved = found.select("record", "repeats", F.col("least.doc_id").alias("first_id"), F.col("least.url").alias("first_url"), is_first.alias("is_first"))
     return resolved, groups.select("h")
 
 
@@ -54,39 +63,36 @@ def _digest(payload) -> F.Column:
     return F.concat(F.unhex(F.sha1(payload)), F.unhex(F.md5(payload)))
 
 
-def record_id(page_id: int | None, digest: str, number: int) -> str:
-    return f"<urn:uuid:{uuid.uuid5(_SPACE_OF_IDS, f'{page_id}/{digest}/{number}')}>"
+def record_id(page_id: int | None, digest: str, url: str, number: int) -> str:
+    return f"<urn:uuid:{uuid.uuid5(_SPACE_OF_IDS, f'{page_id}/{digest}/{number}/{url}')}>"
 
 
-def _record(page_id, url: str | None, payload: bytes, number: int, refers_to: int | None, first_url: str | None) -> bytes:
+def _record(page_id, url: str, payload: bytes, number: int, refers_to: int | None, first_url: str | None) -> bytes:
     digest = base64.b32encode(hashlib.sha1(payload).digest()).decode()
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     is_revisit = refers_to is not None
     body = http if is_revisit else http + payload
-    clean = lambda text: " ".join((text or "").split())
-    lines = ["WARC/1.1", f"WARC-Type: {'revisit' if is_revisit else 'response'}", f"WARC-Record-ID: {record_id(page_id, digest, number)}", f"WARC-Date: {DATE}", f"WARC-Target-URI: {clean(url)}", f"WARC-Payload-Digest: sha1:{digest}"]
+    clean = lambda text: " ".join(text.split())
+    lines = ["WARC/1.1", f"WARC-Type: {'revisit' if is_revisit else 'response'}", f"WARC-Record-ID: {record_id(page_id, digest, url, number)}", f"WARC-Date: {DATE}", f"WARC-Target-URI: {clean(url)}", f"WARC-Payload-Digest: sha1:{digest}"]
     if page_id is not None:
         lines.append(f"X-Page-ID: {page_id}")
     if is_revisit:
-        lines += [f"WARC-Profile: {_PROFILE}", f"WARC-Refers-To: {record_id(refers_to, digest, 1)}", f"WARC-Refers-To-Target-URI: {clean(first_url)}", f"WARC-Refers-To-Date: {DATE}", f"X-Refers-To-Page-ID: {refers_to}"]
+        lines += [f"WARC-Profile: {_PROFILE}", f"WARC-Refers-To: {record_id(refers_to, digest, first_url, 1)}", f"WARC-Refers-To-Target-URI: {clean(first_url)}", f"WARC-Refers-To-Date: {DATE}", f"X-Refers-To-Page-ID: {refers_to}"]
     lines += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(body)}"]
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
 
 
 def write_archives(pages: DataFrame, folder: str, min_bytes: int = MIN_BYTES) -> DataFrame:
     """Writes archives below folder; archive and n_records of each."""
-    pages = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
+    rows = _headers(pages)
     resolved, repeated = resolve_revisits(pages, min_bytes)
-    marked = may_match(pages.withColumn("h", _digest(F.col("html"))), "h", build_filter(repeated, "h"), "may_repeat")
-    nothing = [F.lit(1).cast("long").alias("number"), F.lit(None).cast("long").alias("refers_to"), F.lit(None).cast("string").alias("first_url")]
-    alone = marked.where("NOT may_repeat").select("page_id", "url", "html", *nothing)
-    decided = resolved.withColumnsRenamed({"h": "group_h"})
-    met = marked.where("may_repeat").join(decided, F.col("page_id").eqNullSafe(F.col("doc_id")) & (F.col("h") == F.col("group_h")), "left")
-    # rows that share page_id and payload are numbered by one of them standing for all
-    once = met.where("repeats > 1").dropDuplicates(["page_id", "h"]).withColumn("number", F.explode(F.sequence(F.lit(1).cast("long"), "repeats")))
-    single = met.where("repeats IS NULL OR repeats = 1").withColumn("number", F.lit(1).cast("long"))
-    is_first = F.col("first_id").isNull() | (F.col("page_id").eqNullSafe(F.col("first_id")) & (F.col("number") == 1))
-    shared = single.unionByName(once).select("page_id", "url", "html", "number", F.when(~is_first, F.col("first_id")).alias("refers_to"), "first_url")
+    marked = may_match(rows, "h", build_filter(repeated, "h"), "may_repeat")
+    alone = marked.where("NOT may_repeat").select("page_id", "url", "html", F.lit(1).cast("long").alias("number"), F.lit(None).cast("long").alias("refers_to"), F.lit(None).cast("string").alias("first_url"))
+    # rows that repeat in full are combined before the shuffle; the row that stands for them is then written as often as they are
+    once = marked.where("may_repeat").groupBy("record").agg(*(F.first(c).alias(c) for c in ("page_id", "url", "html")), F.count(F.lit(1)).alias("alike"))
+    met = once.join(resolved, "record", "left").withColumn("number", F.explode(F.sequence(F.lit(1).cast("long"), F.coalesce("repeats", "alike"))))
+    responds = F.col("first_id").isNull() | (F.col("is_first") & (F.col("number") == 1))
+    shared = met.select("page_id", "url", "html", "number", F.when(~responds, F.col("first_id")).alias("refers_to"), "first_url")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
@@ -161,7 +167,8 @@ def read_archives(archives: DataFrame, folder: str) -> DataFrame:
                 kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url"])
 
-    return archives.select("archive").repartition("archive").mapInArrow(each, "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, url string")
+    # a given number of partitions is not merged: an archive is read by one task, however short the list of names
+    return archives.select("archive").repartition(max(1, archives.count())).mapInArrow(each, "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, url string")
 
 
 def deduplicate_pages(pages: DataFrame, folder: str | None = None, min_bytes: int = MIN_BYTES) -> DataFrame:

@@ -6,12 +6,14 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from ledgermill.llm.crf import ChainCRF, Sequences
 from ledgermill.llm.html_blocks import blocks_of, features_of
 from ledgermill.llm.html_extract import default_model, extract_main_text, main_texts
 from ledgermill.llm.labelled_pages import labelled_pages
-from ledgermill.llm.warc import deduplicate_pages, parse_record, write_archives
+from ledgermill.llm.shared import stage
+from ledgermill.llm.warc import deduplicate_pages, parse_record, read_archives, write_archives
 
 
 @pytest.fixture(scope="module")
@@ -126,6 +128,27 @@ def test_archives(spark, pages, min_bytes):
     assert deduplicate_pages(frame.where("false")).count() == 0
 
 
+def test_each_row_keeps_its_url(spark):
+    rows = [(1, "http://b/", "same"), (1, "http://a/", "same"), (1, "http://a/", "same"), (2, "http://c/", "same"), (None, "http://d/", "same"), (3, "http://e/", None), (3, "http://f/", ""), (4, None, "own"), (None, "http://g/", "alone"), (None, "http://h/", "alone")]
+    found = deduplicate_pages(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()
+    assert collections.Counter((r["page_id"], r["url"]) for r in found) == collections.Counter((i, u or "") for i, u, _ in rows)
+    assert {(r["page_id"], r["url"]) for r in found if r["record_type"] == "response"} == {(1, "http://a/"), (3, "http://e/"), (4, ""), (None, "http://g/"), (None, "http://h/")}
+    assert sum(r["record_type"] == "response" for r in found) == 5
+
+
+def test_archives_are_read_by_many_tasks(spark, tmp_path):
+    rows = spark.range(640).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.md5(F.col("id").cast("string")).alias("html")).repartition(64)
+    folder = f"file://{tmp_path}/warc"
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    try:
+        archives = stage(write_archives(rows, folder))
+        assert archives.count() == 64
+        tasks = read_archives(archives, folder).groupBy(F.spark_partition_id().alias("task")).count().collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert len(tasks) > 32 and sum(r["count"] for r in tasks) == 640
+
+
 def test_records_on_disk(spark, tmp_path):
     import gzip
 
