@@ -8,10 +8,21 @@ from collections import Counter
 from dataclasses import dataclass
 
 from ledgermill.llm.crf import feature
+from ledgermill.llm.labelled_pages import NAMES
 
 # Elements of HTML by their role in the page's structure.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe object svg math textarea title select".split())
+#: Elements whose content is text to their closing tag and never of the article.
+RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
+#: Elements that are parsed like others, but whose text is not shown or is a control's.
+HIDDEN = ("svg", "select", "template")
+FOREIGN = ("svg", "math")
+#: Elements that end an open svg or math element, as HTML's tree construction has it.
+BREAKOUT = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var article section main aside nav header footer".split())
+#: Elements that no list of options holds, so that they end one left open.
+ENDS_SELECT = frozenset("p h1 h2 h3 h4 h5 h6 article section main aside nav header footer table ul ol dl form body blockquote pre figure input textarea".split())
+#: Elements that tell the part of a page, however deep a block lies below them.
+STRUCTURE = ("html", "body", "head", "nav", "aside", "header", "footer", "form", "article", "main", "section", "noscript", "figure", "table", "ul", "ol", "dl")
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 #: An element that opens closes the open elements of its row, up to the nearest container.
 CLOSES = {
@@ -19,7 +30,7 @@ CLOSES = {
 }
 CONTAINERS = frozenset("ul ol dl table tbody thead tfoot div section article main body html nav aside form blockquote".split())
 
-#: Outermost and innermost elements of a path that count; what lies between in deeper nesting does not.
+#: Outermost and innermost elements of a path that are listed; of those between, STRUCTURE and the names in KNOWN_NAMES are.
 PATH_ENDS = 64
 
 # a quote opens a value only behind an equals sign; what no ">" ends reaches to the end of the page
@@ -27,6 +38,7 @@ _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][a-zA-
 _NAMED = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _PARTS = re.compile(r"[a-z]+")
 _SENTENCE = re.compile(r"[.!?…。]")
+KNOWN_NAMES = frozenset(part for names in NAMES.values() for name in names for part in _PARTS.findall(name))
 
 
 @dataclass
@@ -42,31 +54,56 @@ def blocks_of(page: str) -> list[Block]:
     found: list[Block] = []
     stack: list[tuple[str, str]] = []
     opened: Counter[str] = Counter()
+    named: Counter[str] = Counter()
     pieces: list[str] = []
     linked = [0]
-    at, skip_to = 0, ""
+    last_ends: dict[str, int] = {}
+
+    def path() -> tuple[tuple[str, str], ...]:
+        if len(stack) <= 2 * PATH_ENDS:
+            return tuple(stack)
+        between = [(t, "") for t in STRUCTURE if opened[t]] + [("", n) for n in sorted(named) if named[n]]
+        return (*stack[:PATH_ENDS], *between, *stack[-PATH_ENDS:])
 
     def flush() -> None:
         if pieces:
             text = " ".join("".join(pieces).split())
             if text:
-                path = tuple(stack if len(stack) <= 2 * PATH_ENDS else stack[:PATH_ENDS] + stack[-PATH_ENDS:])
-                tag = next((t for t, _ in reversed(path) if t not in INLINE), "")
-                found.append(Block(text, tag, path, linked[0]))
+                tag = next((t for t, _ in reversed(stack) if t not in INLINE), "")
+                found.append(Block(text, tag, path(), linked[0]))
             pieces.clear()
             linked[0] = 0
 
     def add(raw: str) -> None:
-        if raw:
+        if raw and not any(opened[t] for t in HIDDEN):
             text = html.unescape(raw) if "&" in raw else raw
             pieces.append(text)
             if opened["a"]:
                 linked[0] += len(text)
 
+    def push(tag: str, names: str) -> None:
+        stack.append((tag, names))
+        opened[tag] += 1
+        if names:
+            named.update(KNOWN_NAMES.intersection(_PARTS.findall(names)))
+
     def close(i: int) -> None:
-        opened.subtract(t for t, _ in stack[i:])
+        for tag, names in stack[i:]:
+            opened[tag] -= 1
+            if names:
+                named.subtract(KNOWN_NAMES.intersection(_PARTS.findall(names)))
         del stack[i:]
 
+    def close_outermost(tags: tuple[str, ...]) -> None:
+        close(next(i for i, (t, _) in enumerate(stack) if t in tags))
+
+    def ends_later(tag: str, at: int) -> bool:
+        """Whether a closing tag stands at or after a place."""
+        if tag not in last_ends:
+            last_ends[tag] = max((m.start() for m in re.finditer(rf"</{tag}\b", page, re.I)), default=-1)
+        return at <= last_ends[tag]
+
+    at = 0
     while True:
         match = _TOKEN.search(page, at)
         if match is None:
@@ -78,8 +115,9 @@ def blocks_of(page: str) -> list[Block]:
         if not tag:
             continue
         closing, attributes = match[1], match[3]
+        inline = tag in INLINE or tag in HIDDEN or tag in FOREIGN or any(opened[t] for t in FOREIGN)
         if closing:
-            if tag not in INLINE:
+            if not inline:
                 flush()
             for i in range(len(stack) - 1, -1, -1) if opened[tag] else ():
                 if stack[i][0] == tag:
@@ -88,21 +126,28 @@ def blocks_of(page: str) -> list[Block]:
                 if tag in INLINE and stack[i][0] not in INLINE:
                     break
             continue
-        if tag in RAW:
-            skip_to = re.compile(rf"</{tag}\b[^>]*>", re.I)
-            if tag in ("select", "textarea", "svg", "iframe"):
+        self_closed = attributes.rstrip().endswith("/")
+        if tag in RAW and not opened["svg"]:
+            if tag in ("textarea", "iframe"):
                 flush()
-            end = skip_to.search(page, at)
-            at = end.end() if end else len(page)
+            if ends_later(tag, at):
+                at = re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I).search(page, at).end()
+            elif tag in ("script", "style") and not self_closed:
+                at = len(page)
             continue
+        if tag in BREAKOUT and any(opened[t] for t in FOREIGN) and not opened["foreignobject"]:
+            close_outermost(FOREIGN)
+            inline = tag in INLINE
+        if tag in ENDS_SELECT and opened["select"]:
+            close_outermost(("select",))
         if tag == "br":
             pieces.append(" ")
             continue
-        if tag not in INLINE:
+        if not inline:
             flush()
-        if tag in VOID:
+        if tag in VOID or (self_closed and (tag in FOREIGN or any(opened[t] for t in FOREIGN))) or (tag == "template" and not ends_later(tag, at)):
             continue
-        if tag not in INLINE:
+        if not inline:
             # an open paragraph ends at the next block, and with it the inline elements inside
             for i in range(len(stack) - 1, -1, -1) if opened["p"] else ():
                 if stack[i][0] in CONTAINERS:
@@ -116,11 +161,8 @@ def blocks_of(page: str) -> list[Block]:
                     close(i)
                 elif stack[i][0] in CONTAINERS:
                     break
-        if attributes.rstrip().endswith("/") and tag in ("path", "use"):
-            continue
         names = " ".join(a or b or c for a, b, c in _NAMED.findall(attributes)) if attributes else ""
-        stack.append((tag, names.lower()))
-        opened[tag] += 1
+        push(tag, names.lower())
     flush()
     return found
 
@@ -134,8 +176,8 @@ def _path_features(path: tuple[tuple[str, str], ...]) -> list[int]:
     if known is None:
         if len(_paths) >= _PATHS_KEPT:
             _paths.clear()
-        names = {f"in:{tag}" for tag, _ in path} | {f"name:{part}" for _, text in path for part in _PARTS.findall(text)}
-        blocks = [tag for tag, _ in path if tag not in INLINE]
+        names = {f"in:{tag}" for tag, _ in path if tag} | {f"name:{part}" for _, text in path for part in _PARTS.findall(text)}
+        blocks = [tag for tag, _ in path if tag and tag not in INLINE]
         names |= {f"parent:{'>'.join(blocks[-2:])}", f"block:{blocks[-1] if blocks else ''}"}
         if not {"article", "main"} & set(blocks):
             names.add("outside")

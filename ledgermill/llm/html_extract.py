@@ -6,8 +6,10 @@ model is trained on TRAINING_PAGES labelled pages (``labelled_pages``; any label
 given instead) and decoded by Viterbi over padded batches of pages.
 
 Defined results: a null or empty page, and one without main text, has an empty text; unclosed and
-misnested elements are closed where HTML closes them or at the end; pages are decoded one by one,
-so ties, repeated rows and null keys need no rule; an empty table gives an empty result.
+misnested elements are closed where HTML closes them or at the end; the text of icons, lists of
+options and templates is no text of the page; what stands behind a script or style without an end is
+lost, as in a browser; pages are decoded one by one, so ties, repeated rows and null keys need no
+rule; an empty table gives an empty result; columns beside page_id, url and html are ignored.
 """
 
 from __future__ import annotations

@@ -17,7 +17,8 @@ NAMES = {
     "notice": "cookie cookie-banner consent notice gdpr alert popup modal overlay privacy-notice message toast paywall subscribe newsletter promo-box".split(),
     "ad": "ad ads advert advertisement sponsor sponsored promo adslot ad-box banner-ad partner commercial".split(),
     "form": "form login search search-form signup contact-form newsletter-form comment-form".split(),
-    "comments": "comments comment comment-list responses replies discussion user-comments comment-body reader-comments disqus thread".split(),
+    "byline": "byline author meta entry-meta post-meta date posted-on dateline published timestamp".split(),
+    "comments": "comments comment comments-area comments-title comment-list responses replies discussion user-comments comment-body reader-comments disqus thread".split(),
     "share": "share social sharing share-buttons follow social-links toolbar byline-tools".split(),
     "main": "content article post entry story main text body article-body post-content entry-content page-content main-content story-body prose".split(),
 }
@@ -46,7 +47,8 @@ class _Writer:
         self.parts.append(text)
 
     def block(self, element: str, text: str, label: int, link: bool = False) -> None:
-        inner = f'<a href="/{len(self.labels)}">{text}</a>' if link else text
+        icon = self.pick(['<svg class="icon"><title>x</title><path d="M0"/></svg>', '<svg class="i"/>', "<noscript><img></noscript>"]) if self.chance(0.04) else ""
+        inner = icon + (f'<a href="/{len(self.labels)}">{text}</a>' if link else text)
         self.parts.append(f"<{element}>{inner}</{element}>")
         self.labels.append(label)
 
@@ -78,14 +80,75 @@ class _Writer:
         self.tag(f"</{element}>")
 
     def comments(self) -> None:
-        self.named("section" if self.chance(0.5) else "div", "comments", 1.0)
+        element, listed = self.pick(["section", "div"]), self.chance(0.4)
+        self.named(element, "comments", 1.0)
         if self.chance(0.7):
-            self.block("h3", self.words(1, 3), 0)
+            self.block(self.pick(["h2", "h3"]), self.words(1, 4), 0)
+        if listed:
+            self.named("ol", "comments", 0.8)
         for _ in range(int(self.rng.integers(1, 6))):
-            self.named("div", "comments", 0.8)
+            self.named("li" if listed else self.pick(["div", "article"]) if self.chance(0.3) else "div", "comments", 0.8)
+            if self.chance(0.3):
+                self.block(self.pick(["div", "cite", "footer"]) if not listed else "div", self.words(1, 4), 0)
+                self.tag("<hr>")
             self.block("span" if self.chance(0.01) else "p", self.sentences(1, 4), 0)
-            self.tag("</div>")
-        self.tag("</section></div>")
+            self.tag("</li>" if listed else "</article></div>")
+        self.tag(("</ol>" if listed else "") + f"</{element}>")
+
+    def byline(self) -> None:
+        """Author and date of a text, which are not of it."""
+        self.named(self.pick(["div", "p", "div"]), "byline", 1.0)
+        self.tag(self.pick(["<span>", "<time>", ""]) + self.pick([self.words(2, 5), f"By {self.words(2, 2)}", f"{self.words(1, 2)} 1{self.rng.integers(10)}, 20{self.rng.integers(10, 30)}"]))
+        self.labels.append(0)
+        self.tag("</span></time></div></p>")
+
+    def terms(self) -> None:
+        """A list of terms, as documentation has it."""
+        self.tag(self.pick(["<dl>", '<dl class="function">', '<dl class="terms">']))
+        for _ in range(int(self.rng.integers(1, 4))):
+            self.block("dt", self.words(1, 4), 1)
+            self.tag("<dd>" if (wrapped := self.chance(0.4)) else "")
+            self.block("p" if wrapped else "dd", self.sentences(1, 2), 1)
+            self.tag("</dd>" if wrapped else "")
+        self.tag("</dl>")
+
+    def figure(self) -> None:
+        self.tag('<figure><img src="x.png">')
+        self.block("figcaption", self.sentences(1, 1), 1)
+        self.tag("</figure>")
+
+    def code(self) -> None:
+        self.tag(self.pick(["", '<div class="highlight">']))
+        self.block("pre", f"<code>{self.words(3, 20)}</code>", 1)
+        self.tag("</div>")
+
+    def layout_table(self) -> None:
+        """A page laid out by a table: a column of links, and a column of text."""
+        def menu() -> None:
+            self.tag(self.pick(["<td>", '<td class="menu">', '<td class="nav">', '<td valign="top">']))
+            if self.chance(0.5):
+                self.tag(" | ".join(f'<a href="/">{self.words(1, 2)}</a>' for _ in range(int(self.rng.integers(1, 7)))))
+                self.labels.append(0)
+            else:
+                for _ in range(int(self.rng.integers(2, 7))):
+                    self.block("p" if self.chance(0.5) else "div", self.words(1, 2), 0, link=True)
+            self.tag("</td>")
+
+        self.tag("<table><tr>")
+        left, row = self.chance(0.7), self.chance(0.3)
+        if left:
+            menu()
+        if row:
+            self.tag("</tr><tr>")
+        self.tag(self.pick(["<td>", '<td class="content">', '<td class="text">', '<td valign="top">']))
+        if self.chance(0.8):
+            self.block(self.pick(["h1", "h2"]), self.words(2, 9).capitalize(), 1)
+        for _ in range(int(self.rng.integers(2, 8))):
+            self.block("p", self.pick([self.sentences(1, 3), self.sentences(3, 8), self.words(8, 30)]), 1)
+        self.tag("</td>")
+        if not left:
+            menu()
+        self.tag("</tr></table>")
 
     def body(self) -> None:
         """The main text: heading, paragraphs, lists, quotes and inner boxes that are not of it."""
@@ -95,10 +158,16 @@ class _Writer:
             self.named(self.pick(["main", "div"]), "main")
         self.named(element, "main", 1.0 if element in ("div", "section") else 0.3)
         if self.chance(0.8):
-            inside = self.chance(0.2)
-            self.tag("<header>" if inside else "")
+            inside = self.chance(0.3)
+            self.tag(self.pick(["<header>", '<header class="entry-header">', '<header class="post-header">']) if inside else "")
             self.block("h1", self.words(2, 14).capitalize() + self.pick(["", "."]), 1)
+            if self.chance(0.3):
+                self.byline()
             self.tag("</header>" if inside else "")
+            if self.chance(0.1):
+                self.byline()
+        inner = self.chance(0.2)
+        self.tag(self.pick(['<div class="entry-content">', '<div class="post-body">', '<div class="body">', "<div>"]) if inner else "")
         for _ in range(int(self.rng.integers(1, 14))):
             kind = self.rng.random()
             if kind < 0.72:
@@ -110,7 +179,9 @@ class _Writer:
                 self.block("p" if self.chance(0.95) else "div", text, 1)
             elif kind < 0.80:
                 self.block(self.pick(["h2", "h3"]), self.words(1, 6).capitalize(), 1)
-            elif kind < 0.86:
+            elif kind < 0.84:
+                self.pick([self.terms, self.terms, self.figure, self.code])()
+            elif kind < 0.87:
                 self.tag("<ul>")
                 for _ in range(int(self.rng.integers(1, 5))):
                     self.block("li", self.words(2, 12), 1)
@@ -131,9 +202,17 @@ class _Writer:
                 self.short(self.pick(["div", "aside"]), self.pick(["ad", "notice", "aside"]), 1.0)
             else:
                 self.links("div", self.pick(["share", "aside"]), 2, 5)
-        if self.chance(0.1):
-            self.short("footer", "share")
+        self.tag("</div>" if inner else "")
+        if self.chance(0.15):
+            self.short("footer", self.pick(["share", "aside", "byline"]))
+        nested = self.chance(0.1)
+        if nested and element != "article":
+            self.comments()
         self.tag(f"</{element}>")
+        if nested and element == "article":
+            self.comments()
+        if outer and self.chance(0.2):
+            self.pick([lambda: self.short(self.pick(["aside", "div"]), "aside", 1.0), lambda: self.links("div", "aside", 2, 6)])()
         if outer:
             self.tag("</main></div>")
 
@@ -155,7 +234,7 @@ def labelled_pages(n: int, seed: int = 11) -> list[tuple[str, list[int]]]:
         if w.chance(0.2):
             w.links(w.pick(["aside", "div"]), "aside", 2, 8)
         if w.chance(0.97):
-            w.body()
+            (w.layout_table if w.chance(0.06) else w.body)()
         if w.chance(0.3):
             w.links("div", "share", 2, 5)
         if w.chance(0.35):

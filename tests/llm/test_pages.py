@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 import pytest
+from layouts import LAYOUTS
 from pyspark.sql import functions as F
 
 from ledgermill.llm.crf import ChainCRF, Sequences
@@ -48,6 +49,53 @@ def test_parts_of_a_page():
     assert main_texts([page, ""], default_model()) == ["A heading of it\nFirst & long sentence of the text, which goes on.\nSecond one here, with more words in it.", ""]
 
 
+@pytest.mark.parametrize("name", list(LAYOUTS))
+def test_layouts_made_by_hand(name):
+    page, text = LAYOUTS[name]
+    assert main_texts([page], default_model()) == [text]
+
+
+@pytest.mark.parametrize(
+    ("page", "texts"),
+    [
+        ("<p>Before</p><svg class='i'/><p>Article</p>", ["Before", "Article"]),
+        ("<p>Before</p><svg><title>icon</title><path><p>Article</p>", ["Before", "Article"]),
+        ("<p>Before</p><object data=x /><p>Article</p>", ["Before", "Article"]),
+        ("<p>Before <math><mi>x</mi><p>Article</p>", ["Before x", "Article"]),
+        ("<p>Before</p><select><option>one<p>Article</p>", ["Before", "Article"]),
+        ("<p>Before</p><noscript><p>Article</p>", ["Before", "Article"]),
+        ("<title/><p>Article</p>", ["Article"]),
+        ("<p>Before</p><template><p>hidden</p></template><p>Article</p>", ["Before", "Article"]),
+        ("<p>Before</p><template><p>Article</p>", ["Before", "Article"]),
+        ("<p>Before</p><script>x<p>y", ["Before"]),
+        ("<p>One <svg/>line</p>", ["One line"]),
+    ],
+)
+def test_elements_that_are_self_closed_or_left_open(page, texts):
+    assert [b.text for b in blocks_of(page)] == texts
+
+
+def test_parts_between_the_ends_of_a_deep_path():
+    page = "<div>" * 70 + "<nav class=menu>" + "<div>" * 70 + "deep"
+    names = {n for t, n in blocks_of(page)[0].path if not t}
+    assert ("nav", "") in blocks_of(page)[0].path and names == {"menu"}
+
+
+def test_repeated_pages_and_clashing_columns(spark):
+    page = LAYOUTS["news"][0]
+    rows = [(1, "u", page, "t", 5, "x"), (1, "u", page, "t", 5, "x"), (None, None, page, None, None, None), (2, "v", None, "", 0, "")]
+    found = extract_main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string, text string, n_chars int, h string"))
+    assert found.columns == ["page_id", "url", "text", "n_chars"]
+    text = LAYOUTS["news"][1]
+    assert sorted(map(tuple, found.collect()), key=repr) == sorted([(1, "u", text, len(text))] * 2 + [(None, None, text, len(text)), (2, "v", "", 0)], key=repr)
+
+
+def test_a_very_long_page(spark):
+    page = "<html><body><nav><a href=/>Home</a></nav><article><h1>Long</h1>" + "".join(f"<p>Paragraph number {i} of the text, with some words in it.</p>" for i in range(60_000)) + "</article></body></html>"
+    (row,) = extract_main_text(spark.createDataFrame([(1, "u", page)], "page_id bigint, url string, html string")).collect()
+    assert row["text"].count("\n") == 60_000 and row["text"].startswith("Long\nParagraph number 0 of")
+
+
 def test_quotes_outside_values_and_deep_nesting():
     assert [b.text for b in blocks_of("<p title=Bob's>one</p><p don't>it's two</p><p x='a>b'>three</p>")] == ["one", "it's two", "three"]
     deep = blocks_of("<div class=outer>" + "<div>x" * 20_000 + "</div>" * 20_000 + "</i>" * 20_000 + "</div><p>y")
