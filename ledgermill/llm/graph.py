@@ -9,7 +9,7 @@ from ledgermill.llm.shared import stage
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
-    """node and root (the smallest node of its component) of every node in edges (a, b: bigint).
+    """node and root (the smallest node of its component) of every node in edges (a, b: of one type with an order).
 
     Each round points every node to its smallest neighbour, follows the pointers twice and contracts
     the edges onto the nodes pointed to; at least half of the nodes with edges go in a round. Tables

@@ -9,8 +9,10 @@ separates them. The join therefore works on three levels:
 1. Pivots of one shingle. Every shingle is a pivot, and a document visits the regions of its rarest
    ones: of n shingles the first n - ceil(percent * n / 100) + 1 by (documents, hash), the boundary
    within which partners must share a region. A shingle of one document is a region of its own, so
-   a document with that many of those has no partner and leaves. Documents that meet in regions
-   form islands, and links never leave an island.
+   a document with that many of those has no partner and leaves. In a region two documents can link
+   only if what stands behind the shingle in both is long enough for their lengths, so a visitor
+   leaves a region that has no such partner for it: pages of one template that is too small a part of
+   them never meet. Documents that meet in regions form islands, and links never leave an island.
 2. Pivots that are documents. An island beyond LEAF_KEYS is split in rounds by joins with a few of
    its documents: each document goes to the region of the nearest pivot (Voronoi), is a guest where
    the triangle inequality leaves room for a partner, and stays behind when all that could concern
@@ -18,11 +20,13 @@ separates them. The join therefore works on three levels:
 3. ``metric_links`` does the same inside a task.
 
 Texts of one set are one node, so copies never multiply. Shingles move as packed arrays, a row for
-a task's share of a key range, and a key range holds about RANGE_KEYS keys at every input size.
-Shingles of very many documents are counted first and dealt by document, so that no task holds all
-documents of one.
+a task's share of a key range, and a key range holds about RANGE_KEYS keys at every input size. With
+more than COARSE ranges the arrays go through coarse ranges first, so that a row is never dealt to
+more than COARSE parts and holds many keys however many ranges there are. Shingles of very many
+documents are counted first and dealt by document, so that no task holds all documents of one.
 
-Shingles are 64-bit hashes (48 bits when they are compared), and a node is a 64-bit hash of its set.
+Shingles are 64-bit hashes (48 bits when they are compared), and a node is a 128-bit hash of its set.
+A chunk names its nodes by their places, so docs must be a table that reads the same each time.
 
 Defined results: a text without words (null, empty, white space) has an empty set and links with
 nothing; a null doc_id never becomes a component_id unless all rows of the component have none;
@@ -35,10 +39,11 @@ all stay.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -52,15 +57,19 @@ from ledgermill.llm.text_arrays import mix, windows, words_of
 
 PERCENT, SIZE = 75, 5
 RANGE_KEYS, LEAF_KEYS, FLUSH_KEYS = 1_000_000, 1_500_000, 1_000_000
+#: Parts that a row of packed keys is dealt to at once.
+COARSE = 1024
 #: Nodes of a chunk, so that a place in it fits two bytes.
 CHUNK_NODES = 60_000
 ROUNDS, ROUND_PIVOTS, SALTS = 8, 4, 64
 #: A shingle is common from this many nodes on, and from one node in COMMON_SHARE on.
 COMMON_LEAST, COMMON_SHARE = 1000, 2000
+#: Nodes of a region that meet one copy of its lengths, and steps of a length class to the next double length.
+REGION_ROWS, LENGTH_STEPS = 5000, 32
 #: Share of the nodes that a task holds at once from which it counts a shingle towards the common ones.
 NOMINATED_SHARE = 0.001
 
-_SALT_A, _SALT_B = np.uint64(0x9E6C63D0876A9A35), np.uint64(0xC2B2AE3D27D4EB4F)
+_SALTS = np.array([0x9E6C63D0876A9A35, 0xC2B2AE3D27D4EB4F, 0x8CB92BA72F3D8DD7, 0xABC98388FB8FAC03], dtype=np.uint64)
 
 
 def _sets(column: pa.Array, size: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -71,9 +80,14 @@ def _sets(column: pa.Array, size: int) -> Iterator[tuple[int, np.ndarray]]:
             yield block.first + i, np.unique(windows(hashes[block.bounds[i] : block.bounds[i + 1]], size))
 
 
-def _node(keys: np.ndarray) -> np.int64:
-    total = np.append(mix(keys ^ _SALT_A), np.uint64(len(keys))).sum(dtype=np.uint64, keepdims=True)
-    return mix(total ^ _SALT_B).view(np.int64)[0]
+_NO_KEYS = np.zeros(0, dtype=np.uint64)
+
+
+def _node(keys: np.ndarray) -> bytes:
+    """128 bits of a set: two sums of independent hashes of its keys and of their number."""
+    n = np.uint64(len(keys))
+    sums = np.array([mix(mix(keys ^ _SALTS[i]) + _SALTS[i + 2]).sum(dtype=np.uint64) for i in (0, 1)], dtype=np.uint64)
+    return mix(sums ^ mix(n + _SALTS[2:])).tobytes()
 
 
 def shingle_sets(docs: DataFrame, size: int = SIZE) -> DataFrame:
@@ -81,13 +95,13 @@ def shingle_sets(docs: DataFrame, size: int = SIZE) -> DataFrame:
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts, nodes = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
+            counts, nodes = np.zeros(batch.num_rows, np.int64), [_node(_NO_KEYS)] * batch.num_rows
             for i, keys in _sets(batch.column(1), size):
                 counts[i], nodes[i] = len(keys), _node(keys)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts), pa.array(nodes), batch.column(2)], names=["doc_id", "n_shingles", "node", "content"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts), pa.array(nodes, pa.binary()), batch.column(2)], names=["doc_id", "n_shingles", "node", "content"])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), _content_key().alias("content"))
-    return rows.mapInArrow(each, "doc_id bigint, n_shingles bigint, node bigint, content binary")
+    return rows.mapInArrow(each, "doc_id bigint, n_shingles bigint, node binary, content binary")
 
 
 def _content_key(prefix: str = "") -> Column:
@@ -102,7 +116,7 @@ def _one_of_each(docs: DataFrame, sets: DataFrame, n_rows: int) -> DataFrame:
     return without_keys(docs.select("doc_id", "text"), _content_key(), stage(gone)).select("text")
 
 
-def _held_nodes(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[list[tuple[np.int64, np.ndarray]]]:
+def _held_nodes(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[list[tuple[bytes, np.ndarray]]]:
     """Chunks of distinct nodes of a task with their 48-bit keys."""
     held, seen, total = [], set(), 0
     for batch in batches:
@@ -134,15 +148,20 @@ def _common_keys(texts: DataFrame, size: int, n_nodes: int, least: int) -> tuple
 
     nominated = texts.select(F.col("text").cast("string")).mapInArrow(each, "key bigint, n bigint")
     common = nominated.groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= max(least, n_nodes // COMMON_SHARE))
-    found = sorted((r["key"], r["n"]) for r in common.collect())
-    return np.array([k for k, _ in found], dtype=np.uint64), np.array([n for _, n in found], dtype=np.int64)
+    found = common.toArrow()  # 16 bytes a key
+    keys, counts = found.column("key").to_numpy().view(np.uint64), found.column("n").to_numpy()
+    order = np.argsort(keys)
+    return keys[order], counts[order]
 
 
 def _is_in(keys: np.ndarray, table: np.ndarray) -> np.ndarray:
     return table[np.minimum(np.searchsorted(table, keys), len(table) - 1)] == keys if len(table) else np.zeros(len(keys), dtype=bool)
 
 
-_PACKED = "chunk bigint, places binary, keys binary, nodes binary, sizes binary"
+#: Packed keys: of each run of a chunk its number of keys, then the keys' places in their chunks, the keys, and in how
+#: many nodes they are. A negative target is a bucket of chunks, as -1 - bucket; such rows may hold a chunk's nodes.
+_PACKED = pa.schema([("target", pa.int32()), *((c, pa.binary()) for c in ("chunks", "runs", "places", "keys", "counts", "nodes", "sizes"))])
+_PACKED_DDL = "target int, chunks binary, runs binary, places binary, keys binary, counts binary, nodes binary, sizes binary"
 
 
 def _six_bytes(keys: np.ndarray) -> bytes:
@@ -155,134 +174,192 @@ def _from_six_bytes(raw: bytes) -> np.ndarray:
     return wide.view("<u8").ravel()
 
 
-def _key_ranges(texts: DataFrame, size: int, n_ranges: int, n_buckets: int, common: np.ndarray) -> DataFrame:
+def _heads(values: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin."""
+    return np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1]))[: len(values)])
+
+
+def _packed_rows(target: np.ndarray, chunk: np.ndarray, places: np.ndarray, keys: np.ndarray, counts: np.ndarray | None = None) -> Iterator[dict]:
+    """A row for each target that occurs."""
+    order = np.argsort(target, kind="stable")
+    target, chunk, places, keys = target[order], chunk[order], places[order], keys[order]
+    counts = None if counts is None else counts[order]
+    starts = _heads(target)
+    for a, b in zip(starts, np.append(starts[1:], len(target))):
+        runs = _heads(chunk[a:b])
+        row = {"target": int(target[a]), "chunks": chunk[a:b][runs].tobytes(), "runs": np.diff(np.append(runs, b - a)).astype(np.int32).tobytes(), "places": places[a:b].tobytes(), "keys": _six_bytes(keys[a:b])}
+        yield row if counts is None else row | {"counts": counts[a:b].tobytes()}
+
+
+def _joined(table: pa.Table, column: str) -> bytes:
+    return b"".join(x for x in table.column(column).to_pylist() if x is not None)
+
+
+def _unpacked(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray | None]:
+    """chunk, place, key and count (or None) of all keys of packed rows."""
+    chunk = np.repeat(np.frombuffer(_joined(table, "chunks"), np.int64), np.frombuffer(_joined(table, "runs"), np.int32))
+    counts = np.frombuffer(_joined(table, "counts"), np.uint32)
+    return chunk, np.frombuffer(_joined(table, "places"), np.uint16), _from_six_bytes(_joined(table, "keys")), counts if len(counts) else None
+
+
+def _fan(n_parts: int, coarse: int) -> int:
+    return -(-n_parts // coarse)
+
+
+def _bucket_of(chunk: np.ndarray, n_buckets: int) -> np.ndarray:
+    return (mix(chunk.astype(np.uint64)) % np.uint64(n_buckets)).astype(np.int32)
+
+
+def _dealt_finely(rows: DataFrame, fan: int, part_of: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+    """Rows of coarse parts (fan parts each) as rows of parts; part_of(key, chunk). A task gets a share of a coarse part."""
+    if fan == 1:
+        return rows
+
+    def each(table: pa.Table) -> pa.Table:
+        table = table.drop_columns(["deal"])
+        if table.column("target")[0].as_py() < 0:
+            return table
+        chunk, places, keys, counts = _unpacked(table)
+        return pa.Table.from_pylist(list(_packed_rows(part_of(keys, chunk), chunk, places, keys, counts)), schema=_PACKED)
+
+    return rows.withColumn("deal", F.pmod(F.xxhash64("chunks"), F.lit(fan)).cast("int")).groupBy("target", "deal").applyInArrow(each, _PACKED_DDL)
+
+
+def _key_ranges(texts: DataFrame, size: int, n_ranges: int, n_buckets: int, common: np.ndarray, coarse: int) -> DataFrame:
     """The keys of all nodes, packed: a row for a chunk's keys of one range, eight bytes a key.
 
-    A node is named by its chunk and its place there. Parts from n_ranges on are buckets of chunks:
-    they get the chunk's nodes and sizes, and its common keys, so that no task holds all nodes of one.
+    A node is named by its chunk and its place there. Negative targets get the chunk's nodes and sizes, and its
+    common keys, so that no task holds all nodes of one.
     """
-    schema = pa.schema([("part", pa.int32()), ("chunk", pa.int64()), *((c, pa.binary()) for c in ("places", "keys", "nodes", "sizes"))])
+    fan = _fan(n_ranges, coarse)
 
-    def pack(held: list[tuple[np.int64, np.ndarray]], number: int) -> pa.RecordBatch:
-        nodes, sizes = np.array([n for n, _ in held], dtype=np.int64), np.array([len(k) for _, k in held], dtype=np.int32)
-        chunk = (TaskContext.get().partitionId() << 32) + number
-        home = n_ranges + int(mix(np.array([chunk], dtype=np.uint64))[0] % np.uint64(n_buckets))
+    def pack(held: list[tuple[bytes, np.ndarray]], number: int) -> pa.RecordBatch:
+        sizes = np.array([len(k) for _, k in held], dtype=np.int32)
+        chunk = np.array([(TaskContext.get().partitionId() << 32) + number])
+        home = -1 - int(_bucket_of(chunk, n_buckets)[0])
         keys = np.concatenate([k for _, k in held])
         places = np.repeat(np.arange(len(held), dtype=np.uint16), sizes)
-        part = (keys % np.uint64(n_ranges)).astype(np.int32)
-        part[_is_in(keys, common)] = n_ranges
-        order = np.argsort(part, kind="stable")
-        keys, places = keys[order], places[order]
-        bounds = np.searchsorted(part[order], np.arange(n_ranges + 2))
-        rows = [{"part": home, "chunk": chunk, "nodes": nodes.tobytes(), "sizes": sizes.tobytes()}]
-        for p in range(n_ranges + 1):
-            at = slice(bounds[p], bounds[p + 1])
-            if at.start < at.stop:
-                rows.append({"part": p if p < n_ranges else home, "chunk": chunk, "places": places[at].tobytes(), "keys": _six_bytes(keys[at])})
-        return pa.RecordBatch.from_pylist(rows, schema=schema)
+        target = (keys % np.uint64(n_ranges) // np.uint64(fan)).astype(np.int32)
+        target[_is_in(keys, common)] = home
+        rows = [{"target": home, "chunks": chunk.tobytes(), "runs": np.zeros(1, np.int32).tobytes(), "nodes": b"".join(n for n, _ in held), "sizes": sizes.tobytes()}]
+        rows += _packed_rows(target, np.broadcast_to(chunk, keys.shape), places, keys)
+        return pa.RecordBatch.from_pylist(rows, schema=_PACKED)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, held in enumerate(_held_nodes(batches, size)):
             yield pack(held, number)
 
-    return texts.select(F.col("text").cast("string")).mapInArrow(each, f"part int, {_PACKED}")
+    rows = texts.select(F.col("text").cast("string")).mapInArrow(each, _PACKED_DDL)
+    return _dealt_finely(rows, fan, lambda keys, chunk: (keys % np.uint64(n_ranges)).astype(np.int32))
 
 
-def _shared_keys(ranges: DataFrame, n_ranges: int, n_buckets: int, common: np.ndarray, common_counts: np.ndarray) -> DataFrame:
-    """Keys of two or more nodes with their number of nodes, and the nodes, packed by bucket and chunk."""
-    schema = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), *((c, pa.binary()) for c in ("places", "keys", "counts", "nodes", "sizes"))])
+def _shared_keys(ranges: DataFrame, n_buckets: int, common: np.ndarray, common_counts: np.ndarray, coarse: int) -> DataFrame:
+    """Keys of two or more nodes with their number of nodes, and the nodes, packed by bucket of chunks."""
+    fan = _fan(n_buckets, coarse)
 
-    def forward(table: pa.Table) -> list[dict]:
+    def forward(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
         for r in rows:
-            r["bucket"] = r.pop("part") - n_ranges
             if r["keys"] is not None:
                 keys = _from_six_bytes(r["keys"])
-                r |= {"keys": keys.tobytes(), "counts": common_counts[np.searchsorted(common, keys)].astype(np.uint32).tobytes()}
-        return rows
+                r["counts"] = common_counts[np.searchsorted(common, keys)].astype(np.uint32).tobytes()
+        return pa.Table.from_pylist(rows, schema=_PACKED)
 
     def each(table: pa.Table) -> pa.Table:
-        if table.column("part")[0].as_py() >= n_ranges:
-            return pa.Table.from_pylist(forward(table), schema=schema)
-        chunks = table.column("chunk").to_numpy()
-        bucket_of = mix(chunks.astype(np.uint64)) % np.uint64(n_buckets)
-        packed = table.column("keys").to_pylist()
-        keys = _from_six_bytes(b"".join(packed))
-        row_of = np.repeat(np.arange(len(chunks), dtype=np.int32), [len(k) // 6 for k in packed])
-        places = np.frombuffer(b"".join(table.column("places").to_pylist()), dtype=np.uint16)
+        if table.column("target")[0].as_py() < 0:
+            return forward(table)
+        chunk, places, keys, _ = _unpacked(table)
         order = np.argsort(keys)
         keys = keys[order]
         same = keys[1:] == keys[:-1]
         several = np.concatenate((same, [False])) | np.concatenate(([False], same))
         keys, order = keys[several], order[several]
-        heads = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))[: len(keys)])
-        lengths = np.diff(np.append(heads, len(keys)))
+        lengths = np.diff(np.append(_heads(keys), len(keys)))
         counts = np.repeat(lengths, lengths).astype(np.uint32)
-        row_of, places = row_of[order], places[order]
-        by_row = np.argsort(row_of, kind="stable")
-        keys, counts, places, row_of = keys[by_row], counts[by_row], places[by_row], row_of[by_row]
-        heads = np.flatnonzero(np.concatenate(([True], row_of[1:] != row_of[:-1]))[: len(row_of)])
-        rows = []
-        for a, b in zip(heads, np.append(heads[1:], len(row_of))):
-            chunk = int(chunks[row_of[a]])
-            rows.append({"bucket": int(bucket_of[row_of[a]]), "chunk": chunk, "places": places[a:b].tobytes(), "keys": keys[a:b].tobytes(), "counts": counts[a:b].tobytes()})
-        return pa.Table.from_pylist(rows, schema=schema)
+        at = np.argsort(order)  # back in the order of the chunks
+        order = order[at]
+        chunk = chunk[order]
+        return pa.Table.from_pylist(list(_packed_rows(_bucket_of(chunk, n_buckets) // fan, chunk, places[order], keys[at], counts[at])), schema=_PACKED)
 
-    return ranges.groupBy("part").applyInArrow(each, "bucket int, chunk bigint, places binary, keys binary, counts binary, nodes binary, sizes binary")
+    found = ranges.groupBy("target").applyInArrow(each, _PACKED_DDL)
+    fine = _dealt_finely(found, fan, lambda keys, chunk: _bucket_of(chunk, n_buckets))
+    return fine.withColumn("bucket", F.when(F.col("target") < 0, -1 - F.col("target")).otherwise(F.col("target")))
 
 
 def _survivors(shared: DataFrame, percent: int) -> DataFrame:
-    """node, n, keys (sorted, shared ones only) and regions (those it visits) of nodes that may have partners."""
-    schema = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("keys", pa.binary()), ("regions", pa.list_(pa.int64()))])
+    """node, n, keys (sorted, shared ones only), alone (its keys that no other has) and regions (those it visits) of nodes that may have partners."""
+    schema = pa.schema([("node", pa.binary()), ("n", pa.int64()), ("keys", pa.binary()), ("alone", pa.int64()), ("regions", pa.list_(pa.int64()))])
 
-    def of_chunk(rows: list[dict], out: list[dict]) -> None:
-        read = lambda name, kind: np.frombuffer(b"".join(r[name] for r in rows if r[name] is not None), dtype=kind)
-        nodes, sizes = read("nodes", np.int64), read("sizes", np.int32)
-        places, keys, counts = read("places", np.uint16), read("keys", np.uint64), read("counts", np.uint32)
+    def of_chunk(nodes: bytes, sizes: np.ndarray, places: np.ndarray, keys: np.ndarray, counts: np.ndarray, out: list[dict]) -> None:
         order = np.lexsort((keys, counts, places))
         places, keys = places[order], keys[order]
-        bounds = np.searchsorted(places, np.arange(len(nodes) + 1))
-        for i, (a, b) in enumerate(zip(bounds, bounds[1:])):
-            n = int(sizes[i])
-            visits = n - (percent * n + 99) // 100 + 1 - (n - (b - a))
-            if b > a and visits > 0:
-                own = keys[a:b]
-                out.append({"node": int(nodes[i]), "n": n, "keys": np.sort(own).tobytes(), "regions": own[:visits].view(np.int64)})
+        bounds = np.searchsorted(places, np.arange(len(sizes) + 1))
+        alone = sizes - np.diff(bounds)
+        visits = sizes - (percent * sizes.astype(np.int64) + 99) // 100 + 1 - alone
+        for i in np.flatnonzero((np.diff(bounds) > 0) & (visits > 0)):
+            own = keys[bounds[i] : bounds[i + 1]]
+            out.append({"node": nodes[16 * i : 16 * i + 16], "n": int(sizes[i]), "keys": np.sort(own).tobytes(), "alone": int(alone[i]), "regions": own[: visits[i]].view(np.int64)})
 
     def each(table: pa.Table) -> pa.Table:
-        by_chunk: dict[int, list[dict]] = {}
-        for r in table.to_pylist():
-            by_chunk.setdefault(r["chunk"], []).append(r)
+        heads = {int.from_bytes(r["chunks"], "little"): r for r in table.filter(pc.is_valid(table.column("nodes"))).select(["chunks", "nodes", "sizes"]).to_pylist()}
+        chunk, places, keys, counts = _unpacked(table)
+        order = np.argsort(chunk, kind="stable")
+        chunk, starts = chunk[order], _heads(chunk[order])
         out: list[dict] = []
-        for rows in by_chunk.values():
-            of_chunk(rows, out)
+        for a, b in zip(starts, np.append(starts[1:], len(chunk))):
+            at, head = order[a:b], heads[int(chunk[a])]
+            of_chunk(head["nodes"], np.frombuffer(head["sizes"], np.int32), places[at], keys[at], counts[at], out)
         return pa.Table.from_pylist(out, schema=schema)
 
-    return shared.groupBy("bucket").applyInArrow(each, "node bigint, n bigint, keys binary, regions array<bigint>")
+    return shared.groupBy("bucket").applyInArrow(each, "node binary, n bigint, keys binary, alone bigint, regions array<bigint>")
 
 
-def _islands(survivors: DataFrame) -> DataFrame:
+def _meetings(survivors: DataFrame, percent: int) -> DataFrame:
+    """node and region of the visits that leave room for a partner.
+
+    In a region, x and y can share no more than what stands from its key on in both, each in its order of
+    rarity. So x needs a y with n(y) <= most(x) and n(x) <= most(y), where most is the largest partner that
+    its rest allows. Lengths are looked up by class, of which a region has at most LENGTH_STEPS for a doubling.
+    """
+    visits = survivors.select("node", "n", "alone", F.posexplode("regions").alias("place", "region"))
+    rest = F.col("n") - F.col("alone") - F.col("place")
+    most = F.floor(F.lit(100 + percent) * rest / F.lit(percent)) - F.col("n")
+    visits = visits.select("node", "n", "region", most.cast("long").alias("most"), F.floor(F.log2("n") * LENGTH_STEPS).cast("int").alias("length"))
+    classes = visits.groupBy("region", "length").agg(F.min("n").alias("least_n"), F.max("most").alias("most_most"), F.count(F.lit(1)).alias("n_nodes"))
+    regions = classes.groupBy("region").agg(F.collect_list(F.struct("length", "least_n", "most_most", "n_nodes")).alias("lengths"), F.sum("n_nodes").alias("region_nodes")).where("region_nodes > 1")
+    # a region of very many nodes is dealt to several tasks
+    salts = F.ceil(F.col("region_nodes") / REGION_ROWS)
+    dealt = regions.withColumnRenamed("region", "at_region").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)))
+    hot = regions.where(F.col("region_nodes") > REGION_ROWS).select(F.col("region").alias("hot_region"), salts.alias("salts"))
+    salted = visits.join(hot, F.col("region") == F.col("hot_region"), "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("node"), F.col("salts")), F.lit(0).cast("long")))
+    met = salted.join(dealt, (F.col("region") == F.col("at_region")) & (salted["salt"] == dealt["salt"]))
+    partner = F.exists("lengths", lambda c: (c["least_n"] <= F.col("most")) & (c["most_most"] >= F.col("n")) & ((c["n_nodes"] > 1) | (c["length"] != F.col("length"))))
+    return met.where(partner).select("node", "region")
+
+
+def _islands(survivors: DataFrame, percent: int) -> DataFrame:
     """node and island of the nodes that share a region with another."""
-    visits = survivors.select("node", F.explode("regions").alias("region"))
+    visits = stage(_meetings(survivors, percent))
     first = visits.groupBy("region").agg(F.min("node").alias("first_node"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     edges = visits.join(first, "region").where("node <> first_node").select(F.col("node").alias("a"), F.col("first_node").alias("b"))
     return connected_components(edges).select("node", F.col("root").alias("island"))
 
 
-_LINKS = "a bigint, b bigint"
+_LINKS = "a binary, b binary"
 
 
 def _leaf_links(groups: DataFrame, percent: int, n_packs: int) -> DataFrame:
     """Star edges of the components inside each group (grp, node, n, keys, guest) that fits a task."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
 
     def each(table: pa.Table) -> pa.Table:
         grp = np.array(table.column("grp").to_pylist(), dtype=object)
-        node, n, guest = (table.column(c).to_numpy() for c in ("node", "n", "guest"))
+        n, guest = (table.column(c).to_numpy() for c in ("n", "guest"))
+        node = table.column("node").combine_chunks()
         raw = table.column("keys").to_pylist()
         ordinal = np.unique(grp, return_inverse=True)[1] if len(grp) else np.zeros(0, np.int64)
         order = np.argsort(ordinal, kind="stable")
-        heads = np.flatnonzero(np.concatenate(([True], ordinal[order][1:] != ordinal[order][:-1]))[: len(order)])
+        heads = _heads(ordinal[order])
         a, b = [], []
         for lo, hi in zip(heads, np.append(heads[1:], len(order))):
             at = order[lo:hi]
@@ -292,9 +369,9 @@ def _leaf_links(groups: DataFrame, percent: int, n_packs: int) -> DataFrame:
             group.link(np.flatnonzero(~is_guest), np.flatnonzero(is_guest))
             roots = group.roots()
             linked = roots != np.arange(len(at))
-            a.append(node[at][linked])
-            b.append(node[at][roots[linked]])
-        return pa.Table.from_arrays([pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64()) for x in (a, b)], schema=schema)
+            a.append(at[linked])
+            b.append(at[roots[linked]])
+        return pa.Table.from_arrays([node.take(pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64())) for x in (a, b)], schema=schema)
 
     packs = groups.withColumn("pack", F.pmod(F.xxhash64("grp"), F.lit(n_packs)).cast("int"))
     return packs.groupBy("pack").applyInArrow(each, _LINKS)
@@ -316,7 +393,7 @@ def _round(groups: DataFrame, percent: int, number: int) -> tuple[DataFrame, Dat
             out: list[dict] = []
             for r in batch.to_pylist():
                 own = np.frombuffer(r["keys"], dtype=np.uint64)
-                known: dict[int, tuple[float, bool]] = {}
+                known: dict[bytes, tuple[float, bool]] = {}
                 for p in r["pivots"]:
                     if p["node"] not in known:
                         inter = len(np.intersect1d(own, np.frombuffer(p["keys"], dtype=np.uint64), assume_unique=True))
@@ -332,10 +409,10 @@ def _round(groups: DataFrame, percent: int, number: int) -> tuple[DataFrame, Dat
                 home = next(i for i, (_, (d, _)) in enumerate(table) if d == least)
                 for i, (p, (d, linked)) in enumerate(table):
                     if (i == home and not r["guest"]) or (d <= least + 2 * reach + 1e-9 and (r["guest"] or i < home)):
-                        out.append({"grp": f"{r['grp']}/{p}", "node": r["node"], "n": r["n"], "keys": r["keys"], "guest": bool(r["guest"] or i != home), "distance": d, "linked_to": p if linked else None})
-            yield pa.RecordBatch.from_pylist([{f: x.get(f) for f in fields} for x in out], schema=pa.schema([("grp", pa.string()), ("node", pa.int64()), ("n", pa.int64()), ("keys", pa.binary()), ("guest", pa.bool_()), ("linked_to", pa.int64()), ("distance", pa.float64())]))
+                        out.append({"grp": f"{r['grp']}/{p.hex()}", "node": r["node"], "n": r["n"], "keys": r["keys"], "guest": bool(r["guest"] or i != home), "distance": d, "linked_to": p if linked else None})
+            yield pa.RecordBatch.from_pylist([{f: x.get(f) for f in fields} for x in out], schema=pa.schema([("grp", pa.string()), ("node", pa.binary()), ("n", pa.int64()), ("keys", pa.binary()), ("guest", pa.bool_()), ("linked_to", pa.binary()), ("distance", pa.float64())]))
 
-    dealt = stage(met.mapInArrow(each, "grp string, node bigint, n bigint, keys binary, guest boolean, linked_to bigint, distance double"))
+    dealt = stage(met.mapInArrow(each, "grp string, node binary, n bigint, keys binary, guest boolean, linked_to binary, distance double"))
     links = dealt.where("grp IS NULL").select(F.col("node").alias("a"), F.col("linked_to").alias("b"))
     placed = dealt.where("grp IS NOT NULL")
     # of a region, sets linked to its pivot matter only as partners of sets that are not
@@ -355,7 +432,7 @@ def _blocks(groups: DataFrame, sizes: DataFrame, leaf_keys: int) -> DataFrame:
 
 
 def _links(survivors: DataFrame, percent: int, leaf_keys: int) -> DataFrame:
-    groups = stage(survivors.join(_islands(survivors), "node").select(F.col("island").cast("string").alias("grp"), "node", "n", "keys", F.lit(False).alias("guest")))
+    groups = stage(survivors.join(_islands(survivors, percent), "node").select(F.hex("island").alias("grp"), "node", "n", "keys", F.lit(False).alias("guest")))
     packs = partitions_of(groups.sparkSession)
     found: DataFrame | None = None
     add = lambda links: links if found is None else found.unionByName(links)
@@ -376,8 +453,8 @@ def _links(survivors: DataFrame, percent: int, leaf_keys: int) -> DataFrame:
     return found
 
 
-def _classes(docs: DataFrame, percent: int = PERCENT, size: int = SIZE, range_keys: int = RANGE_KEYS, leaf_keys: int = LEAF_KEYS, common_least: int = COMMON_LEAST) -> tuple[DataFrame, int]:
-    """doc_id, n_shingles, content and class (a number of the component, null without words) of every row, and the number of rows."""
+def _classes(docs: DataFrame, percent: int = PERCENT, size: int = SIZE, range_keys: int = RANGE_KEYS, leaf_keys: int = LEAF_KEYS, common_least: int = COMMON_LEAST, coarse: int = COARSE) -> tuple[DataFrame, int]:
+    """doc_id, n_shingles, content and class (a node of the component, null without words) of every row, and the number of rows."""
     sets = stage(shingle_sets(docs, size))
     n_rows, total = sets.agg(F.count(F.lit(1)), F.coalesce(F.sum("n_shingles"), F.lit(0))).first()
     spread = partitions_of(docs.sparkSession)
@@ -385,7 +462,7 @@ def _classes(docs: DataFrame, percent: int = PERCENT, size: int = SIZE, range_ke
     n_buckets = max(spread, n_ranges // 4)
     texts = _one_of_each(docs, sets, n_rows)
     common, counts = _common_keys(texts, size, n_rows, common_least)
-    shared = _shared_keys(_key_ranges(texts, size, n_ranges, n_buckets, common), n_ranges, n_buckets, common, counts)
+    shared = _shared_keys(_key_ranges(texts, size, n_ranges, n_buckets, common, coarse), n_buckets, common, counts, coarse)
     # rows that repeat in full may leave a node in several chunks: it is then its own partner, which changes nothing
     survivors = stage(_survivors(shared, percent))
     roots = connected_components(_links(survivors, percent, leaf_keys))

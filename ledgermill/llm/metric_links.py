@@ -5,6 +5,11 @@ is compared with each of them, belongs to the region of the nearest, and is a gu
 region when the triangle inequality leaves room for a partner there. Regions are then treated alike
 until few sets are left. Only components are asked for, so a region whose sets are all connected
 already is done.
+
+Sets that lie at one distance from each other, as pages of one template do, are parted by no pivot.
+Where a region keeps most of its parent's sets, they are compared by their rarest keys instead: two
+sets meet at a key that both have among these, if their lengths and what is left of both behind that
+key allow a link.
 """
 
 from __future__ import annotations
@@ -15,6 +20,8 @@ import numpy as np
 FEW = 12
 #: Pivots chosen in one step.
 PIVOTS = 6
+#: Share of its parent's sets from which a region counts as not parted.
+WHOLE = 0.7
 _SLACK = 1e-9
 
 
@@ -90,6 +97,7 @@ class Group:
             is_home = np.arange(len(members)) < len(home)
             is_pivot = np.zeros(len(members), dtype=bool)
             is_pivot[pivots] = True
+            parts = []
             for i in range(len(pivots)):
                 own = is_home & (region == i) & ~is_pivot
                 if not own.any():
@@ -97,7 +105,56 @@ class Group:
                 window = (table[i] <= table[i][own].max() + reach + _SLACK) & (table[i] >= table[i][own].min() - reach - _SLACK)
                 # of two regions the first compares: homes of later regions and all outer guests come as guests
                 visit = room[i] & window & ~is_pivot & np.where(is_home, region > i, True)
-                todo.append((members[own], members[visit]))
+                parts.append((members[own], members[visit]))
+            if any(len(h) + len(g) > WHOLE * len(members) for h, g in parts):
+                left = ~is_pivot
+                self._link_by_rarest(members[left & is_home], members[left & ~is_home])
+            else:
+                todo += parts
+
+    def _link_by_rarest(self, home: np.ndarray, guests: np.ndarray) -> None:
+        """Joins all pairs within the threshold of home with home and of home with guests, met by their rarest keys."""
+        members = np.concatenate((home, guests))
+        members = members[np.argsort(self.sizes[members], kind="stable")]
+        is_home = np.isin(members, home)
+        sizes = self.sizes[members]
+        lengths = self.bounds[members + 1] - self.bounds[members]
+        owner = np.repeat(np.arange(len(members)), lengths)
+        at = np.repeat(self.bounds[members] - np.concatenate(([0], np.cumsum(lengths)[:-1])), lengths) + np.arange(lengths.sum())
+        _, key, counts = np.unique(self.keys[at], return_inverse=True, return_counts=True)
+        order = np.lexsort((key, counts[key], owner))
+        key = key[order]
+        place = np.arange(len(key)) - np.repeat(np.cumsum(lengths) - lengths, lengths) + np.repeat(sizes - lengths, lengths)
+        n = sizes[owner]
+        meets = (counts[key] > 1) & (place < n - (self.percent * n + 99) // 100 + 1)
+        owner, key, n, place = owner[meets], key[meets], n[meets], place[meets]
+        most = (100 + self.percent) * (n - place) // self.percent - n  # the longest partner that the rest allows
+        order = np.lexsort((owner, key))
+        owner, key, n, most = owner[order], key[order], n[order], most[order]
+        # who has a partner in its region: among those short enough for it, one that allows its length
+        scale = int(max(n.max(initial=0), most.max(initial=0), 0)) + 2
+        reached = np.searchsorted(key * scale + n, key * scale + np.clip(most, 0, scale - 1), side="right") - 1
+        best = np.maximum.accumulate(key * scale + np.maximum(most, 0)) if len(key) else key
+        met = (reached >= np.searchsorted(key, key)) & (best[reached] - key * scale >= n)
+        owner, key, n, most = owner[met], key[met], n[met], most[met]
+        starts = np.searchsorted(key, key)
+        of_owner = np.argsort(owner, kind="stable")
+        bounds = np.searchsorted(owner[of_owner], np.arange(len(members) + 1))
+        label = np.array([self.root(int(x)) for x in members], dtype=np.int64)
+        for x in np.flatnonzero(np.diff(bounds)):
+            shorter = []
+            for v in of_owner[bounds[x] : bounds[x + 1]]:
+                near = slice(starts[v], v)  # of its region those before it, which are no longer
+                shorter.append(owner[near][(most[near] >= n[v]) & (n[near] <= most[v]) & (100 * n[near] >= self.percent * n[v])])
+            found = np.unique(np.concatenate(shorter))
+            found = found[(label[found] != label[x]) & (is_home[found] | is_home[x])]
+            if not len(found):
+                continue
+            shared = self._shared(members[found], int(members[x]))
+            for y in found[100 * shared >= self.percent * (sizes[found] + sizes[x] - shared)]:
+                if label[y] != label[x]:
+                    self.join(int(members[x]), int(members[y]))
+                    label[label == label[y]] = label[x]
 
     def roots(self) -> np.ndarray:
         return np.array([self.root(x) for x in range(len(self.sizes))], dtype=np.int64)

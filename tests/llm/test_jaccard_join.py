@@ -1,6 +1,7 @@
 import collections
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -60,7 +61,7 @@ def families(corpus):
     return rows
 
 
-@pytest.mark.parametrize("sizes", [{}, {"leaf_keys": 2000}, {"leaf_keys": 300, "range_keys": 5000}, {"common_least": 4}], ids=["leaves", "rounds", "blocks", "common"])
+@pytest.mark.parametrize("sizes", [{}, {"leaf_keys": 2000}, {"leaf_keys": 300, "range_keys": 5000}, {"common_least": 4}, {"range_keys": 20_000, "coarse": 5, "common_least": 30}], ids=["leaves", "rounds", "blocks", "common", "coarse"])
 def test_components(spark, families, sizes):
     docs = spark.createDataFrame(families, "doc_id bigint, text string")
     assert collections.Counter(tuple(r) for r in jaccard_components(docs, **sizes).collect()) == brute(families)
@@ -101,6 +102,47 @@ def test_links_of_a_group(seed):
     assert (group.roots() == want.roots()).all()
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_sets_that_no_pivot_parts(seed):
+    """Sets of one template: by their rarest keys they link as all pairs do."""
+    rng = np.random.default_rng(seed)
+    sets = []
+    for i in range(150):
+        own = rng.integers(5, 30)
+        template = rng.choice(80, 80 if seed % 2 else int(rng.integers(70, 81)), replace=False)
+        sets.append(np.unique(np.concatenate((template, 1000 + 100 * i + np.arange(own)))).astype(np.uint64))
+    sizes, bounds = np.array([len(s) for s in sets]), np.concatenate(([0], np.cumsum([len(s) for s in sets])))
+    group, want = (Group(sizes, np.concatenate(sets), bounds, 75) for _ in range(2))
+    group._link_by_rarest(np.arange(100), np.arange(100, 150))
+    for i in range(100):
+        for j in range(i + 1, 150):
+            inter = len(np.intersect1d(sets[i], sets[j]))
+            if 100 * inter >= 75 * (sizes[i] + sizes[j] - inter):
+                want.join(i, j)
+    assert (group.roots() == want.roots()).all()
+
+
+def test_a_large_group_that_no_pivot_parts():
+    n = 20_000
+    keys = np.concatenate([np.concatenate((np.arange(80), 1000 + 20 * i + np.arange(20))) for i in range(n)]).astype(np.uint64)
+    began = time.time()
+    group = Group(np.full(n, 100), keys, np.arange(n + 1) * 100, 75)
+    group.link(np.arange(n), np.arange(0))
+    assert (group.roots() == np.arange(n)).all() and time.time() - began < 60
+
+
+def test_template_pages(spark):
+    """Pages that share 80 of 100 shingles do not link, and take time in proportion to their number; a copy of one does."""
+    template = " ".join(f"t{i}" for i in range(84))
+    own = F.concat_ws(" ", *(F.concat(F.lit(f"w{k}x"), F.col("id").cast("string")) for k in range(20)))
+    docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.lit(template), own).alias("text"))
+    docs = docs.unionByName(docs.where("doc_id < 5").select((F.col("doc_id") + 50_000).alias("doc_id"), F.concat("text", F.lit(" more")).alias("text")))
+    began = time.time()
+    found = jaccard_components(docs).where("doc_id <> component_id").collect()
+    assert {(r["doc_id"], r["component_id"]) for r in found} == {(50_000 + i, i) for i in range(5)}
+    assert time.time() - began < 240
+
+
 def test_connected_components(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 100)] + [(200, 300), (300, 200), (250, 300)]
     rows = connected_components(spark.createDataFrame(chain, "a bigint, b bigint")).collect()
