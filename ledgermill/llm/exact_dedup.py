@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgermill.llm.key_filter import build_filter, may_match, without_keys
-from ledgermill.llm.shared import SPACE, packed, stage, text_or_empty, unpacked
+from ledgermill.llm.shared import SPACE, packed, scratch, shared_dir, stage, text_or_empty, unpacked
 
 #: Groups of at least 1/HOT_SHARE of the rows are hot: there are at most HOT_SHARE of them.
 HOT_SHARE = 1000
@@ -95,7 +95,9 @@ def _strays(contents: DataFrame, groups: DataFrame, n_rows: int) -> DataFrame:
 
 def drop_copies(docs: DataFrame, digest: Digest = F.md5) -> DataFrame:
     """docs without the copies: all columns of the row that stays of each group."""
-    found = stage(exact_groups(docs, digest))
+    folder = shared_dir(docs.sparkSession)
+    with scratch(docs.sparkSession):
+        found = stage(exact_groups(docs, digest), folder)
     identity = lambda doc_id, h: F.unhex(F.md5(F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("")), F.hex(h))))
     moved = found.where(~F.col("keep_id").eqNullSafe(F.col("doc_id")))
     hashed = packed(docs).withColumn("content_h", F.unhex(digest(normalised(text_or_empty("row.text")))))

@@ -52,7 +52,7 @@ from ledgermill.llm.exact_dedup import with_group
 from ledgermill.llm.graph import connected_components
 from ledgermill.llm.key_filter import build_filter, may_match, without_keys
 from ledgermill.llm.metric_links import Group
-from ledgermill.llm.shared import WORD, packed, partitions_of, stage, text_or_empty, unpacked
+from ledgermill.llm.shared import WORD, packed, partitions_of, scratch, shared_dir, stage, text_or_empty, unpacked
 from ledgermill.llm.text_arrays import mix, windows, words_of
 
 PERCENT, SIZE = 75, 5
@@ -113,7 +113,7 @@ def _one_of_each(docs: DataFrame, sets: DataFrame, n_rows: int) -> DataFrame:
     several = sets.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("group_rows")).where("group_rows > 1")
     found = with_group(sets, stage(several), "node", n_rows)
     gone = found.where("first_id IS NOT NULL AND NOT doc_id <=> first_id").select(F.col("content").alias("gone"))
-    return without_keys(docs.select("doc_id", "text"), _content_key(), stage(gone)).select("text")
+    return without_keys(docs.select("doc_id", "text"), _content_key(), gone).select("text")
 
 
 def _held_nodes(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[list[tuple[bytes, np.ndarray]]]:
@@ -455,20 +455,22 @@ def _links(survivors: DataFrame, percent: int, leaf_keys: int) -> DataFrame:
 
 def _classes(docs: DataFrame, percent: int = PERCENT, size: int = SIZE, range_keys: int = RANGE_KEYS, leaf_keys: int = LEAF_KEYS, common_least: int = COMMON_LEAST, coarse: int = COARSE) -> tuple[DataFrame, int]:
     """doc_id, n_shingles, content and class (a node of the component, null without words) of every row, and the number of rows."""
-    sets = stage(shingle_sets(docs, size))
-    n_rows, total = sets.agg(F.count(F.lit(1)), F.coalesce(F.sum("n_shingles"), F.lit(0))).first()
-    spread = partitions_of(docs.sparkSession)
-    n_ranges = max(spread, total // range_keys + 1)
-    n_buckets = max(spread, n_ranges // 4)
-    texts = _one_of_each(docs, sets, n_rows)
-    common, counts = _common_keys(texts, size, n_rows, common_least)
-    shared = _shared_keys(_key_ranges(texts, size, n_ranges, n_buckets, common, coarse), n_buckets, common, counts, coarse)
-    # rows that repeat in full may leave a node in several chunks: it is then its own partner, which changes nothing
-    survivors = stage(_survivors(shared, percent))
-    roots = connected_components(_links(survivors, percent, leaf_keys))
-    marked = sets.join(roots, "node", "left").withColumn("class", F.coalesce("root", "node"))
-    marked = marked.select("doc_id", "n_shingles", "content", F.when(F.col("n_shingles") > 0, F.col("class")).alias("class"))
-    return stage(marked), n_rows
+    folder = shared_dir(docs.sparkSession)
+    with scratch(docs.sparkSession):
+        sets = stage(shingle_sets(docs, size))
+        n_rows, total = sets.agg(F.count(F.lit(1)), F.coalesce(F.sum("n_shingles"), F.lit(0))).first()
+        spread = partitions_of(docs.sparkSession)
+        n_ranges = max(spread, total // range_keys + 1)
+        n_buckets = max(spread, n_ranges // 4)
+        texts = _one_of_each(docs, sets, n_rows)
+        common, counts = _common_keys(texts, size, n_rows, common_least)
+        shared = _shared_keys(_key_ranges(texts, size, n_ranges, n_buckets, common, coarse), n_buckets, common, counts, coarse)
+        # rows that repeat in full may leave a node in several chunks: it is then its own partner, which changes nothing
+        survivors = stage(_survivors(shared, percent))
+        roots = connected_components(_links(survivors, percent, leaf_keys))
+        marked = sets.join(roots, "node", "left").withColumn("class", F.coalesce("root", "node"))
+        marked = marked.select("doc_id", "n_shingles", "content", F.when(F.col("n_shingles") > 0, F.col("class")).alias("class"))
+        return stage(marked, folder), n_rows
 
 
 def jaccard_components(docs: DataFrame, **parameters) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgermill.llm.key_filter import build_filter, may_match
-from ledgermill.llm.shared import WORD, packed, row_digest, stage, text_or_empty, unpacked
+from ledgermill.llm.shared import WORD, packed, row_digest, scratch, shared_dir, stage, text_or_empty, unpacked
 
 WEIGHTS = (3, 1, 2)
 SHARE, REPEATS = 1.5, 2.0
@@ -102,7 +102,9 @@ def _plan(docs: DataFrame, row_key: Column, seed: int = 17, weights: tuple[int,
 def mix_documents(docs: DataFrame, **parameters) -> DataFrame:
     """Rows of docs as often as the mix takes them, range-sorted by training position."""
     keyed = lambda rows, prefix="": row_digest(rows, docs.schema, prefix)
-    plan = stage(_plan(docs, keyed(docs.columns), **parameters).select("row_key", "positions"))
+    folder = shared_dir(docs.sparkSession)
+    with scratch(docs.sparkSession):
+        plan = stage(_plan(docs, keyed(docs.columns), **parameters).select("row_key", "positions"), folder)
     several = stage(plan.groupBy("row_key").agg(F.count(F.lit(1)).alias("n_rows")).where("n_rows > 1"))
     taken = plan.where(F.size("positions") > 0).select(F.col("row_key").alias("taken_key"), "positions")
     rows = packed(docs).withColumn("row_key", keyed(docs.columns, "row."))

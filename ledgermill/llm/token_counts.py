@@ -2,8 +2,8 @@
 
 The cache is a Parquet table (tokenizer, d, n_tokens): SHA-256 of the tokenizer's file, SHA-256 of the
 content, and its count. Contents are joined to it by both digests; distinct misses are encoded and
-appended. Contents of a single row are encoded where they are read; a bounded key filter finds them, so
-that only texts of repeated or cached digests are shuffled.
+appended. A bounded key filter keeps most texts where they are: while most contents are misses, only texts
+of repeated or cached digests are shuffled; once most are cached, only texts that may be misses.
 
 The only normalisation that keeps counts exact is null to empty, so that is what the digest covers.
 
@@ -95,20 +95,29 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache: str | None = None)
     version = tokenizer_digest(tokenizer_path)
     contents = docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("content")).withColumn("d", F.unhex(F.sha2("content", 256)))
     digests = stage(contents.select("doc_id", "d", F.octet_length("content").cast("long").alias("n_bytes")))
-    n_rows = digests.count()
     groups = stage(digests.groupBy("d").agg(F.count(F.lit(1)).alias("group_rows"), F.min("doc_id").alias("first_id")))
+    n_rows, n_digests = groups.agg(F.coalesce(F.sum("group_rows"), F.lit(0)), F.count(F.lit(1))).first()
     known = read_cache(spark, cache).where(F.col("tokenizer") == version).groupBy("d").agg(F.max("n_tokens").alias("n_tokens"))
     known = stage(groups.join(known, "d").select("d", "n_tokens"))
     misses = groups.join(known, "d", "left_anti")
-    if not misses.isEmpty():
-        # a digest that is neither repeated nor cached is a miss of one row
-        special = build_filter(groups.where("group_rows > 1").select("d").unionByName(known.select("d")), "d")
-        marked = may_match(contents, "d", special, "may_repeat")
-        alone = marked.where("NOT may_repeat").select("d", "content")
+    n_known = known.count()
+    n_misses = n_digests - n_known
+    if n_misses:
         wanted = misses.select(F.col("d").alias("miss"), "first_id")
-        met = marked.where("may_repeat").join(wanted, (F.col("d") == F.col("miss")) & F.col("doc_id").eqNullSafe(F.col("first_id")))
-        once = met.select("d", "content").dropDuplicates(["d"])
-        fresh = _counted(alone.unionByName(once), tokenizer_path).select(F.lit(version).alias("tokenizer"), "d", "n_tokens")
+        first_of_miss = (F.col("d") == F.col("miss")) & F.col("doc_id").eqNullSafe(F.col("first_id"))
+        if n_known > n_misses:
+            # most contents are counted: only rows that may be misses are met
+            few = stage(misses.select("d"))
+            met = may_match(contents, "d", build_filter(few, "d"), "may_miss").where("may_miss").join(wanted, first_of_miss)
+            missed = met.select("d", "content").dropDuplicates(["d"])
+        else:
+            # a digest that is neither repeated nor cached is a miss of one row
+            special = stage(groups.where("group_rows > 1").select("d").unionByName(known.select("d")))
+            marked = may_match(contents, "d", build_filter(special, "d"), "may_repeat")
+            alone = marked.where("NOT may_repeat").select("d", "content")
+            once = marked.where("may_repeat").join(wanted, first_of_miss).select("d", "content").dropDuplicates(["d"])
+            missed = alone.unionByName(once)
+        fresh = _counted(missed, tokenizer_path).select(F.lit(version).alias("tokenizer"), "d", "n_tokens")
         fresh.write.mode("append").parquet(cache)
     counts = read_cache(spark, cache).where(F.col("tokenizer") == version).groupBy("d").agg(F.max("n_tokens").alias("n_tokens"))
     resolved = groups.select("d", "group_rows").join(counts, "d")
