@@ -14,7 +14,7 @@ from ledgermill.llm.jaccard_join import drop_near_copies
 from ledgermill.llm.mixing import mix_documents
 from ledgermill.llm.piece_table import piece_digests
 from ledgermill.llm.quality_rules import quality_rules
-from ledgermill.llm.shared import free_name, read_table, ship, stage
+from ledgermill.llm.shared import free_name, read_table, scratch, shared_dir, ship, stage
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,5 +62,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The result of the last stage over the documents of sf_dir."""
     docs = read_table(spark, sf_dir, "documents")
     for _, step in STAGES[:-1]:
-        docs = stage(step(spark, docs, sf_dir))
+        folder = shared_dir(spark)
+        with scratch(spark):  # what a stage writes on its way goes when its result is there
+            docs = stage(step(spark, docs, sf_dir), folder)
     return STAGES[-1][1](spark, docs, sf_dir)
