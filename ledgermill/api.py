@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgermill import jobs, refresh
-from ledgermill.ingest import RUNS_FILE, VALIDATED_TABLE, quarantined, validated
+from ledgermill.ingest import RUNS, VALIDATED_TABLE, quarantined, validated
 from ledgermill.plans import catalog, explain, layout
 from ledgermill.store import Store
 from ledgermill.streaming import incremental
@@ -29,7 +29,7 @@ class Engine:
         return incremental.load(self.spark, self.store, path, stage, **options)
 
     def runs(self) -> list[dict]:
-        return self.store.load_json(RUNS_FILE, [])
+        return self.store.log(RUNS)
 
     def orders(self) -> DataFrame:
         return validated(self.store)
@@ -84,6 +84,9 @@ class Engine:
     def run_job(self, name: str) -> dict:
         return jobs.run_job(self.store, name)
 
+    def run_due_jobs(self) -> list[str]:
+        return jobs.run_due(self.store, datetime.now(timezone.utc))
+
     def job_runs(self, limit: int = 20) -> list[dict]:
         return jobs.recent_runs(self.store, limit)
 

@@ -37,6 +37,7 @@ def parser() -> argparse.ArgumentParser:
     refresh.add_argument("--mode", choices=("full", "incremental", "ledger"), default="incremental")
     job = commands.add_parser("job")
     job.add_argument("name")
+    commands.add_parser("due-jobs", help="run the jobs of the day that are due")
     products = commands.add_parser("top-products")
     products.add_argument("--limit", type=int, default=20)
     commands.add_parser("runs")
@@ -66,6 +67,8 @@ def run(engine: Engine, given: argparse.Namespace):
             return engine.refresh_ledger() if given.mode == "ledger" else engine.refresh_views(given.mode)
         case "job":
             return engine.run_job(given.name)
+        case "due-jobs":
+            return engine.run_due_jobs()
         case "top-products":
             return engine.top_products(given.limit)
         case "runs":

@@ -16,7 +16,7 @@ from ledgermill.sources.files import decide_strategy
 from ledgermill.sources.orders_csv import read_orders
 from ledgermill.store import Store
 
-RAW_TABLE, VALIDATED_TABLE, QUARANTINE_TABLE, RUNS_FILE = "orders_raw", "orders_validated", "orders_quarantine", "runs.json"
+RAW_TABLE, VALIDATED_TABLE, QUARANTINE_TABLE, RUNS = "orders_raw", "orders_validated", "orders_quarantine", "runs"
 ENGINE = "spark"
 
 _ITEM = "struct<sku:string,name:string,qty:double,unit_price:double,total:double,extra:string>"
@@ -58,8 +58,9 @@ def ingest(
     """Loads a CSV file, or with ``from_raw`` the raw rows of ``resume_run_id``, and returns the run's figures.
 
     The raw rows are written first and are the input of all that follows, so the file is read once.
-    Classified rows are written once too, below the store, and the merge, the quarantine and the
-    counts read that table. A run that fails before the merge leaves the validated table as it was.
+    Classified rows are written once too, below the store until the run is over, and the merge, the
+    quarantine and the counts read that table. The merge reads and rewrites the buckets of the
+    validated table that changed records fall into. A run that fails leaves that table as it was.
     """
     if from_raw and not resume_run_id:
         raise ValueError("from_raw needs the run to resume")
@@ -78,8 +79,6 @@ def ingest(
             raw = read.select("source_file", "source_row_number", now.alias("ingested_at"), F.lit(ENGINE).alias("engine_used"), F.struct(*S.RAW_COLUMNS).alias("raw_record"), F.lit(run_id).alias("run_id"))
             store.append(RAW_TABLE, raw, "run_id")
             rows = raw_of_run(store, run_id)
-    if decision["strategy"] == "small":
-        rows = rows.coalesce(1)
     work = f"work/{run_id}"
     found = classify(rows, profile).withColumn("record_hash", record_hash(F.col("clean"), F.col("quality_status"), F.col("corrections")))
     found.write.mode("overwrite").partitionBy("quality_status").parquet(store.path(work))
@@ -89,12 +88,7 @@ def ingest(
         "clean.*", "quality_status", "corrections", "record_hash", now.alias("at_first_validated"), F.lit(run_id).alias("first_seen_run"),
         F.lit(run_id).alias("last_seen_run"), now.alias("at_updated"), "source_file", F.lit(ENGINE).alias("engine_used"),
     )
-    existing = validated(store)
-    outcome = upsert_outcome(existing, accepted, "order_id", "record_hash").first()
-    if outcome["inserted"] or outcome["updated"]:
-        # an unchanged record keeps its row as it was
-        changed = accepted.join(existing.select(F.col("order_id").alias("old_id"), F.col("record_hash").alias("old_hash")), (F.col("order_id") == F.col("old_id")) & (F.col("record_hash") == F.col("old_hash")), "left_anti")
-        store.replace(VALIDATED_TABLE, upsert(existing, changed.select(*existing.columns), ["order_id"], ("at_first_validated", "first_seen_run")))
+    outcome = merge_orders(store, accepted, work)
     rejected = found.where("quality_status = 'quarantine'").select(
         F.lit(run_id).alias("run_id"), "source_file", "source_row_number", now.alias("quarantined_at"), F.lit(ENGINE).alias("engine_used"),
         "error_codes", "error_details", F.col("corrections").alias("partial_corrections_attempted"), F.struct(*S.RAW_COLUMNS).alias("raw_record"),
@@ -108,14 +102,32 @@ def ingest(
     figures = {
         "id_run": run_id, "file_name": path, "file_size_mb": decision["file_size_mb"], "used_engine": ENGINE, "strategy": decision["strategy"], "read_rows": read_rows,
         "loaded_raw": 0 if skip_raw and not from_raw else read_rows, **counts, "seconds_elapsed": round(seconds, 4), "throughput_rows_per_sec": round(read_rows / max(seconds, 1e-9), 2),
-        "partitions": decision["partitions"], "counts_case_error": codes, **{f"count_{k}": v for k, v in outcome.asDict().items()},
+        "partitions": decision["partitions"], "counts_case_error": codes, **{f"count_{k}": v for k, v in outcome.items()},
         "consistency_check": counts["count_valid"] + counts["count_corrected"] + counts["count_quarantine"] == read_rows,
         "generated_at": datetime.now(timezone.utc).isoformat(),
     }
-    store.save_json(RUNS_FILE, [*store.load_json(RUNS_FILE, []), figures])
+    store.add_to_log(RUNS, figures)
+    store.delete(work)
     return figures
 
 
+def merge_orders(store: Store, accepted: DataFrame, work: str) -> dict[str, int]:
+    """Puts accepted records into the validated table; how many were inserted, updated and unchanged.
+
+    An unchanged record keeps its row as it was. Changed ones are written to the folder ``work`` on the way.
+    """
+    near = store.snapshot(VALIDATED_TABLE, VALIDATED_SCHEMA, buckets=store.touched(VALIDATED_TABLE, accepted, "order_id"))
+    counts = upsert_outcome(near, accepted, "order_id", "record_hash").first().asDict()
+    if counts["inserted"] or counts["updated"]:
+        old = near.select(F.col("order_id").alias("old_id"), F.col("record_hash").alias("old_hash"))
+        changed = accepted.join(old, (F.col("order_id") == F.col("old_id")) & (F.col("record_hash") == F.col("old_hash")), "left_anti")
+        changed.select(*near.columns).write.mode("overwrite").parquet(store.path(f"{work}-changed"))
+        changed = store.spark.read.schema(near.schema).parquet(store.path(f"{work}-changed"))
+        store.merge(VALIDATED_TABLE, changed, "order_id", lambda rows, fresh: upsert(rows, fresh, ["order_id"], ("at_first_validated", "first_seen_run")))
+        store.delete(f"{work}-changed")
+    return counts
+
+
 def status_counts(found: DataFrame) -> DataFrame:
     """One row: rows by quality_status, counted in one pass."""
     kinds = ("valid", "corrected", "quarantine")

@@ -1,9 +1,8 @@
-"""Scheduled jobs with a log of their runs."""
+"""Jobs of the day with a log of their runs."""
 
 from __future__ import annotations
 
 import threading
-import time
 from collections.abc import Callable
 from datetime import datetime, timezone
 
@@ -13,7 +12,7 @@ from ledgermill.refresh import full_refresh, incremental_refresh, ledger_refresh
 from ledgermill.store import Store
 from ledgermill.streaming.incremental import latest_delta_ids
 
-JOB_LOG, REPORT_FILE = "job_runs.json", "daily_reports.json"
+JOB_LOG, REPORTS = "job_runs", "daily_reports"
 _busy = threading.Lock()
 
 
@@ -27,13 +26,14 @@ def _view(name: str) -> Callable[[Store], dict]:
 
 
 def daily_reports(store: Store) -> dict:
-    """Writes all reports as one document."""
-    orders = validated(store)
-    reports = {name: [r.asDict(recursive=True) for r in report.build(orders).collect()] for name, report in REPORTS_V2.items() if report.limit} | {
-        name: [r.asDict(recursive=True) for r in report.build(orders).toLocalIterator()] for name, report in REPORTS_V2.items() if not report.limit
-    }
-    store.save_json(REPORT_FILE, reports)
-    return {name: len(rows) for name, rows in reports.items()}
+    """Writes each report as a JSON table of its own, below a folder of the run; rows by report."""
+    orders, folder = validated(store), f"{REPORTS}/{datetime.now(timezone.utc):%Y%m%dT%H%M%S%f}"
+    counts = {}
+    for name, report in REPORTS_V2.items():
+        path = store.path(f"{folder}/{name}")
+        report.build(orders).write.mode("overwrite").json(path)
+        counts[name] = store.spark.read.text(path).count()
+    return {"folder": folder, "rows": counts}
 
 
 #: Job: (hour and minute of the day, UTC; what it does).
@@ -45,13 +45,13 @@ JOBS: dict[str, tuple[tuple[int, int], Callable[[Store], dict]]] = {
 }
 
 
-def run_job(store: Store, name: str) -> dict:
+def run_job(store: Store, name: str, day: str | None = None) -> dict:
     """Runs a job and logs it; skipped while another runs. A failure is logged and raised."""
     if name not in JOBS:
         raise KeyError(f"unknown job {name!r}: {', '.join(JOBS)}")
     if not _busy.acquire(blocking=False):
         return {"job_name": name, "status": "skipped"}
-    entry = {"job_name": name, "started_at": datetime.now(timezone.utc).isoformat(), "status": "running"}
+    entry = {"job_name": name, "started_at": datetime.now(timezone.utc).isoformat(), "status": "running"} | ({"day": day} if day else {})
     try:
         entry["result"] = JOBS[name][1](store)
         entry["status"] = "success"
@@ -60,37 +60,28 @@ def run_job(store: Store, name: str) -> dict:
         raise
     finally:
         entry["finished_at"] = datetime.now(timezone.utc).isoformat()
-        store.save_json(JOB_LOG, [*store.load_json(JOB_LOG, []), entry])
+        store.add_to_log(JOB_LOG, entry)
         _busy.release()
     return entry
 
 
 def recent_runs(store: Store, limit: int = 20) -> list[dict]:
-    return sorted(store.load_json(JOB_LOG, []), key=lambda r: r["started_at"], reverse=True)[:limit]
-
-
-class Scheduler:
-    """Runs each job once a day from its time on. The clock and the pause can be put in for tests."""
-
-    def __init__(self, store: Store, now: Callable[[], datetime] = lambda: datetime.now(timezone.utc), pause: Callable[[], None] = lambda: time.sleep(30)):
-        self.store, self.now, self.pause = store, now, pause
-        self.done: dict[str, str] = {}
-
-    def tick(self) -> list[str]:
-        """Runs the jobs that are due; their names. An error of a job is in the log and does not stop the others."""
-        moment, ran = self.now(), []
-        for name, ((hour, minute), _) in JOBS.items():
-            day = moment.date().isoformat()
-            if (moment.hour, moment.minute) >= (hour, minute) and self.done.get(name) != day:
-                self.done[name] = day
-                ran.append(name)
-                try:
-                    run_job(self.store, name)
-                except Exception:  # noqa: BLE001 - logged by run_job
-                    continue
-        return ran
-
-    def run(self, stop: threading.Event) -> None:
-        while not stop.is_set():
-            self.tick()
-            self.pause()
+    return store.log(JOB_LOG, limit)[::-1]
+
+
+def run_due(store: Store, now: datetime) -> list[str]:
+    """Runs the jobs whose hour has come and that the log does not show for the day; their names.
+
+    To be called by an outside scheduler, as often as it likes. An error of a job is in the log and does not stop the others.
+    """
+    day = now.date().isoformat()
+    done = {r["job_name"] for r in store.log(JOB_LOG, 10 * len(JOBS)) if r.get("day") == day}
+    ran = []
+    for name, ((hour, minute), _) in JOBS.items():
+        if (now.hour, now.minute) >= (hour, minute) and name not in done:
+            ran.append(name)
+            try:
+                run_job(store, name, day)
+            except Exception:  # noqa: BLE001 - logged by run_job
+                continue
+    return ran

@@ -110,8 +110,12 @@ def ledger_refresh(daily: DataFrame, products: DataFrame, ledger: DataFrame, ord
     by_day = signed.where("day IS NOT NULL").select("day", F.col("sign").cast("bigint").alias("orders"), (F.col("sign") * F.col("sales")).alias("sales"))
     daily_sum = daily.select("day", "orders", "sales").unionByName(by_day).groupBy("day").agg(F.sum("orders").alias("orders"), money(F.col("sales")).alias("sales"))
     lines = signed.select("sign", F.explode("products").alias("p"))
-    by_sku = lines.select(F.col("p.sku").alias("sku"), F.when(F.col("sign") > 0, F.col("p.name")).alias("product"), (F.col("sign") * F.col("p.quantity")).alias("quantity"), (F.col("sign") * F.col("p.sales")).alias("sales"))
-    product_sum = products.select("sku", "product", "quantity", "sales").unionByName(by_sku).groupBy("sku").agg(F.min("product").alias("product"), money(F.col("quantity")).alias("quantity"), money(F.col("sales")).alias("sales"))
+    by_sku = lines.select(F.col("p.sku").alias("sku"), (F.col("sign") * F.col("p.quantity")).alias("quantity"), (F.col("sign") * F.col("p.sales")).alias("sales"))
+    # sums forget what is taken out, a least name does not: names of the skus that changed are taken from the new ledger
+    named = new.select(F.explode("products").alias("p")).select("p.sku", "p.name").join(by_sku.select("sku").distinct(), "sku", "left_semi")
+    names = named.groupBy("sku").agg(F.min("name").alias("new_name"), F.lit(True).alias("changed"))
+    sums = products.select("sku", "product", "quantity", "sales").unionByName(by_sku, allowMissingColumns=True).groupBy("sku").agg(F.min("product").alias("product"), money(F.col("quantity")).alias("quantity"), money(F.col("sales")).alias("sales"))
+    product_sum = sums.join(names, "sku", "left").select("sku", F.when(F.col("changed"), F.col("new_name")).otherwise(F.col("product")).alias("product"), "quantity", "sales")
     counts = joined.agg(
         F.count_if(is_new).alias("processed"),
         F.count_if(is_new & ~was_old).alias("inserted"),

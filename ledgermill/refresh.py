@@ -7,12 +7,12 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgermill.ingest import validated
+from ledgermill.ingest import VALIDATED_SCHEMA, VALIDATED_TABLE, validated
 from ledgermill.operators import views
 from ledgermill.plans.catalog import order_items
 from ledgermill.store import Store
 
-DAILY, PRODUCTS, LEDGER, STATE, PREVIOUS = "daily_sales_summary", "top_products_summary", "mv_source_ledger", "mv_refresh_state.json", "mv_source_version.json"
+DAILY, PRODUCTS, LEDGER, STATE, PREVIOUS = "daily_sales_summary", "top_products_summary", "mv_source_ledger", "mv_refresh_state", "mv_source_version"
 MODES = ("full", "incremental")
 VIEWS = ("daily", "products")
 
@@ -49,13 +49,17 @@ def incremental_refresh(store: Store, ids: DataFrame | None, which: tuple[str, .
     for name in which:
         images = [orders.join(ids, "order_id", "left_semi")]
         if name in versions:
-            old = store.spark.read.parquet(f"{store.path('orders_validated')}/v={versions[name]}")
+            touched = store.touched(VALIDATED_TABLE, ids, "order_id")
+            old = store.snapshot(VALIDATED_TABLE, VALIDATED_SCHEMA, versions[name], touched)
             images.append(old.join(ids, "order_id", "left_semi"))
         if name == "daily":
             days = views.affected_days(*images)
-            fresh = views.refresh_daily(daily_view(store).drop("updated_at"), orders, days)
+            # the range of the days reaches the scan, which skips what lies outside
+            span = days.agg(F.min("day").alias("first"), F.max("day").alias("last"), F.count(F.lit(1)).alias("n")).first()
+            near = orders.where(F.col("order_date").between(F.to_timestamp_ntz(F.lit(span["first"])), F.to_timestamp_ntz(F.lit(span["last"])) + F.expr("INTERVAL 1 DAY"))) if span["n"] else orders
+            fresh = views.refresh_daily(daily_view(store).drop("updated_at"), near, days)
             store.replace(DAILY, _stamped(fresh))
-            result["daily_rows"] = days.count()
+            result["daily_rows"] = span["n"]
         else:
             skus = views.affected_products(*(order_items(i) for i in images))
             fresh = views.refresh_products(product_view(store).drop("updated_at"), order_items(orders), skus)
@@ -65,11 +69,22 @@ def incremental_refresh(store: Store, ids: DataFrame | None, which: tuple[str, .
 
 
 def _remember(store: Store, which: tuple[str, ...]) -> dict:
-    version = store.version("orders_validated")
-    store.save_json(PREVIOUS, store.load_json(PREVIOUS, {}) | {name: version for name in which if version is not None})
+    version = store.version(VALIDATED_TABLE)
+    versions = store.load_json(PREVIOUS, {}) | {name: version for name in which if version is not None}
+    store.save_json(PREVIOUS, versions)
+    _clean_up(store, min(versions.values(), default=None))
     return {}
 
 
+def _clean_up(store: Store, since: int | None = None) -> None:
+    """Versions that neither readers nor the next incremental refresh need."""
+    for table in (DAILY, PRODUCTS, LEDGER):
+        if store.version(table) is not None:
+            store.vacuum(table)
+    if since is not None:
+        store.vacuum(VALIDATED_TABLE, since=since)
+
+
 def refresh(store: Store, mode: str = "incremental", ids: DataFrame | None = None, which: tuple[str, ...] = VIEWS) -> dict:
     if mode not in MODES:
         raise ValueError(f"unknown mode {mode!r}: {', '.join(MODES)}")
@@ -91,6 +106,7 @@ def ledger_refresh(store: Store) -> dict:
     store.replace(PRODUCTS, _stamped(done.products))
     store.replace(LEDGER, done.ledger)
     store.save_json(STATE, {"last_refresh_at": datetime.now(timezone.utc).isoformat(), "last_result": counts, "view_versions": versions()})
+    _clean_up(store)
     return counts
 
 

@@ -1,24 +1,35 @@
-"""Tables of a store: append-only Parquet tables, and keyed tables as versioned snapshots.
-
-A keyed table is a folder of versions ``v=N`` and a pointer file that names the current one. A
-writer writes the next version beside it and then replaces the pointer, so a reader never sees half
-a table and the version being read is never overwritten. All paths go through Hadoop's file systems.
+"""Tables of a store: append-only Parquet tables, and keyed tables as versioned snapshots in buckets.
+
+A version of a keyed table is a numbered manifest that names the folder of each bucket. A writer writes
+the buckets that it changes to a new folder and then adds the next manifest, which appears whole or not
+at all; buckets that it does not touch are named again. No pointer is ever deleted or replaced, so a
+writer that stops anywhere leaves the last version as it was, and a reader never sees half a table.
+Small documents are numbered in the same way, and logs have a file for each entry, so that two writers
+do not lose each other's. All paths go through Hadoop's file systems.
 """
 
 from __future__ import annotations
 
 import json
+import re
+import time
+import uuid
+from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-_POINTER = "_current"
+_MANIFESTS = "_manifests"
+BUCKETS = 64
 
 
 class Store:
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+    """``buckets``: of keyed tables when they are made. A merge rewrites the buckets that its rows fall into."""
+
+    def __init__(self, spark: SparkSession, root: str, buckets: int = BUCKETS):
+        self.spark, self.root, self.buckets = spark, root.rstrip("/"), buckets
 
     def path(self, table: str) -> str:
         return f"{self.root}/{table}"
@@ -40,61 +51,137 @@ class Store:
     # keyed snapshot tables
 
     def version(self, table: str) -> int | None:
-        text = self._read_text(f"{self.path(table)}/{_POINTER}")
-        return json.loads(text)["version"] if text else None
+        return max(self._numbers(f"{table}/{_MANIFESTS}"), default=None)
 
-    def snapshot(self, table: str, schema: StructType | str) -> DataFrame:
-        version = self.version(table)
-        if version is None:
+    def snapshot(self, table: str, schema: StructType | str, version: int | None = None, buckets: list[int] | None = None) -> DataFrame:
+        """The current or an earlier version of a keyed table, or some of its buckets; without a version, an empty table of the schema."""
+        manifest = self._manifest(table, version)
+        folders = [f for b, f in manifest["folders"].items() if buckets is None or int(b) in buckets] if manifest else []
+        if not folders:
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.parquet(f"{self.path(table)}/v={version}")
-
-    def replace(self, table: str, rows: DataFrame) -> DataFrame:
-        """Makes rows the next version and points to it; rows may read the current one."""
-        version = (self.version(table) or 0) + 1
-        target = f"{self.path(table)}/v={version}"
-        rows.write.mode("overwrite").parquet(target)
-        self._write_text(f"{self.path(table)}/{_POINTER}", json.dumps({"version": version}))
-        return self.spark.read.parquet(target)
+        return self.spark.read.schema(schema).parquet(*(f"{self.path(table)}/{f}" for f in folders))
+
+    def bucket(self, table: str, key: str) -> Column:
+        """The bucket of a row of a keyed table."""
+        manifest = self._manifest(table)
+        return F.pmod(F.xxhash64(F.col(key)), F.lit(manifest["buckets"] if manifest else self.buckets)).cast("int")
+
+    def touched(self, table: str, rows: DataFrame, key: str) -> list[int]:
+        """The buckets that rows fall into: at most as many numbers as the table has buckets."""
+        return [r["bucket"] for r in rows.select(self.bucket(table, key).alias("bucket")).distinct().collect()]
+
+    def replace(self, table: str, rows: DataFrame, key: str | None = None) -> DataFrame:
+        """Makes rows the next version, in buckets of the key where one is given; rows may read the current one."""
+        number, n_buckets = (self.version(table) or 0) + 1, self.buckets if key else 1
+        folders = self._write(table, number, rows, F.pmod(F.xxhash64(F.col(key)), F.lit(n_buckets)).cast("int") if key else F.lit(0))
+        return self._publish(table, number, n_buckets, folders, rows.schema)
+
+    def merge(self, table: str, changed: DataFrame, key: str, combine: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
+        """The next version, with the buckets that changed falls into made anew by combine(their rows, changed)."""
+        manifest = self._manifest(table)
+        if manifest is None:
+            return self.replace(table, combine(self.spark.createDataFrame([], changed.schema), changed), key)
+        number, buckets = self.version(table) + 1, self.touched(table, changed, key)
+        rows = combine(self.snapshot(table, changed.schema, buckets=buckets), changed)
+        fresh = self._write(table, number, rows, self.bucket(table, key))
+        kept = {b: f for b, f in manifest["folders"].items() if int(b) not in buckets}
+        return self._publish(table, number, manifest["buckets"], kept | fresh, rows.schema)
+
+    def vacuum(self, table: str, keep: int = 2, since: int | None = None) -> int:
+        """Deletes all but the last versions of a keyed table, and folders that no kept version names; how many folders went.
+
+        Versions from ``since`` on stay as well.
+        """
+        numbers = sorted(self._numbers(f"{table}/{_MANIFESTS}"))
+        old = [n for n in numbers[:-keep] if since is None or n < since]
+        kept = {f for n in numbers if n not in old for f in self._manifest(table, n)["folders"].values()}
+        gone = 0
+        for n in old:
+            self.delete(f"{table}/{_MANIFESTS}/{n:012d}.json")
+        for version in self._names(table):
+            if not version.startswith("v=") or int(version[2:]) > max(numbers):
+                continue  # the next version, which is being written
+            for part in self._names(f"{table}/{version}"):
+                if part.startswith("bucket=") and f"{version}/{part}" not in kept:
+                    self.delete(f"{table}/{version}/{part}")
+                    gone += 1
+            if not any(f.startswith(f"{version}/") for f in kept):
+                self.delete(f"{table}/{version}")
+        return gone
+
+    def _manifest(self, table: str, version: int | None = None) -> dict | None:
+        version = self.version(table) if version is None else version
+        return None if version is None else json.loads(self._read_text(f"{table}/{_MANIFESTS}/{version:012d}.json"))
+
+    def _write(self, table: str, number: int, rows: DataFrame, bucket: Column) -> dict[str, str]:
+        rows.withColumn("bucket", bucket).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path(table)}/v={number}")
+        return {p.removeprefix("bucket="): f"v={number}/{p}" for p in self._names(f"{table}/v={number}") if p.startswith("bucket=")}
+
+    def _publish(self, table: str, number: int, n_buckets: int, folders: dict[str, str], schema: StructType) -> DataFrame:
+        self._put(f"{table}/{_MANIFESTS}", number, json.dumps({"buckets": n_buckets, "folders": folders}))
+        return self.snapshot(table, schema, number)
 
     # small documents
 
     def load_json(self, name: str, default):
-        """A JSON document of the store, or default where it is missing or broken."""
-        text = self._read_text(self.path(name))
-        try:
-            return json.loads(text) if text else default
-        except json.JSONDecodeError:
-            return default
+        """The last state of a document, or default where there is none; a broken one raises."""
+        number = max(self._numbers(name), default=None)
+        return default if number is None else json.loads(self._read_text(f"{name}/{number:012d}.json"))
 
     def save_json(self, name: str, value) -> None:
-        self._write_text(self.path(name), json.dumps(value, ensure_ascii=False, indent=1, default=str))
+        """The next state of a document; the one before stays beside it."""
+        numbers = sorted(self._numbers(name))
+        self._put(name, (numbers[-1] if numbers else 0) + 1, json.dumps(value, ensure_ascii=False, indent=1, default=str))
+        for n in numbers[:-1]:
+            self.delete(f"{name}/{n:012d}.json")
+
+    def add_to_log(self, name: str, entry: dict) -> None:
+        self._write_text(f"{name}/{time.time_ns():020d}-{uuid.uuid4().hex[:8]}.json", json.dumps(entry, ensure_ascii=False, default=str))
+
+    def log(self, name: str, last: int | None = None) -> list[dict]:
+        """The entries of a log in order, or the last ones."""
+        names = sorted(n for n in self._names(name) if n.endswith(".json"))
+        return [json.loads(self._read_text(f"{name}/{n}")) for n in (names if last is None else names[len(names) - min(last, len(names)) :])]
+
+    # files
 
     def exists(self, name: str) -> bool:
-        files, path = self._file(self.path(name))
+        files, path = self._file(name)
         return bool(files.exists(path))
 
-    def _file(self, location: str):
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(location)
+    def delete(self, name: str) -> None:
+        files, path = self._file(name)
+        files.delete(path, True)
+
+    def _file(self, name: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(name))
         return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
 
-    def _read_text(self, location: str) -> str | None:
-        files, path = self._file(location)
-        if not files.exists(path):
-            return None
+    def _names(self, folder: str) -> list[str]:
+        files, path = self._file(folder)
+        return [s.getPath().getName() for s in files.listStatus(path)] if files.exists(path) else []
+
+    def _numbers(self, folder: str) -> list[int]:
+        return [int(n[:-5]) for n in self._names(folder) if re.fullmatch(r"\d+\.json", n)]
+
+    def _put(self, folder: str, number: int, text: str) -> None:
+        self._write_text(f"{folder}/{number:012d}.json", text)
+
+    def _read_text(self, name: str) -> str:
+        files, path = self._file(name)
         stream = files.open(path)
         try:
             return bytes(self.spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode()
         finally:
             stream.close()
 
-    def _write_text(self, location: str, text: str) -> None:
-        files, path = self._file(location)
-        part = self.spark._jvm.org.apache.hadoop.fs.Path(f"{location}.next")
+    def _write_text(self, name: str, text: str) -> None:
+        """Writes a new file that appears whole; a file of that name is never replaced."""
+        files, path = self._file(name)
+        _, part = self._file(f"{name}.{uuid.uuid4().hex[:8]}.part")
         stream = files.create(part, True)
         stream.write(bytearray(text.encode()))
         stream.close()
-        if files.exists(path):
-            files.delete(path, False)
-        if not files.rename(part, path):
-            raise OSError(f"could not replace {location}")
+        if files.exists(path) or not files.rename(part, path):
+            files.delete(part, False)
+            raise FileExistsError(f"another writer made {name}")

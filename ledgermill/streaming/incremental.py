@@ -1,4 +1,4 @@
-"""Delta loads: stages with a manifest, and a streaming front end over a folder of files."""
+"""Delta loads: stages with a log, and a streaming front end over a folder of files."""
 
 from __future__ import annotations
 
@@ -14,7 +14,7 @@ from ledgermill.schema import RAW
 from ledgermill.sources.files import input_fingerprint
 from ledgermill.store import Store
 
-MANIFEST, DELTA_IDS = "incremental.json", "delta_ids"
+LOADS, DELTA_IDS = "incremental", "delta_ids"
 STAGES = ("normal", "initial", "delta")
 
 
@@ -28,16 +28,14 @@ def load(spark: SparkSession, store: Store, path: str, stage: str = "normal", **
     if stage == "normal":
         return ingest(spark, store, path, **options)
     fingerprint = input_fingerprint(spark, path)
-    manifest = store.load_json(MANIFEST, {"runs": []})
-    seen = any(r["file_hash"] == fingerprint for r in manifest["runs"])
+    seen = any(r["file_hash"] == fingerprint for r in store.log(LOADS))
     figures = ingest(spark, store, path, **options)
     entry = {k: figures[k] for k in ("id_run", "count_inserted", "count_updated", "count_unchanged")} | {"stage": stage, "file": path, "file_hash": fingerprint, "at": datetime.now(timezone.utc).isoformat(), "seen_before": seen}
     if stage == "delta":
         ids = delta_ids(raw_of_run(store, figures["id_run"])).withColumn("run_id", F.lit(figures["id_run"]))
         store.append(DELTA_IDS, ids, "run_id")
         entry["order_ids_count"] = store.read(DELTA_IDS).where(F.col("run_id") == figures["id_run"]).count()
-    manifest["runs"].append(entry)
-    store.save_json(MANIFEST, manifest)
+    store.add_to_log(LOADS, entry)
     return figures | {"stage": stage, "file_hash": fingerprint, "seen_before": seen}
 
 
@@ -47,7 +45,7 @@ def delta_ids(rows: DataFrame) -> DataFrame:
 
 def latest_delta_ids(store: Store) -> DataFrame:
     """order_id of the last delta; none where there was no delta."""
-    deltas = [r for r in store.load_json(MANIFEST, {"runs": []})["runs"] if r["stage"] == "delta"]
+    deltas = [r for r in store.log(LOADS) if r["stage"] == "delta"]
     ids = store.read(DELTA_IDS, "order_id string, run_id string")
     return ids.where(F.col("run_id") == (deltas[-1]["id_run"] if deltas else "")).select("order_id")
 
@@ -61,10 +59,11 @@ def stream_folder(spark: SparkSession, store: Store, folder: str, checkpoint: st
     rows = spark.readStream.schema(RAW).option("header", True).option("escape", '"').option("maxFilesPerTrigger", files_per_batch).csv(folder)
 
     def merge(batch: DataFrame, number: int) -> None:
-        target = f"{store.path('stream')}/batch-{number:09d}"
-        batch.write.mode("overwrite").option("header", True).option("escape", '"').option("quoteAll", True).csv(target)
+        folder = f"stream/batch-{number:09d}"
+        batch.write.mode("overwrite").option("header", True).option("escape", '"').option("quoteAll", True).csv(store.path(folder))
         if not batch.isEmpty():
-            ingest(batch.sparkSession, store, target)
+            ingest(batch.sparkSession, store, store.path(folder))
+        store.delete(folder)
 
     writer = rows.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()

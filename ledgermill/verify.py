@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ledgermill.api import Engine
-from ledgermill.ingest import QUARANTINE_TABLE, RAW_TABLE, RUNS_FILE, VALIDATED_TABLE
+from ledgermill.ingest import QUARANTINE_TABLE, RAW_TABLE, RUNS, VALIDATED_TABLE
 from ledgermill.operators.dedup import repeated_keys
 from ledgermill.refresh import DAILY, PRODUCTS, daily_view, product_view
 
@@ -18,7 +18,7 @@ def verify(engine: Engine) -> list[tuple[str, bool]]:
         F.count_if(~F.col("quality_status").isin("valid", "corrected")).alias("odd_status"), F.count_if((F.col("quality_status") == "valid") & (F.size("corrections") > 0)).alias("odd_valid"),
         F.count_if(F.col("currency") != "YER").alias("odd_currency"), F.count_if(F.col("at_first_validated").isNull()).alias("no_first"),
     ).first()
-    runs = store.load_json(RUNS_FILE, [])
+    runs = store.log(RUNS)
     return [
         ("raw table exists", store.exists(RAW_TABLE)),
         ("validated table exists", store.version(VALIDATED_TABLE) is not None),
