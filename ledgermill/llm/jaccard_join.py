@@ -64,7 +64,7 @@ CHUNK_NODES = 60_000
 ROUNDS, ROUND_PIVOTS, SALTS = 8, 4, 64
 #: A shingle is common from this many nodes on, and from one node in COMMON_SHARE on.
 COMMON_LEAST, COMMON_SHARE = 1000, 2000
-#: Nodes of a region that meet one copy of its lengths, and steps of a length class to the next double length.
+#: Nodes from which a region is crowded, and length classes up to the double length.
 REGION_ROWS, LENGTH_STEPS = 5000, 32
 #: Share of the nodes that a task holds at once from which it counts a shingle towards the common ones.
 NOMINATED_SHARE = 0.001
@@ -287,18 +287,18 @@ def _shared_keys(ranges: DataFrame, n_buckets: int, common: np.ndarray, common_c
 
 
 def _survivors(shared: DataFrame, percent: int) -> DataFrame:
-    """node, n, keys (sorted, shared ones only), alone (its keys that no other has) and regions (those it visits) of nodes that may have partners."""
-    schema = pa.schema([("node", pa.binary()), ("n", pa.int64()), ("keys", pa.binary()), ("alone", pa.int64()), ("regions", pa.list_(pa.int64()))])
+    """Of nodes that may have partners: n, keys (sorted, shared ones only), alone (its keys that no other has), regions (those it visits) and their nodes."""
+    schema = pa.schema([("node", pa.binary()), ("n", pa.int64()), ("keys", pa.binary()), ("alone", pa.int64()), ("regions", pa.list_(pa.int64())), ("crowds", pa.list_(pa.int64()))])
 
     def of_chunk(nodes: bytes, sizes: np.ndarray, places: np.ndarray, keys: np.ndarray, counts: np.ndarray, out: list[dict]) -> None:
         order = np.lexsort((keys, counts, places))
-        places, keys = places[order], keys[order]
+        places, keys, counts = places[order], keys[order], counts[order]
         bounds = np.searchsorted(places, np.arange(len(sizes) + 1))
         alone = sizes - np.diff(bounds)
         visits = sizes - (percent * sizes.astype(np.int64) + 99) // 100 + 1 - alone
         for i in np.flatnonzero((np.diff(bounds) > 0) & (visits > 0)):
             own = keys[bounds[i] : bounds[i + 1]]
-            out.append({"node": nodes[16 * i : 16 * i + 16], "n": int(sizes[i]), "keys": np.sort(own).tobytes(), "alone": int(alone[i]), "regions": own[: visits[i]].view(np.int64)})
+            out.append({"node": nodes[16 * i : 16 * i + 16], "n": int(sizes[i]), "keys": np.sort(own).tobytes(), "alone": int(alone[i]), "regions": own[: visits[i]].view(np.int64), "crowds": counts[bounds[i] : bounds[i + 1]][: visits[i]].astype(np.int64)})
 
     def each(table: pa.Table) -> pa.Table:
         heads = {int.from_bytes(r["chunks"], "little"): r for r in table.filter(pc.is_valid(table.column("nodes"))).select(["chunks", "nodes", "sizes"]).to_pylist()}
@@ -311,46 +311,56 @@ def _survivors(shared: DataFrame, percent: int) -> DataFrame:
             of_chunk(head["nodes"], np.frombuffer(head["sizes"], np.int32), places[at], keys[at], counts[at], out)
         return pa.Table.from_pylist(out, schema=schema)
 
-    return shared.groupBy("bucket").applyInArrow(each, "node binary, n bigint, keys binary, alone bigint, regions array<bigint>")
+    return shared.groupBy("bucket").applyInArrow(each, "node binary, n bigint, keys binary, alone bigint, regions array<bigint>, crowds array<bigint>")
+
+
+def _with_partners(visits: DataFrame, n_salts: int) -> DataFrame:
+    """node and region of the visits (node, region, n, most) that leave room for a partner."""
+    length = F.floor(F.log2("n") * LENGTH_STEPS).cast("int")
+    classes = visits.groupBy("region", length.alias("length")).agg(F.min("n").alias("least_n"), F.max("most").alias("most_most"), F.count(F.lit(1)).alias("n_nodes"))
+    regions = classes.groupBy("region").agg(F.collect_list(F.struct("length", "least_n", "most_most", "n_nodes")).alias("lengths"))
+    on = ["region"]
+    if n_salts > 1:  # the visits of a crowded region are dealt to several tasks
+        visits = visits.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(n_salts)))
+        regions = regions.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_salts - 1).cast("long"))))
+        on = ["region", "salt"]
+    partner = F.exists("lengths", lambda c: (c["least_n"] <= F.col("most")) & (c["most_most"] >= F.col("n")) & ((c["n_nodes"] > 1) | (c["length"] != length)))
+    return visits.join(regions, on).where(partner).select("node", "region")
 
 
 def _meetings(survivors: DataFrame, percent: int) -> DataFrame:
-    """node and region of the visits that leave room for a partner.
+    """Edges (a, b) between nodes that share a region with room for a partner.
 
     In a region, x and y can share no more than what stands from its key on in both, each in its order of
     rarity. So x needs a y with n(y) <= most(x) and n(x) <= most(y), where most is the largest partner that
     its rest allows. Lengths are looked up by class, of which a region has at most LENGTH_STEPS for a doubling.
     """
-    visits = survivors.select("node", "n", "alone", F.posexplode("regions").alias("place", "region"))
+    visits = survivors.select("node", "n", "alone", F.posexplode(F.arrays_zip("regions", "crowds")).alias("place", "visit"))
     rest = F.col("n") - F.col("alone") - F.col("place")
-    most = F.floor(F.lit(100 + percent) * rest / F.lit(percent)) - F.col("n")
-    visits = visits.select("node", "n", "region", most.cast("long").alias("most"), F.floor(F.log2("n") * LENGTH_STEPS).cast("int").alias("length"))
-    classes = visits.groupBy("region", "length").agg(F.min("n").alias("least_n"), F.max("most").alias("most_most"), F.count(F.lit(1)).alias("n_nodes"))
-    regions = classes.groupBy("region").agg(F.collect_list(F.struct("length", "least_n", "most_most", "n_nodes")).alias("lengths"), F.sum("n_nodes").alias("region_nodes")).where("region_nodes > 1")
-    # a region of very many nodes is dealt to several tasks
-    salts = F.ceil(F.col("region_nodes") / REGION_ROWS)
-    dealt = regions.withColumnRenamed("region", "at_region").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)))
-    hot = regions.where(F.col("region_nodes") > REGION_ROWS).select(F.col("region").alias("hot_region"), salts.alias("salts"))
-    salted = visits.join(hot, F.col("region") == F.col("hot_region"), "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("node"), F.col("salts")), F.lit(0).cast("long")))
-    met = salted.join(dealt, (F.col("region") == F.col("at_region")) & (salted["salt"] == dealt["salt"]))
-    partner = F.exists("lengths", lambda c: (c["least_n"] <= F.col("most")) & (c["most_most"] >= F.col("n")) & ((c["n_nodes"] > 1) | (c["length"] != F.col("length"))))
-    return met.where(partner).select("node", "region")
+    most = (F.floor(F.lit(100 + percent) * rest / F.lit(percent)) - F.col("n")).cast("int")
+    visits = visits.select("node", F.col("visit.regions").alias("region"), F.col("n").cast("int").alias("n"), most.alias("most"), (F.col("visit.crowds") > REGION_ROWS).alias("crowded"))
+    # one shuffle by region serves all that follows; crowded regions are combined before the shuffle and dealt anew
+    quiet = _with_partners(visits.where("NOT crowded").drop("crowded").repartition(partitions_of(survivors.sparkSession), "region"), 1)
+    crowded = _with_partners(visits.where("crowded").drop("crowded"), SALTS)
+    return _stars(quiet).unionByName(_stars(crowded))
+
+
+def _stars(visits: DataFrame) -> DataFrame:
+    first = visits.groupBy("region").agg(F.min("node").alias("first_node"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    return visits.join(first, "region").where("node <> first_node").select(F.col("node").alias("a"), F.col("first_node").alias("b"))
 
 
 def _islands(survivors: DataFrame, percent: int) -> DataFrame:
     """node and island of the nodes that share a region with another."""
-    visits = stage(_meetings(survivors, percent))
-    first = visits.groupBy("region").agg(F.min("node").alias("first_node"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    edges = visits.join(first, "region").where("node <> first_node").select(F.col("node").alias("a"), F.col("first_node").alias("b"))
-    return connected_components(edges).select("node", F.col("root").alias("island"))
+    return connected_components(_meetings(survivors, percent)).select("node", F.col("root").alias("island"))
 
 
-_LINKS = "a binary, b binary"
+_LINKS = "a bigint, b bigint"
 
 
 def _leaf_links(groups: DataFrame, percent: int, n_packs: int) -> DataFrame:
     """Star edges of the components inside each group (grp, node, n, keys, guest) that fits a task."""
-    schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def each(table: pa.Table) -> pa.Table:
         grp = np.array(table.column("grp").to_pylist(), dtype=object)
@@ -393,7 +403,7 @@ def _round(groups: DataFrame, percent: int, number: int) -> tuple[DataFrame, Dat
             out: list[dict] = []
             for r in batch.to_pylist():
                 own = np.frombuffer(r["keys"], dtype=np.uint64)
-                known: dict[bytes, tuple[float, bool]] = {}
+                known: dict[int, tuple[float, bool]] = {}
                 for p in r["pivots"]:
                     if p["node"] not in known:
                         inter = len(np.intersect1d(own, np.frombuffer(p["keys"], dtype=np.uint64), assume_unique=True))
@@ -409,10 +419,10 @@ def _round(groups: DataFrame, percent: int, number: int) -> tuple[DataFrame, Dat
                 home = next(i for i, (_, (d, _)) in enumerate(table) if d == least)
                 for i, (p, (d, linked)) in enumerate(table):
                     if (i == home and not r["guest"]) or (d <= least + 2 * reach + 1e-9 and (r["guest"] or i < home)):
-                        out.append({"grp": f"{r['grp']}/{p.hex()}", "node": r["node"], "n": r["n"], "keys": r["keys"], "guest": bool(r["guest"] or i != home), "distance": d, "linked_to": p if linked else None})
-            yield pa.RecordBatch.from_pylist([{f: x.get(f) for f in fields} for x in out], schema=pa.schema([("grp", pa.string()), ("node", pa.binary()), ("n", pa.int64()), ("keys", pa.binary()), ("guest", pa.bool_()), ("linked_to", pa.binary()), ("distance", pa.float64())]))
+                        out.append({"grp": f"{r['grp']}/{p}", "node": r["node"], "n": r["n"], "keys": r["keys"], "guest": bool(r["guest"] or i != home), "distance": d, "linked_to": p if linked else None})
+            yield pa.RecordBatch.from_pylist([{f: x.get(f) for f in fields} for x in out], schema=pa.schema([("grp", pa.string()), ("node", pa.int64()), ("n", pa.int64()), ("keys", pa.binary()), ("guest", pa.bool_()), ("linked_to", pa.int64()), ("distance", pa.float64())]))
 
-    dealt = stage(met.mapInArrow(each, "grp string, node binary, n bigint, keys binary, guest boolean, linked_to binary, distance double"))
+    dealt = stage(met.mapInArrow(each, "grp string, node bigint, n bigint, keys binary, guest boolean, linked_to bigint, distance double"))
     links = dealt.where("grp IS NULL").select(F.col("node").alias("a"), F.col("linked_to").alias("b"))
     placed = dealt.where("grp IS NOT NULL")
     # of a region, sets linked to its pivot matter only as partners of sets that are not
@@ -432,7 +442,7 @@ def _blocks(groups: DataFrame, sizes: DataFrame, leaf_keys: int) -> DataFrame:
 
 
 def _links(survivors: DataFrame, percent: int, leaf_keys: int) -> DataFrame:
-    groups = stage(survivors.join(_islands(survivors, percent), "node").select(F.hex("island").alias("grp"), "node", "n", "keys", F.lit(False).alias("guest")))
+    groups = stage(survivors.join(_islands(survivors, percent), "node").select(F.col("island").cast("string").alias("grp"), "node", "n", "keys", F.lit(False).alias("guest")))
     packs = partitions_of(groups.sparkSession)
     found: DataFrame | None = None
     add = lambda links: links if found is None else found.unionByName(links)
@@ -454,7 +464,7 @@ def _links(survivors: DataFrame, percent: int, leaf_keys: int) -> DataFrame:
 
 
 def _classes(docs: DataFrame, percent: int = PERCENT, size: int = SIZE, range_keys: int = RANGE_KEYS, leaf_keys: int = LEAF_KEYS, common_least: int = COMMON_LEAST, coarse: int = COARSE) -> tuple[DataFrame, int]:
-    """doc_id, n_shingles, content and class (a node of the component, null without words) of every row, and the number of rows."""
+    """doc_id, n_shingles, content and class (of the component, null without words) of every row, and the number of rows."""
     folder = shared_dir(docs.sparkSession)
     with scratch(docs.sparkSession):
         sets = stage(shingle_sets(docs, size))
@@ -466,9 +476,11 @@ def _classes(docs: DataFrame, percent: int = PERCENT, size: int = SIZE, range_ke
         common, counts = _common_keys(texts, size, n_rows, common_least)
         shared = _shared_keys(_key_ranges(texts, size, n_ranges, n_buckets, common, coarse), n_buckets, common, counts, coarse)
         # rows that repeat in full may leave a node in several chunks: it is then its own partner, which changes nothing
-        survivors = stage(_survivors(shared, percent))
-        roots = connected_components(_links(survivors, percent, leaf_keys))
-        marked = sets.join(roots, "node", "left").withColumn("class", F.coalesce("root", "node"))
+        named = stage(_survivors(shared, percent).withColumnRenamed("node", "set").withColumn("node", F.monotonically_increasing_id()))
+        roots = connected_components(_links(named.drop("set"), percent, leaf_keys))
+        # a root of eight bytes and a set of sixteen are never the same
+        roots = named.select("set", "node").join(roots, "node").groupBy("set").agg(F.unhex(F.lpad(F.hex(F.min("root")), 16, "0")).alias("root"))
+        marked = sets.join(roots, F.col("node") == F.col("set"), "left").withColumn("class", F.coalesce("root", "node"))
         marked = marked.select("doc_id", "n_shingles", "content", F.when(F.col("n_shingles") > 0, F.col("class")).alias("class"))
         return stage(marked, folder), n_rows
 
