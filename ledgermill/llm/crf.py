@@ -14,7 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 
 #: Feature numbers are hashes of names below this bound.
-WIDTH = 1 << 14
+WIDTH = 1 << 17
 #: Steps of the padded sequences that are decoded at once; a longer sequence is decoded by itself.
 PADDED_STEPS = 500_000
 
@@ -113,27 +113,40 @@ class ChainCRF:
         marginals = forward * backward
         return marginals, pairs, marginals[:, 0].sum(axis=0)
 
-    def fit(self, data: Sequences, labels: np.ndarray, rounds: int = 60, rate: float = 0.15, decay: float = 1e-4) -> ChainCRF:
-        """Adam on the full batch; the same data give the same model."""
-        which = np.flatnonzero(np.diff(data.bounds))
-        at, real = self._padded(data.bounds, which)
-        k, n = len(self.first), int(real.sum())
-        position_of = np.repeat(np.arange(len(labels)), np.diff(data.starts))
-        truth = np.eye(k)[labels]
-        next_to = np.setdiff1d(np.arange(1, len(labels)), data.bounds)
-        true_pairs = np.zeros((k, k))
-        np.add.at(true_pairs, (labels[next_to - 1], labels[next_to]), 1)
-        true_first = truth[data.bounds[which]].sum(axis=0)
+    def fit(self, data: Sequences, labels: np.ndarray, epochs: int = 10, rate: float = 0.07, decay: float = 1e-6, batch: int = 200, seed: int = 5) -> ChainCRF:
+        """Adam over batches of sequences with a falling rate; the same data give the same model."""
+        every = np.flatnonzero(np.diff(data.bounds))
+        k, rng = len(self.first), np.random.default_rng(seed)
         parts = [self.weights, self.transitions, self.first]
-        moments = [(np.zeros(p.shape), np.zeros(p.shape)) for p in parts]
-        for step in range(1, rounds + 1):
-            marginals, pairs, first = self._gradient(self._scores(data), at, real)
-            expected = np.zeros((len(labels), k))
-            expected[at[real]] = marginals[real]
-            off = (truth - expected)[position_of]
-            slope = np.stack([np.bincount(data.ids, weights=off[:, j], minlength=WIDTH) for j in range(k)], axis=1)
-            for part, grad, (m, v) in zip(parts, (slope / n - decay * self.weights, (true_pairs - pairs) / n, (true_first - first) / n), moments):
-                m += 0.1 * (grad - m)
-                v += 0.01 * (grad * grad - v)
-                part += (rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
+        moments = [(np.zeros(p.shape, np.float32), np.zeros(p.shape, np.float32)) for p in parts]
+        step, steps = 0, epochs * -(-len(every) // batch)
+        for _ in range(epochs):
+            order = rng.permutation(every)
+            for lo in range(0, len(order), batch):
+                some, truth = self._part(data, labels, order[lo : lo + batch])
+                at, real = self._padded(some.bounds, np.arange(len(some.bounds) - 1))
+                marginals, pairs, first = self._gradient(self._scores(some), at, real)
+                expected = np.zeros((len(truth), k))
+                expected[at[real]] = marginals[real]
+                off = (np.eye(k)[truth] - expected)[np.repeat(np.arange(len(truth)), np.diff(some.starts))]
+                slope = np.stack([np.bincount(some.ids, weights=off[:, j], minlength=WIDTH) for j in range(k)], axis=1)
+                true_pairs = np.zeros((k, k))
+                follows = np.setdiff1d(np.arange(1, len(truth)), some.bounds)
+                np.add.at(true_pairs, (truth[follows - 1], truth[follows]), 1)
+                true_first = np.bincount(truth[some.bounds[:-1]], minlength=k)
+                n, step = len(truth), step + 1
+                pace = rate * (1 - (step - 1) / steps)
+                for part, grad, (m, v) in zip(parts, (slope / n - decay * self.weights, (true_pairs - pairs) / n, (true_first - first) / n), moments):
+                    m += 0.1 * (grad - m)
+                    v += 0.01 * (grad * grad - v)
+                    part += (pace * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
         return self
+
+    @staticmethod
+    def _part(data: Sequences, labels: np.ndarray, which: np.ndarray) -> tuple[Sequences, np.ndarray]:
+        """The sequences ``which`` with their labels."""
+        positions = np.concatenate([np.arange(data.bounds[s], data.bounds[s + 1]) for s in which])
+        lengths = data.starts[positions + 1] - data.starts[positions]
+        starts = np.concatenate(([0], np.cumsum(lengths)))
+        ids = data.ids[np.repeat(data.starts[positions] - starts[:-1], lengths) + np.arange(starts[-1])]
+        return Sequences(ids, starts, np.concatenate(([0], np.cumsum(data.bounds[which + 1] - data.bounds[which])))), labels[positions]

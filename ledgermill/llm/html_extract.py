@@ -26,7 +26,7 @@ from ledgermill.llm.crf import ChainCRF, Sequences
 from ledgermill.llm.html_blocks import blocks_of, features_of
 from ledgermill.llm.labelled_pages import labelled_pages
 
-TRAINING_PAGES = 1200
+TRAINING_PAGES = 2400
 #: Pages decoded at once, by characters.
 DECODE_CHARS = 4_000_000
 

@@ -6,7 +6,7 @@ classes, lengths, links, and the order of the parts.
 
 from __future__ import annotations
 
-import numpy as np
+import random
 
 # Names that sites give to the parts of their pages.
 NAMES = {
@@ -26,21 +26,21 @@ _SYLLABLES = "the of and to in re er on an th ti en de la le ou ver ein sch ung
 
 
 class _Writer:
-    def __init__(self, rng: np.random.Generator):
+    def __init__(self, rng: random.Random):
         self.rng, self.parts, self.labels = rng, [], []
 
     def pick(self, values):
-        return values[int(self.rng.integers(len(values)))]
+        return values[int(self.rng.random() * len(values))]
 
     def chance(self, share: float) -> bool:
-        return bool(self.rng.random() < share)
+        return self.rng.random() < share
 
     def words(self, least: int, most: int) -> str:
-        n = int(self.rng.integers(least, most + 1))
-        return " ".join("".join(self.pick(_SYLLABLES) for _ in range(int(self.rng.integers(1, 4)))) for _ in range(n))
+        n = self.rng.randint(least, most)
+        return " ".join("".join(self.pick(_SYLLABLES) for _ in range(self.rng.randint(1, 3))) for _ in range(n))
 
     def sentences(self, least: int, most: int) -> str:
-        n = int(self.rng.integers(least, most + 1))
+        n = self.rng.randint(least, most)
         return " ".join(self.words(4, 18).capitalize() + self.pick([".", ".", ".", "!", "?"]) for _ in range(n))
 
     def tag(self, text: str) -> None:
@@ -60,14 +60,14 @@ class _Writer:
         self.named(element, kind)
         listed = self.chance(0.7)
         self.tag("<ul>" if listed else "<div>")
-        for _ in range(int(self.rng.integers(least, most + 1))):
+        for _ in range(self.rng.randint(least, most)):
             self.block("li" if listed else "div", self.words(1, 4), 0, link=True)
         self.tag(("</ul>" if listed else "</div>") + f"</{element}>")
 
     def short(self, element: str, kind: str, share: float = 0.95) -> None:
         """A box of one or two blocks that says something short."""
         self.named(element, kind, share)
-        for _ in range(int(self.rng.integers(1, 3))):
+        for _ in range(self.rng.randint(1, 2)):
             text = self.pick([self.sentences(1, 2), self.words(2, 8), self.sentences(1, 3)])
             if kind == "footer" and self.chance(0.7):
                 text = self.pick(["©", "&copy;", "Copyright"]) + " " + text
@@ -86,7 +86,7 @@ class _Writer:
             self.block(self.pick(["h2", "h3"]), self.words(1, 4), 0)
         if listed:
             self.named("ol", "comments", 0.8)
-        for _ in range(int(self.rng.integers(1, 6))):
+        for _ in range(self.rng.randint(1, 5)):
             self.named("li" if listed else self.pick(["div", "article"]) if self.chance(0.3) else "div", "comments", 0.8)
             if self.chance(0.3):
                 self.block(self.pick(["div", "cite", "footer"]) if not listed else "div", self.words(1, 4), 0)
@@ -98,14 +98,14 @@ class _Writer:
     def byline(self) -> None:
         """Author and date of a text, which are not of it."""
         self.named(self.pick(["div", "p", "div"]), "byline", 1.0)
-        self.tag(self.pick(["<span>", "<time>", ""]) + self.pick([self.words(2, 5), f"By {self.words(2, 2)}", f"{self.words(1, 2)} 1{self.rng.integers(10)}, 20{self.rng.integers(10, 30)}"]))
+        self.tag(self.pick(["<span>", "<time>", ""]) + self.pick([self.words(2, 5), f"By {self.words(2, 2)}", f"{self.words(1, 2)} 1{self.rng.randint(0, 9)}, 20{self.rng.randint(10, 29)}"]))
         self.labels.append(0)
         self.tag("</span></time></div></p>")
 
     def terms(self) -> None:
         """A list of terms, as documentation has it."""
         self.tag(self.pick(["<dl>", '<dl class="function">', '<dl class="terms">']))
-        for _ in range(int(self.rng.integers(1, 4))):
+        for _ in range(self.rng.randint(1, 3)):
             self.block("dt", self.words(1, 4), 1)
             self.tag("<dd>" if (wrapped := self.chance(0.4)) else "")
             self.block("p" if wrapped else "dd", self.sentences(1, 2), 1)
@@ -127,10 +127,10 @@ class _Writer:
         def menu() -> None:
             self.tag(self.pick(["<td>", '<td class="menu">', '<td class="nav">', '<td valign="top">']))
             if self.chance(0.5):
-                self.tag(" | ".join(f'<a href="/">{self.words(1, 2)}</a>' for _ in range(int(self.rng.integers(1, 7)))))
+                self.tag(" | ".join(f'<a href="/">{self.words(1, 2)}</a>' for _ in range(self.rng.randint(1, 6))))
                 self.labels.append(0)
             else:
-                for _ in range(int(self.rng.integers(2, 7))):
+                for _ in range(self.rng.randint(2, 6)):
                     self.block("p" if self.chance(0.5) else "div", self.words(1, 2), 0, link=True)
             self.tag("</td>")
 
@@ -143,7 +143,7 @@ class _Writer:
         self.tag(self.pick(["<td>", '<td class="content">', '<td class="text">', '<td valign="top">']))
         if self.chance(0.8):
             self.block(self.pick(["h1", "h2"]), self.words(2, 9).capitalize(), 1)
-        for _ in range(int(self.rng.integers(2, 8))):
+        for _ in range(self.rng.randint(2, 7)):
             self.block("p", self.pick([self.sentences(1, 3), self.sentences(3, 8), self.words(8, 30)]), 1)
         self.tag("</td>")
         if not left:
@@ -161,44 +161,44 @@ class _Writer:
             inside = self.chance(0.3)
             self.tag(self.pick(["<header>", '<header class="entry-header">', '<header class="post-header">']) if inside else "")
             self.block("h1", self.words(2, 14).capitalize() + self.pick(["", "."]), 1)
-            if self.chance(0.3):
+            if self.chance(0.4):
                 self.byline()
             self.tag("</header>" if inside else "")
             if self.chance(0.1):
                 self.byline()
         inner = self.chance(0.2)
         self.tag(self.pick(['<div class="entry-content">', '<div class="post-body">', '<div class="body">', "<div>"]) if inner else "")
-        for _ in range(int(self.rng.integers(1, 14))):
+        for _ in range(self.rng.randint(1, 13)):
             kind = self.rng.random()
-            if kind < 0.72:
+            if kind < 0.69:
                 text = self.pick([self.sentences(1, 1), self.sentences(1, 3), self.sentences(3, 8), self.words(1, 3).capitalize() + ".", self.words(6, 30)])
                 if self.chance(0.15):
                     text = f"<b>{text[:20]}</b>{text[20:]}"
                 if self.chance(0.15):
                     text += f' <a href="/x">{self.words(1, 4)}</a> {self.words(2, 6)}.'
                 self.block("p" if self.chance(0.95) else "div", text, 1)
-            elif kind < 0.80:
+            elif kind < 0.76:
                 self.block(self.pick(["h2", "h3"]), self.words(1, 6).capitalize(), 1)
-            elif kind < 0.84:
+            elif kind < 0.80:
                 self.pick([self.terms, self.terms, self.figure, self.code])()
-            elif kind < 0.87:
+            elif kind < 0.83:
                 self.tag("<ul>")
-                for _ in range(int(self.rng.integers(1, 5))):
+                for _ in range(self.rng.randint(1, 4)):
                     self.block("li", self.words(2, 12), 1)
                 self.tag("</ul>")
-            elif kind < 0.90:
+            elif kind < 0.86:
                 self.tag("<blockquote>")
                 self.block("p", self.sentences(1, 3), 1)
                 self.tag("</blockquote>")
-            elif kind < 0.92:
+            elif kind < 0.88:
                 self.tag("<table>")
-                for _ in range(int(self.rng.integers(1, 3))):
+                for _ in range(self.rng.randint(1, 2)):
                     self.tag("<tr>")
                     for _ in range(2):
                         self.block("td", self.words(1, 4), 1)
                     self.tag("</tr>")
                 self.tag("</table>")
-            elif kind < 0.96:
+            elif kind < 0.95:
                 self.short(self.pick(["div", "aside"]), self.pick(["ad", "notice", "aside"]), 1.0)
             else:
                 self.links("div", self.pick(["share", "aside"]), 2, 5)
@@ -221,7 +221,7 @@ def labelled_pages(n: int, seed: int = 11) -> list[tuple[str, list[int]]]:
     """n pages with the labels of their blocks in page order: 1 for main text, 0 for all else."""
     pages = []
     for i in range(n):
-        w = _Writer(np.random.default_rng((seed, i)))
+        w = _Writer(random.Random(f"{seed}/{i}"))
         w.tag("<!DOCTYPE html><html><head><title>t</title><style>p{margin:0}</style></head><body>")
         if w.chance(0.3):
             w.short("div", "notice")
