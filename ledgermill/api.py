@@ -7,9 +7,10 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgermill import jobs, refresh
-from ledgermill.ingest import RUNS, VALIDATED_TABLE, quarantined, validated
+from ledgermill.ingest import RUNS, VALIDATED_SCHEMA, VALIDATED_TABLE, quarantined, validated
+from ledgermill.operators.merge import of_keys
 from ledgermill.plans import catalog, explain, layout
-from ledgermill.store import Store
+from ledgermill.store import BUCKETS, Store
 from ledgermill.streaming import incremental
 
 _REGISTRIES = {"query": catalog.QUERIES, "pquery": catalog.PARAMETER_QUERIES}
@@ -19,8 +20,8 @@ _REPORTS = {"agg": catalog.REPORTS, "agg_v2": catalog.REPORTS_V2}
 class Engine:
     """Unknown names raise KeyError; wrong parameters, modes and stages raise ValueError."""
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.store = spark, Store(spark, root)
+    def __init__(self, spark: SparkSession, root: str, buckets: int = BUCKETS):
+        self.spark, self.store = spark, Store(spark, root, buckets)
 
     def health(self) -> dict:
         return {"status": "ok", "spark": self.spark.version, "orders_version": self.store.version(VALIDATED_TABLE)}
@@ -34,6 +35,11 @@ class Engine:
     def orders(self) -> DataFrame:
         return validated(self.store)
 
+    def find(self, keys: DataFrame) -> DataFrame:
+        """The validated records of keys (order_id), from the buckets that the keys fall into."""
+        touched = self.store.touched(VALIDATED_TABLE, keys, "order_id")
+        return of_keys(self.store.snapshot(VALIDATED_TABLE, VALIDATED_SCHEMA, buckets=touched), keys, "order_id")
+
     def quarantine(self) -> DataFrame:
         return quarantined(self.store)
 
@@ -71,6 +77,10 @@ class Engine:
         path = layout.write_layout(self.orders(), self._layouts(), layout.Layout(columns))
         return explain.compare(chosen.build(self.orders(), params, limit), chosen.build(self.spark.read.parquet(path), params, limit))
 
+    def benchmark(self, queries: dict[str, dict]) -> list[dict]:
+        """Plans and measured runs of parameter queries over the orders and over the layouts that serve them."""
+        return explain.benchmark(self.orders(), self._layouts(), queries)
+
     def refresh_views(self, mode: str = "incremental") -> dict:
         """Refreshes both views; incrementally by the orders of the last delta."""
         return refresh.refresh(self.store, mode, incremental.latest_delta_ids(self.store))

@@ -33,6 +33,8 @@ def parser() -> argparse.ArgumentParser:
     commands.add_parser("indexes", help="write missing layouts")
     plan = commands.add_parser("explain", help="compare a query over the table and over a layout")
     plan.add_argument("name")
+    bench = commands.add_parser("benchmark-indexes", help="time parameter queries over the table and over their layouts")
+    bench.add_argument("--query", action="append", required=True, metavar="NAME[,PARAM=VALUE...]")
     refresh = commands.add_parser("refresh-mv")
     refresh.add_argument("--mode", choices=("full", "incremental", "ledger"), default="incremental")
     job = commands.add_parser("job")
@@ -63,6 +65,8 @@ def run(engine: Engine, given: argparse.Namespace):
             return engine.indexes()
         case "explain":
             return engine.explain(given.name)
+        case "benchmark-indexes":
+            return engine.benchmark({name: dict(p.split("=", 1) for p in params) for name, *params in (q.split(",") for q in given.query)})
         case "refresh-mv":
             return engine.refresh_ledger() if given.mode == "ledger" else engine.refresh_views(given.mode)
         case "job":
@@ -78,7 +82,7 @@ def run(engine: Engine, given: argparse.Namespace):
         case "sample":
             rows = read_orders(engine.spark, given.input)
             picked = sample_rows(rows, given.rows, ["source_file", "source_row_number"], given.seed)
-            picked.drop("source_file", "source_row_number").coalesce(1).write.mode("overwrite").option("header", True).option("escape", '"').csv(given.output)
+            picked.drop("source_file", "source_row_number").coalesce(1).write.mode("overwrite").option("header", True).option("escape", '"').options(ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(given.output)
             return {"rows": given.rows, "output": given.output}
 
 

@@ -42,10 +42,20 @@ def replace_groups(target: DataFrame, fresh: DataFrame, affected: DataFrame, key
     return target.join(affected.select(*keys).distinct(), keys, "left_anti").unionByName(fresh)
 
 
-def upsert_outcome(existing: DataFrame, incoming: DataFrame, key: str, version: str) -> DataFrame:
-    """One row: inserted, updated, unchanged of incoming against existing, by key and version (a hash)."""
+def match_versions(existing: DataFrame, incoming: DataFrame, key: str, version: str) -> DataFrame:
+    """The key of each incoming row and its outcome against existing: inserted, updated or unchanged, by version (a hash)."""
     old = existing.select(F.col(key).alias("old_key"), F.col(version).alias("old_version"))
     joined = incoming.select(key, version).join(old, F.col(key) == F.col("old_key"), "left")
-    known = F.col("old_key").isNotNull()
     same = F.col(version).eqNullSafe(F.col("old_version"))
-    return joined.agg(F.count_if(~known).alias("inserted"), F.count_if(known & ~same).alias("updated"), F.count_if(known & same).alias("unchanged"))
+    return joined.select(key, F.when(F.col("old_key").isNull(), "inserted").when(same, "unchanged").otherwise("updated").alias("outcome"))
+
+
+def upsert_outcome(existing: DataFrame, incoming: DataFrame, key: str, version: str) -> DataFrame:
+    """One row: inserted, updated, unchanged of incoming against existing."""
+    outcomes = ("inserted", "updated", "unchanged")
+    return match_versions(existing, incoming, key, version).agg(*(F.count_if(F.col("outcome") == o).alias(o) for o in outcomes))
+
+
+def of_keys(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """The rows whose key is among keys."""
+    return rows.join(keys.select(key), key, "left_semi")

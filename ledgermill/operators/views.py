@@ -90,6 +90,12 @@ class LedgerRefresh:
     counts: DataFrame
 
 
+def ledger_pairs(new: DataFrame, ledger: DataFrame) -> DataFrame:
+    """Rows of new beside those of the ledger for the same order, as n.* and o.*; ``here`` is null on the side that has none."""
+    n, o = new.withColumn("here", F.lit(True)).alias("n"), ledger.withColumn("here", F.lit(True)).alias("o")
+    return n.join(o, F.col("n.order_id") == F.col("o.order_id"), "full")
+
+
 def ledger_refresh(daily: DataFrame, products: DataFrame, ledger: DataFrame, orders: DataFrame) -> LedgerRefresh:
     """Views and ledger after the orders that changed by hash: old contributions out, new ones in.
 
@@ -98,8 +104,7 @@ def ledger_refresh(daily: DataFrame, products: DataFrame, ledger: DataFrame, ord
     updated, unchanged, removed, skipped_invalid.
     """
     new = contributions(orders)
-    n, o = new.withColumn("here", F.lit(True)).alias("n"), ledger.withColumn("here", F.lit(True)).alias("o")
-    joined = n.join(o, F.col("n.order_id") == F.col("o.order_id"), "full")
+    joined = ledger_pairs(new, ledger)
     is_new, was_old = F.col("n.here").isNotNull(), F.col("o.here").isNotNull()
     same = is_new & was_old & F.col("n.record_hash").eqNullSafe(F.col("o.record_hash"))
     changed = joined.where(~same)

@@ -7,6 +7,9 @@ import time
 
 from pyspark.sql import DataFrame
 
+from ledgermill.plans.catalog import PARAMETER_QUERIES, named
+from ledgermill.plans.layout import LAYOUTS, write_layout
+
 
 def plan_text(df: DataFrame, mode: str = "formatted") -> str:
     return df._jdf.queryExecution().explainString(df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString(mode))
@@ -34,3 +37,23 @@ def measure(df: DataFrame) -> dict:
 def compare(before: DataFrame, after: DataFrame) -> dict:
     """The same query over two layouts."""
     return {"before": measure(before), "after": measure(after)}
+
+
+#: Layout columns that serve a parameter query.
+SERVED_BY = {
+    "orders_by_city_status": ("city", "status", "order_date"),
+    "customer_orders": ("customer_id",),
+    "high_value_orders": ("total_amount",),
+    "sales_by_period": ("order_date",),
+    "orders_by_status": ("status", "order_date"),
+}
+
+
+def benchmark(orders: DataFrame, root: str, queries: dict[str, dict]) -> list[dict]:
+    """name, before and after of parameter queries (with their parameters): over orders, and over a layout written below root."""
+    out = []
+    for name, params in queries.items():
+        query = named(PARAMETER_QUERIES, name)
+        path = write_layout(orders, root, next(x for x in LAYOUTS if x.columns == SERVED_BY[name]))
+        out.append({"name": name, **compare(query.build(orders, params), query.build(orders.sparkSession.read.parquet(path), params))})
+    return out

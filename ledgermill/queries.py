@@ -12,8 +12,8 @@ from ledgermill.functions import dates, items, money, text
 from ledgermill.functions.text import let
 from ledgermill.ingest import error_histogram, status_counts
 from ledgermill.operators import merge, views
-from ledgermill.operators.classify import classify
-from ledgermill.operators.dedup import first_rows, repeated_keys
+from ledgermill.operators.classify import classify, record_hash
+from ledgermill.operators.dedup import first_rows, flag_repeats, repeated_keys
 from ledgermill.operators.sample import sample_rows
 from ledgermill.plans import catalog
 from ledgermill.starschema import StarSchema
@@ -104,9 +104,12 @@ def _dedup_first(star: StarSchema) -> DataFrame:
     return first_rows(star.table("documents").select("doc_id", "text", "source"), ["text"], [F.col("doc_id")])
 
 
-@register("record_hash", "SELECT doc_id, sha256(text) AS record_hash FROM documents")
+@register("record_hash", """SELECT doc_id, sha256('{"clean":{"doc_id":' || doc_id || ',"lang":' || coalesce('"' || lang || '"', 'null') || ',"source":' || coalesce('"' || source || '"', 'null') ||
+    '},"quality_status":"corrected","corrections":[{"field":"lang","original_value":null,"corrected_value":"' || n_chars || '","rule_code":"R"}]}') AS record_hash FROM documents""")
 def _record_hash(star: StarSchema) -> DataFrame:
-    return star.table("documents").select("doc_id", F.sha2("text", 256).alias("record_hash"))
+    clean = F.struct("doc_id", "lang", "source")
+    corrections = F.array(text.correction("lang", F.lit(None), F.col("n_chars"), "R"))
+    return star.table("documents").select("doc_id", record_hash(clean, F.lit("corrected"), corrections).alias("record_hash"))
 
 
 @register("sample_topk", "SELECT o_orderkey, o_custkey FROM orders ORDER BY md5(concat_ws('|', '42', CAST(o_orderkey AS VARCHAR))), o_orderkey LIMIT 100")
@@ -163,28 +166,28 @@ def _replace(star: StarSchema) -> DataFrame:
 @register("join_duplicate_flag", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, count(*) OVER (PARTITION BY l_orderkey, l_linenumber) > 1 AS is_repeated FROM lineitem")
 def _duplicate_flag(star: StarSchema) -> DataFrame:
     lines = star.table("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
-    several = repeated_keys(lines, "l_orderkey", "l_linenumber").withColumn("is_repeated", F.lit(True)).drop("n_rows")
-    return lines.join(several, ["l_orderkey", "l_linenumber"], "left").withColumn("is_repeated", F.coalesce("is_repeated", F.lit(False)))
+    return flag_repeats(lines, F.struct("l_orderkey", "l_linenumber"), None, "is_repeated", keep_first=False)
 
 
 @register("join_existing_versions", f"""WITH {_IMAGES} SELECT new.o_orderkey AS order_id, CASE WHEN old.o_orderkey IS NULL THEN 'inserted'
     WHEN old.o_totalprice = new.o_totalprice AND old.o_orderdate = new.o_orderdate THEN 'unchanged' ELSE 'updated' END AS outcome FROM new LEFT JOIN old USING (o_orderkey)""")
 def _existing(star: StarSchema) -> DataFrame:
     old, new = _images(star)
-    joined = new.select("order_id", "record_hash").join(old.select("order_id", F.col("record_hash").alias("old_hash")), "order_id", "left")
-    return joined.select("order_id", F.when(F.col("old_hash").isNull(), "inserted").when(F.col("old_hash") == F.col("record_hash"), "unchanged").otherwise("updated").alias("outcome"))
+    return merge.match_versions(old, new, "order_id", "record_hash")
 
 
 @register("join_ledger_lookup", f"""WITH {_IMAGES} SELECT coalesce(new.o_orderkey, old.o_orderkey) AS order_id, old.o_totalprice AS old_sales, new.o_totalprice AS new_sales FROM old FULL JOIN new ON old.o_orderkey = new.o_orderkey""")
 def _ledger_lookup(star: StarSchema) -> DataFrame:
     old, new = _images(star)
-    return old.select("order_id", F.col("total_amount").alias("old_sales")).join(new.select("order_id", F.col("total_amount").alias("new_sales")), "order_id", "full")
+    pairs = views.ledger_pairs(new, old)
+    return pairs.select(F.coalesce("n.order_id", "o.order_id").alias("order_id"), F.col("o.total_amount").alias("old_sales"), F.col("n.total_amount").alias("new_sales"))
 
 
 @register("join_changed_orders", "SELECT l_orderkey AS order_id, l_partkey AS sku, l_extendedprice AS total FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P')")
 def _changed_orders(star: StarSchema) -> DataFrame:
     changed = star.plain_orders.where("status = 'P'").select("order_id")
-    return star.table("lineitem").select(F.col("l_orderkey").alias("order_id"), F.col("l_partkey").alias("sku"), F.col("l_extendedprice").alias("total")).join(changed, "order_id", "left_semi")
+    lines = star.table("lineitem").select(F.col("l_orderkey").alias("order_id"), F.col("l_partkey").alias("sku"), F.col("l_extendedprice").alias("total"))
+    return merge.of_keys(lines, changed, "order_id")
 
 
 @register("join_affected_groups", f"""SELECT strftime(o_orderdate, '%Y-%m-%d') AS day, CAST(count(*) AS BIGINT) AS orders, {_sum('o_totalprice')} AS sales FROM orders
@@ -336,11 +339,12 @@ def _phone(star: StarSchema) -> DataFrame:
     return star.table("customer").select("c_custkey", text.clean_phone(raw).alias("phone"))
 
 
-@register("email", r"""WITH e AS (SELECT doc_id, regexp_replace(regexp_replace(trim(substr(text, 1, 60), chr(32) || chr(10)), '@{2,}', '@', 'g'), '\.{2,}', '.', 'g') AS email
-    FROM (SELECT doc_id, replace(replace(replace(text, ' ', ''), '.', '..'), ',', '@@') AS text FROM documents))
+@register("email", r"""WITH e AS (SELECT doc_id, regexp_replace(regexp_replace(trim(text, chr(32) || chr(10)), '@{2,}', '@', 'g'), '\.{2,}', '.', 'g') AS email
+    FROM (SELECT doc_id, replace(replace(text, ' ', '..'), ',', '@@@') AS text FROM documents))
     SELECT doc_id, email, NOT regexp_matches(email, '^[^@\s]+@[^@\s]+\.[^@\s]+$') AS broken FROM e""")
 def _email(star: StarSchema) -> DataFrame:
-    spoiled = F.substring(F.replace(F.replace(F.replace("text", F.lit(" "), F.lit("")), F.lit("."), F.lit("..")), F.lit(","), F.lit("@@")), 1, 60)
+    """Whole texts, with runs of dots for spaces and of at signs for commas."""
+    spoiled = F.replace(F.replace("text", F.lit(" "), F.lit("..")), F.lit(","), F.lit("@@@"))
     cleaned = star.table("documents").select("doc_id", text.clean_email(spoiled).alias("email"))
     return cleaned.select("doc_id", "email", text.email_is_broken(F.col("email")).alias("broken"))
 
@@ -349,7 +353,7 @@ def _email(star: StarSchema) -> DataFrame:
     FROM (SELECT doc_id, replace(replace(replace(text, ' ', ''), '.', '..'), ',', '@@') AS text FROM documents))
     SELECT doc_id, email, NOT regexp_matches(email, '^[^@\s]+@[^@\s]+\.[^@\s]+$') AS broken FROM e""")
 def _email_whole(star: StarSchema) -> DataFrame:
-    """As email, but over whole texts: every run is collapsed, and broken is decided on all of a text."""
+    """Whole texts without spaces, so that some are one address."""
     spoiled = F.replace(F.replace(F.replace("text", F.lit(" "), F.lit("")), F.lit("."), F.lit("..")), F.lit(","), F.lit("@@"))
     cleaned = star.table("documents").select("doc_id", text.clean_email(spoiled).alias("email"))
     return cleaned.select("doc_id", "email", text.email_is_broken(F.col("email")).alias("broken"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgermill.ingest import VALIDATED_SCHEMA, VALIDATED_TABLE, validated
 from ledgermill.operators import views
+from ledgermill.operators.merge import of_keys
 from ledgermill.plans.catalog import order_items
 from ledgermill.store import Store
 
@@ -47,11 +48,11 @@ def incremental_refresh(store: Store, ids: DataFrame | None, which: tuple[str, .
     ids = ids.select("order_id").distinct()
     versions = store.load_json(PREVIOUS, {})
     for name in which:
-        images = [orders.join(ids, "order_id", "left_semi")]
+        images = [of_keys(orders, ids, "order_id")]
         if name in versions:
             touched = store.touched(VALIDATED_TABLE, ids, "order_id")
             old = store.snapshot(VALIDATED_TABLE, VALIDATED_SCHEMA, versions[name], touched)
-            images.append(old.join(ids, "order_id", "left_semi"))
+            images.append(of_keys(old, ids, "order_id"))
         if name == "daily":
             days = views.affected_days(*images)
             # the range of the days reaches the scan, which skips what lies outside

@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 _MANIFESTS = "_manifests"
-BUCKETS = 64
+#: Buckets of a keyed table when it is made: to be given so that a bucket holds some 100 MB.
+BUCKETS = 16
 
 
 class Store:

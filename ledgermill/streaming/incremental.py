@@ -60,7 +60,7 @@ def stream_folder(spark: SparkSession, store: Store, folder: str, checkpoint: st
 
     def merge(batch: DataFrame, number: int) -> None:
         folder = f"stream/batch-{number:09d}"
-        batch.write.mode("overwrite").option("header", True).option("escape", '"').option("quoteAll", True).csv(store.path(folder))
+        batch.write.mode("overwrite").option("header", True).option("escape", '"').options(quoteAll=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(store.path(folder))
         if not batch.isEmpty():
             ingest(batch.sparkSession, store, store.path(folder))
         store.delete(folder)

@@ -4,6 +4,7 @@ import re
 import duckdb
 import pytest
 
+from ledgermill import store_queries  # noqa: F401 - joins the registry
 from ledgermill.queries import ORACLES, QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem events documents".split()
