@@ -17,13 +17,8 @@ _PLAIN = r"^-?[0-9]{1,300}(?:\.[0-9]{1,300})?$"
 _NOT_FINITE = r"(?i)^[+-]?(?:inf|infinity|nan)$"
 
 
-def _plain_alef(word: str) -> str:
-    return word.replace("أ", "ا")
-
-
 def _word_table() -> Column:
-    spellings = {w: n for word, n in WORD_NUMBERS.items() for w in (word, _plain_alef(word))}
-    return F.create_map(*(F.lit(x) for pair in spellings.items() for x in (pair[0], str(pair[1]))))
+    return F.create_map(*(F.lit(x) for word, number in WORD_NUMBERS.items() for x in (word, str(number))))
 
 
 def parse_money(raw: Column) -> Column:

@@ -429,10 +429,10 @@ def raw_orders(star: StarSchema) -> DataFrame:
     columns = {
         "order_id": put({1: "", 2: " "}, F.concat(F.lit("ORD-"), key)),
         "order_date": put({3: "not-a-date", 4: "2020/01/31", 14: "1999-01-01"}, F.lit("2020-01-31T00:00:00")),
-        "status": put({5: "قيد  الانتظار"}, F.lit("مؤكد")), "customer_id": put({2: ""}, F.concat(F.lit("CUS-"), F.col("o_custkey"))), "customer_name": F.lit("أحمد"),
-        "customer_phone": put({6: "+967 777123456"}, F.lit("777123456")), "customer_email": put({7: "user@@mail..com", 8: "@@"}, F.lit("user@example.com")),
-        "city": F.lit("صنعاء"), "district": F.lit("حدة"), "delivery_type": F.lit("عادي"), "delivery_cost": F.lit("2000.0"), "payment_method": F.lit("بطاقة"),
-        "payment_status": F.lit("تم الدفع"), "payment_amount": F.lit("1.0"), "currency": put({9: "ريال"}, F.lit("YER")),
+        "status": put({5: "قيد  الانتظار"}, F.lit("مؤكد")), "customer_id": put({2: ""}, F.concat(F.lit("CUS-"), F.col("o_custkey"))), "customer_name": F.lit("ليلى"),
+        "customer_phone": put({6: "+967 711222333"}, F.lit("711222333")), "customer_email": put({7: "leila@@shop..test", 8: "@@"}, F.lit("leila@shop.test")),
+        "city": F.lit("صنعاء"), "district": F.lit("الوسط"), "delivery_type": F.lit("عادي"), "delivery_cost": F.lit("2000.0"), "payment_method": F.lit("نقدًا عند التسليم"),
+        "payment_status": F.lit("بانتظار الدفع"), "payment_amount": F.lit("1.0"), "currency": put({9: "ريال"}, F.lit("YER")),
         "total_amount": put({10: F.lit("5"), 11: F.lit("???")}, total),
         "items_json": put({11: "[]", 12: "not-json", 13: '[{"sku":"A","qty":-1,"unit_price":1,"total":1}]'}, item),
     }

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
+# The columns of order files, which are given by their producers.
 RAW_COLUMNS = (
     "order_id", "order_date", "status", "customer_id", "customer_name", "customer_phone", "customer_email", "city", "district",
     "delivery_type", "delivery_cost", "payment_method", "payment_status", "payment_amount", "currency", "total_amount", "items_json",
@@ -28,19 +29,15 @@ CLEAN_COLUMNS = (
 
 CURRENCY = "YER"
 
-# The words of order fields.
-STATUSES = ("قيد الانتظار", "مؤكد", "قيد الشحن", "تم التسليم", "مرتجع", "ملغي")
-PAYMENT_METHODS = ("نقدًا عند التسليم", "بطاقة", "محفظة إلكترونية")
-PAYMENT_STATUSES = ("بانتظار الدفع", "تم الدفع", "مرفوض")
-DELIVERY_TYPES = ("عادي", "سريع")
+# Currency words in the order in which they are taken out, and numbers written as words in both spellings.
 CURRENCY_WORDS = ("لاير يمني", "لاير", "ريال يمني", "ريال", "YER", "yer", "ر.ي.", "ر.ي")
 WORD_NUMBERS = {
-    "ألف": 1000, "ألفان": 2000, "ألفين": 2000, "ثلاثة آلاف": 3000, "أربعة آلاف": 4000, "خمسة آلاف": 5000, "ستة آلاف": 6000,
-    "سبعة آلاف": 7000, "ثمانية آلاف": 8000, "تسعة آلاف": 9000, "عشرة آلاف": 10000,
+    "ألف": 1000, "الف": 1000, "ألفان": 2000, "الفان": 2000, "ألفين": 2000, "الفين": 2000, "ثلاثة آلاف": 3000, "أربعة آلاف": 4000, "اربعة آلاف": 4000,
+    "خمسة آلاف": 5000, "ستة آلاف": 6000, "سبعة آلاف": 7000, "ثمانية آلاف": 8000, "تسعة آلاف": 9000, "عشرة آلاف": 10000,
 }
 UNKNOWN_MONEY = ("؟؟؟", "???", "null", "None", "NaN")
 FOREIGN_DIGITS, ASCII_DIGITS = "٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹٫٬", "01234567890123456789.,"
-PHONE_PATTERN = r"^(967)?(77|73|70|71)\d{7}$"
+# Fixed value: the form of an address that is not rejected.
 EMAIL_PATTERN = r"^[^@\s]+@[^@\s]+\.[^@\s]+$"
 
 # Codes of rejections and of corrections.
