@@ -322,7 +322,7 @@ def _money(star: StarSchema) -> DataFrame:
         F.when(kind == 1, F.concat(plain, F.lit(" لاير"))).when(kind == 2, F.translate(plain, "0123456789.", S.FOREIGN_DIGITS[:10] + "٫")).when(kind == 3, grouped)
         .when(kind == 4, F.concat(F.lit("ر.ي. "), plain)).when(kind == 5, F.lit("???")).when(kind == 6, F.lit("خمسة آلاف")).otherwise(plain)
     )
-    parsed = star.table("orders").select("o_orderkey", money.parse_money(raw).alias("m"))
+    parsed = star.spread("orders").select("o_orderkey", money.parse_money(raw).alias("m"))
     return parsed.select("o_orderkey", "m.value", "m.rule")
 
 
@@ -369,7 +369,7 @@ def _date_norm(star: StarSchema) -> DataFrame:
         F.when(kind == 0, written("yyyy/MM/dd")).when(kind == 1, F.translate(written("yyyy-MM-dd"), "0123456789", S.FOREIGN_DIGITS[:10]))
         .when(kind == 2, written("dd-MM-yyyy")).when(kind == 3, F.concat(written("yyyy-MM-dd"), F.lit("T00:00:00+03:00"))).otherwise(F.lit("not a date"))
     )
-    return star.table("orders").select("o_orderkey", dates.parse_date(raw).alias("order_date"))
+    return star.spread("orders").select("o_orderkey", dates.parse_date(raw).alias("order_date"))
 
 
 @register("choice", "SELECT c_custkey, c_mktsegment || ' a b' AS choice, c_custkey % 2 = 0 AS changed FROM customer")
@@ -403,7 +403,7 @@ def _item_json() -> Column:
 @register("items_clean", f"""SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN k >= 2 THEN l_quantity END AS qty, CASE WHEN k >= 2 THEN l_extendedprice END AS total, k = 0 AS negative,
     CAST(CASE WHEN k = 2 THEN 1 ELSE 0 END AS BIGINT) AS n_corrections FROM {_LINES}""")
 def _items_clean(star: StarSchema) -> DataFrame:
-    read = star.table("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", items.read_items(items.parse_items(_item_json())).alias("lines"))
+    read = star.spread("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", items.read_items(items.parse_items(_item_json())).alias("lines"))
     kept = read.withColumns({"kept": F.get(items.kept_items(F.col("lines")), F.lit(0)), "negative": items.has_negative(F.col("lines")), "n_corrections": F.size(items.item_corrections(F.col("lines"))).cast("bigint")})
     return kept.select("l_orderkey", "l_linenumber", "l_partkey", "kept.qty", "kept.total", "negative", "n_corrections")
 
@@ -436,7 +436,7 @@ def raw_orders(star: StarSchema) -> DataFrame:
         "total_amount": put({10: F.lit("5"), 11: F.lit("???")}, total),
         "items_json": put({11: "[]", 12: "not-json", 13: '[{"sku":"A","qty":-1,"unit_price":1,"total":1}]'}, item),
     }
-    return star.table("orders").select(*(v.cast("string").alias(k) for k, v in columns.items()), key.alias("source_row_number"))
+    return star.spread("orders").select(*(v.cast("string").alias(k) for k, v in columns.items()), key.alias("source_row_number"))
 
 
 def _case(kind: Column, defects: dict, good: Column) -> Column:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ledgermill import ingest, refresh
 from ledgermill.api import Engine
 from ledgermill.plans import explain, layout
-from ledgermill.queries import _DETAILS, _KINDS, _STATUS, raw_orders, register
+from ledgermill.queries import _DETAILS, _KINDS, _STATUS, QUERIES, raw_orders, register
 from ledgermill.sources.files import decide_strategy, file_fingerprints, input_fingerprint
 from ledgermill.sources.orders_csv import read_orders
 from ledgermill.starschema import StarSchema
@@ -31,6 +31,9 @@ def work_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/store-{uuid.uuid4().hex}"
 
 
+_BEFORE = set(QUERIES)
+
+
 class Loaded:
     """A store with the orders of a star schema loaded, and a second image of them: urgent orders move to another city."""
 
@@ -277,3 +280,7 @@ def _index_benchmark(star: StarSchema) -> DataFrame:
     """Rows that queries return over the plain table and over their layouts."""
     found = explain.benchmark(star.plain_orders, work_folder(star.spark), {"customer_orders": {"customer_id": 7}, "high_value_orders": {}})
     return star.spark.createDataFrame([(r["name"], r["before"]["n_returned"], r["after"]["n_returned"]) for r in found], "name string, before bigint, after bigint")
+
+
+#: Names of the queries of this module.
+NAMES = tuple(n for n in QUERIES if n not in _BEFORE)
