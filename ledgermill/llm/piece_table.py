@@ -1,33 +1,50 @@
 """SentencePiece encoding and decoding by a table of distinct chunks.
 
 Where no piece has a white space marker after another character, pieces cannot cross from a word to
-the marker that follows it, and the merges inside ``marker(s) + word`` depend on that chunk alone.
-Each task keeps a table of the distinct chunks it has met, segments a chunk once, and builds the ids
-of a text by looking up its chunks in the order of their positions. A table over TABLE_ENTRIES is
-started anew, so its memory is bounded; the result does not depend on that. The table stays within
-the task because a table of the corpus would have to be joined back over every word of every text,
-several times the size of the texts in a shuffle.
+the marker that follows it, and the merges inside ``marker(s) + word`` depend on that chunk alone. So:
+
+1. A task takes its texts in blocks of about BLOCK_CHARS and gives out the distinct chunks of each block,
+   packed by a hash of the chunk: requests.
+2. Requests are shuffled by that hash. A chunk comes to one task, whichever blocks ask for it, and is
+   segmented there once; the ids go back packed in the order of the request.
+3. Replies are shuffled by block and written as one file for each block.
+4. The texts are read again. A block's file gives the ids of its chunks, which are joined to the
+   chunks of the texts in the order of their positions.
+
+What is shuffled is some ten bytes for each distinct chunk of a block, never a text or a word for each
+time that it occurs. A reply names its request by a digest: should a block hold other texts the second
+time, or its file be missing, the task segments the chunks itself, so the result never depends on it.
+A task's table over TABLE_ENTRIES is started anew, so its memory is bounded.
 
 A model whose pieces can cross markers, that normalises texts or that has user-defined pieces is
 refused.
 
 Defined results: a null or empty text has no ids and decodes to an empty text; every row is encoded
-by itself, so ties, repeated rows and null ids need no rule; an empty table gives an empty result.
+by itself, so ties, repeated rows and null ids need no rule; an empty table gives an empty result;
+columns beside doc_id and text are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import sentencepiece
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgermill.llm.shard_files import committed, split_uri
+from ledgermill.llm.shared import partitions_of, shared_dir, stage
+
 MARK = "▁"
 TABLE_ENTRIES = 150_000
+#: Characters of texts in a block, and of texts encoded at once.
+BLOCK_CHARS, ENCODE_CHARS = 16_000_000, 200_000
 _CHUNKS = re.compile(f"{MARK}+[^{MARK}\\n]*|[^{MARK}\\n]+|\\n")
 
 
@@ -42,6 +59,8 @@ class PieceTable:
         self.mark_id = self.model.piece_to_id(MARK)
         self.guard = self.model.encode("a")
         self.table: dict[str, tuple[int, bytes, str]] = {}
+        self.taken = 0  # entries that were segmented elsewhere
+        self.written: list[bytes] = []
 
     def _segment(self, chunks: list[str]) -> list[list[int]]:
         """Ids of chunks. The model puts the first marker of a text; a chunk without one is segmented behind a line break."""
@@ -59,27 +78,45 @@ class PieceTable:
             out.append(ids)
         return out
 
-    def _learn(self, chunks: set[str]) -> None:
+    def learn(self, chunks: set[str]) -> None:
         """Puts chunks in the table: number of ids, ids in decimal joined by commas, the text that they decode to."""
-        new = list(chunks)
+        new = chunks.difference(self.table)
+        if len(self.table) + len(new) > TABLE_ENTRIES + self.taken:
+            self.table.clear()
+            self.taken = 0
+            new = chunks
+        new = list(new)
         for lo in range(0, len(new), 4096):
             some = new[lo : lo + 4096]
             ids = self._segment(some)
             texts = self.model.decode([self.guard + i for i in ids], num_threads=1)
             self.table.update((c, (len(i), ",".join(map(str, i)).encode(), t[1:])) for c, i, t in zip(some, ids, texts))
 
+    def take(self, chunks: list[str], counts: np.ndarray, ids: np.ndarray) -> None:
+        """Puts chunks in the table with their ids as segmented elsewhere; negative counts mark those whose text is decoded here."""
+        ends = np.cumsum(np.abs(counts)).tolist()
+        self.written = written = self.written or [b"%d" % i for i in range(self.model.get_piece_size())]
+        ids = ids.tolist()
+        a = 0
+        for chunk, n, b in zip(chunks, counts.tolist(), ends):
+            text = chunk.replace(MARK, " ") if n >= 0 else self.model.decode(self.guard + ids[a:b])[1:]
+            self.table[chunk] = (b - a, b",".join([written[i] for i in ids[a:b]]), text)
+            a = b
+        self.taken += len(chunks)
+
+    def clear(self) -> None:
+        self.table, self.taken = {}, 0
+
     def chunks(self, text: str) -> list[str]:
         return _CHUNKS.findall(MARK + text.replace(" ", MARK)) if text else []
 
     def encode(self, texts: list[str]) -> list[tuple[int, bytes, str]]:
         """Of each text the number of ids, the ids in decimal joined by commas, and the decoded text."""
-        chunks, table = [self.chunks(t) for t in texts], self.table
+        chunks = [self.chunks(t) for t in texts]
         distinct = set().union(*chunks)
-        new = distinct.difference(table)
-        if len(table) + len(new) > TABLE_ENTRIES:
-            table.clear()
-            new = distinct
-        self._learn(new)
+        if not distinct <= self.table.keys():
+            self.learn(distinct)
+        table = self.table
         out = []
         for cs in chunks:
             counts, ids, pieces = zip(*map(table.__getitem__, cs)) if cs else ((), (), ())
@@ -96,11 +133,106 @@ def _table(model_path: str) -> PieceTable:
     return _tables[model_path]
 
 
-def _blocks(column: pa.Array, chars: int = 200_000) -> Iterator[list[str]]:
+def _requests(table: PieceTable, texts: list[str], n_parts: int) -> dict[int, list[str]]:
+    """The distinct chunks of texts by part, sorted. Chunks with a zero character, which parts them in a request, are left out."""
+    found: set[str] = set()
+    for text in texts:
+        found.update(table.chunks(text))
+    parts: dict[int, list[str]] = {}
+    for chunk in sorted(found):
+        if "\0" not in chunk:
+            parts.setdefault(zlib.crc32(chunk.encode()) % n_parts, []).append(chunk)
+    return parts
+
+
+def _digest(chunks: bytes) -> bytes:
+    return hashlib.md5(chunks, usedforsecurity=False).digest()
+
+
+def _text_blocks(batches: Iterator[pa.RecordBatch], column: int, block_chars: int) -> Iterator[tuple[int, list[str], list[pa.RecordBatch]]]:
+    """Number, texts and batches of each block of a task. A block ends with a batch."""
+    first = TaskContext.get().partitionId() << 32
+    held: list[pa.RecordBatch] = []
+    texts: list[str] = []
+    size = number = 0
+    for batch in batches:
+        own = [v.as_py() or "" for v in batch.column(column)]
+        held.append(batch)
+        texts += own
+        size += sum(map(len, own))
+        if size >= block_chars:
+            yield first + number, texts, held
+            held, texts, size, number = [], [], 0, number + 1
+    if held:
+        yield first + number, texts, held
+
+
+def _reply(table: PieceTable, raw: bytes) -> tuple[bytes, bytes]:
+    """Of the chunks of a request their numbers of ids, negative where the decoded text is not the chunk itself, and all ids."""
+    chunks = raw.decode().split("\0")
+    table.learn(set(chunks))
+    counts, ids = [], []
+    for chunk in chunks:
+        n, joined, text = table.table[chunk]
+        counts.append(n if text == chunk.replace(MARK, " ") else -n)
+        ids.append(joined)
+    joined = b",".join(x for x in ids if x)
+    return np.array(counts, dtype="<i4").tobytes(), np.array(joined.split(b",") if joined else [], dtype="<u4").tobytes()
+
+
+def build_table(docs: DataFrame, model_path: str, folder: str, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """Segments the distinct chunks of docs (text) and writes the replies of each block below folder; block and n_chunks of each."""
+    spark = docs.sparkSession
+    n_parts = max(partitions_of(spark), 2 * spark.sparkContext.defaultParallelism)
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = _table(model_path)
+        for block, texts, _ in _text_blocks(batches, 0, block_chars):
+            parts = _requests(table, texts, n_parts)
+            yield pa.RecordBatch.from_arrays([pa.array(list(parts), pa.int32()), pa.array([block] * len(parts), pa.int64()), pa.array(["\0".join(c).encode() for c in parts.values()], pa.binary())], names=["part", "block", "chunks"])
+
+    def segment(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = _table(model_path)
+        for batch in batches:
+            requests = batch.column(2).to_pylist()
+            replies = [_reply(table, raw) for raw in requests]
+            columns = [batch.column(0), batch.column(1), pa.array([_digest(r) for r in requests], pa.binary()), *(pa.array([r[k] for r in replies], pa.binary()) for k in (0, 1))]
+            yield pa.RecordBatch.from_arrays(columns, names=["part", "block", "request", "counts", "ids"])
+
+    def write(group: pa.Table) -> pa.Table:
+        block = group.column("block")[0].as_py()
+        with committed(f"{folder}/block-{block}", TaskContext.get().taskAttemptId()) as out, pa.ipc.new_stream(out, group.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+            stream.write_table(group)
+        return pa.table({"block": pa.array([block], pa.int64()), "n_chunks": pa.array([sum(len(c) // 4 for c in group.column("counts").to_pylist())], pa.int64())})
+
+    asked = docs.select(F.col("text").cast("string")).mapInArrow(ask, "part int, block bigint, chunks binary")
+    replied = asked.repartition(n_parts, "part").mapInArrow(segment, "part int, block bigint, request binary, counts binary, ids binary")
+    return replied.groupBy("block").applyInArrow(write, "block bigint, n_chunks bigint")
+
+
+def _encoded_blocks(batches: Iterator[pa.RecordBatch], column: int, model_path: str, folder: str, n_parts: int, block_chars: int) -> Iterator[tuple[list[tuple[int, bytes, str]], list[pa.RecordBatch]]]:
+    """Of each block of a task what PieceTable.encode gives for its texts, and its batches."""
+    table = _table(model_path)
+    for block, texts, held in _text_blocks(batches, column, block_chars):
+        table.clear()
+        files, path = split_uri(f"{folder}/block-{block}")
+        if files.get_file_info(path).is_file:
+            with files.open_input_stream(path, compression=None) as source:
+                replies = {r["part"]: r for r in pa.ipc.open_stream(source).read_all().to_pylist()}
+            for part, chunks in _requests(table, texts, n_parts).items():
+                reply = replies.get(part)
+                if reply is not None and reply["request"] == _digest("\0".join(chunks).encode()):
+                    table.take(chunks, np.frombuffer(reply["counts"], "<i4"), np.frombuffer(reply["ids"], "<u4"))
+        out = [row for some in _blocks(texts, ENCODE_CHARS) for row in table.encode(some)]
+        table.clear()
+        yield out, held
+
+
+def _blocks(values: Iterable[str], chars: int) -> Iterator[list[str]]:
     held: list[str] = []
     size = 0
-    for value in column:
-        held.append(value.as_py() or "")
+    for value in values:
+        held.append(value)
         size += len(held[-1])
         if size >= chars:
             yield held
@@ -109,33 +241,39 @@ def _blocks(column: pa.Array, chars: int = 200_000) -> Iterator[list[str]]:
         yield held
 
 
-def piece_digests(docs: DataFrame, model_path: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row."""
+def _encode(docs: DataFrame, model_path: str, results: Callable[[list[tuple[int, bytes, str]]], list[pa.Array]], names: list[str], ddl: str, block_chars: int) -> DataFrame:
+    """doc_id and the columns that results makes of the encoded rows."""
+    spark = docs.sparkSession
+    folder = f"{shared_dir(spark)}/pieces"
+    n_parts = max(partitions_of(spark), 2 * spark.sparkContext.defaultParallelism)
+    stage(build_table(docs, model_path, folder, block_chars))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = _table(model_path)
-        for batch in batches:
-            n, ids, decoded = [], [], []
-            for texts in _blocks(batch.column(1)):
-                for count, joined, text in table.encode(texts):
-                    n.append(count)
-                    ids.append(hashlib.sha256(joined).hexdigest())
-                    decoded.append(hashlib.sha256(text.encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        for rows, held in _encoded_blocks(batches, 1, model_path, folder, n_parts, block_chars):
+            at = 0
+            for batch in held:
+                own = rows[at : at + batch.num_rows]
+                at += batch.num_rows
+                yield pa.RecordBatch.from_arrays([batch.column(0), *results(own)], names=["doc_id", *names])
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(each, f"doc_id bigint, {ddl}")
+
+
+def piece_digests(docs: DataFrame, model_path: str, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row."""
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInArrow(each, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    def results(rows: list[tuple[int, bytes, str]]) -> list[pa.Array]:
+        digests = [[hashlib.sha256(x).hexdigest() for x in column] for column in ([joined for _, joined, _ in rows], [text.encode() for *_, text in rows])]
+        return [pa.array([n for n, _, _ in rows], pa.int64()), *(pa.array(d, pa.string()) for d in digests)]
 
+    return _encode(docs, model_path, results, ["n_tokens", "ids_sha256", "decoded_sha256"], "n_tokens bigint, ids_sha256 string, decoded_sha256 string", block_chars)
 
-def encode_documents(docs: DataFrame, model_path: str) -> DataFrame:
+
+def encode_documents(docs: DataFrame, model_path: str, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """doc_id, ids (array) and decoded text of every row."""
 
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = _table(model_path)
-        for batch in batches:
-            rows = [row for texts in _blocks(batch.column(1)) for row in table.encode(texts)]
-            ids = [[int(x) for x in joined.split(b",")] if joined else [] for _, joined, _ in rows]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array([t for _, _, t in rows], pa.string())], names=["doc_id", "ids", "decoded"])
+    def results(rows: list[tuple[int, bytes, str]]) -> list[pa.Array]:
+        ids = [[int(x) for x in joined.split(b",")] if joined else [] for _, joined, _ in rows]
+        return [pa.array(ids, pa.list_(pa.int32())), pa.array([text for *_, text in rows], pa.string())]
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInArrow(each, "doc_id bigint, ids array<int>, decoded string")
+    return _encode(docs, model_path, results, ["ids", "decoded"], "ids array<int>, decoded string", block_chars)

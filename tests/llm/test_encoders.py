@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from ledgermill.llm.id_shards import PerfectHash, WordTable, build_index, encode_to_shards, lookup, shard_table, write_shards
-from ledgermill.llm.piece_table import PieceTable, encode_documents, piece_digests
+from ledgermill.llm.piece_table import PieceTable, build_table, encode_documents, piece_digests
 from ledgermill.llm.shared import stage
 from ledgermill.llm.token_counts import count_tokens, read_cache
 
@@ -44,6 +44,35 @@ def test_piece_digests(documents, corpus):
     assert (row["ids"], row["decoded"]) == (library.encode("one"), "one")
 
 
+def test_pieces_by_blocks(spark):
+    """Many blocks, odd texts and chunks that blocks ask for again and again: as the library has it."""
+    library = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    texts = _odd_texts(3000)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(5)
+    rows = {r["doc_id"]: r for r in encode_documents(docs, PIECES, block_chars=2000).collect()}
+    assert len(rows) == len(texts)
+    for i, text in enumerate(texts):
+        ids = library.encode(text)
+        assert (rows[i]["ids"], rows[i]["decoded"]) == (ids, library.decode(ids)), text
+
+
+def test_a_chunk_is_segmented_once(spark, tmp_path):
+    """Requests of a chunk come to one task: replies cover every block, and each is read from its file."""
+    docs = spark.range(400).select(F.col("id").alias("doc_id"), F.concat(F.lit("the same words "), (F.col("id") % 7).cast("string")).alias("text")).repartition(8)
+    folder = f"file://{tmp_path}/pieces"
+    blocks = build_table(docs, PIECES, folder, block_chars=200).collect()
+    assert len(blocks) >= 8 and len(list((tmp_path / "pieces").glob("block-*"))) == len(blocks)
+    assert all(4 <= r["n_chunks"] <= 10 for r in blocks)
+
+
+def test_texts_that_differ_at_the_second_reading(spark):
+    """Replies for other texts are not used: the task segments what it reads."""
+    library = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    docs = spark.range(200).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.uuid(), F.lit("word"), F.uuid()).alias("text"))
+    for r in encode_documents(docs, PIECES, block_chars=1500).collect():
+        assert library.encode(r["decoded"]) == r["ids"]
+
+
 def test_word_table_equals_the_library():
     table, library = WordTable(WORDS), Tokenizer.from_file(WORDS)
     assert table.by_words and table.width == 2
