@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from ledgermill.llm.crf import ChainCRF, Sequences
 from ledgermill.llm.html_blocks import blocks_of, features_of
 from ledgermill.llm.labelled_pages import labelled_pages
+from ledgermill.llm.shared import ship
 
 TRAINING_PAGES = 2400
 #: Pages decoded at once, by characters.
@@ -56,6 +57,7 @@ def main_texts(pages: list[str], model: ChainCRF) -> list[str]:
 
 def extract_main_text(pages: DataFrame, model: ChainCRF | None = None) -> DataFrame:
     """page_id, url, text, n_chars of every row of pages (page_id, url, html)."""
+    ship(pages.sparkSession)
     model = model or default_model()
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgermill.llm.shard_files import committed, split_uri
-from ledgermill.llm.shared import partitions_of, shared_dir, stage, text_or_empty
+from ledgermill.llm.shared import partitions_of, shared_dir, ship, stage, text_or_empty
 from ledgermill.llm.text_arrays import mix
 
 MAGIC = b"LMSHARD1"
@@ -171,6 +171,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str)
             out.write(struct.pack(_TAIL, len(documents), total, table.width, _DOC.itemsize, MAGIC))
         yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([len(documents)], pa.int64()), pa.array([total], pa.int64())], names=["shard", "n_docs", "n_ids"])
 
+    ship(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text"))
     ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     return ordered.mapInArrow(each, "shard int, n_docs bigint, n_ids bigint")

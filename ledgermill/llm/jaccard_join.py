@@ -52,7 +52,7 @@ from ledgermill.llm.exact_dedup import with_group
 from ledgermill.llm.graph import connected_components
 from ledgermill.llm.key_filter import build_filter, may_match, without_keys
 from ledgermill.llm.metric_links import Group
-from ledgermill.llm.shared import WORD, packed, partitions_of, scratch, shared_dir, stage, text_or_empty, unpacked
+from ledgermill.llm.shared import WORD, packed, partitions_of, scratch, shared_dir, ship, stage, text_or_empty, unpacked
 from ledgermill.llm.text_arrays import mix, windows, words_of
 
 PERCENT, SIZE = 75, 5
@@ -465,6 +465,7 @@ def _links(survivors: DataFrame, percent: int, leaf_keys: int) -> DataFrame:
 
 def _classes(docs: DataFrame, percent: int = PERCENT, size: int = SIZE, range_keys: int = RANGE_KEYS, leaf_keys: int = LEAF_KEYS, common_least: int = COMMON_LEAST, coarse: int = COARSE) -> tuple[DataFrame, int]:
     """doc_id, n_shingles, content and class (of the component, null without words) of every row, and the number of rows."""
+    ship(docs.sparkSession)
     folder = shared_dir(docs.sparkSession)
     with scratch(docs.sparkSession):
         sets = stage(shingle_sets(docs, size))

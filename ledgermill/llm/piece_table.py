@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgermill.llm.shard_files import committed, split_uri
-from ledgermill.llm.shared import partitions_of, shared_dir, stage
+from ledgermill.llm.shared import partitions_of, shared_dir, ship, stage
 
 MARK = "▁"
 TABLE_ENTRIES = 150_000
@@ -183,6 +183,7 @@ def _reply(table: PieceTable, raw: bytes) -> tuple[bytes, bytes]:
 def build_table(docs: DataFrame, model_path: str, folder: str, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """Segments the distinct chunks of docs (text) and writes the replies of each block below folder; block and n_chunks of each."""
     spark = docs.sparkSession
+    ship(spark)
     n_parts = max(partitions_of(spark), 2 * spark.sparkContext.defaultParallelism)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

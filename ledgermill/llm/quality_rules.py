@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ledgermill.llm.shared import ship
 from ledgermill.llm.text_arrays import Words, windows, words_of
 
 # Frequent words of four languages.
@@ -219,6 +220,7 @@ def quality_rules(
 
     A column of that name in docs is replaced. ``references`` default to the medians of docs itself.
     """
+    ship(docs.sparkSession)
     references = central_references(docs) if references is None else references
     docs = docs.drop(column)
     text_at, lang_at = ([c.lower() for c in docs.columns].index(c) for c in ("text", "lang"))

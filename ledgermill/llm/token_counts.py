@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from ledgermill.llm.exact_dedup import with_group
 from ledgermill.llm.key_filter import build_filter, may_match
-from ledgermill.llm.shared import shared_dir, stage, text_or_empty
+from ledgermill.llm.shared import shared_dir, ship, stage, text_or_empty
 
 CACHE_SCHEMA = "tokenizer string, d binary, n_tokens bigint"
 #: Characters encoded by one call of the library.
@@ -91,6 +91,7 @@ def read_cache(spark, cache: str) -> DataFrame:
 def count_tokens(docs: DataFrame, tokenizer_path: str, cache: str | None = None) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit of every row. ``cache`` is a Parquet path; without one, a new cache is made."""
     spark = docs.sparkSession
+    ship(spark)
     cache = cache or f"{shared_dir(spark)}/token-cache"
     version = tokenizer_digest(tokenizer_path)
     contents = docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("content")).withColumn("d", F.unhex(F.sha2("content", 256)))

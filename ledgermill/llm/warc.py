@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from ledgermill.llm.exact_dedup import with_group
 from ledgermill.llm.key_filter import build_filter, may_match
 from ledgermill.llm.shard_files import committed, split_uri
-from ledgermill.llm.shared import shared_dir, stage
+from ledgermill.llm.shared import shared_dir, ship, stage
 
 MIN_BYTES = 0
 LEVEL = 3
@@ -84,6 +84,7 @@ def _record(page_id, url: str, payload: bytes, number: int, refers_to: int | Non
 
 def write_archives(pages: DataFrame, folder: str, min_bytes: int = MIN_BYTES) -> DataFrame:
     """Writes archives below folder; archive and n_records of each."""
+    ship(pages.sparkSession)
     rows = _headers(pages)
     resolved, repeated = resolve_revisits(pages, min_bytes)
     marked = may_match(rows, "h", build_filter(repeated, "h"), "may_repeat")
@@ -167,6 +168,7 @@ def read_archives(archives: DataFrame, folder: str) -> DataFrame:
                 kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url"])
 
+    ship(archives.sparkSession)
     # a given number of partitions is not merged: an archive is read by one task, however short the list of names
     return archives.select("archive").repartition(max(1, archives.count())).mapInArrow(each, "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, url string")
 

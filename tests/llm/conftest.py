@@ -2,13 +2,6 @@ import random
 
 import pytest
 
-from ledgermill.llm.shared import ship
-
-
-@pytest.fixture(autouse=True)
-def shipped(spark):
-    ship(spark)
-
 
 @pytest.fixture(scope="session")
 def corpus(spark, sf_dir):
