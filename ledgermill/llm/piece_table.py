@@ -35,7 +35,7 @@ import numpy as np
 import pyarrow as pa
 import sentencepiece
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgermill.llm.shard_files import committed, split_uri
@@ -43,6 +43,8 @@ from ledgermill.llm.shared import partitions_of, shared_dir, ship, stage
 
 MARK = "▁"
 TABLE_ENTRIES = 150_000
+#: Parts of the requests, at least: the distinct chunks of one should fit TABLE_ENTRIES.
+LEAST_PARTS = 128
 #: Characters of texts in a block, and of texts encoded at once.
 BLOCK_CHARS, ENCODE_CHARS = 16_000_000, 200_000
 _CHUNKS = re.compile(f"{MARK}+[^{MARK}\\n]*|[^{MARK}\\n]+|\\n")
@@ -180,11 +182,15 @@ def _reply(table: PieceTable, raw: bytes) -> tuple[bytes, bytes]:
     return np.array(counts, dtype="<i4").tobytes(), np.array(joined.split(b",") if joined else [], dtype="<u4").tobytes()
 
 
+def _parts(spark: SparkSession) -> int:
+    return max(partitions_of(spark), LEAST_PARTS)
+
+
 def build_table(docs: DataFrame, model_path: str, folder: str, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """Segments the distinct chunks of docs (text) and writes the replies of each block below folder; block and n_chunks of each."""
     spark = docs.sparkSession
     ship(spark)
-    n_parts = max(partitions_of(spark), 2 * spark.sparkContext.defaultParallelism)
+    n_parts = _parts(spark)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _table(model_path)
@@ -194,6 +200,7 @@ def build_table(docs: DataFrame, model_path: str, folder: str, block_chars: int
 
     def segment(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _table(model_path)
+        table.clear()
         for batch in batches:
             requests = batch.column(2).to_pylist()
             replies = [_reply(table, raw) for raw in requests]
@@ -246,7 +253,7 @@ def _encode(docs: DataFrame, model_path: str, results: Callable[[list[tuple[int,
     """doc_id and the columns that results makes of the encoded rows."""
     spark = docs.sparkSession
     folder = f"{shared_dir(spark)}/pieces"
-    n_parts = max(partitions_of(spark), 2 * spark.sparkContext.defaultParallelism)
+    n_parts = _parts(spark)
     stage(build_table(docs, model_path, folder, block_chars))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
