@@ -23,7 +23,7 @@ def _records(n, seed=1):
     for i in range(n):
         qty, price = rng.randint(1, 5), rng.randint(100, 900)
         items = [{"sku": rng.choice("ABCD"), "name": "x", "qty": qty, "unit_price": price, "total": qty * price}]
-        rows.append(record(order_id=f"O-{i}", customer_id=f"C-{i % 7}", order_date=f"2025-0{rng.randint(1, 3)}-1{rng.randint(0, 9)}T00:00:00", delivery_cost="0", total_amount=str(qty * price), items_json=json.dumps(items)))
+        rows.append(record(order_id=f"O-{i}", city="صنعاء", customer_id=f"C-{i % 7}", order_date=f"2025-0{rng.randint(1, 3)}-1{rng.randint(0, 9)}T00:00:00", delivery_cost="0", total_amount=str(qty * price), items_json=json.dumps(items)))
     return rows
 
 
