@@ -62,7 +62,6 @@ class PieceTable:
         self.guard = self.model.encode("a")
         self.table: dict[str, tuple[int, bytes, str]] = {}
         self.taken = 0  # entries that were segmented elsewhere
-        self.written: list[bytes] = []
 
     def _segment(self, chunks: list[str]) -> list[list[int]]:
         """Ids of chunks. The model puts the first marker of a text; a chunk without one is segmented behind a line break."""
@@ -94,16 +93,11 @@ class PieceTable:
             texts = self.model.decode([self.guard + i for i in ids], num_threads=1)
             self.table.update((c, (len(i), ",".join(map(str, i)).encode(), t[1:])) for c, i, t in zip(some, ids, texts))
 
-    def take(self, chunks: list[str], counts: np.ndarray, ids: np.ndarray) -> None:
+    def take(self, chunks: list[str], counts: list[int], ids: list[bytes]) -> None:
         """Puts chunks in the table with their ids as segmented elsewhere; negative counts mark those whose text is decoded here."""
-        ends = np.cumsum(np.abs(counts)).tolist()
-        self.written = written = self.written or [b"%d" % i for i in range(self.model.get_piece_size())]
-        ids = ids.tolist()
-        a = 0
-        for chunk, n, b in zip(chunks, counts.tolist(), ends):
-            text = chunk.replace(MARK, " ") if n >= 0 else self.model.decode(self.guard + ids[a:b])[1:]
-            self.table[chunk] = (b - a, b",".join([written[i] for i in ids[a:b]]), text)
-            a = b
+        for chunk, n, joined in zip(chunks, counts, ids):
+            text = chunk.replace(MARK, " ") if n >= 0 else self.model.decode([*self.guard, *map(int, joined.split(b","))])[1:]
+            self.table[chunk] = (abs(n), joined, text)
         self.taken += len(chunks)
 
     def clear(self) -> None:
@@ -115,13 +109,14 @@ class PieceTable:
     def encode(self, texts: list[str]) -> list[tuple[int, bytes, str]]:
         """Of each text the number of ids, the ids in decimal joined by commas, and the decoded text."""
         chunks = [self.chunks(t) for t in texts]
-        distinct = set().union(*chunks)
-        if not distinct <= self.table.keys():
-            self.learn(distinct)
-        table = self.table
+        try:
+            found = [list(map(self.table.__getitem__, cs)) for cs in chunks]
+        except KeyError:
+            self.learn(set().union(*chunks))
+            found = [list(map(self.table.__getitem__, cs)) for cs in chunks]
         out = []
-        for cs in chunks:
-            counts, ids, pieces = zip(*map(table.__getitem__, cs)) if cs else ((), (), ())
+        for rows in found:
+            counts, ids, pieces = zip(*rows) if rows else ((), (), ())
             out.append((sum(counts), b",".join(ids), "".join(pieces)[1:]))
         return out
 
@@ -136,12 +131,12 @@ def _table(model_path: str) -> PieceTable:
 
 
 def _requests(table: PieceTable, texts: list[str], n_parts: int) -> dict[int, list[str]]:
-    """The distinct chunks of texts by part, sorted. Chunks with a zero character, which parts them in a request, are left out."""
-    found: set[str] = set()
+    """The distinct chunks of texts by part, as they first occur. Chunks with a zero character, which parts them in a request, are left out."""
+    found: dict[str, None] = {}
     for text in texts:
-        found.update(table.chunks(text))
+        found.update(dict.fromkeys(table.chunks(text)))
     parts: dict[int, list[str]] = {}
-    for chunk in sorted(found):
+    for chunk in found:
         if "\0" not in chunk:
             parts.setdefault(zlib.crc32(chunk.encode()) % n_parts, []).append(chunk)
     return parts
@@ -170,16 +165,12 @@ def _text_blocks(batches: Iterator[pa.RecordBatch], column: int, block_chars: in
 
 
 def _reply(table: PieceTable, raw: bytes) -> tuple[bytes, bytes]:
-    """Of the chunks of a request their numbers of ids, negative where the decoded text is not the chunk itself, and all ids."""
+    """Of the chunks of a request their numbers of ids, negative where the decoded text is not the chunk itself, and the ids in decimal, a semicolon between chunks."""
     chunks = raw.decode().split("\0")
     table.learn(set(chunks))
-    counts, ids = [], []
-    for chunk in chunks:
-        n, joined, text = table.table[chunk]
-        counts.append(n if text == chunk.replace(MARK, " ") else -n)
-        ids.append(joined)
-    joined = b",".join(x for x in ids if x)
-    return np.array(counts, dtype="<i4").tobytes(), np.array(joined.split(b",") if joined else [], dtype="<u4").tobytes()
+    rows = [table.table[c] for c in chunks]
+    counts = [n if text == chunk.replace(MARK, " ") else -n for chunk, (n, _, text) in zip(chunks, rows)]
+    return np.array(counts, dtype="<i4").tobytes(), b";".join([joined for _, joined, _ in rows])
 
 
 def _parts(spark: SparkSession) -> int:
@@ -230,7 +221,7 @@ def _encoded_blocks(batches: Iterator[pa.RecordBatch], column: int, model_path:
             for part, chunks in _requests(table, texts, n_parts).items():
                 reply = replies.get(part)
                 if reply is not None and reply["request"] == _digest("\0".join(chunks).encode()):
-                    table.take(chunks, np.frombuffer(reply["counts"], "<i4"), np.frombuffer(reply["ids"], "<u4"))
+                    table.take(chunks, np.frombuffer(reply["counts"], "<i4").tolist(), reply["ids"].split(b";"))
         out = [row for some in _blocks(texts, ENCODE_CHARS) for row in table.encode(some)]
         table.clear()
         yield out, held
