@@ -17,6 +17,11 @@ from ledgermill.llm.quality_rules import quality_rules
 from ledgermill.llm.shared import free_name, read_table, scratch, shared_dir, ship, stage
 
 
+#: Characters in a block of op9's table: fewer than by default, since executors still hold what earlier stages took; each
+#: block then asks for more of the chunks that others ask for too, which costs shuffle.
+BLOCK_CHARS = 2_000_000
+
+
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
     ship(spark)
@@ -43,7 +48,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each row of the mix."""
     ship(spark)
-    return piece_digests(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    return piece_digests(docs, public_tokenizers.path("piece_bpe_32k.model"), block_chars=BLOCK_CHARS)
 
 
 STAGES = [
