@@ -7,7 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from ledgermill.llm.conversation_repair import damage, repair_conversations
 from ledgermill.llm.exact_dedup import exact_groups
+from ledgermill.llm.filter_audit import filter_audit
 from ledgermill.llm.html_extract import extract_main_text
 from ledgermill.llm.id_shards import encode_to_shards
 from ledgermill.llm.jaccard_join import jaccard_components
@@ -16,6 +18,7 @@ from ledgermill.llm.personal_data import find_personal_data
 from ledgermill.llm.piece_table import piece_digests
 from ledgermill.llm.quality_rules import quality_rules
 from ledgermill.llm.shared import read_table, ship
+from ledgermill.llm.simhash import simhash_components
 from ledgermill.llm.token_counts import count_tokens
 from ledgermill.llm.warc import deduplicate_pages
 
@@ -62,6 +65,18 @@ def op10_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deduplicate_pages(read_table(spark, sf_dir, "pages")).drop("url")
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_conversations(damage(read_table(spark, sf_dir, "conversations")))
+
+
+def op12_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_components(read_table(spark, sf_dir, "documents"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 _OPERATORS = (
     op1_distribution_divergence,
     op2_personal_data,
@@ -73,6 +88,9 @@ _OPERATORS = (
     op8_id_shards,
     op9_sentencepiece,
     op10_warc_revisits,
+    op11_conversation_repair,
+    op12_simhash_trie,
+    op13_filter_audit,
 )
 
 
@@ -143,4 +161,46 @@ def oracle_sql() -> dict[str, str]:
                        least(1.0::DOUBLE, 2 * area / (c0 + sqrt(greatest(0.0::DOUBLE, c0 * c0 + 2 * (c1 - c0) * area))))
                    END AS position
             FROM timed""",
+        "op13_filter_audit": r"""
+            WITH texts AS (
+                SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text,
+                       regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words
+                FROM documents
+            ), judged AS (
+                SELECT doc_id, part,
+                       [len(words) < 100,
+                        100 * len(list_distinct(words)) < 80 * len(words),
+                        100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 10 * length(text),
+                        regexp_matches(text, '[#$%&*|]'),
+                        coalesce(doc_id > min(doc_id) OVER (PARTITION BY text), false)] AS fails
+                FROM texts
+            ), known AS (
+                SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id
+            ), cells AS (
+                SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS n_good, count(*) FILTER (toxic) AS n_toxic
+                FROM judged LEFT JOIN known USING (doc_id) GROUP BY part, fails
+            ), letters AS (
+                SELECT unnest([1, 2, 3, 4, 5]) AS f
+            ), orders AS (
+                SELECT [a.f, b.f, c.f, d.f, e.f] AS steps
+                FROM letters a, letters b, letters c, letters d, letters e
+                WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5
+            ), steps AS (
+                SELECT steps, step, steps[step] AS f, steps[1 : step - 1] AS before FROM orders, (SELECT f AS step FROM letters)
+            ), told AS (
+                SELECT part, f, step,
+                       array_to_string(list_transform(steps, lambda x: 'ABCDE'[x]), '') AS filter_order,
+                       CAST(sum(CASE WHEN NOT earlier AND NOT fails[f] THEN n ELSE 0 END) AS BIGINT) AS kept,
+                       CAST(sum(CASE WHEN NOT earlier AND fails[f] THEN n ELSE 0 END) AS BIGINT) AS removed,
+                       CAST(sum(CASE WHEN earlier AND fails[f] THEN n ELSE 0 END) AS BIGINT) AS redundant,
+                       CAST(sum(CASE WHEN fails[f] AND len(list_filter(fails, lambda x: x)) = 1 THEN n ELSE 0 END) AS BIGINT) AS unique_fails,
+                       CAST(sum(CASE WHEN NOT earlier AND fails[f] THEN n_good ELSE 0 END) AS BIGINT) AS good_lost,
+                       CAST(sum(CASE WHEN NOT earlier AND fails[f] THEN n_toxic ELSE 0 END) AS BIGINT) AS toxic_lost
+                FROM (SELECT *, coalesce(list_bool_or(list_transform(before, lambda x: fails[x])), false) AS earlier FROM cells, steps)
+                GROUP BY part, steps, f, step
+            )
+            SELECT part, filter_order, CAST(step AS INTEGER) AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+                   CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley
+            FROM told""",
     }
+
