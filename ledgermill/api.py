@@ -10,7 +10,7 @@ from ledgermill import jobs, refresh
 from ledgermill.ingest import RUNS, VALIDATED_SCHEMA, VALIDATED_TABLE, quarantined, validated
 from ledgermill.operators.merge import of_keys
 from ledgermill.plans import catalog, explain, layout
-from ledgermill.store import BUCKETS, Store
+from ledgermill.store import BUCKET_ROWS, BUCKETS, Store
 from ledgermill.streaming import incremental
 
 _REGISTRIES = {"query": catalog.QUERIES, "pquery": catalog.PARAMETER_QUERIES}
@@ -20,8 +20,8 @@ _REPORTS = {"agg": catalog.REPORTS, "agg_v2": catalog.REPORTS_V2}
 class Engine:
     """Unknown names raise KeyError; wrong parameters, modes and stages raise ValueError."""
 
-    def __init__(self, spark: SparkSession, root: str, buckets: int = BUCKETS):
-        self.spark, self.store = spark, Store(spark, root, buckets)
+    def __init__(self, spark: SparkSession, root: str, buckets: int = BUCKETS, bucket_rows: int = BUCKET_ROWS):
+        self.spark, self.store = spark, Store(spark, root, buckets, bucket_rows)
 
     def health(self) -> dict:
         return {"status": "ok", "spark": self.spark.version, "orders_version": self.store.version(VALIDATED_TABLE)}
@@ -47,7 +47,10 @@ class Engine:
         return {k: list(v) for k, v in (_REGISTRIES | _REPORTS).items()} | {"jobs": list(jobs.JOBS)}
 
     def query_frame(self, name: str, params: dict | None = None, limit: int | None = None, kind: str = "query") -> DataFrame:
-        return catalog.named(catalog.named(_REGISTRIES, kind), name).build(self.orders(), params, limit)
+        """The query over the layout of its columns, where the current orders have it, else over the orders."""
+        chosen = catalog.named(catalog.named(_REGISTRIES, kind), name)
+        path = layout.find_layout(self.spark, self._layouts(), explain.SERVED_BY[name])
+        return chosen.build(self.orders() if path is None else self.spark.read.schema(VALIDATED_SCHEMA).parquet(path), params, limit)
 
     def query(self, name: str, params: dict | None = None, limit: int | None = None, kind: str = "query", with_plan: bool = False) -> dict:
         """name, description, count_returned and results of a row query: its limit bounds them."""
@@ -60,13 +63,16 @@ class Engine:
         return catalog.named(catalog.named(_REPORTS, kind), name).build(self.orders())
 
     def aggregate(self, name: str, kind: str = "agg") -> dict:
-        """name, description, count and results of a report. Unlimited reports come back row by row."""
+        """name, description, count and results of a report. One that has no limit has a row for each of its groups: read ``aggregate_frame`` where they may be many."""
         rows = [_plain(r.asDict(recursive=True)) for r in self.aggregate_frame(name, kind).toLocalIterator()]
         return {"name": name, "description": _REPORTS[kind][name].description, "count": len(rows), "results": rows}
 
     def indexes(self) -> list[dict]:
-        """Writes the layouts of the current orders that are missing."""
-        return layout.ensure_layouts(self.orders(), self._layouts())
+        """Writes the layouts of the current orders that are missing, and deletes those of versions before the last."""
+        made = layout.ensure_layouts(self.orders(), self._layouts())
+        for old in sorted(self.store._names("layouts"), key=lambda n: int(n.removeprefix("v=")))[:-2]:
+            self.store.delete(f"layouts/{old}")
+        return made
 
     def _layouts(self) -> str:
         return self.store.path(f"layouts/v={self.store.version(VALIDATED_TABLE)}")
@@ -82,8 +88,10 @@ class Engine:
         return explain.benchmark(self.orders(), self._layouts(), queries)
 
     def refresh_views(self, mode: str = "incremental") -> dict:
-        """Refreshes both views; incrementally by the orders of the last delta."""
-        return refresh.refresh(self.store, mode, incremental.latest_delta_ids(self.store))
+        """Refreshes both views; incrementally by all that has changed since they were refreshed. Before any refresh and any delta there is nothing to do."""
+        if mode == "incremental" and self.store.load_json(incremental.LAST_DELTA, None) is None and self.store.version(refresh.DAILY) is None:
+            return {"mode": mode, "message": "no changed orders", "daily_rows": 0, "product_rows": 0}
+        return refresh.refresh(self.store, mode)
 
     def refresh_ledger(self) -> dict:
         return refresh.ledger_refresh(self.store)

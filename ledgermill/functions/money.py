@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
 from pyspark.sql import Column
@@ -18,7 +19,7 @@ _NOT_FINITE = r"(?i)^[+-]?(?:inf|infinity|nan)$"
 
 
 def _word_table() -> Column:
-    return F.create_map(*(F.lit(x) for word, number in WORD_NUMBERS.items() for x in (word, str(number))))
+    return F.from_json(F.lit(json.dumps(WORD_NUMBERS)), "map<string,string>")  # folds to a literal
 
 
 def parse_money(raw: Column) -> Column:

@@ -14,7 +14,7 @@ from ledgermill.operators.classify import classify, record_hash
 from ledgermill.operators.merge import upsert, upsert_outcome
 from ledgermill.sources.files import decide_strategy
 from ledgermill.sources.orders_csv import read_orders
-from ledgermill.store import Store
+from ledgermill.store import TRIES, ConflictError, Store
 
 RAW_TABLE, VALIDATED_TABLE, QUARANTINE_TABLE, RUNS = "orders_raw", "orders_validated", "orders_quarantine", "runs"
 ENGINE = "spark"
@@ -26,8 +26,8 @@ _CLEAN = (
 )
 VALIDATED_SCHEMA = f"{_CLEAN}, quality_status string, corrections array<{S.CORRECTION}>, record_hash string, at_first_validated timestamp, first_seen_run string, last_seen_run string, at_updated timestamp, source_file string, engine_used string"
 QUARANTINE_SCHEMA = (
-    "run_id string, source_file string, source_row_number bigint, quarantined_at timestamp, engine_used string, error_codes array<string>, error_details string, "
-    f"partial_corrections_attempted array<{S.CORRECTION}>, raw_record struct<{','.join(f'{c}:string' for c in S.RAW_COLUMNS)}>"
+    "source_file string, source_row_number bigint, quarantined_at timestamp, engine_used string, error_codes array<string>, error_details string, "
+    f"partial_corrections_attempted array<{S.CORRECTION}>, raw_record struct<{','.join(f'{c}:string' for c in S.RAW_COLUMNS)}>, run_id string"
 )
 
 
@@ -54,18 +54,33 @@ def ingest(
     resume_run_id: str | None = None,
     skip_raw: bool = False,
     from_raw: bool = False,
-) -> dict:
+    batch: tuple[str, int] | None = None,
+) -> dict | None:
     """Loads a CSV file, or with ``from_raw`` the raw rows of ``resume_run_id``, and returns the run's figures.
 
     The raw rows are written first and are the input of all that follows, so the file is read once.
-    Classified rows are written once too, below the store until the run is over, and the merge, the
-    quarantine and the counts read that table. The merge reads and rewrites the buckets of the
-    validated table that changed records fall into. A run that fails leaves that table as it was.
+    Classified rows are written once too, below the store until the run is over, and the quarantine, the
+    merge and the counts read that table. Raw rows and quarantine are those of the run, however often it is
+    resumed. The merge comes last; it reads and rewrites the buckets of the validated table that changed records fall
+    into. A run that fails leaves that table as it was.
+
+    ``batch``, the stream and the number of a micro-batch, names the run, and is noted in the version that the
+    merge makes: a batch that has been applied is not loaded again, and None is returned.
     """
     if from_raw and not resume_run_id:
         raise ValueError("from_raw needs the run to resume")
+    if batch and store.transaction(VALIDATED_TABLE).applied.get(batch[0], -1) >= batch[1]:
+        return None
+    run_id = resume_run_id or (f"stream-{batch[0]}-{batch[1]:09d}" if batch else f"run-{datetime.now(timezone.utc):%Y%m%dT%H%M%S}-{uuid.uuid4().hex[:8]}")
+    work = f"work/{run_id}-{uuid.uuid4().hex[:8]}"
+    try:
+        return _ingest(spark, store, path, profile, threshold_mb, run_id, work, skip_raw, from_raw, batch)
+    finally:
+        store.delete(work)
+
+
+def _ingest(spark: SparkSession, store: Store, path: str | None, profile: str, threshold_mb: float, run_id: str, work: str, skip_raw: bool, from_raw: bool, batch: tuple[str, int] | None) -> dict:
     began = time.time()
-    run_id = resume_run_id or f"run-{datetime.now(timezone.utc):%Y%m%dT%H%M%S}-{uuid.uuid4().hex[:8]}"
     now = F.lit(datetime.now(timezone.utc).replace(tzinfo=None).isoformat(sep=" ")).cast("timestamp")
     if from_raw:
         decision = {"file_path": path, "strategy": "resume", "file_size_mb": None, "partitions": None}
@@ -76,24 +91,24 @@ def ingest(
         if skip_raw:
             rows = read
         else:
-            raw = read.select("source_file", "source_row_number", now.alias("ingested_at"), F.lit(ENGINE).alias("engine_used"), F.struct(*S.RAW_COLUMNS).alias("raw_record"), F.lit(run_id).alias("run_id"))
-            store.append(RAW_TABLE, raw, "run_id")
+            raw = read.select("source_file", "source_row_number", now.alias("ingested_at"), F.lit(ENGINE).alias("engine_used"), F.struct(*S.RAW_COLUMNS).alias("raw_record"))
+            store.put_run(RAW_TABLE, raw, run_id)
             rows = raw_of_run(store, run_id)
-    work = f"work/{run_id}"
     found = classify(rows, profile).withColumn("record_hash", record_hash(F.col("clean"), F.col("quality_status"), F.col("corrections")))
-    found.write.mode("overwrite").partitionBy("quality_status").parquet(store.path(work))
-    found = spark.read.schema(found.schema).parquet(store.path(work))
+    found.write.partitionBy("quality_status").parquet(store.path(f"{work}/found"))
+    found = spark.read.schema(found.schema).parquet(store.path(f"{work}/found"))
+
+    rejected = found.where("quality_status = 'quarantine'").select(
+        "source_file", "source_row_number", now.alias("quarantined_at"), F.lit(ENGINE).alias("engine_used"),
+        "error_codes", "error_details", F.col("corrections").alias("partial_corrections_attempted"), F.struct(*S.RAW_COLUMNS).alias("raw_record"),
+    )
+    store.put_run(QUARANTINE_TABLE, rejected, run_id)
 
     accepted = found.where("quality_status <> 'quarantine'").select(
         "clean.*", "quality_status", "corrections", "record_hash", now.alias("at_first_validated"), F.lit(run_id).alias("first_seen_run"),
         F.lit(run_id).alias("last_seen_run"), now.alias("at_updated"), "source_file", F.lit(ENGINE).alias("engine_used"),
     )
-    outcome = merge_orders(store, accepted, work)
-    rejected = found.where("quality_status = 'quarantine'").select(
-        F.lit(run_id).alias("run_id"), "source_file", "source_row_number", now.alias("quarantined_at"), F.lit(ENGINE).alias("engine_used"),
-        "error_codes", "error_details", F.col("corrections").alias("partial_corrections_attempted"), F.struct(*S.RAW_COLUMNS).alias("raw_record"),
-    )
-    store.append(QUARANTINE_TABLE, rejected, "run_id")
+    outcome = merge_orders(store, accepted, work, dict([batch]) if batch else None)
 
     counts = status_counts(found).first().asDict()
     codes = {r["error_code"]: r["n_rows"] for r in error_histogram(found).collect()}  # at most one row for each code
@@ -107,25 +122,31 @@ def ingest(
         "generated_at": datetime.now(timezone.utc).isoformat(),
     }
     store.add_to_log(RUNS, figures)
-    store.delete(work)
     return figures
 
 
-def merge_orders(store: Store, accepted: DataFrame, work: str) -> dict[str, int]:
+def merge_orders(store: Store, accepted: DataFrame, work: str, applied: dict[str, int] | None = None) -> dict[str, int]:
     """Puts accepted records into the validated table; how many were inserted, updated and unchanged.
 
-    An unchanged record keeps its row as it was. Changed ones are written to the folder ``work`` on the way.
+    An unchanged record keeps its row as it was. Changed ones are written below the folder ``work`` on the way. Where
+    another run has changed the same buckets meanwhile, records are compared with its rows anew.
     """
-    near = store.snapshot(VALIDATED_TABLE, VALIDATED_SCHEMA, buckets=store.touched(VALIDATED_TABLE, accepted, "order_id"))
-    counts = upsert_outcome(near, accepted, "order_id", "record_hash").first().asDict()
-    if counts["inserted"] or counts["updated"]:
+    for attempt in range(TRIES):
+        turn = store.transaction(VALIDATED_TABLE)
+        near = turn.rows(VALIDATED_SCHEMA, turn.touched(accepted, "order_id"))
+        counts = upsert_outcome(near, accepted, "order_id", "record_hash").first().asDict()
+        if not (counts["inserted"] or counts["updated"]):
+            if not applied or turn.mark(applied):
+                return counts
+            continue
         old = near.select(F.col("order_id").alias("old_id"), F.col("record_hash").alias("old_hash"))
         changed = accepted.join(old, (F.col("order_id") == F.col("old_id")) & (F.col("record_hash") == F.col("old_hash")), "left_anti")
-        changed.select(*near.columns).write.mode("overwrite").parquet(store.path(f"{work}-changed"))
-        changed = store.spark.read.schema(near.schema).parquet(store.path(f"{work}-changed"))
-        store.merge(VALIDATED_TABLE, changed, "order_id", lambda rows, fresh: upsert(rows, fresh, ["order_id"], ("at_first_validated", "first_seen_run")))
-        store.delete(f"{work}-changed")
-    return counts
+        place = store.path(f"{work}/changed-{attempt}")
+        changed.select(*near.columns).write.parquet(place)
+        changed = store.spark.read.schema(near.schema).parquet(place)
+        if turn.merge(changed, "order_id", lambda rows, fresh: upsert(rows, fresh, ["order_id"], ("at_first_validated", "first_seen_run")), applied):
+            return counts
+    raise ConflictError(VALIDATED_TABLE)
 
 
 def status_counts(found: DataFrame) -> DataFrame:

@@ -8,9 +8,8 @@ from datetime import datetime, timezone
 
 from ledgermill.ingest import validated
 from ledgermill.plans.catalog import REPORTS_V2
-from ledgermill.refresh import full_refresh, incremental_refresh, ledger_refresh
+from ledgermill.refresh import incremental_refresh, ledger_refresh
 from ledgermill.store import Store
-from ledgermill.streaming.incremental import latest_delta_ids
 
 JOB_LOG, REPORTS = "job_runs", "daily_reports"
 _busy = threading.Lock()
@@ -18,9 +17,8 @@ _busy = threading.Lock()
 
 def _view(name: str) -> Callable[[Store], dict]:
     def job(store: Store) -> dict:
-        """Refreshes one view by the last delta; without a delta, in full."""
-        ids = latest_delta_ids(store)
-        return full_refresh(store, (name,)) if ids.isEmpty() else incremental_refresh(store, ids, (name,))
+        """Refreshes one view by what has changed since it was refreshed; one that was never built, in full."""
+        return incremental_refresh(store, (name,))
 
     return job
 

@@ -8,7 +8,9 @@ repeated order_id.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import lru_cache
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,20 +35,29 @@ class Rules:
 
 
 def _row_rules(df: DataFrame) -> Rules:
+    steps, rules = _row_columns(id(SparkContext._gateway))
+    for step in steps:
+        df = df.withColumns(step)
+    return Rules(df, *rules)
+
+
+@lru_cache(maxsize=1)
+def _row_columns(gateway: int) -> tuple:
+    """The working columns in three steps, and the rules over them: thousands of calls to the driver's JVM, made once for each."""
     c = F.col
     w = lambda name: F.col(_W + name)
     amounts = ("delivery_cost", "total_amount", "payment_amount")
-    df = df.withColumns(
+    fields = (
         {_W + f: text.clean_text(c(f)) for f in ("order_id", "customer_id", "customer_name", "city", "district", "order_date", "customer_phone", "customer_email")}
         | {_W + "date": dates.parse_date(c("order_date")), _W + "lines": items.read_items(items.parse_items(c("items_json")))}
         | {_W + f: money.parse_money(c(f)) for f in amounts}
         | {_W + f: text.clean_choice(c(f)) for f in ("status", "payment_method", "payment_status", "delivery_type")}
         | {_W + "phone": text.clean_phone(c("customer_phone")), _W + "email": text.clean_email(c("customer_email"))}
     )
-    df = df.withColumns({_W + "items": items.kept_items(w("lines")), _W + "negative": items.has_negative(w("lines")), _W + "iso": dates.iso_text(w("date"))})
+    read = {_W + "items": items.kept_items(w("lines")), _W + "negative": items.has_negative(w("lines")), _W + "iso": dates.iso_text(w("date"))}
     corrupted = w("lines").isNull()
     usable = F.coalesce(F.size(w("items")) > 0, F.lit(False)) & ~w("negative")
-    df = df.withColumn(_W + "total", F.when(usable, items.recompute_total(w("items"), w("delivery_cost")["value"], w("total_amount")["value"])))
+    summed = {_W + "total": F.when(usable, items.recompute_total(w("items"), w("delivery_cost")["value"], w("total_amount")["value"]))}
     replaced = F.coalesce(w("total")["replaced"], F.lit(False))
     given = w("total_amount")["value"]
 
@@ -80,7 +91,7 @@ def _row_rules(df: DataFrame) -> Rules:
         "delivery_cost": F.coalesce(w("delivery_cost")["value"], F.lit(0.0)), "payment_method": w("payment_method"), "payment_status": w("payment_status"),
         "payment_amount": w("payment_amount")["value"], "currency": F.lit(S.CURRENCY), "total_amount": F.coalesce(w("total")["value"], given), "items": w("items"),
     }
-    return Rules(df, clean, corrections, {1: items.item_corrections(w("lines"))}, errors)
+    return (fields, read, summed), (clean, corrections, {1: items.item_corrections(w("lines"))}, errors)
 
 
 def _bulk_rules(df: DataFrame) -> Rules:

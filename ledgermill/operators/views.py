@@ -18,6 +18,7 @@ from ledgermill.plans.catalog import order_items, total
 
 DAILY_SCHEMA = "day string, orders bigint, sales double"
 PRODUCT_SCHEMA = "sku string, product string, quantity double, sales double"
+PARTS_SCHEMA = "sku string, name string, lines bigint, quantity double, sales double"
 LEDGER_SCHEMA = "order_id string, record_hash string, day string, sales double, products array<struct<sku:string,name:string,quantity:double,sales:double>>"
 
 
@@ -82,6 +83,65 @@ def contributions(orders: DataFrame) -> DataFrame:
     )
 
 
+def signed(old: DataFrame, new: DataFrame) -> DataFrame:
+    """sign, day, sales and products: contributions that go and that come."""
+    fields = ("day", "sales", "products")
+    return old.select(F.lit(-1).alias("sign"), *fields).unionByName(new.select(F.lit(1).alias("sign"), *fields))
+
+
+def _amount(column: Column) -> Column:
+    return F.sum(column.cast("decimal(18,2)")).cast("double")
+
+
+def day_deltas(rows: DataFrame) -> DataFrame:
+    """day, orders and sales that signed contributions add."""
+    return rows.where("day IS NOT NULL").groupBy("day").agg(F.sum("sign").alias("orders"), _amount(F.col("sign") * F.col("sales")).alias("sales"))
+
+
+def add_days(view: DataFrame, delta: DataFrame) -> DataFrame:
+    """day, orders and sales of both; days without orders go."""
+    columns = ("day", "orders", "sales")
+    both = view.select(*columns).unionByName(delta.select(*columns))
+    return both.groupBy("day").agg(F.sum("orders").alias("orders"), _amount(F.col("sales")).alias("sales")).where("orders > 0")
+
+
+def product_parts(items: DataFrame) -> DataFrame:
+    """lines, quantity and sales of items by sku and name."""
+    known = items.where(F.col("sku").isNotNull() & (F.col("sku") != ""))
+    return known.groupBy("sku", "name").agg(F.count(F.lit(1)).alias("lines"), total("qty").alias("quantity"), total("total").alias("sales"))
+
+
+def part_deltas(rows: DataFrame) -> DataFrame:
+    """lines, quantity and sales by sku and name that signed contributions add."""
+    lines = rows.select("sign", F.explode("products").alias("p"))
+    sums = (_amount(F.col("sign") * F.col(f"p.{c}")).alias(c) for c in ("quantity", "sales"))
+    return lines.groupBy(F.col("p.sku").alias("sku"), F.col("p.name").alias("name")).agg(F.sum("sign").alias("lines"), *sums)
+
+
+def add_parts(parts: DataFrame, delta: DataFrame) -> DataFrame:
+    """Parts of both; those without lines go."""
+    both = parts.unionByName(delta).groupBy("sku", "name").agg(F.sum("lines").alias("lines"), *(_amount(F.col(c)).alias(c) for c in ("quantity", "sales")))
+    return both.where("lines > 0")
+
+
+def products_of(parts: DataFrame) -> DataFrame:
+    """sku, product (its least name), quantity and sales."""
+    return parts.groupBy("sku").agg(F.min("name").alias("product"), total("quantity").alias("quantity"), total("sales").alias("sales"))
+
+
+def changed_pairs(new: DataFrame, old: DataFrame) -> DataFrame:
+    """Contributions of orders that differ by hash, as structs old and new, null where there is none."""
+    sides = [rows.select(F.struct("*").alias(name)) for rows, name in ((old, "old"), (new, "new"))]
+    joined = sides[0].join(sides[1], F.col("old.order_id") == F.col("new.order_id"), "full")
+    return joined.where(F.col("old").isNull() | F.col("new").isNull() | ~F.col("old.record_hash").eqNullSafe(F.col("new.record_hash")))
+
+
+def change_counts(pairs: DataFrame) -> DataFrame:
+    """One row: inserted, updated, removed, and those of them whose date is invalid."""
+    was, now = F.col("old").isNotNull(), F.col("new").isNotNull()
+    return pairs.agg(F.count_if(now & ~was).alias("inserted"), F.count_if(now & was).alias("updated"), F.count_if(~now).alias("removed"), F.count_if(now & F.col("new.day").isNull()).alias("skipped_invalid"))
+
+
 @dataclass(frozen=True)
 class LedgerRefresh:
     daily: DataFrame

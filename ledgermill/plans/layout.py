@@ -46,6 +46,12 @@ def write_layout(orders: DataFrame, root: str, layout: Layout) -> str:
     return path
 
 
+def find_layout(spark: SparkSession, root: str, columns: tuple[str, ...]) -> str | None:
+    """The path of a layout below root, if it is there."""
+    path = f"{root.rstrip('/')}/{Layout(columns).name}"
+    return path if _exists(spark, f"{path}/_SUCCESS") else None
+
+
 def ensure_layouts(orders: DataFrame, root: str, layouts: tuple[Layout, ...] = LAYOUTS) -> list[dict]:
     """Name, path and whether it was written now of each layout; a second call writes nothing."""
     out = []

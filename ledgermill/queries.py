@@ -311,16 +311,18 @@ def _digits(star: StarSchema) -> DataFrame:
 
 
 @register("money", """SELECT o_orderkey,
-    CASE WHEN o_orderkey % 7 = 5 THEN NULL WHEN o_orderkey % 7 = 6 THEN 5000.0 ELSE CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS DOUBLE) END AS value,
+    CASE WHEN o_orderkey % 7 = 5 THEN NULL WHEN o_orderkey % 7 = 6
+        THEN [1000, 1000, 2000, 2000, 2000, 2000, 3000, 3000, 4000, 4000, 5000, 5000, 6000, 6000, 7000, 7000, 8000, 8000, 9000, 9000, 10000, 10000][o_orderkey // 7 % 22 + 1]::DOUBLE ELSE CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS DOUBLE) END AS value,
     CASE o_orderkey % 7 WHEN 0 THEN NULL WHEN 1 THEN 'CURRENCY_OR_FORMAT_NORMALIZED' WHEN 2 THEN 'ARABIC_DIGITS_CONVERTED'
          WHEN 3 THEN CASE WHEN o_totalprice >= 1000 THEN 'CURRENCY_OR_FORMAT_NORMALIZED' END WHEN 4 THEN 'CURRENCY_OR_FORMAT_NORMALIZED' WHEN 6 THEN 'CURRENCY_OR_FORMAT_NORMALIZED' END AS rule FROM orders""")
 def _money(star: StarSchema) -> DataFrame:
     plain = F.col("o_totalprice").cast("decimal(18,2)").cast("string")
     grouped = F.regexp_replace(plain, r"(\d)(?=(\d{3})+\.)", "$1,")
     kind = F.col("o_orderkey") % 7
+    word = F.get(F.array(*map(F.lit, S.WORD_NUMBERS)), (F.floor(F.col("o_orderkey") / 7) % 22).cast("int"))
     raw = (
         F.when(kind == 1, F.concat(plain, F.lit(" لاير"))).when(kind == 2, F.translate(plain, "0123456789.", S.FOREIGN_DIGITS[:10] + "٫")).when(kind == 3, grouped)
-        .when(kind == 4, F.concat(F.lit("ر.ي. "), plain)).when(kind == 5, F.lit("???")).when(kind == 6, F.lit("خمسة آلاف")).otherwise(plain)
+        .when(kind == 4, F.concat(F.lit("ر.ي. "), plain)).when(kind == 5, F.lit("???")).when(kind == 6, word).otherwise(plain)
     )
     parsed = star.spread("orders").select("o_orderkey", money.parse_money(raw).alias("m"))
     return parsed.select("o_orderkey", "m.value", "m.rule")

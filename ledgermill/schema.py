@@ -29,11 +29,21 @@ CLEAN_COLUMNS = (
 
 CURRENCY = "YER"
 
-# Currency words in the order in which they are taken out, and numbers written as words in both spellings.
+# Currency words in the order in which they are taken out (the form with the last dot comes first, so that no
+# dot is left behind), and numbers written as words, each in both spellings.
 CURRENCY_WORDS = ("لاير يمني", "لاير", "ريال يمني", "ريال", "YER", "yer", "ر.ي.", "ر.ي")
 WORD_NUMBERS = {
-    "ألف": 1000, "الف": 1000, "ألفان": 2000, "الفان": 2000, "ألفين": 2000, "الفين": 2000, "ثلاثة آلاف": 3000, "أربعة آلاف": 4000, "اربعة آلاف": 4000,
-    "خمسة آلاف": 5000, "ستة آلاف": 6000, "سبعة آلاف": 7000, "ثمانية آلاف": 8000, "تسعة آلاف": 9000, "عشرة آلاف": 10000,
+    "ألف": 1000, "الف": 1000,
+    "ألفان": 2000, "الفان": 2000,
+    "ألفين": 2000, "الفين": 2000,
+    "ثلاثة آلاف": 3000, "ثلاثة الاف": 3000,
+    "أربعة آلاف": 4000, "اربعة الاف": 4000,
+    "خمسة آلاف": 5000, "خمسة الاف": 5000,
+    "ستة آلاف": 6000, "ستة الاف": 6000,
+    "سبعة آلاف": 7000, "سبعة الاف": 7000,
+    "ثمانية آلاف": 8000, "ثمانية الاف": 8000,
+    "تسعة آلاف": 9000, "تسعة الاف": 9000,
+    "عشرة آلاف": 10000, "عشرة الاف": 10000,
 }
 UNKNOWN_MONEY = ("؟؟؟", "???", "null", "None", "NaN")
 FOREIGN_DIGITS, ASCII_DIGITS = "٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹٫٬", "01234567890123456789.,"

@@ -1,47 +1,94 @@
-"""Tables of a store: append-only Parquet tables, and keyed tables as versioned snapshots in buckets.
-
-A version of a keyed table is a numbered manifest that names the folder of each bucket. A writer writes
-the buckets that it changes to a new folder and then adds the next manifest, which appears whole or not
-at all; buckets that it does not touch are named again. No pointer is ever deleted or replaced, so a
-writer that stops anywhere leaves the last version as it was, and a reader never sees half a table.
-Small documents are numbered in the same way, and logs have a file for each entry, so that two writers
-do not lose each other's. All paths go through Hadoop's file systems.
+"""Tables of a store: tables of runs, and keyed tables as versioned snapshots in buckets.
+
+A version of a keyed table is a numbered manifest that names the folder of each bucket of keys. Any number of
+writers may work at once: each writes the buckets that it changes below a folder of its own and then makes the
+next manifest, which appears whole and only where no other writer has made it. Who comes second looks at
+what the first has changed: if none of it is in the buckets that the second has read, these join the new version,
+else the second works again on the new version (``Transaction``). Buckets that nobody touches are named again.
+
+Keys are dealt by extendible hashing: a bucket stands for the low bits of the keys' hashes, and is split in two, again and
+again, when it would hold more than ``bucket_rows`` rows, so that buckets keep their size however a table grows.
+
+A table of runs has a folder for each run, so a run that is repeated or resumed replaces its rows. Small documents
+are numbered as manifests are, and logs have a file for each entry. All paths go through Hadoop's file systems.
+Manifests need a file system that renames or links without replacing: HDFS and local or mounted disks do.
 """
 
 from __future__ import annotations
 
 import json
+import os
 import re
 import time
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-_MANIFESTS = "_manifests"
-#: Buckets of a keyed table when it is made: to be given so that a bucket holds some 100 MB.
-BUCKETS = 16
+_MANIFESTS, _DATA = "_manifests", "data"
+#: Buckets of a keyed table when it is made (the next power of two), and rows beyond which a bucket is split: some 100 MB.
+BUCKETS, BUCKET_ROWS = 16, 1_000_000
+#: Times that buckets which came out too large are split again in one commit.
+_SPLITS = 8
+#: Times that a merge starts anew when other writers change its buckets.
+TRIES = 20
+#: Age at which a folder that no manifest names is taken for one that a writer has left.
+GRACE_SECONDS = 86_400.0
+
+
+class ConflictError(RuntimeError):
+    """Other writers changed the same buckets again and again."""
+
+
+class DuplicateKeyError(ValueError):
+    """Rows to be written repeat a key."""
+
+
+def split(bucket: int, levels: int) -> list[int]:
+    """The buckets that a bucket falls apart into. A bucket is a 1 bit before the low bits that it stands for."""
+    depth = bucket.bit_length() - 1
+    value = bucket - (1 << depth)
+    return [(1 << depth + levels) | (i << depth) | value for i in range(1 << levels)]
+
+
+def bucket_of(key: Column, buckets: Iterable[int]) -> Column:
+    """The bucket of a key: its hash's low bits looked up in the directory of the buckets, four bytes a slot; 0 where none of them holds it."""
+    buckets = list(buckets)
+    deepest = max(b.bit_length() - 1 for b in buckets)
+    slots = [0] * (1 << deepest)
+    for b in buckets:
+        for below in split(b, deepest - (b.bit_length() - 1)):
+            slots[below - (1 << deepest)] = b
+    slot = F.xxhash64(key).bitwiseAND(F.lit((1 << deepest) - 1).cast("long"))
+    # a text folds to one array, however many slots there are
+    return F.get(F.from_json(F.lit(json.dumps(slots)), "array<int>"), slot.cast("int"))
 
 
 class Store:
-    """``buckets``: of keyed tables when they are made. A merge rewrites the buckets that its rows fall into."""
+    """``buckets`` and ``bucket_rows``: of keyed tables. A merge rewrites the buckets that its rows fall into."""
 
-    def __init__(self, spark: SparkSession, root: str, buckets: int = BUCKETS):
-        self.spark, self.root, self.buckets = spark, root.rstrip("/"), buckets
+    def __init__(self, spark: SparkSession, root: str, buckets: int = BUCKETS, bucket_rows: int = BUCKET_ROWS):
+        self.spark, self.root, self.bucket_rows = spark, root.rstrip("/"), bucket_rows
+        self.first_buckets = split(1, max(0, buckets - 1).bit_length())
 
     def path(self, table: str) -> str:
         return f"{self.root}/{table}"
 
-    # append-only tables
+    # tables of runs
 
-    def append(self, table: str, rows: DataFrame, *partition_by: str) -> None:
-        rows.write.mode("append").partitionBy(*partition_by).parquet(self.path(table))
+    def put_run(self, table: str, rows: DataFrame, run_id: str) -> None:
+        """Makes rows (without run_id) the run's rows in a table, in the place of what the run has written before."""
+        fresh = f"{table}/_new/{uuid.uuid4().hex}"
+        rows.write.parquet(self.path(fresh))
+        self.delete(f"{table}/run_id={run_id}")
+        self._rename(fresh, f"{table}/run_id={run_id}")
+        self.add_to_log(f"commits/{table}", {"run_id": run_id, "at": time.time()})
 
     def read(self, table: str, schema: StructType | str | None = None) -> DataFrame:
-        """An append-only table; without one, an empty table of the schema."""
+        """A table of runs; without one, an empty table of the schema."""
         try:
             return self.spark.read.parquet(self.path(table))
         except AnalysisException as missing:
@@ -54,73 +101,75 @@ class Store:
     def version(self, table: str) -> int | None:
         return max(self._numbers(f"{table}/{_MANIFESTS}"), default=None)
 
-    def snapshot(self, table: str, schema: StructType | str, version: int | None = None, buckets: list[int] | None = None) -> DataFrame:
+    def manifest(self, table: str, version: int | None = None) -> dict | None:
+        """buckets (rows and folder by bucket; no folder where it is empty) and applied (by stream the last batch, by source its version) of a version, else of the current one."""
+        version = self.version(table) if version is None else version
+        return None if version is None else json.loads(self._read_text(f"{table}/{_MANIFESTS}/{version:012d}.json"))
+
+    def transaction(self, table: str) -> Transaction:
+        return Transaction(self, table)
+
+    def snapshot(self, table: str, schema: StructType | str, version: int | None = None, buckets: Iterable[int] | None = None) -> DataFrame:
         """The current or an earlier version of a keyed table, or some of its buckets; without a version, an empty table of the schema."""
-        manifest = self._manifest(table, version)
-        folders = [f for b, f in manifest["folders"].items() if buckets is None or int(b) in buckets] if manifest else []
-        if not folders:
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(*(f"{self.path(table)}/{f}" for f in folders))
+        found = (self.manifest(table, version) or {"buckets": {}})["buckets"]
+        chosen = None if buckets is None else {str(b) for b in buckets}
+        return self.rows_of(table, schema, (e["folder"] for b, e in found.items() if chosen is None or b in chosen))
 
-    def bucket(self, table: str, key: str) -> Column:
-        """The bucket of a row of a keyed table."""
-        manifest = self._manifest(table)
-        return F.pmod(F.xxhash64(F.col(key)), F.lit(manifest["buckets"] if manifest else self.buckets)).cast("int")
+    def rows_of(self, table: str, schema: StructType | str, folders: Iterable[str]) -> DataFrame:
+        paths = [f"{self.path(table)}/{f}" for f in folders if f]
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
     def touched(self, table: str, rows: DataFrame, key: str) -> list[int]:
         """The buckets that rows fall into: at most as many numbers as the table has buckets."""
-        return [r["bucket"] for r in rows.select(self.bucket(table, key).alias("bucket")).distinct().collect()]
+        return list(self.transaction(table).touched(rows, key))
+
+    def versions(self, table: str) -> list[int]:
+        return sorted(self._numbers(f"{table}/{_MANIFESTS}"))
+
+    def changed_rows(self, table: str, schema: StructType | str, since: int, until: int) -> tuple[DataFrame, DataFrame]:
+        """The rows of the buckets that version ``since`` has and ``until`` has not, and those that ``until`` has instead."""
+        old, new = ({e["folder"] for e in (self.manifest(table, v) or {"buckets": {}})["buckets"].values()} - {""} if v else set() for v in (since, until))
+        return self.rows_of(table, schema, sorted(old - new)), self.rows_of(table, schema, sorted(new - old))
+
+    def changes(self, table: str, schema: StructType | str, since: int, key: str, version: str, until: int | None = None) -> DataFrame:
+        """What a table's versions after ``since`` (0: none) have changed: structs ``old`` and ``new`` of each key whose ``version`` (a hash)
+        differs, one of them null where there is no row. Only buckets whose folders differ are read."""
+        found = self.changed_rows(table, schema, since, self.version(table) if until is None else until)
+        old, new = (rows.select(F.struct("*").alias(name)) for rows, name in zip(found, ("old", "new")))
+        joined = old.join(new, F.col(f"old.{key}").eqNullSafe(F.col(f"new.{key}")), "full")
+        return joined.where(~F.col(f"old.{version}").eqNullSafe(F.col(f"new.{version}")) | F.col("old").isNull() | F.col("new").isNull())
 
     def replace(self, table: str, rows: DataFrame, key: str | None = None) -> DataFrame:
-        """Makes rows the next version, in buckets of the key where one is given; rows may read the current one."""
-        number, n_buckets = (self.version(table) or 0) + 1, self.buckets if key else 1
-        folders = self._write(table, number, rows, F.pmod(F.xxhash64(F.col(key)), F.lit(n_buckets)).cast("int") if key else F.lit(0))
-        return self._publish(table, number, n_buckets, folders, rows.schema)
+        """Makes rows the next version, in buckets of the key where one is given, whatever other writers do; rows may read the current one."""
+        self.transaction(table).replace(rows, key, whatever=True)
+        return self.snapshot(table, rows.schema)
 
     def merge(self, table: str, changed: DataFrame, key: str, combine: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
-        """The next version, with the buckets that changed falls into made anew by combine(their rows, changed)."""
-        manifest = self._manifest(table)
-        if manifest is None:
-            return self.replace(table, combine(self.spark.createDataFrame([], changed.schema), changed), key)
-        number, buckets = self.version(table) + 1, self.touched(table, changed, key)
-        rows = combine(self.snapshot(table, changed.schema, buckets=buckets), changed)
-        fresh = self._write(table, number, rows, self.bucket(table, key))
-        kept = {b: f for b, f in manifest["folders"].items() if int(b) not in buckets}
-        return self._publish(table, number, manifest["buckets"], kept | fresh, rows.schema)
-
-    def vacuum(self, table: str, keep: int = 2, since: int | None = None) -> int:
-        """Deletes all but the last versions of a keyed table, and folders that no kept version names; how many folders went.
-
-        Versions from ``since`` on stay as well.
+        """The next version, with the buckets that changed falls into made anew by combine(their rows, changed); again if others change them meanwhile."""
+        for _ in range(TRIES):
+            if self.transaction(table).merge(changed, key, combine):
+                return self.snapshot(table, changed.schema)
+        raise ConflictError(table)
+
+    def vacuum(self, table: str, keep: int = 2, since: int | None = None, grace: float = GRACE_SECONDS) -> int:
+        """Deletes all but the last versions of a keyed table, and what only they name; how many buckets went.
+
+        Versions from ``since`` on stay as well. Folders that no manifest names go after ``grace`` seconds.
         """
         numbers = sorted(self._numbers(f"{table}/{_MANIFESTS}"))
+        named = {n: {e["folder"] for e in self.manifest(table, n)["buckets"].values() if e["folder"]} for n in numbers}
         old = [n for n in numbers[:-keep] if since is None or n < since]
-        kept = {f for n in numbers if n not in old for f in self._manifest(table, n)["folders"].values()}
-        gone = 0
+        kept = set().union(*(named[n] for n in numbers if n not in old))
         for n in old:
             self.delete(f"{table}/{_MANIFESTS}/{n:012d}.json")
-        for version in self._names(table):
-            if not version.startswith("v=") or int(version[2:]) > max(numbers):
-                continue  # the next version, which is being written
-            for part in self._names(f"{table}/{version}"):
-                if part.startswith("bucket=") and f"{version}/{part}" not in kept:
-                    self.delete(f"{table}/{version}/{part}")
-                    gone += 1
-            if not any(f.startswith(f"{version}/") for f in kept):
-                self.delete(f"{table}/{version}")
-        return gone
-
-    def _manifest(self, table: str, version: int | None = None) -> dict | None:
-        version = self.version(table) if version is None else version
-        return None if version is None else json.loads(self._read_text(f"{table}/{_MANIFESTS}/{version:012d}.json"))
-
-    def _write(self, table: str, number: int, rows: DataFrame, bucket: Column) -> dict[str, str]:
-        rows.withColumn("bucket", bucket).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path(table)}/v={number}")
-        return {p.removeprefix("bucket="): f"v={number}/{p}" for p in self._names(f"{table}/v={number}") if p.startswith("bucket=")}
-
-    def _publish(self, table: str, number: int, n_buckets: int, folders: dict[str, str], schema: StructType) -> DataFrame:
-        self._put(f"{table}/{_MANIFESTS}", number, json.dumps({"buckets": n_buckets, "folders": folders}))
-        return self.snapshot(table, schema, number)
+        gone = set().union(*(named[n] for n in old)) - kept
+        for folder in gone:
+            self.delete(f"{table}/{folder}")
+        writers = {f.split("/")[1] for f in kept}
+        for writer, age in self._ages(f"{table}/{_DATA}"):
+            if writer not in writers and (age > grace or any(f.split("/")[1] == writer for f in gone)):
+                self.delete(f"{table}/{_DATA}/{writer}")
+        return len(gone)
 
     # small documents
 
@@ -131,13 +180,14 @@ class Store:
 
     def save_json(self, name: str, value) -> None:
         """The next state of a document; the one before stays beside it."""
-        numbers = sorted(self._numbers(name))
-        self._put(name, (numbers[-1] if numbers else 0) + 1, json.dumps(value, ensure_ascii=False, indent=1, default=str))
-        for n in numbers[:-1]:
+        text = json.dumps(value, ensure_ascii=False, indent=1, default=str)
+        while not self._put(name, max(self._numbers(name), default=0) + 1, text):
+            pass
+        for n in sorted(self._numbers(name))[:-2]:
             self.delete(f"{name}/{n:012d}.json")
 
     def add_to_log(self, name: str, entry: dict) -> None:
-        self._write_text(f"{name}/{time.time_ns():020d}-{uuid.uuid4().hex[:8]}.json", json.dumps(entry, ensure_ascii=False, default=str))
+        self._write_new(f"{name}/{time.time_ns():020d}-{uuid.uuid4().hex[:8]}.json", json.dumps(entry, ensure_ascii=False, default=str))
 
     def log(self, name: str, last: int | None = None) -> list[dict]:
         """The entries of a log in order, or the last ones."""
@@ -158,15 +208,26 @@ class Store:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(name))
         return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
 
-    def _names(self, folder: str) -> list[str]:
+    def _rename(self, name: str, to: str) -> None:
+        files, path = self._file(name)
+        if not files.rename(path, self._file(to)[1]):
+            raise FileExistsError(to)
+
+    def _listed(self, folder: str) -> list:
         files, path = self._file(folder)
-        return [s.getPath().getName() for s in files.listStatus(path)] if files.exists(path) else []
+        return list(files.listStatus(path)) if files.exists(path) else []
+
+    def _names(self, folder: str) -> list[str]:
+        return [s.getPath().getName() for s in self._listed(folder)]
+
+    def _ages(self, folder: str) -> list[tuple[str, float]]:
+        return [(s.getPath().getName(), time.time() - s.getModificationTime() / 1000) for s in self._listed(folder)]
 
     def _numbers(self, folder: str) -> list[int]:
         return [int(n[:-5]) for n in self._names(folder) if re.fullmatch(r"\d+\.json", n)]
 
-    def _put(self, folder: str, number: int, text: str) -> None:
-        self._write_text(f"{folder}/{number:012d}.json", text)
+    def _put(self, folder: str, number: int, text: str) -> bool:
+        return self._write_new(f"{folder}/{number:012d}.json", text)
 
     def _read_text(self, name: str) -> str:
         files, path = self._file(name)
@@ -176,13 +237,124 @@ class Store:
         finally:
             stream.close()
 
-    def _write_text(self, name: str, text: str) -> None:
-        """Writes a new file that appears whole; a file of that name is never replaced."""
+    def _write_new(self, name: str, text: str) -> bool:
+        """Writes a file that appears whole, in one step and only where there is none; whether it did."""
         files, path = self._file(name)
-        _, part = self._file(f"{name}.{uuid.uuid4().hex[:8]}.part")
+        _, part = self._file(f"{name}.{uuid.uuid4().hex}.part")
         stream = files.create(part, True)
         stream.write(bytearray(text.encode()))
         stream.close()
-        if files.exists(path) or not files.rename(part, path):
+        try:
+            if files.getUri().getScheme() != "file":
+                return bool(files.rename(part, path))  # refuses a name that is there
+            os.link(part.toUri().getPath(), path.toUri().getPath())  # a rename would replace it on local disks
+            return True
+        except FileExistsError:
+            return False
+        finally:
             files.delete(part, False)
-            raise FileExistsError(f"another writer made {name}")
+
+
+class Transaction:
+    """Work on a version of a keyed table. Whatever is read through it, and all that it writes, belongs to that version.
+
+    ``merge``, ``replace``, ``put`` and ``mark`` make the next version and tell whether they could: not where another writer has
+    changed buckets that the transaction touches since it began. Then all is as it was, and the work starts with a new one.
+    """
+
+    def __init__(self, store: Store, table: str):
+        self.store, self.table = store, table
+        self.number = store.version(table) or 0
+        found = store.manifest(table, self.number) if self.number else {"buckets": {}, "applied": {}}
+        self.buckets: dict[int, dict] = {int(b): e for b, e in found["buckets"].items()}
+        self.applied: dict[str, int] = found["applied"]
+
+    def bucket(self, key: str) -> Column:
+        return bucket_of(F.col(key), self.buckets or self.store.first_buckets)
+
+    def touched(self, rows: DataFrame, key: str) -> dict[int, int]:
+        """Rows by the buckets that they fall into."""
+        return {r["bucket"]: r["n"] for r in rows.groupBy(self.bucket(key).alias("bucket")).agg(F.count(F.lit(1)).alias("n")).collect()}
+
+    def rows(self, schema: StructType | str, buckets: Iterable[int] | None = None) -> DataFrame:
+        chosen = self.buckets if buckets is None else [b for b in buckets if b in self.buckets]
+        return self.store.rows_of(self.table, schema, (self.buckets[b]["folder"] for b in chosen))
+
+    def merge(self, changed: DataFrame, key: str, combine: Callable[[DataFrame, DataFrame], DataFrame], applied: dict[str, int] | None = None, unique: bool = True) -> bool:
+        """The buckets that changed falls into made anew by combine(their rows, changed), and split where they grow too large."""
+        incoming = self.touched(changed, key)
+        old = self.rows(changed.schema, incoming)
+        fresh = changed.join(old.select(F.col(key).alias("old_key")), F.col(key) == F.col("old_key"), "left_anti") if self.buckets else changed
+        grown = self.touched(fresh, key) if self.buckets else incoming
+        below = []
+        for b in incoming:
+            rows, levels = self.buckets.get(b, {"rows": 0})["rows"] + grown.get(b, 0), 0
+            while rows > self.store.bucket_rows << levels:
+                levels += 1
+            below += split(b, levels)
+        kept = [b for b in (self.buckets or self.store.first_buckets) if b not in incoming]
+        return self.put(set(incoming), combine(old, changed), bucket_of(F.col(key), [*kept, *below]), {b: {} for b in (below if self.buckets else [*kept, *below])}, key if unique else None, applied, by=key)
+
+    def replace(self, rows: DataFrame, key: str | None = None, whatever: bool = False, applied: dict[str, int] | None = None, unique: bool = True) -> bool:
+        """rows in the place of all buckets; with ``whatever``, changes of others since the transaction began are lost."""
+        buckets = (list(self.buckets) or self.store.first_buckets) if key else [1]
+        return self.put(set(self.buckets), rows, bucket_of(F.col(key), buckets) if key else F.lit(1), {b: {} for b in buckets}, key if unique else None, applied, whatever)
+
+    def mark(self, applied: dict[str, int]) -> bool:
+        """The same rows, and what of another table or stream has been applied."""
+        return self._commit(set(), {}, applied, False)
+
+    def put(self, gone: set[int], rows: DataFrame, bucket: Column, facts: dict[int, dict], key: str | None = None, applied: dict[str, int] | None = None, whatever: bool = False, by: str | None = None) -> bool:
+        """rows in the buckets of ``facts`` (what the manifest says of each besides), in the place of the buckets gone. Raises where a key is repeated.
+
+        Buckets dealt ``by`` a column that came out too large are split, where that parts their rows.
+        """
+        entries = self._write(rows, bucket, facts, key)
+        for _ in range(_SPLITS if by else 0):
+            large = {b: e for b, e in entries.items() if e["rows"] > self.store.bucket_rows}
+            if not large:
+                break
+            below = {c: {} for b in large for c in split(b, 1)}
+            again = self.store.rows_of(self.table, rows.schema, (e["folder"] for e in large.values()))
+            entries = {b: e for b, e in entries.items() if b not in large} | self._write(again, bucket_of(F.col(by), below), below, None)
+        return self._commit(gone, entries, applied or {}, whatever)
+
+    def _write(self, rows: DataFrame, bucket: Column, facts: dict[int, dict], key: str | None) -> dict[int, dict]:
+        folder = f"{_DATA}/{uuid.uuid4().hex}"
+        dealt = rows.withColumn("bucket", bucket)
+        # one task writes a bucket: one file for each, however many tasks have made the rows
+        dealt = dealt.repartition("bucket") if len(facts) > 1 else dealt
+        dealt.write.partitionBy("bucket").parquet(self.store.path(f"{self.table}/{folder}"))
+        counts = self._counts(folder, dealt.schema, key)
+        return {b: {"folder": f"{folder}/bucket={b}" if b in counts else "", "rows": counts.get(b, 0), **more} for b, more in facts.items()}
+
+    def _counts(self, folder: str, schema: StructType, key: str | None) -> dict[int, int]:
+        """Rows by bucket as they were written."""
+        path = self.store.path(f"{self.table}/{folder}")
+        if not any(n.startswith("bucket=") for n in self.store._names(f"{self.table}/{folder}")):
+            return {}
+        found = self.store.spark.read.schema(schema).parquet(path)
+        if key:
+            found = found.groupBy("bucket", key).agg(F.count(F.lit(1)).alias("n")).groupBy("bucket").agg(F.sum("n").alias("n"), F.max("n").alias("most"))
+        else:
+            found = found.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.lit(1).alias("most"))
+        counts = found.collect()  # a row for each bucket
+        if any(r["most"] > 1 for r in counts):
+            self.store.delete(f"{self.table}/{folder}")
+            raise DuplicateKeyError(f"{self.table}: {sum(r['most'] > 1 for r in counts)} buckets repeat a value of {key}")
+        return {r["bucket"]: r["n"] for r in counts}
+
+    def _commit(self, gone: set[int], entries: dict[int, dict], applied: dict[str, int], whatever: bool) -> bool:
+        folder = f"{self.table}/{_MANIFESTS}"
+        while True:
+            now = self.store.transaction(self.table)
+            mine = gone | (set(entries) - set(self.buckets))
+            if whatever:
+                rest = {}
+            elif any(now.buckets.get(b) != self.buckets.get(b) for b in mine) or any(now.applied.get(s) != self.applied.get(s) for s in applied) or (not self.buckets and now.buckets):
+                return False
+            else:
+                rest = {b: e for b, e in now.buckets.items() if b not in gone}
+            text = json.dumps({"buckets": rest | entries, "applied": now.applied | applied})
+            if self.store._put(folder, now.number + 1, text):
+                return True

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ledgermill import ingest, refresh
 from ledgermill.api import Engine
+from ledgermill.operators import merge
 from ledgermill.plans import explain, layout
 from ledgermill.queries import _DETAILS, _KINDS, _STATUS, QUERIES, raw_orders, register
 from ledgermill.sources.files import decide_strategy, file_fingerprints, input_fingerprint
@@ -35,13 +36,17 @@ _BEFORE = set(QUERIES)
 
 
 class Loaded:
-    """A store with the orders of a star schema loaded, and a second image of them: urgent orders move to another city."""
+    """A store with the orders of a star schema loaded, and later images of some: urgent orders move to another city and day.
+
+    ``varied`` orders have items of seven products under several names and fall on many days, all by their keys; with them,
+    urgent orders change names and days as well, and a third image changes half of the urgent ones again, and those of high priority.
+    """
 
     CITY = "عدن"
 
-    def __init__(self, star: StarSchema):
-        self.star, self.folder = star, work_folder(star.spark)
-        self.engine = Engine(star.spark, f"{self.folder}/store")
+    def __init__(self, star: StarSchema, varied: bool = False, **options):
+        self.star, self.folder, self.varied = star, work_folder(star.spark), varied
+        self.engine = Engine(star.spark, f"{self.folder}/store", **options)
 
     def write(self, name: str, rows: DataFrame, n_files: int = 3) -> str:
         """rows as CSV files of key ranges, in the order of the keys."""
@@ -52,7 +57,18 @@ class Loaded:
 
     @cached_property
     def raw(self) -> DataFrame:
-        return raw_orders(self.star)
+        rows = raw_orders(self.star)
+        return self._image(rows, "old", "2020-01-1") if self.varied else rows
+
+    def _image(self, rows: DataFrame, name: str, day: str) -> DataFrame:
+        key = F.col("source_row_number")
+        item = F.concat(F.lit('"sku":"S'), key % 7, F.lit(f'","name":"{name} '), key % 3, F.lit('",'))
+        moved = F.concat(F.lit(day), key % 5 + 1, F.lit("T00:00:00"))
+        return rows.withColumns({"items_json": F.replace("items_json", F.lit('"sku":"A",'), item), "order_date": F.when(F.col("order_date") == "2020-01-31T00:00:00", moved).otherwise(F.col("order_date"))})
+
+    def _of(self, condition: str) -> DataFrame:
+        keys = self.star.table("orders").where(condition).select(F.col("o_orderkey").alias("source_row_number"))
+        return raw_orders(self.star).join(keys, "source_row_number").withColumn("city", F.lit(self.CITY))
 
     @cached_property
     def first(self) -> str:
@@ -60,11 +76,17 @@ class Loaded:
 
     @cached_property
     def second(self) -> str:
-        """The urgent orders, changed: their city, the name of their item, and a later date."""
-        urgent = self.star.table("orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("source_row_number"))
-        changed = self.raw.join(urgent, "source_row_number").withColumns({"city": F.lit(self.CITY), "order_date": F.replace("order_date", F.lit("2020-01-31T"), F.lit("2020-02-01T"))})
+        """The urgent orders, changed."""
+        urgent = self._of("o_orderpriority = '1-URGENT'")
+        changed = self._image(urgent, "new", "2020-02-0") if self.varied else urgent.withColumn("order_date", F.replace("order_date", F.lit("2020-01-31T"), F.lit("2020-02-01T")))
         return self.write("second", changed.select(*self.raw.columns))
 
+    @cached_property
+    def third(self) -> str:
+        """Half of the urgent orders and those of high priority, changed again."""
+        changed = self._image(self._of("o_orderpriority = '2-HIGH' OR (o_orderpriority = '1-URGENT' AND o_orderkey % 2 = 0)"), "last", "2020-03-0")
+        return self.write("third", changed.select(*self.raw.columns))
+
     def both(self, **options) -> list[dict]:
         return [self.engine.ingest(self.first, "initial", **options), self.engine.ingest(self.second, "delta", **options)]
 
@@ -85,6 +107,17 @@ def _csv_rows(star: StarSchema) -> DataFrame:
     return rows.join(before, "source_file").select((F.col("source_row_number") + F.col("before")).alias("row_number"), F.coalesce("order_id", F.lit("")).alias("order_id"), "total_amount", "city")
 
 
+@register("csv_line_breaks", """SELECT row_number() OVER (ORDER BY o_orderkey) AS row_number, CAST(o_orderkey AS VARCHAR) AS order_id,
+    CASE o_orderkey % 4 WHEN 1 THEN 'two' || chr(10) || 'lines, "quoted"' WHEN 2 THEN chr(10) || chr(10) || 'x' ELSE 'plain' END AS district FROM orders""")
+def _csv_line_breaks(star: StarSchema) -> DataFrame:
+    """Records that go over several lines, numbered as the others are."""
+    loaded, kind = Loaded(star), F.col("o_orderkey") % 4
+    district = F.when(kind == 1, 'two\nlines, "quoted"').when(kind == 2, "\n\nx").otherwise("plain")
+    rows = star.table("orders").select(F.col("o_orderkey").cast("string").alias("order_id"), district.alias("district"), F.col("o_orderkey").alias("source_row_number"))
+    found = read_orders(star.spark, loaded.write("breaks", rows, 1))
+    return found.select(F.col("source_row_number").alias("row_number"), "order_id", "district")
+
+
 @register("csv_fixed_schema", f"SELECT {_ID} AS order_id, CASE k WHEN 2 THEN '' ELSE 'CUS-' || o_custkey END AS customer_id, CASE WHEN k IN (11) THEN '[]' WHEN k = 12 THEN 'not-json' WHEN k = 13 THEN '[{{\"sku\":\"A\",\"qty\":-1,\"unit_price\":1,\"total\":1}}]' ELSE '[{{\"sku\":\"A\",\"qty\":1,\"unit_price\":' || price || ',\"total\":' || price || '}}]' END AS items_json FROM {_SAME}")
 def _csv_fixed(star: StarSchema) -> DataFrame:
     rows = read_orders(star.spark, Loaded(star).first, fixed_schema=True)
@@ -152,6 +185,53 @@ def _store_quarantine(star: StarSchema) -> DataFrame:
     return rows.select(F.replace("raw_record.order_id", F.lit("ORD-"), F.lit("")).cast("bigint").alias("row_key"), "error_details", F.get("error_codes", F.lit(0)).alias("error_code"))
 
 
+@register("store_resumed", f"SELECT error_code, CAST(count(*) AS BIGINT) AS n_rows, CAST(max(n_raw) AS BIGINT) AS n_raw FROM (SELECT CASE WHEN contains({_DETAILS}, ';') THEN 'MULTIPLE_CONFLICTING_ERRORS' ELSE {_DETAILS} END AS error_code, n_raw FROM (SELECT *, count(*) OVER () AS n_raw FROM {_KINDS}) WHERE {_STATUS} = 'quarantine') GROUP BY error_code")
+def _store_resumed(star: StarSchema) -> DataFrame:
+    """The quarantine by code, and the raw rows, of a run that was resumed from its raw rows and then loaded again."""
+    loaded = Loaded(star)
+    run = loaded.engine.ingest(loaded.first)["id_run"]
+    loaded.engine.ingest(None, resume_run_id=run, from_raw=True)
+    loaded.engine.ingest(loaded.first, resume_run_id=run)
+    raw = ingest.raw_of_run(loaded.engine.store, run).agg(F.count(F.lit(1)).alias("n_raw"))
+    codes = loaded.engine.quarantine().groupBy(F.get("error_codes", F.lit(0)).alias("error_code")).agg(F.count(F.lit(1)).alias("n_rows"))
+    return codes.join(F.broadcast(raw))  # one row
+
+
+@register("store_two_writers", "SELECT o_orderkey AS order_key, CASE WHEN o_orderpriority = '1-URGENT' THEN -1.0 ELSE CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS DOUBLE) END AS price, 2 AS tries FROM orders")
+def _store_two_writers(star: StarSchema) -> DataFrame:
+    """A writer of all orders but the urgent ones, while which another writes those and the ones of high priority: the first starts anew and loses nothing."""
+    store = Loaded(star).engine.store
+    rows = star.table("orders").select(F.col("o_orderkey").alias("order_key"), F.col("o_totalprice").cast("decimal(18,2)").cast("double").alias("price"), F.col("o_orderpriority").alias("priority"))
+    mine, others = rows.where("priority <> '1-URGENT'").drop("priority"), rows.where("priority IN ('1-URGENT', '2-HIGH')").select("order_key", F.lit(-1.0).alias("price"))
+    tries = []
+
+    def put(old: DataFrame, fresh: DataFrame) -> DataFrame:
+        tries.append(1)
+        if len(tries) == 1:
+            store.merge("prices", others, "order_key", lambda a, b: merge.upsert(a, b, ["order_key"]))
+        return merge.upsert(old, fresh, ["order_key"])
+
+    found = store.merge("prices", mine, "order_key", put)
+    return found.withColumn("tries", F.lit(len(tries)))
+
+
+@register("store_growth", "SELECT k AS part, CAST(count(*) AS BIGINT) AS n_rows, true AS buckets_fit, true AS one_rewritten FROM (SELECT o_orderkey % 4 AS k FROM orders) GROUP BY k")
+def _store_growth(star: StarSchema) -> DataFrame:
+    """A table that grows by four merges: its buckets split and stay below their bound, and a changed row rewrites one of them."""
+    rows = star.table("orders").select(F.col("o_orderkey").alias("order_key"), (F.col("o_orderkey") % 4).alias("part"))
+    bound = max(8, rows.count() // 32)
+    store, fits = Loaded(star, buckets=2, bucket_rows=bound).engine.store, True
+    put = lambda old, fresh: merge.upsert(old, fresh, ["order_key"])
+    for part in range(4):
+        store.merge("keys", rows.where(F.col("part") == part), "order_key", put)
+        fits = fits and max(e["rows"] for e in store.manifest("keys")["buckets"].values()) <= bound
+    before = store.manifest("keys")["buckets"]
+    found = store.merge("keys", rows.orderBy("order_key").limit(1), "order_key", put)
+    after = store.manifest("keys")["buckets"]
+    alone = before.keys() == after.keys() and sum(before[b] != after[b] for b in after) == 1
+    return found.groupBy("part").agg(F.count(F.lit(1)).alias("n_rows")).withColumns({"buckets_fit": F.lit(fits), "one_rewritten": F.lit(alone)})
+
+
 _RUN_COUNTS = f"""CAST(count(*) AS BIGINT) AS read_rows, CAST(count(*) FILTER (s = 'valid') AS BIGINT) AS count_valid, CAST(count(*) FILTER (s = 'corrected') AS BIGINT) AS count_corrected,
     CAST(count(*) FILTER (s = 'quarantine') AS BIGINT) AS count_quarantine"""
 _RUNS = f"(SELECT {_STATUS} AS s, urgent FROM {_SAME})"
@@ -198,17 +278,23 @@ def _store_stream(star: StarSchema) -> DataFrame:
     return loaded.engine.orders().select("order_id", "quality_status")
 
 
-_DAILY_SQL = f"SELECT day, CAST(count(*) AS BIGINT) AS orders, CAST(sum(price + 2000) AS DOUBLE) AS sales FROM {_KEPT} GROUP BY day"
-_PRODUCTS_SQL = f"SELECT 'A' AS sku, CAST(NULL AS VARCHAR) AS product, CAST(count(*) AS DOUBLE) AS quantity, CAST(sum(price) AS DOUBLE) AS sales FROM {_KEPT}"
+_IMAGE = "CASE WHEN o_orderpriority = '2-HIGH' OR (o_orderpriority = '1-URGENT' AND o_orderkey % 2 = 0) THEN 3 WHEN o_orderpriority = '1-URGENT' THEN 2 ELSE 1 END"
+_VARIED = f"""(SELECT CASE WHEN k = 4 THEN '2020-01-31' ELSE ['2020-01-1', '2020-02-0', '2020-03-0'][image] || (o_orderkey % 5 + 1) END AS day,
+    'S' || (o_orderkey % 7) AS sku, ['old ', 'new ', 'last '][image] || (o_orderkey % 3) AS name, price
+    FROM (SELECT o_orderkey, o_orderkey % 16 AS k, {_IMAGE} AS image, CAST(o_totalprice AS DECIMAL(18,2)) AS price FROM orders) WHERE {_STATUS} <> 'quarantine')"""
+_DAILY_SQL = f"SELECT day, CAST(count(*) AS BIGINT) AS orders, CAST(sum(price + 2000) AS DOUBLE) AS sales FROM {_VARIED} GROUP BY day"
+_PRODUCTS_SQL = f"SELECT sku, min(name) AS product, CAST(count(*) AS DOUBLE) AS quantity, CAST(sum(price) AS DOUBLE) AS sales FROM {_VARIED} GROUP BY sku"
 
 
 def _viewed(star: StarSchema, mode: str) -> Engine:
-    loaded = Loaded(star)
+    """A load and a refresh, two deltas, and one refresh for both."""
+    loaded = Loaded(star, varied=True)
     engine = loaded.engine
     engine.ingest(loaded.first, "initial")
     if mode != "full":
         engine.refresh_ledger() if mode == "ledger" else engine.refresh_views("full")
     engine.ingest(loaded.second, "delta")
+    engine.ingest(loaded.third, "delta")
     engine.refresh_ledger() if mode == "ledger" else engine.refresh_views(mode)
     return engine
 
@@ -267,19 +353,30 @@ def _layouts_written(star: StarSchema) -> DataFrame:
     return star.spark.createDataFrame([(n, made, calls[1][n]) for n, made in calls[0].items()], "name string, at_first boolean, again boolean")
 
 
-@register("plan_summary", "SELECT 'filtered scan' AS scan_type, true AS pushed, 2 AS columns_read, 0 AS exchanges, CAST(count(*) AS BIGINT) AS n_returned FROM orders WHERE o_custkey = 7")
+@register("layout_serves", f"SELECT order_id, total_amount, true AS from_layout FROM (SELECT 'ORD-' || o_orderkey AS order_id, CAST(price + 2000 AS DOUBLE) AS total_amount FROM {_KEPT} WHERE o_custkey = 7 ORDER BY order_id LIMIT 20)")
+def _layout_serves(star: StarSchema) -> DataFrame:
+    """A named query of the engine, which reads the layout of its columns."""
+    loaded = Loaded(star)
+    loaded.engine.ingest(loaded.first)
+    loaded.engine.indexes()
+    found = loaded.engine.query_frame("customer_orders", {"customer_id": "CUS-7"}, kind="pquery")
+    return found.select("order_id", "total_amount", F.lit(all("/by_customer_id/" in f for f in found.inputFiles())).alias("from_layout"))
+
+
+@register("plan_summary", "SELECT 'filtered scan' AS scan_type, true AS pushed, 2 AS columns_read, 0 AS exchanges, CAST(count(*) FILTER (o_custkey = 7) AS BIGINT) AS n_returned, CAST(count(*) AS BIGINT) AS rows_examined, 1 AS files_examined FROM orders")
 def _plan_summary(star: StarSchema) -> DataFrame:
     found = explain.measure(star.table("orders").where("o_custkey = 7").select("o_orderkey"))
-    row = (found["scan_type"], "EqualTo(o_custkey,7)" in found["pushed_filters"][0], len(found["read_schema"][0].split(",")), found["exchanges"], found["n_returned"])
-    return star.spark.createDataFrame([row], "scan_type string, pushed boolean, columns_read int, exchanges int, n_returned bigint")
+    row = (found["scan_type"], "EqualTo(o_custkey,7)" in found["pushed_filters"][0], len(found["read_schema"][0].split(",")), found["exchanges"], found["n_returned"], found["rows_examined"], found["files_examined"])
+    return star.spark.createDataFrame([row], "scan_type string, pushed boolean, columns_read int, exchanges int, n_returned bigint, rows_examined bigint, files_examined int")
 
 
-@register("index_benchmark", """SELECT * FROM (SELECT 'customer_orders' AS name, CAST(least(count(*), 20) AS BIGINT) AS before, CAST(least(count(*), 20) AS BIGINT) AS after FROM orders WHERE o_custkey = 7
-    UNION ALL SELECT 'high_value_orders', CAST(least(count(*), 20) AS BIGINT), CAST(least(count(*), 20) AS BIGINT) FROM orders WHERE o_totalprice >= 100000)""")
+@register("index_benchmark", """SELECT * FROM (SELECT 'customer_orders' AS name, CAST(least(count(*) FILTER (o_custkey = 7), 20) AS BIGINT) AS before, CAST(least(count(*) FILTER (o_custkey = 7), 20) AS BIGINT) AS after, CAST(count(*) AS BIGINT) AS examined_before, true AS no_more_after FROM orders
+    UNION ALL SELECT 'high_value_orders', CAST(least(count(*) FILTER (o_totalprice >= 100000), 20) AS BIGINT), CAST(least(count(*) FILTER (o_totalprice >= 100000), 20) AS BIGINT), CAST(count(*) AS BIGINT), true FROM orders)""")
 def _index_benchmark(star: StarSchema) -> DataFrame:
-    """Rows that queries return over the plain table and over their layouts."""
+    """Rows that queries return and examine over the plain table and over their layouts."""
     found = explain.benchmark(star.plain_orders, work_folder(star.spark), {"customer_orders": {"customer_id": 7}, "high_value_orders": {}})
-    return star.spark.createDataFrame([(r["name"], r["before"]["n_returned"], r["after"]["n_returned"]) for r in found], "name string, before bigint, after bigint")
+    rows = [(r["name"], r["before"]["n_returned"], r["after"]["n_returned"], r["before"]["rows_examined"], r["after"]["rows_examined"] <= r["before"]["rows_examined"]) for r in found]
+    return star.spark.createDataFrame(rows, "name string, before bigint, after bigint, examined_before bigint, no_more_after boolean")
 
 
 #: Names of the queries of this module.

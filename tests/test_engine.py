@@ -1,18 +1,21 @@
+import csv
 import json
 import random
+from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime, timezone
 
 import pytest
 from pyspark.sql import functions as F
-from records import record, write_csv
+from records import BASE, record, write_csv
 
-from ledgermill import cli, jobs, refresh
+from ledgermill import cli, ingest, jobs, refresh
 from ledgermill.api import Engine
 from ledgermill.operators import merge, views
 from ledgermill.operators.sample import sample_rows
 from ledgermill.plans import catalog, explain
 from ledgermill.sources.files import decide_strategy, input_fingerprint
 from ledgermill.sources.orders_csv import read_orders
+from ledgermill.store import DuplicateKeyError, Store, split
 from ledgermill.streaming.incremental import daily_sales_stream, latest_delta_ids, stream_folder
 from ledgermill.verify import verify
 
@@ -66,30 +69,143 @@ def test_reload_changes_nothing(engine, tmp_path):
 def test_a_writer_that_stops_loses_nothing(engine, tmp_path):
     engine.ingest(write_csv(tmp_path / "a.csv", _records(30)))
     store, version = engine.store, engine.store.version("orders_validated")
-    # the next version without its manifest, and a manifest that was not finished
-    store.spark.range(3).write.parquet(store.path(f"orders_validated/v={version + 1}/bucket=0"))
+    # buckets without a manifest, and a manifest that was not finished
+    store.spark.range(3).write.parquet(store.path("orders_validated/data/left/bucket=16"))
     (tmp_path / "store" / "orders_validated" / "_manifests" / f"{version + 1:012d}.json.x.part").write_text("{")
     assert store.version("orders_validated") == version and engine.orders().count() == 30
     rows = _records(31)
     assert engine.ingest(write_csv(tmp_path / "b.csv", rows))["count_inserted"] == 1 and engine.orders().count() == 31
-    with pytest.raises(FileExistsError):
-        store._put("orders_validated/_manifests", version + 1, "{}")
-    assert not store.exists("work") or not list((tmp_path / "store" / "work").iterdir())
+    assert not store._put("orders_validated/_manifests", version + 1, "{}") and engine.orders().count() == 31
+    assert not list((tmp_path / "store" / "work").iterdir())
+    assert store.exists("orders_validated/data/left")
+    store.vacuum("orders_validated", grace=0)
+    assert not store.exists("orders_validated/data/left") and engine.orders().count() == 31
 
 
 def test_a_delta_rewrites_its_buckets_alone(engine, tmp_path):
     rows = _records(200)
     engine.ingest(write_csv(tmp_path / "a.csv", rows))
-    before = engine.store._manifest("orders_validated")["folders"]
+    before = engine.store.manifest("orders_validated")["buckets"]
     rows[7]["city"] = "عدن"
     engine.ingest(write_csv(tmp_path / "b.csv", rows))
-    after = engine.store._manifest("orders_validated")["folders"]
+    after = engine.store.manifest("orders_validated")["buckets"]
     assert before.keys() == after.keys() and sum(before[b] != after[b] for b in after) == 1
     assert engine.orders().count() == 200 and engine.orders().where("city = 'عدن'").count() == 1
     assert engine.store.snapshot("orders_validated", engine.orders().schema, 1).where("city = 'عدن'").count() == 0
     assert engine.store.vacuum("orders_validated", keep=1) == 1 and engine.orders().count() == 200
 
 
+_NUMBERS = "k string, v int"
+
+
+def _put_in(rows, fresh):
+    return merge.upsert(rows, fresh, ["k"])
+
+
+def _numbers(spark, keys, value):
+    return spark.createDataFrame([(f"k{i}", value) for i in keys], _NUMBERS)
+
+
+def test_two_writers_keep_both_their_rows(engine, spark):
+    """The second commits while the first works; where they meet in buckets, the first starts anew."""
+    store = engine.store
+    for table, mine, other in (("fresh", range(100), range(50, 150)), ("apart", [1], [2])):
+        if table == "apart":
+            store.merge(table, _numbers(spark, range(40), 0), "k", _put_in)
+        turns = []
+
+        def slow(rows, fresh):
+            turns.append(1)
+            if len(turns) == 1:
+                store.merge(table, _numbers(spark, other, 2), "k", _put_in)  # noqa: B023
+            return _put_in(rows, fresh)
+
+        found = {r["k"]: r["v"] for r in store.merge(table, _numbers(spark, mine, 1), "k", slow).collect()}
+        expected = {f"k{i}": 0 for i in (range(40) if table == "apart" else ())} | {f"k{i}": 2 for i in other} | {f"k{i}": 1 for i in mine}
+        assert found == expected
+        apart = table == "apart" and len(set(store.touched(table, _numbers(spark, (1, 2), 0), "k"))) == 2
+        assert len(turns) == (1 if apart else 2)
+
+
+def test_writers_that_meet_in_no_bucket_both_pass_at_once(engine, spark):
+    store = engine.store
+    store.merge("t", _numbers(spark, range(60), 0), "k", _put_in)
+    place = {r["k"]: r["bucket"] for r in _numbers(spark, range(60), 0).select("k", store.transaction("t").bucket("k").alias("bucket")).collect()}
+    one = next(iter(place))
+    two = next(k for k in place if place[k] != place[one])
+    first, second = store.transaction("t"), store.transaction("t")
+    change = lambda k, v: spark.createDataFrame([(k, v)], _NUMBERS)
+    assert second.merge(change(two, 2), "k", _put_in) and first.merge(change(one, 1), "k", _put_in)
+    late = store.transaction("t")
+    assert store.transaction("t").merge(change(one, 3), "k", _put_in) and not late.merge(change(one, 4), "k", _put_in)
+    found = {r["k"]: r["v"] for r in store.snapshot("t", _NUMBERS).collect()}
+    assert (found[one], found[two], len(found)) == (3, 2, 60) and store.version("t") == 4
+
+
+def test_two_loads_at_once(engine, spark, tmp_path):
+    """Two threads load files whose orders meet."""
+    paths = [write_csv(tmp_path / f"{n}.csv", _records(60)[n * 20 : n * 20 + 40]) for n in range(2)]
+    with ThreadPoolExecutor(2) as pool:
+        figures = list(pool.map(engine.ingest, paths))
+    assert engine.orders().count() == 60 and sum(f["count_inserted"] for f in figures) == 60
+    assert sorted(f["count_unchanged"] + f["count_updated"] for f in figures) == [0, 20]
+
+
+def test_a_repeated_key_fails_the_commit(engine, spark):
+    store = engine.store
+    store.merge("t", _numbers(spark, range(5), 0), "k", _put_in)
+    with pytest.raises(DuplicateKeyError):
+        store.merge("t", _numbers(spark, [1, 1], 1), "k", lambda rows, fresh: rows.unionByName(fresh))
+    assert {r["v"] for r in store.snapshot("t", _NUMBERS).collect()} == {0} and store.version("t") == 1
+
+
+def test_buckets_keep_their_size_when_a_table_grows(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/store", buckets=2, bucket_rows=100)
+    for n in range(1, 11):
+        store.merge("t", _numbers(spark, range((n - 1) * 200, n * 200), n), "k", _put_in)
+        entries = store.manifest("t")["buckets"].values()
+        assert max(e["rows"] for e in entries) <= 100 and sum(e["rows"] for e in entries) == 200 * n
+    assert len(entries) >= 20 and store.snapshot("t", _NUMBERS).count() == 2000
+    # every key is where the directory says, and one changed key rewrites one bucket
+    before = store.manifest("t")["buckets"]
+    for b in list(before)[:5]:
+        assert {int(b)} == set(store.touched("t", store.snapshot("t", _NUMBERS, buckets=[b]), "k"))
+    store.merge("t", _numbers(spark, [7], -1), "k", _put_in)
+    after = store.manifest("t")["buckets"]
+    assert before.keys() == after.keys() and sum(before[b] != after[b] for b in before) == 1
+
+
+def test_buckets_divide_all_hashes():
+    assert split(1, 2) == [4, 5, 6, 7] and split(5, 1) == [9, 13]
+    values = [format(b, "b")[1:] for b in (*split(4, 2), 5, *split(6, 1), 7)]
+    assert sum(2.0 ** -len(v) for v in values) == 1
+
+
+def test_a_resumed_run_replaces_its_rows(engine, tmp_path):
+    rows = [*_records(20), record(order_id=""), record(order_id="Z", items_json="[]")]
+    path = write_csv(tmp_path / "a.csv", rows)
+    run = engine.ingest(path)["id_run"]
+    sizes = lambda: (engine.quarantine().count(), ingest.raw_of_run(engine.store, run).count(), engine.orders().count())
+    assert sizes() == (2, 22, 20)
+    engine.ingest(None, resume_run_id=run, from_raw=True)
+    engine.ingest(path, resume_run_id=run)
+    assert sizes() == (2, 22, 20)
+    clean = write_csv(tmp_path / "b.csv", rows[:20])
+    engine.ingest(clean, resume_run_id=run)
+    assert sizes() == (0, 20, 20)
+
+
+def test_a_run_that_fails_can_be_resumed(engine, tmp_path, monkeypatch):
+    path = write_csv(tmp_path / "a.csv", [*_records(10), record(order_id="")])
+    with monkeypatch.context() as broken:
+        broken.setattr(ingest, "merge_orders", lambda *a: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            engine.ingest(path, resume_run_id="r1")
+    assert engine.orders().count() == 0 and not list((tmp_path / "store" / "work").iterdir())
+    assert engine.ingest(None, resume_run_id="r1", from_raw=True)["count_inserted"] == 10
+    assert engine.quarantine().count() == 1 and engine.orders().count() == 10
+
+
 def test_documents_and_logs(engine):
     store = engine.store
     assert store.load_json("state", {"a": 1}) == {"a": 1}
@@ -102,12 +218,53 @@ def test_documents_and_logs(engine):
         store.load_json("state", {})
 
 
+def test_two_writers_of_a_document(engine):
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(lambda n: engine.store.save_json("state", {"n": n}), range(8)))
+    assert engine.store.load_json("state", None)["n"] in range(8) and max(engine.store._numbers("state")) == 8
+
+
 def test_csv_shapes(spark, tmp_path):
     path = write_csv(tmp_path / "c.csv", [record(city='a "b", c'), record(order_id="2")], columns=("city", "order_id", "items_json"))
     rows = read_orders(spark, path).orderBy("source_row_number").collect()
     assert [(r["city"], r["order_id"], r["status"], r["source_row_number"]) for r in rows] == [('a "b", c', "B-204", None, 1), ("تعز", "2", None, 2)]
 
 
+def _python_rows(path):
+    with open(path, encoding="utf-8-sig", newline="") as f:
+        return [(r["order_id"] or None, r["city"] or None, r["district"] or None, i) for i, r in enumerate(csv.DictReader(f), 1)]
+
+
+@pytest.mark.parametrize("block", [None, 200, 3000])
+def test_records_with_line_breaks(spark, tmp_path, block):
+    """Splits begin anywhere: inside quoted fields, between quotes, at blank lines."""
+    rng = random.Random(block or 1)
+    odd = ["a", 'say "hi"', "x\ny", "\n", '"\n"', "a,b\r\nc", '","', "\n\n\n", "end\n", None, "é\n漢"]
+    rows = [record(order_id=str(i), city=rng.choice(odd), district=rng.choice(odd), items_json='[{"sku":"A","n":"x"}]') for i in range(150)]
+    path = tmp_path / "in" / "b.csv"
+    path.parent.mkdir()
+    write_csv(path, rows)
+    write_csv(tmp_path / "in" / "plain.csv", [record(order_id=f"p{i}", city="c") for i in range(9)])
+    if block:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(block))
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        found = read_orders(spark, f"file://{tmp_path}/in")
+        told = found.select("order_id", "city", "district", "source_row_number", "source_file").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    for name in ("b.csv", "plain.csv"):
+        assert sorted((tuple(r)[:4] for r in told if r["source_file"].endswith(f"/{name}")), key=lambda r: r[3]) == _python_rows(tmp_path / "in" / name)
+    assert {r["items_json"] for r in found.collect()} == {BASE["items_json"], '[{"sku":"A","n":"x"}]'}
+
+
+def test_a_stray_quote_breaks_no_lines(spark, tmp_path):
+    path = tmp_path / "s.csv"
+    path.write_text('order_id,city\n1,5" wide\n2,x\n')
+    assert [(r["order_id"], r["city"]) for r in read_orders(spark, f"file://{path}").orderBy("source_row_number").collect()] == [("1", '5" wide'), ("2", "x")]
+
+
 def test_row_numbers_of_many_blocks(spark, tmp_path):
     path = write_csv(tmp_path / "d.csv", _records(3000))
     spark.conf.set("spark.sql.files.maxPartitionBytes", "65536")
@@ -119,6 +276,80 @@ def test_row_numbers_of_many_blocks(spark, tmp_path):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
+def test_several_loads_before_one_refresh(engine, tmp_path):
+    """Deltas and a load of another stage, in any number, are all applied by the next refresh."""
+    rows = _records(60)
+    engine.ingest(write_csv(tmp_path / "a.csv", rows), "initial")
+    engine.refresh_views("full")
+    for step, stage in enumerate(("delta", "normal", "delta")):
+        for r in rows[step * 10 : step * 10 + 15]:
+            r["order_date"] = f"2021-0{step + 2}-11T00:00:00"
+            r["items_json"] = r["items_json"].replace('"x"', f'"name {step}"').replace('"B"', f'"B{step}"')
+        engine.ingest(write_csv(tmp_path / f"{step}.csv", rows[step * 10 : step * 10 + 15]), stage)
+    found = engine.refresh_views("incremental")
+    assert found["daily_rows"] > 3 and refresh.daily_view(engine.store).where("day like '2021-03%'").count() == 1
+    _views_are_right(engine)
+    assert engine.refresh_views("incremental")["message"]
+    _views_are_right(engine)
+
+
+def test_a_refresh_reads_changed_buckets_alone(engine, tmp_path):
+    rows = _records(200)
+    engine.ingest(write_csv(tmp_path / "a.csv", rows), "initial")
+    engine.refresh_views("full")
+    engine.refresh_ledger()
+    store, since = engine.store, engine.store.version("orders_validated")
+    ledger = store.manifest(refresh.LEDGER)["buckets"]
+    rows[7]["city"], rows[7]["items_json"] = "عدن", rows[7]["items_json"].replace('"x"', '"a"')
+    engine.ingest(write_csv(tmp_path / "b.csv", rows[7:8]), "delta")
+    schema = engine.orders().schema
+    old, new = store.changed_rows("orders_validated", schema, since, since + 1)
+    assert len(old.inputFiles()) == len(new.inputFiles()) == 1 and 0 < new.count() < 60
+    changes = store.changes("orders_validated", schema, since, "order_id", "record_hash").collect()
+    assert [(r["old"]["city"], r["new"]["city"]) for r in changes] == [("صنعاء", "عدن")]
+    engine.refresh_views("incremental")
+    _views_are_right(engine)
+    engine.refresh_views("full")  # the ledger does not speak for these views
+    assert engine.refresh_ledger()["inserted"] == 200
+    rows[9]["city"] = "عدن"
+    engine.ingest(write_csv(tmp_path / "c.csv", rows[9:10]), "delta")
+    ledger = store.manifest(refresh.LEDGER)["buckets"]
+    counts = engine.refresh_ledger()
+    assert (counts["processed"], counts["updated"], counts["unchanged"]) == (200, 1, 199)
+    after = store.manifest(refresh.LEDGER)["buckets"]
+    assert ledger.keys() == after.keys() and sum(ledger[b] != after[b] for b in after) == 1
+    _views_are_right(engine)
+
+
+def test_two_refreshes_at_once(engine, tmp_path):
+    rows = _records(50)
+    engine.ingest(write_csv(tmp_path / "a.csv", rows), "initial")
+    engine.refresh_views("full")
+    for r in rows[:20]:
+        r["order_date"] = "2021-06-01T00:00:00"
+    engine.ingest(write_csv(tmp_path / "b.csv", rows[:20]), "delta")
+    with ThreadPoolExecutor(2) as pool:
+        list(pool.map(lambda _: refresh.incremental_refresh(engine.store, ("daily",)), range(2)))
+    engine.refresh_views("incremental")
+    _views_are_right(engine)
+
+
+def test_views_and_ledger_follow_split_buckets(spark, tmp_path):
+    engine = Engine(spark, f"file://{tmp_path}/store", buckets=2, bucket_rows=30)
+    rows = _records(40)
+    engine.ingest(write_csv(tmp_path / "a.csv", rows), "initial")
+    engine.refresh_ledger()
+    more = _records(160, 9)
+    engine.ingest(write_csv(tmp_path / "b.csv", more), "delta")
+    assert len(engine.store.manifest("orders_validated")["buckets"]) > 4
+    assert engine.refresh_ledger()["inserted"] == 120
+    _views_are_right(engine)
+    more[3]["order_date"] = "2020-01-01T00:00:00"
+    engine.ingest(write_csv(tmp_path / "c.csv", more), "delta")
+    engine.refresh_views("incremental")
+    _views_are_right(engine)
+
+
 @pytest.mark.parametrize("seed", range(2))
 def test_incremental_refresh_equals_full(engine, tmp_path, seed):
     rng, rows = random.Random(seed), _records(40, seed)
@@ -183,6 +414,10 @@ def test_layouts_and_verify(engine, tmp_path):
     engine.ingest(write_csv(tmp_path / "a.csv", _records(20)))
     engine.refresh_views("full")
     assert all(i["created"] for i in engine.indexes()) and not any(i["created"] for i in engine.indexes())
+    served = engine.query_frame("customer_orders", {"customer_id": "C-1"}, kind="pquery")
+    assert served.inputFiles() and all("/by_customer_id/" in f for f in served.inputFiles())
+    plain = catalog.PARAMETER_QUERIES["customer_orders"].build(engine.orders(), {"customer_id": "C-1"})
+    assert served.collect() == plain.select(*served.columns).collect()
     compared = engine.explain("sales_by_city")
     assert compared["before"]["n_returned"] == compared["after"]["n_returned"] == 20
     assert all(ok for _, ok in verify(engine))
@@ -267,6 +502,20 @@ def test_stream(spark, engine, tmp_path):
     assert engine.orders().count() == 12 and [r["count_unchanged"] for r in engine.runs()] == [0, 10]
 
 
+def test_a_repeated_batch_is_loaded_once(spark, engine, tmp_path, monkeypatch):
+    (tmp_path / "in").mkdir()
+    write_csv(tmp_path / "in" / "a.csv", [*_records(10), record(order_id="")], encoding="utf-8")
+    start = lambda: stream_folder(spark, engine.store, f"file://{tmp_path}/in", f"file://{tmp_path}/checkpoint")
+    start().awaitTermination()
+    before = (engine.quarantine().count(), engine.store.read("orders_raw").count(), engine.orders().count())
+    assert before == (1, 11, 10)
+    for done in (tmp_path / "checkpoint" / "commits").iterdir():  # the stream fails before it notes that the batch is done
+        done.unlink()
+    start().awaitTermination()
+    assert (engine.quarantine().count(), engine.store.read("orders_raw").count(), engine.orders().count()) == before
+    assert len(engine.runs()) == 1 and list(engine.store.transaction("orders_validated").applied.values()) == [0]
+
+
 def test_daily_stream(spark, sf_dir, tmp_path):
     spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("order_id"), F.col("o_orderdate").cast("timestamp").alias("order_date"), F.col("o_totalprice").alias("total_amount")).where("order_date < '1995-03-01'").write.parquet(f"{tmp_path}/in")
     rows = spark.readStream.schema("order_id bigint, order_date timestamp, total_amount double").parquet(f"{tmp_path}/in")
@@ -286,6 +535,7 @@ def test_merges(spark):
 def test_plan_summary(spark, sf_dir):
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
     found = explain.measure(orders.where("o_custkey = 3").select("o_orderkey"))
+    assert (found["rows_examined"], found["files_examined"]) == (orders.count(), 1) and found["bytes_examined"] > 0
     assert found["scan_type"] == "filtered scan" and found["read_schema"] == ["o_orderkey:bigint,o_custkey:bigint"] and found["exchanges"] == 0
 
 

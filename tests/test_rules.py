@@ -110,3 +110,14 @@ def test_items_keep_what_can_be_read(spark):
     assert '"note":[1]' in row["kept"][0]["extra"]
     assert row["negative"]
     assert [(c["field"], c["rule_code"]) for c in row["corrections"]] == [("items[0].qty", "ARABIC_DIGITS_CONVERTED"), ("items[0].unit_price", "CURRENCY_OR_FORMAT_NORMALIZED")]
+
+
+@pytest.mark.parametrize(("words", "value"), [
+    ("ألف", 1000), ("الف", 1000), ("ألفان", 2000), ("الفان", 2000), ("ألفين", 2000), ("الفين", 2000),
+    ("ثلاثة آلاف", 3000), ("ثلاثة الاف", 3000), ("أربعة آلاف", 4000), ("اربعة الاف", 4000), ("خمسة آلاف", 5000), ("خمسة الاف", 5000),
+    ("ستة آلاف", 6000), ("ستة الاف", 6000), ("سبعة آلاف", 7000), ("سبعة الاف", 7000), ("ثمانية آلاف", 8000), ("ثمانية الاف", 8000),
+    ("تسعة آلاف", 9000), ("تسعة الاف", 9000), ("عشرة آلاف", 10000), ("عشرة الاف", 10000),
+])
+def test_numbers_written_as_words(spark, words, value):
+    found = spark.range(1).select(money.parse_money(F.lit(f"  {words} ريال")).alias("m")).first()["m"]
+    assert found["value"] == value and found["ok"] and found["rule"] == "CURRENCY_OR_FORMAT_NORMALIZED"
