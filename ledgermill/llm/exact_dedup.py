@@ -102,6 +102,8 @@ def drop_copies(docs: DataFrame, digest: Digest = F.md5) -> DataFrame:
     moved = found.where(~F.col("keep_id").eqNullSafe(F.col("doc_id")))
     hashed = packed(docs).withColumn("content_h", F.unhex(digest(normalised(text_or_empty("row.text")))))
     left = without_keys(hashed, identity(F.col("row.doc_id"), F.col("content_h")), moved.select(identity(F.col("doc_id"), F.col("h")).alias("gone")))
-    if not found.where("repeats > 1").isEmpty():  # rows that repeat in full: one of each stays
-        left = left.withColumn("kept_id", F.col("row.doc_id")).dropDuplicates(["kept_id", "content_h"])
+    again = stage(found.where("repeats > 1").select(identity(F.col("doc_id"), F.col("h")).alias("same")).distinct())
+    if not again.isEmpty():  # rows that repeat in full: one of each stays, and only texts that may be such rows are shuffled
+        marked = may_match(left.withColumn("same", identity(F.col("row.doc_id"), F.col("content_h"))), "same", build_filter(again, "same"), "may_repeat")
+        left = marked.where("NOT may_repeat").select("row").unionByName(marked.where("may_repeat").dropDuplicates(["same"]).select("row"))
     return unpacked(left)

@@ -16,7 +16,7 @@ Words are encoded once by a table that each task keeps (see ``WordTable``).
 
 Defined results: a null text is empty and consists of the end id; a null doc_id comes first and is
 stored as the smallest int64; rows that share a doc_id are numbered in the order of their texts; an
-empty table writes no shard and gives an empty result.
+empty table writes no shard and gives an empty result. A part of the index or a shard that is lost is an error.
 """
 
 from __future__ import annotations
@@ -280,15 +280,15 @@ def build_index(table: DataFrame, folder: str, n_parts: int) -> DataFrame:
     return table.withColumn("part", _part_of(n_parts)).groupBy("part").applyInArrow(each, "part int, n_keys bigint")
 
 
-def lookup(keys: DataFrame, folder: str, n_parts: int) -> DataFrame:
-    """keys (doc_id, number) with shard, start, length by the index; foreign keys have none."""
+def lookup(keys: DataFrame, folder: str, n_parts: int, built: DataFrame) -> DataFrame:
+    """keys (doc_id, number) with shard, start, length by the index; foreign keys have none. A part that build_index has written (``built``) must be there."""
     schema = pa.schema([("doc_id", pa.int64()), ("number", pa.int64()), ("shard", pa.int32()), ("start", pa.int64()), ("length", pa.int64())])
 
     def each(group: pa.Table) -> pa.Table:
         part = group.column("part")[0].as_py()
         doc_id, number = (group.column(c).to_numpy() for c in ("doc_id", "number"))
-        files, path = split_uri(f"{folder}/index-{part:06d}.mph")
-        if files.get_file_info(path).is_file:
+        if group.column("n_keys")[0].as_py() is not None:
+            files, path = split_uri(f"{folder}/index-{part:06d}.mph")
             with files.open_input_stream(path, compression=None) as source:
                 raw = source.read()
             index, at = PerfectHash.from_bytes(raw)
@@ -302,11 +302,12 @@ def lookup(keys: DataFrame, folder: str, n_parts: int) -> DataFrame:
         columns = [pa.array(doc_id), pa.array(number), *(pa.array(found[c].astype(np.int64), mask=~known) for c in ("shard", "start", "length"))]
         return pa.table(columns, names=schema.names).cast(schema)
 
-    return keys.withColumn("part", _part_of(n_parts)).groupBy("part").applyInArrow(each, "doc_id bigint, number bigint, shard int, start bigint, length bigint")
+    dealt = keys.withColumn("part", _part_of(n_parts)).join(built, "part", "left")
+    return dealt.groupBy("part").applyInArrow(each, "doc_id bigint, number bigint, shard int, start bigint, length bigint")
 
 
 def read_ids(places: DataFrame, folder: str, n_shards: int) -> DataFrame:
-    """doc_id, number, shard, start, n_tokens, ids_crc32 of looked-up places, from the payloads at their offsets."""
+    """doc_id, number, shard, start, n_tokens, ids_crc32 of looked-up places, from the payloads at their offsets. A key without a place raises an error."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         source, current, width = None, None, 0
@@ -326,7 +327,8 @@ def read_ids(places: DataFrame, folder: str, n_shards: int) -> DataFrame:
             source.close()
 
     # a given number of partitions is not merged, though the places are far smaller than the payloads they lead to
-    ordered = places.where("shard IS NOT NULL").repartition(max(1, n_shards), "shard").sortWithinPartitions("shard", "start")
+    known = F.coalesce("shard", F.raise_error(F.lit("the index has no place for a document")).cast("int"))
+    ordered = places.withColumn("shard", known).repartition(max(1, n_shards), "shard").sortWithinPartitions("shard", "start")
     return ordered.select("doc_id", "number", "shard", "start", "length").mapInArrow(each, "doc_id bigint, number bigint, shard int, start bigint, length bigint, ids_crc32 bigint")
 
 
@@ -340,8 +342,8 @@ def encode_to_shards(docs: DataFrame, tokenizer_path: str, end_id: int, folder:
     n_docs, n_shards = shards.agg(F.coalesce(F.sum("n_docs"), F.lit(0)), F.count(F.lit(1))).first()
     n_parts = max(partitions_of(spark), n_docs // PART_KEYS + 1)
     table = shard_table(shards, folder)
-    stage(build_index(table, folder, n_parts))
-    read = read_ids(lookup(table.select("doc_id", "number"), folder, n_parts), folder, n_shards)
+    built = stage(build_index(table, folder, n_parts))
+    read = read_ids(lookup(table.select("doc_id", "number"), folder, n_parts, built), folder, n_shards)
     joined = read.join(bases, F.col("shard") == F.col("base_shard"))
     return joined.select(
         F.when(F.col("doc_id") != F.lit(NULL_ID), F.col("doc_id")).alias("doc_id"),

@@ -7,7 +7,7 @@ with target = min(L * weight, stop), found in closed form from the sources sorte
 
 Positions: over training time t in [0, 1] the weight of a source runs linearly from a start to an
 end factor; its integral, scaled to the target, is the source's cumulative demand of words. The
-documents of a source follow each other in hash order, epoch after epoch. A document is taken in an
+documents of a source follow each other in the order of a hash of id, size and text, epoch after epoch. A document is taken in an
 epoch when its middle lies within the target, and its position is the time at which the demand
 reaches its first word: the integral inverted. Rows are range-sorted by position.
 
@@ -74,7 +74,7 @@ def plan_mix(docs: DataFrame, seed: int = 17, weights: tuple[int, ...] = WEIGHTS
 def _plan(docs: DataFrame, row_key: Column, seed: int = 17, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, repeats: float = REPEATS, schedules: tuple[tuple[float, float], ...] = SCHEDULES) -> DataFrame:
     """plan_mix, unsorted, with a column row_key, by which rows of one hash are ordered."""
     words = F.regexp_count(text_or_empty(), F.lit(WORD)).cast("long")
-    order = F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), words.cast("string"))), 1, 12)
+    order = F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), words.cast("string"), F.md5(text_or_empty()))), 1, 12)
     sizes = stage(docs.select("doc_id", F.col("source").cast("string").alias("source"), words.alias("size"), order.alias("place_hash"), row_key.alias("row_key")))
     targets = stage(source_targets(sizes, weights, share, repeats))
     # the number of sources is that of targets: beyond Spark's broadcast limit this is a shuffle join

@@ -126,9 +126,9 @@ def oracle_sql() -> dict[str, str]:
             FROM grouped""",
         "op4_curriculum_mix": f"""
             WITH sized AS (
-                SELECT doc_id, source, {_WORDS} AS size FROM documents
+                SELECT doc_id, source, {_WORDS} AS size, md5(coalesce(text, '')) AS digest FROM documents
             ), hashed AS (
-                SELECT *, substr(md5(concat_ws(':', '17', coalesce(CAST(doc_id AS VARCHAR), ''), CAST(size AS VARCHAR))), 1, 12) AS h FROM sized
+                SELECT *, substr(md5(concat_ws(':', '17', coalesce(CAST(doc_id AS VARCHAR), ''), CAST(size AS VARCHAR), digest)), 1, 12) AS h FROM sized
             ), sources AS (
                 SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place
                 FROM sized GROUP BY source

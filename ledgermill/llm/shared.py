@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import contextvars
 import tempfile
 import uuid
 import zipfile
@@ -22,35 +23,41 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-_scratch: list[str] = []
+_scratch: contextvars.ContextVar[str | None] = contextvars.ContextVar("scratch", default=None)
 
 
 @contextlib.contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
-    """Folders that shared_dir gives out inside are deleted at the end: what shall stay is staged to a folder from before."""
+    """Folders that shared_dir gives out inside are deleted at the end: what shall stay is staged to a folder from before.
+
+    It holds for the thread that opens it; what other threads stage meanwhile lies elsewhere.
+    """
     folder = shared_dir(spark)
-    _scratch.append(folder)
+    token = _scratch.set(folder)
     try:
         yield
     finally:
-        _scratch.remove(folder)
+        _scratch.reset(token)
         path = spark._jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder that the driver and all executors see.
+    """A new folder that the driver and all executors see, as a URI with its file system.
 
     It lies in ``spark.checkpoint.dir``. Where that is unset, a local master gets a
     temporary folder and a cluster gets one in its warehouse.
     """
-    if _scratch:
-        return f"{_scratch[-1]}/{uuid.uuid4().hex}"
+    inside = _scratch.get()
+    if inside:
+        return f"{inside}/{uuid.uuid4().hex}"
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         local = spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local"
         base = f"file://{tempfile.gettempdir()}/checkpoints" if local else spark.conf.get("spark.sql.warehouse.dir")
-        spark.conf.set("spark.checkpoint.dir", base)
+    # a path without a scheme means the cluster's file system, to tasks that write by pyarrow as well
+    path = spark._jvm.org.apache.hadoop.fs.Path(base)
+    base = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
     return f"{base.rstrip('/')}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
 
 

@@ -106,7 +106,7 @@ def mix(rows, targets):
     for r in rows:
         n = len(WORD.findall(r[1] or ""))
         sizes[r[3]] += n
-        place = int(hashlib.md5(f"17:{'' if r[0] is None else r[0]}:{n}".encode()).hexdigest()[:12], 16)
+        place = int(hashlib.md5(f"17:{'' if r[0] is None else r[0]}:{n}:{hashlib.md5((r[1] or '').encode()).hexdigest()}".encode()).hexdigest()[:12], 16)
         by_source[r[3]].append((place, r[0] is None, r[0] or 0, n, r))
     aim, out = targets(sizes), []
     for source, placed in by_source.items():

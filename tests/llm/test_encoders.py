@@ -10,7 +10,7 @@ import sentencepiece
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from ledgermill.llm.id_shards import PerfectHash, WordTable, build_index, encode_to_shards, lookup, shard_table, write_shards
+from ledgermill.llm.id_shards import PerfectHash, WordTable, build_index, encode_to_shards, lookup, read_ids, shard_table, write_shards
 from ledgermill.llm.piece_table import PieceTable, build_table, encode_documents, piece_digests
 from ledgermill.llm.shared import stage
 from ledgermill.llm.token_counts import count_tokens, read_cache
@@ -106,11 +106,17 @@ def test_shards(documents, corpus):
 def test_index(spark, documents, tmp_path):
     folder = f"file://{tmp_path}/ids"
     table = stage(shard_table(stage(write_shards(documents, WORDS, 2, folder)), folder))
-    built = build_index(table, folder, 5).agg(F.sum("n_keys")).first()[0]
-    assert built == documents.count()
-    assert sorted(lookup(table.select("doc_id", "number"), folder, 5).collect()) == sorted(table.collect())
+    built = stage(build_index(table, folder, 5))
+    assert built.agg(F.sum("n_keys")).first()[0] == documents.count()
+    assert sorted(lookup(table.select("doc_id", "number"), folder, 5, built).collect()) == sorted(table.collect())
     foreign = spark.range(10**9, 10**9 + 500).select(F.col("id").alias("doc_id"), F.lit(0).cast("bigint").alias("number"))
-    assert lookup(foreign, folder, 5).where("shard IS NOT NULL").count() == 0
+    assert lookup(foreign, folder, 5, built).where("shard IS NOT NULL").count() == 0
+    assert lookup(foreign, f"{folder}/none", 5, built.where("false")).where("shard IS NULL").count() == 500
+    with pytest.raises(Exception, match="no place for a document"):
+        read_ids(lookup(foreign, folder, 5, built), folder, 3).collect()
+    (tmp_path / "ids" / "index-000002.mph").unlink()
+    with pytest.raises(Exception, match="index-000002"):
+        lookup(table.select("doc_id", "number"), folder, 5, built).collect()
 
 
 @pytest.mark.parametrize("n", [0, 1, 2, 1000, 30_000])
