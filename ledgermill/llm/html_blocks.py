@@ -23,6 +23,7 @@ BREAKOUT = frozenset("b big blockquote body br center code dd div dl dt em embed
 ENDS_SELECT = frozenset("p h1 h2 h3 h4 h5 h6 article section main aside nav header footer table ul ol dl form body blockquote pre figure input textarea".split())
 #: Elements that tell the part of a page, however deep a block lies below them.
 STRUCTURE = ("html", "body", "head", "nav", "aside", "header", "footer", "form", "article", "main", "section", "noscript", "figure", "table", "ul", "ol", "dl")
+_INNER = ("nav", "aside", "header", "footer", "form", "article", "main")
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 #: An element that opens closes the open elements of its row, up to the nearest container.
 CLOSES = {
@@ -181,6 +182,8 @@ def _path_features(path: tuple[tuple[str, str], ...]) -> list[int]:
         names |= {f"parent:{'>'.join(blocks[-2:])}", f"block:{blocks[-1] if blocks else ''}"}
         if not {"article", "main"} & set(blocks):
             names.add("outside")
+        # a form inside a text is not a text inside a form
+        names.add(f"inner:{next((tag for tag in reversed(blocks) if tag in _INNER), '')}")
         known = _paths[path] = [feature(n) for n in sorted(names)]
     return known
 

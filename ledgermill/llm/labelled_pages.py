@@ -122,6 +122,26 @@ class _Writer:
         self.block("pre", f"<code>{self.words(3, 20)}</code>", 1)
         self.tag("</div>")
 
+    def form(self, share: float = 0.85) -> None:
+        """A form with what stands in it: labels, sentences, buttons."""
+        self.named("form", "form", share)
+        for _ in range(self.rng.randint(1, 3)):
+            text = self.pick([self.words(1, 3), self.sentences(1, 2), self.words(1, 2) + " / " + self.sentences(1, 1)])
+            if self.chance(0.5):
+                self.block(self.pick(["p", "div", "h3"]), text, 0)
+            else:
+                self.tag(text + "<input>")
+                self.labels.append(0)
+                self.tag("<hr>")
+        if self.chance(0.6):
+            self.block("button", self.words(1, 3), 0)
+        self.tag("</form>")
+
+    def linked(self) -> str:
+        """A sentence that is made of links for the most part."""
+        links = [f'<a href="/{k}">{self.words(1, 5)}</a>' for k in range(self.rng.randint(1, 4))]
+        return self.words(0, 2).capitalize() + " " + self.pick([", ", " and ", " or "]).join(links) + self.pick([".", ".", "", f" {self.words(1, 3)}."])
+
     def layout_table(self) -> None:
         """A page laid out by a table: a column of links, and a column of text."""
         def menu() -> None:
@@ -150,6 +170,13 @@ class _Writer:
             menu()
         self.tag("</tr></table>")
 
+    def bare(self) -> None:
+        """Paragraphs without an element around them that says what they are."""
+        if self.chance(0.5):
+            self.block("h1", self.words(2, 9).capitalize(), 1)
+        for _ in range(self.rng.randint(1, 6)):
+            self.block("p", self.sentences(1, 5), 1)
+
     def body(self) -> None:
         """The main text: heading, paragraphs, lists, quotes and inner boxes that are not of it."""
         element = self.pick(["article", "article", "article", "main", "div", "section"])
@@ -176,6 +203,8 @@ class _Writer:
                     text = f"<b>{text[:20]}</b>{text[20:]}"
                 if self.chance(0.15):
                     text += f' <a href="/x">{self.words(1, 4)}</a> {self.words(2, 6)}.'
+                if self.chance(0.07):
+                    text = self.linked()
                 self.block("p" if self.chance(0.95) else "div", text, 1)
             elif kind < 0.76:
                 self.block(self.pick(["h2", "h3"]), self.words(1, 6).capitalize(), 1)
@@ -198,8 +227,10 @@ class _Writer:
                         self.block("td", self.words(1, 4), 1)
                     self.tag("</tr>")
                 self.tag("</table>")
-            elif kind < 0.95:
-                self.short(self.pick(["div", "aside"]), self.pick(["ad", "notice", "aside"]), 1.0)
+            elif kind < 0.89:
+                self.form()
+            elif kind < 0.975:
+                self.short(self.pick(["div", "aside"]), self.pick(["ad", "ad", "notice", "aside"]), 1.0)
             else:
                 self.links("div", self.pick(["share", "aside"]), 2, 5)
         self.tag("</div>" if inner else "")
@@ -222,7 +253,12 @@ def labelled_pages(n: int, seed: int = 11) -> list[tuple[str, list[int]]]:
     pages = []
     for i in range(n):
         w = _Writer(random.Random(f"{seed}/{i}"))
-        w.tag("<!DOCTYPE html><html><head><title>t</title><style>p{margin:0}</style></head><body>")
+        if w.chance(0.03):  # a text without elements, or with none but a body and line breaks
+            w.tag(w.pick(["", "<body>", "<html><body>"]) + w.pick([" ", "\n", "<br>"]).join(w.sentences(1, 3) for _ in range(w.rng.randint(1, 6))))
+            pages.append(("".join(w.parts), [1]))
+            continue
+        wrapped, deep = w.chance(0.04), w.rng.randint(5, 150) if w.chance(0.08) else 0
+        w.tag("<!DOCTYPE html><html><head><title>t</title><style>p{margin:0}</style></head><body>" + ("<form action=/page><div>" if wrapped else ""))
         if w.chance(0.3):
             w.short("div", "notice")
         if w.chance(0.5):
@@ -233,8 +269,10 @@ def labelled_pages(n: int, seed: int = 11) -> list[tuple[str, list[int]]]:
             w.short("div", "ad", 1.0)
         if w.chance(0.2):
             w.links(w.pick(["aside", "div"]), "aside", 2, 8)
+        w.tag("<div>" * deep)
         if w.chance(0.97):
-            (w.layout_table if w.chance(0.06) else w.body)()
+            (w.layout_table if w.chance(0.06) else w.bare if w.chance(0.04) else w.body)()
+        w.tag("</div>" * deep)
         if w.chance(0.3):
             w.links("div", "share", 2, 5)
         if w.chance(0.35):
@@ -242,10 +280,7 @@ def labelled_pages(n: int, seed: int = 11) -> list[tuple[str, list[int]]]:
         if w.chance(0.4):
             w.short(w.pick(["aside", "aside", "div"]), "aside", 1.0)
         if w.chance(0.3):
-            w.named("form", "form")
-            w.block("label" if w.chance(0.01) else "p", w.words(1, 6), 0)
-            w.block("button", w.words(1, 2), 0)
-            w.tag("</form>")
+            w.form()
         if w.chance(0.3):
             w.short("div", w.pick(["ad", "notice"]), 1.0)
         if w.chance(0.85):

@@ -57,3 +57,40 @@ FORUM = (
 )
 
 LAYOUTS = {"blog": BLOG, "documentation": DOCUMENTATION, "tables": TABLES, "news": NEWS, "broken": BROKEN, "forum": FORUM}
+
+
+_RIVER = "The river rose again during the night, and the lower meadows were under water until the next morning came."
+_MILL = "Nobody in the village could remember a flood of this height, and the old marks on the mill wall prove it."
+#: Pages that the contract decides: forms, links, depth, text without elements.
+DECIDED = {
+    "text behind a form": (f"<div class=post><p>{_RIVER}</p><form><p>Your name</p><button>Send</button></form><p>{_MILL}</p><p>{_RIVER}</p></div>", f"{_RIVER}\n{_MILL}\n{_RIVER}"),
+    "a form in an article": (f"<article><p>{_RIVER}</p><form>Email / Subscribe to our newsletter today.</form><p>{_MILL}</p></article>", f"{_RIVER}\n{_MILL}"),
+    "a paragraph of links": (f"<article><p>See <a href=/a>The dam</a> and <a href=/b>The mill</a>.</p><p>{_RIVER}</p></article>", f"See The dam and The mill.\n{_RIVER}"),
+    "a deep page": ("<div>" * 300 + f"<p>{_RIVER}</p>" + "</div>" * 300, _RIVER),
+    "text alone": (_RIVER, _RIVER),
+    "a page in a form": (f"<body><form id=aspnetForm><div class=header><a href=/>Home</a></div><div class=content><h1>Floods</h1><p>{_RIVER}</p><p>{_MILL}</p></div><div class=footer>&copy; 2020</div></form></body>", f"Floods\n{_RIVER}\n{_MILL}"),
+}
+
+#: More pages by hand, each as (html, texts of its blocks with 1 where they are of the article).
+MORE = [
+    ("""<body><div id=top><a href=/>Herald</a></div><div id=story><h1>Bridge closes for repairs</h1><span class=author>Kim Lee</span><p>The bridge over the Wend closes on Monday for eleven weeks.</p><p>Buses go by the old road, which takes ten minutes more.</p><div class=promo><p>Get the paper at home</p></div><p>The town pays two thirds of the costs.</p></div><div id=foot>Contact | Terms</div></body>""",
+     [("Herald", 0), ("Bridge closes for repairs", 1), ("Kim Lee", 0), ("The bridge over the Wend closes on Monday for eleven weeks.", 1), ("Buses go by the old road, which takes ten minutes more.", 1), ("Get the paper at home", 0), ("The town pays two thirds of the costs.", 1), ("Contact | Terms", 0)]),
+    ("""<main><h1>Lentil soup</h1><p>A soup for cold days that needs no stock.</p><h2>Ingredients</h2><ul><li>300 g red lentils</li><li>1 onion</li><li>Salt</li></ul><h2>Method</h2><ol><li>Cut the onion and fry it slowly.</li><li>Add the lentils and a litre of water.</li></ol><form class=rating><label>Rate this recipe</label><button>Send</button></form><p>It keeps for three days.</p></main><aside><h3>More soups</h3><a href=/1>Leek soup</a></aside>""",
+     [("Lentil soup", 1), ("A soup for cold days that needs no stock.", 1), ("Ingredients", 1), ("300 g red lentils", 1), ("1 onion", 1), ("Salt", 1), ("Method", 1), ("Cut the onion and fry it slowly.", 1), ("Add the lentils and a litre of water.", 1), ("Rate this recipe", 0), ("Send", 0), ("It keeps for three days.", 1), ("More soups", 0), ("Leek soup", 0)]),
+    ("""<nav class=breadcrumb><a href=/>Docs</a></nav><article><h1>Installing the tool</h1><p>Unpack the archive into a folder of your own.</p><pre>tar xf tool.tar</pre><p>Then read <a href=/c>the configuration</a>, <a href=/p>the plugins</a> and <a href=/f>the list of faults</a>.</p><table><tr><td>port</td><td>8080</td></tr></table></article><div class=pager><a href=/n>Next</a></div>""",
+     [("Docs", 0), ("Installing the tool", 1), ("Unpack the archive into a folder of your own.", 1), ("tar xf tool.tar", 1), ("Then read the configuration, the plugins and the list of faults.", 1), ("port", 1), ("8080", 1), ("Next", 0)]),
+    ("""<header class=site-header><p>Notes on birds</p></header><div class=entry><h2>Swifts are back</h2><p>The first swifts came on the third of May, four days later than last year.</p><p>They nest below the roof of the town hall.</p><div class=newsletter><h4>Never miss a note</h4><form><input><button>Join</button></form></div></div><section class=comments><h3>3 comments</h3><article class=comment><p>I saw two of them on Sunday as well.</p></article></section>""",
+     [("Notes on birds", 0), ("Swifts are back", 1), ("The first swifts came on the third of May, four days later than last year.", 1), ("They nest below the roof of the town hall.", 1), ("Never miss a note", 0), ("Join", 0), ("3 comments", 0), ("I saw two of them on Sunday as well.", 0)]),
+    ("""<div class=wrap><div class=cookie-notice>This site stores cookies.</div><div class=post-content><p>Glass is made of sand, soda and lime. The sand melts at a lower heat with soda.</p><p>Lime keeps the glass from dissolving in water.</p><blockquote><p>No craft asks for more patience.</p></blockquote></div><div class=related-posts><p>Read next: how mirrors are made</p></div></div>""",
+     [("This site stores cookies.", 0), ("Glass is made of sand, soda and lime. The sand melts at a lower heat with soda.", 1), ("Lime keeps the glass from dissolving in water.", 1), ("No craft asks for more patience.", 1), ("Read next: how mirrors are made", 0)]),
+    ("""<table width=760><tr><td class=nav><a href=a>News</a> | <a href=b>Team</a></td></tr><tr><td><h1>Season opens</h1><p>The season opens on the ninth with a match against the neighbours.</p><p>Seats are free for children.</p></td></tr></table>""",
+     [("News | Team", 0), ("Season opens", 1), ("The season opens on the ninth with a match against the neighbours.", 1), ("Seats are free for children.", 1)]),
+    ("""<ul class=menu><li><a href=/>Home</a></li><li><a href=/q>Questions</a></li></ul><div class=content><h1>Why is the sky blue?</h1><div class=text><p>I asked this as a child and never got an answer that I could follow.</p></div></div><div class=sidebar><h4>Popular</h4><ul><li><a href=/1>Why is snow white?</a></li></ul></div><div class=footer><p>All rights reserved.</p></div>""",
+     [("Home", 0), ("Questions", 0), ("Why is the sky blue?", 1), ("I asked this as a child and never got an answer that I could follow.", 1), ("Popular", 0), ("Why is snow white?", 0), ("All rights reserved.", 0)]),
+    ("""<section class=hero><article><h1>Ein neuer Park am Fluss</h1><p>Die Stadt legt am Nordufer einen Park mit zweihundert Bäumen an.</p><figure><img><figcaption>Der Plan des Parks.</figcaption></figure><p>Er soll im Herbst fertig sein.</p></article></section><div class=share><a href=#>Teilen</a></div><footer><p>Impressum</p></footer>""",
+     [("Ein neuer Park am Fluss", 1), ("Die Stadt legt am Nordufer einen Park mit zweihundert Bäumen an.", 1), ("Der Plan des Parks.", 1), ("Er soll im Herbst fertig sein.", 1), ("Teilen", 0), ("Impressum", 0)]),
+    ("""<h1>Minutes of the meeting</h1><p>Present were nine members of the club.</p><p>The treasurer gave her report, which was approved.</p><p>The next meeting is in March.</p>""",
+     [("Minutes of the meeting", 1), ("Present were nine members of the club.", 1), ("The treasurer gave her report, which was approved.", 1), ("The next meeting is in March.", 1)]),
+    ("""<div class=banner-ad><p>Cheap flights to the sun!</p></div><article><h1>The long winter</h1><p>Snow lay until the end of April in the upper valley.</p><aside class=ad><p>Warm coats, half price.</p></aside><p>Farmers sowed three weeks late.</p><form class=search-form><label>Search the archive</label></form><p>The harvest was small.</p><footer class=tags><a href=/w>Weather</a></footer></article>""",
+     [("Cheap flights to the sun!", 0), ("The long winter", 1), ("Snow lay until the end of April in the upper valley.", 1), ("Warm coats, half price.", 0), ("Farmers sowed three weeks late.", 1), ("Search the archive", 0), ("The harvest was small.", 1), ("Weather", 0)]),
+]

@@ -6,7 +6,7 @@ import re
 
 import numpy as np
 import pytest
-from layouts import LAYOUTS
+from layouts import DECIDED, LAYOUTS, MORE
 from pyspark.sql import functions as F
 
 from ledgermill.llm.crf import ChainCRF, Sequences
@@ -49,12 +49,21 @@ def test_parts_of_a_page():
     assert main_texts([page, ""], default_model()) == ["A heading of it\nFirst & long sentence of the text, which goes on.\nSecond one here, with more words in it.", ""]
 
 
-@pytest.mark.parametrize("name", list(LAYOUTS))
+@pytest.mark.parametrize("name", [*LAYOUTS, *DECIDED])
 def test_layouts_made_by_hand(name):
-    page, text = LAYOUTS[name]
+    page, text = (LAYOUTS | DECIDED)[name]
     assert main_texts([page], default_model()) == [text]
 
 
+def test_share_of_right_blocks_on_pages_made_by_hand():
+    right = []
+    for page, expected in MORE:
+        blocks = blocks_of(page)
+        assert [b.text for b in blocks] == [t for t, _ in expected]
+        right += list(default_model().decode(Sequences.of([features_of(blocks)])) == np.array([k for _, k in expected]))
+    assert len(right) == 72 and np.mean(right) > 0.97
+
+
 @pytest.mark.parametrize(
     ("page", "texts"),
     [

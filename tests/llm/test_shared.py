@@ -3,6 +3,7 @@ import uuid
 from concurrent.futures import ThreadPoolExecutor
 
 import pytest
+from pyspark.sql.conf import RuntimeConfig
 
 from ledgermill.llm import shared
 from ledgermill.llm.exact_dedup import drop_copies, exact_groups
@@ -26,17 +27,10 @@ class _Unset:
 
 @pytest.mark.parametrize("name", ["op3_exact_dedup", "op8_id_shards", "op9_sentencepiece", "op10_warc_revisits"])
 def test_without_a_shared_folder(spark, sf_dir, monkeypatch, name):
-    monkeypatch.setattr(type(spark), "conf", property(lambda self: _Unset(self._test_conf)), raising=False)
-    monkeypatch.setattr(spark, "_test_conf", spark._jsparkSession and _plain_conf(spark), raising=False)
+    monkeypatch.setattr(type(spark), "conf", property(lambda self: _Unset(RuntimeConfig(self._jsparkSession.conf()))))
     assert queries()[name](spark, sf_dir).count() > 0
 
 
-def _plain_conf(spark):
-    from pyspark.sql.conf import RuntimeConfig
-
-    return RuntimeConfig(spark._jsparkSession.conf())
-
-
 def test_folders_have_a_file_system(spark):
     assert shared_dir(spark).startswith("file:/")
 
