@@ -97,7 +97,7 @@ def _again(attempt: Callable[[], int | None], name: str):
 def _catch_up(store: Store, name: str) -> int | None:
     """Days or products that were changed; None if another refresh came first."""
     turn, version = store.transaction(DAILY if name == "daily" else PARTS), store.version(VALIDATED_TABLE) or 0
-    if _ORDERS not in turn.applied:
+    if turn.applied.get(_ORDERS, -1) not in {0, *store.versions(VALIDATED_TABLE)}:  # never built, or so long ago that its version is gone
         built = full_refresh(store, (name,))
         return built["daily_rows" if name == "daily" else "product_rows"]
     since = turn.applied[_ORDERS]

@@ -9,6 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Splits up to which a table is dealt anew: some 2 GB.
+FEW_SPLITS = 16
+
+
 @dataclass(frozen=True)
 class StarSchema:
     spark: SparkSession
@@ -18,9 +22,9 @@ class StarSchema:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
     def spread(self, name: str) -> DataFrame:
-        """A table for work that is heavy by row: one with fewer splits than the cluster has cores is dealt to all of them."""
+        """A table for work that is heavy by row: one of a few splits, at most FEW_SPLITS, is dealt to more cores. A larger one is never shuffled for that."""
         rows, cores = self.table(name), self.spark.sparkContext.defaultParallelism
-        return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+        return rows.repartition(cores) if rows.rdd.getNumPartitions() < min(cores, FEW_SPLITS) else rows
 
     @cached_property
     def orders(self) -> DataFrame:

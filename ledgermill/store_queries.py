@@ -7,12 +7,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from datetime import datetime, timezone
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgermill import ingest, refresh
+from ledgermill import cli, ingest, jobs, refresh
 from ledgermill.api import Engine
 from ledgermill.operators import merge
 from ledgermill.plans import explain, layout
@@ -379,5 +380,45 @@ def _index_benchmark(star: StarSchema) -> DataFrame:
     return star.spark.createDataFrame(rows, "name string, before bigint, after bigint, examined_before bigint, no_more_after boolean")
 
 
+def _command(loaded: Loaded, *arguments: str):
+    """What the command line gives for arguments on the store of loaded."""
+    return cli.run(loaded.engine, cli.parser().parse_args([loaded.engine.store.root, *arguments]))
+
+
+@register("cli_aggregation", f"SELECT CASE k WHEN 5 THEN 'قيد الانتظار' ELSE 'مؤكد' END AS status, CAST(count(*) AS BIGINT) AS orders, CAST(sum(price + 2000) AS DOUBLE) AS sales FROM {_KEPT} GROUP BY 1")
+def _cli_aggregation(star: StarSchema) -> DataFrame:
+    """Orders that one command loads, and a report that another gives."""
+    loaded = Loaded(star)
+    _command(loaded, "ingest", "--input", loaded.first, "--stage", "initial")
+    rows = _command(loaded, "aggregation", "orders_by_status", "--kind", "agg_v2")["results"]
+    return star.spark.createDataFrame([(r["status"], r["orders"], r["sales"]) for r in rows], "status string, orders bigint, sales double")
+
+
+@register("cli_sample", "SELECT CAST(least(count(*), 50) AS BIGINT) AS n_rows, CAST(least(count(*), 50) AS BIGINT) AS n_known, true AS again_the_same FROM orders")
+def _cli_sample(star: StarSchema) -> DataFrame:
+    """Fifty rows that a command draws: all from the input, and the same for the same seed."""
+    loaded = Loaded(star)
+    path = loaded.write("few", loaded.raw.select("customer_id", "total_amount", "source_row_number"), 1)
+    drawn = []
+    for name in ("a", "b"):
+        _command(loaded, "sample", "--input", path, "--output", f"{loaded.folder}/{name}", "--rows", "50", "--seed", "5")
+        drawn.append(read_orders(star.spark, f"{loaded.folder}/{name}").select("customer_id", "total_amount"))
+    known = drawn[0].join(read_orders(star.spark, path).select("customer_id", "total_amount"), ["total_amount"], "left_semi")
+    same = drawn[0].exceptAll(drawn[1]).isEmpty() and drawn[1].exceptAll(drawn[0]).isEmpty()
+    return star.spark.createDataFrame([(drawn[0].count(), known.count(), same)], "n_rows bigint, n_known bigint, again_the_same boolean")
+
+
+@register("jobs_due", "SELECT * FROM (VALUES (5, 'none', 0), (15, 'refresh_daily_sales', 1), (16, 'none', 0), (130, 'refresh_top_products', 1), (130, 'refresh_materialized_views', 2), (130, 'daily_reports', 3)) AS t(minute, job_name, place)")
+def _jobs_due(star: StarSchema) -> DataFrame:
+    """The jobs that an outside scheduler finds due, by minute of the day: each once a day."""
+    loaded = Loaded(star)
+    loaded.engine.ingest(loaded.first)
+    rows = []
+    for minute in (5, 15, 16, 130):
+        ran = jobs.run_due(loaded.engine.store, datetime(2025, 1, 1, minute // 60, minute % 60, tzinfo=timezone.utc)) or ["none"]
+        rows += [(minute, name, 0 if name == "none" else place) for place, name in enumerate(ran, 1)]
+    return star.spark.createDataFrame(rows, "minute int, job_name string, place int")
+
+
 #: Names of the queries of this module.
 NAMES = tuple(n for n in QUERIES if n not in _BEFORE)
