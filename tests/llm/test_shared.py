@@ -17,8 +17,8 @@ class _Unset:
     def __init__(self, conf):
         self.conf = conf
 
-    def get(self, key, default=None):
-        return default if key == "spark.checkpoint.dir" else self.conf.get(key, default)
+    def get(self, key, *default):
+        return default[0] if key == "spark.checkpoint.dir" else self.conf.get(key, *default)
 
     def set(self, key, value):
         assert key != "spark.checkpoint.dir"
