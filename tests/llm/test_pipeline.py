@@ -97,5 +97,5 @@ def test_registered_queries():
 
     names = list(__spark_entry__.queries())
     assert [n for n in names if n.startswith("op")] and "pipeline" in names
-    assert {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{n}" for n in range(1, 11)}
+    assert {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{n}" for n in range(1, 14)}
     assert set(__spark_entry__.oracle_sql()) <= set(names)
