@@ -6,6 +6,7 @@ import math
 import re
 import statistics
 
+from ledgermill.llm import personal_data
 from ledgermill.llm.quality_rules import COMMON_WORDS
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -117,3 +118,46 @@ def mix(rows, targets):
                     out.append(r)
                 at += n
     return out
+
+
+def word_features(words: list[str]) -> list[list[int]]:
+    """The features of each word of a run, word by word."""
+    shapes = [personal_data._shape(w) for w in words]
+    coarse = [re.sub(r"9+", "9", s) for s in shapes]
+    low = [personal_data._bare(w) for w in words]
+    counts = [sum(c.isdigit() for c in w) for w in words]
+    # digits of the run of words that hold more digits than letters
+    numeric = [n > 0 and n >= sum(c.isalpha() for c in w) for n, w in zip(counts, words)]
+    run, i = [0] * len(words), 0
+    while i < len(words):
+        j = i
+        while j < len(words) and numeric[j]:
+            j += 1
+        run[i:j] = [sum(counts[i:j])] * (j - i)
+        i = max(j, i + 1)
+    rows = []
+    for i, w in enumerate(words):
+        names = [f"shape:{shapes[i]}", f"coarse:{coarse[i]}", f"digits:{min(counts[i], 20)}", f"run:{min(run[i], 20)}", f"length:{min(len(w), 12)}:{min(len(w) // 16, 4)}", f"end:{w[-1] if not w[-1].isalnum() else ''}", f"first:{w[0] if not w[0].isalnum() else ''}"]
+        if counts[i] and counts[i] < len(w):
+            changes = sum(a.isdigit() != b.isdigit() for a, b in zip(w, w[1:]))
+            names.append(f"mixed:{min(changes, 6)}:{min(len(w) // 8, 5)}")
+        kinds = "".join(k for k, found in (("a", re.search("[a-z]", w)), ("A", re.search("[A-Z]", w)), ("9", counts[i]), ("#", re.search(r"[^\w.,;:'\"()]", w))) if found)
+        names.append(f"kinds:{kinds}:{min(len(w) // 4, 10)}")
+        if len(w) > 6 and personal_data._SPELLED.search(w):
+            names.append("glued")
+        if personal_data._HOST_END.search(w):
+            names.append("host end")
+        if len(low[i]) <= 16:
+            names.append(f"word:{low[i]}")
+        if "=" in w or ":" in w:
+            names.append(f"before:{personal_data._bare(re.split('[=:]', w)[0])}")
+        names += [f"left:{x}" for x in set(low[max(0, i - 5) : i]) if len(x) <= 16]
+        names += [f"right:{x}" for x in set(low[i + 1 : i + 4]) if len(x) <= 16]
+        for step in (-3, -2, -1, 1, 2, 3):
+            j = i + step
+            inside = 0 <= j < len(words)
+            names.append(f"shape{step}:{coarse[j] if inside and abs(step) > 1 else shapes[j] if inside else '-'}")
+            if abs(step) <= 2:
+                names.append(f"word{step}:{low[j] if inside and len(low[j]) <= 16 else '-'}")
+        rows.append([personal_data.feature(n) for n in names])
+    return rows
