@@ -5,8 +5,9 @@ the marker that follows it, and the merges inside ``marker(s) + word`` depend on
 
 1. A task takes its texts in blocks of about BLOCK_CHARS and gives out the distinct chunks of each block,
    packed by a hash of the chunk: requests.
-2. Requests are shuffled by that hash. A chunk comes to one task, whichever blocks ask for it, and is
-   segmented there once; the ids go back packed in the order of the request.
+2. Requests are shuffled by that hash and sorted by it. A chunk comes to one task, whichever blocks ask for it, and
+   all requests of its part follow each other, so it is segmented there once; the ids go back packed in the order of
+   the request.
 3. Replies are shuffled by block and written as one file for each block.
 4. The texts are read again. A block's file gives the ids of its chunks, which are joined to the
    chunks of the texts in the order of their positions.
@@ -43,8 +44,9 @@ from ledgermill.llm.shared import partitions_of, shared_dir, ship, stage
 
 MARK = "▁"
 TABLE_ENTRIES = 150_000
-#: Parts of the requests, at least: the distinct chunks of one should fit TABLE_ENTRIES.
-LEAST_PARTS = 128
+#: Tasks of the requests, at least, and parts in each: a task takes one part after the other, each with a table of its own,
+#: so chunks are segmented once up to TABLE_ENTRIES x parts distinct ones: 300 million at 128 tasks, 24 billion at 10,000.
+LEAST_TASKS, TASK_PARTS = 128, 16
 #: Characters of texts in a block, and of texts encoded at once.
 BLOCK_CHARS, ENCODE_CHARS = 16_000_000, 200_000
 _CHUNKS = re.compile(f"{MARK}+[^{MARK}\\n]*|[^{MARK}\\n]+|\\n")
@@ -173,15 +175,30 @@ def _reply(table: PieceTable, raw: bytes) -> tuple[bytes, bytes]:
     return np.array(counts, dtype="<i4").tobytes(), b";".join([joined for _, joined, _ in rows])
 
 
-def _parts(spark: SparkSession) -> int:
-    return max(partitions_of(spark), LEAST_PARTS)
+def _tasks(spark: SparkSession) -> int:
+    return max(partitions_of(spark), LEAST_TASKS)
+
+
+def _segmented(batches: Iterator[pa.RecordBatch], table: PieceTable) -> Iterator[pa.RecordBatch]:
+    """The replies to requests (part, block, chunks) that come part by part: the table holds the chunks of one part."""
+    current = None
+    for batch in batches:
+        requests, replies = batch.column(2).to_pylist(), []
+        for part, raw in zip(batch.column(0).to_pylist(), requests):
+            if part != current:
+                table.clear()
+                current = part
+            replies.append(_reply(table, raw))
+        columns = [batch.column(0), batch.column(1), pa.array([_digest(r) for r in requests], pa.binary()), *(pa.array([r[k] for r in replies], pa.binary()) for k in (0, 1))]
+        yield pa.RecordBatch.from_arrays(columns, names=["part", "block", "request", "counts", "ids"])
 
 
 def build_table(docs: DataFrame, model_path: str, folder: str, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """Segments the distinct chunks of docs (text) and writes the replies of each block below folder; block and n_chunks of each."""
     spark = docs.sparkSession
     ship(spark)
-    n_parts = _parts(spark)
+    n_tasks = _tasks(spark)
+    n_parts = n_tasks * TASK_PARTS
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _table(model_path)
@@ -190,13 +207,7 @@ def build_table(docs: DataFrame, model_path: str, folder: str, block_chars: int
             yield pa.RecordBatch.from_arrays([pa.array(list(parts), pa.int32()), pa.array([block] * len(parts), pa.int64()), pa.array(["\0".join(c).encode() for c in parts.values()], pa.binary())], names=["part", "block", "chunks"])
 
     def segment(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = _table(model_path)
-        table.clear()
-        for batch in batches:
-            requests = batch.column(2).to_pylist()
-            replies = [_reply(table, raw) for raw in requests]
-            columns = [batch.column(0), batch.column(1), pa.array([_digest(r) for r in requests], pa.binary()), *(pa.array([r[k] for r in replies], pa.binary()) for k in (0, 1))]
-            yield pa.RecordBatch.from_arrays(columns, names=["part", "block", "request", "counts", "ids"])
+        return _segmented(batches, _table(model_path))
 
     def write(group: pa.Table) -> pa.Table:
         block = group.column("block")[0].as_py()
@@ -205,7 +216,7 @@ def build_table(docs: DataFrame, model_path: str, folder: str, block_chars: int
         return pa.table({"block": pa.array([block], pa.int64()), "n_chunks": pa.array([sum(len(c) // 4 for c in group.column("counts").to_pylist())], pa.int64())})
 
     asked = docs.select(F.col("text").cast("string")).mapInArrow(ask, "part int, block bigint, chunks binary")
-    replied = asked.repartition(n_parts, "part").mapInArrow(segment, "part int, block bigint, request binary, counts binary, ids binary")
+    replied = asked.repartition(n_tasks, "part").sortWithinPartitions("part").mapInArrow(segment, "part int, block bigint, request binary, counts binary, ids binary")
     return replied.groupBy("block").applyInArrow(write, "block bigint, n_chunks bigint")
 
 
@@ -244,7 +255,7 @@ def _encode(docs: DataFrame, model_path: str, results: Callable[[list[tuple[int,
     """doc_id and the columns that results makes of the encoded rows."""
     spark = docs.sparkSession
     folder = f"{shared_dir(spark)}/pieces"
-    n_parts = _parts(spark)
+    n_parts = _tasks(spark) * TASK_PARTS
     stage(build_table(docs, model_path, folder, block_chars))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -5,13 +5,14 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from ledgermill.llm.id_shards import PerfectHash, WordTable, build_index, encode_to_shards, lookup, read_ids, shard_table, write_shards
-from ledgermill.llm.piece_table import PieceTable, build_table, encode_documents, piece_digests
+from ledgermill.llm.piece_table import PieceTable, _requests, _segmented, build_table, encode_documents, piece_digests
 from ledgermill.llm.shared import stage
 from ledgermill.llm.token_counts import count_tokens, read_cache
 
@@ -65,6 +66,24 @@ def test_a_chunk_is_segmented_once(spark, tmp_path):
     assert all(4 <= r["n_chunks"] <= 10 for r in blocks)
 
 
+def test_more_chunks_than_a_table_holds(monkeypatch):
+    """Requests of all parts together ask for far more chunks than a table holds, a part for fewer: each is segmented once, for whatever block asks."""
+    monkeypatch.setattr("ledgermill.llm.piece_table.TABLE_ENTRIES", 100)
+    table, segmented = PieceTable(PIECES), collections.Counter()
+    segment = table._segment
+    table._segment = lambda chunks: segmented.update(chunks) or segment(chunks)
+    rng = random.Random(8)
+    texts = [" ".join(f"word{rng.randint(0, 999)}" for _ in range(300)) for _ in range(12)]
+    requests = sorted((part, block, "\0".join(chunks).encode()) for block, text in enumerate(texts) for part, chunks in _requests(table, [text], 40).items())
+    batches = [pa.RecordBatch.from_pylist([dict(zip(("part", "block", "chunks"), r)) for r in requests[lo : lo + 7]]) for lo in range(0, len(requests), 7)]
+    replies = [r for batch in _segmented(iter(batches), table) for r in batch.to_pylist()]
+    assert [(r["part"], r["block"]) for r in replies] == [r[:2] for r in requests]
+    assert len(segmented) > 800 and set(segmented.values()) == {1}
+    library = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    found = {c: ids for r, (*_, raw) in zip(replies, requests) for c, ids in zip(raw.decode().split("\0"), r["ids"].decode().split(";"))}
+    assert all(",".join(map(str, library.encode(c.lstrip("▁")))) == ids for c, ids in found.items())
+
+
 def test_texts_that_differ_at_the_second_reading(spark):
     """Replies for other texts are not used: the task segments what it reads."""
     library = sentencepiece.SentencePieceProcessor(model_file=PIECES)
