@@ -15,8 +15,8 @@ a foreign key is told by its fingerprint but for one in 2**32.
 Words are encoded once by a table that each task keeps (see ``WordTable``).
 
 Defined results: a null text is empty and consists of the end id; a null doc_id comes first and is
-stored as the smallest int64; rows that share a doc_id are numbered in the order of their texts; an
-empty table writes no shard and gives an empty result. A part of the index or a shard that is lost is an error.
+stored as the smallest int64; rows that share a doc_id are numbered in the order of their texts, and go
+to several shards where they are many; an empty table writes no shard and gives an empty result. A part of the index or a shard that is lost is an error.
 """
 
 from __future__ import annotations
@@ -44,6 +44,8 @@ _TAIL_BYTES = struct.calcsize(_TAIL)
 _DOC = np.dtype([("doc_id", "<i8"), ("number", "<u4"), ("start", "<u8")])
 _SLOT = np.dtype([("print", "<u4"), ("shard", "<u4"), ("start", "<u8"), ("length", "<u4")])
 NULL_ID = -(1 << 63)
+#: Characters of texts by which rows of one doc_id are dealt to shards. Whole texts are written, in the order of whole texts.
+RANGE_CHARS = 64
 #: Keys in one part of the index, on average.
 PART_KEYS = 200_000
 TABLE_ENTRIES = 400_000
@@ -140,7 +142,7 @@ def _blocks(batch: pa.RecordBatch, chars: int = 500_000) -> Iterator[tuple[int,
 
 
 def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str) -> DataFrame:
-    """Writes the shards below folder; shard, n_docs, n_ids of each."""
+    """Writes the shards below folder; of each shard, n_docs, n_ids, its first and last doc_id, and n_last rows of the last."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _table(tokenizer_path)
@@ -169,12 +171,20 @@ def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str)
             documents = np.concatenate(rows)
             out.write(documents.tobytes())
             out.write(struct.pack(_TAIL, len(documents), total, table.width, _DOC.itemsize, MAGIC))
-        yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([len(documents)], pa.int64()), pa.array([total], pa.int64())], names=["shard", "n_docs", "n_ids"])
+        facts = (len(documents), total, int(documents["doc_id"][0]), int(documents["doc_id"][-1]), int(documents["number"][-1]) + 1)
+        yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), *(pa.array([f], pa.int64()) for f in facts)], names=["shard", "n_docs", "n_ids", "first_id", "last_id", "n_last"])
 
     ship(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text"))
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return ordered.mapInArrow(each, "shard int, n_docs bigint, n_ids bigint")
+    ordered = rows.repartitionByRange("doc_id", F.substring("text", 1, RANGE_CHARS)).sortWithinPartitions("doc_id", "text")
+    return ordered.mapInArrow(each, "shard int, n_docs bigint, n_ids bigint, first_id bigint, last_id bigint, n_last bigint")
+
+
+def _numbered_before(shards: DataFrame) -> DataFrame:
+    """shard, before: rows of its first doc_id in the shards before it."""
+    ends = [shards.select(F.col(f"{end}_id").alias("id"), "shard", added.alias("added"), F.lit(end == "first").alias("begins")) for end, added in (("first", F.lit(0).cast("bigint")), ("last", F.col("n_last")))]
+    earlier = Window.partitionBy("id").orderBy("shard").rangeBetween(Window.unboundedPreceding, -1)
+    return ends[0].union(ends[1]).withColumn("before", F.coalesce(F.sum("added").over(earlier), F.lit(0))).where("begins").select("shard", "before")
 
 
 def _open_shard(folder: str, shard: int):
@@ -191,14 +201,15 @@ def shard_table(shards: DataFrame, folder: str) -> DataFrame:
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for shard in batch.column(0).to_pylist():
+            for shard, before in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 source, (n_docs, n_ids, _, size, _) = _open_shard(folder, shard)
                 with source:
                     docs = np.frombuffer(source.read_at(n_docs * size, source.size() - _TAIL_BYTES - n_docs * size), dtype=_DOC)
                 lengths = np.diff(np.append(docs["start"].astype(np.int64), n_ids))
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(docs[c]).astype(np.int64)) for c in ("doc_id", "number")] + [pa.array(np.full(n_docs, shard, dtype=np.int32)), pa.array(docs["start"].astype(np.int64)), pa.array(lengths)], names=["doc_id", "number", "shard", "start", "length"])
+                number = docs["number"] + np.where(docs["doc_id"] == docs["doc_id"][0], before, 0)
+                yield pa.RecordBatch.from_arrays([pa.array(docs["doc_id"].astype(np.int64)), pa.array(number.astype(np.int64)), pa.array(np.full(n_docs, shard, dtype=np.int32)), pa.array(docs["start"].astype(np.int64)), pa.array(lengths)], names=["doc_id", "number", "shard", "start", "length"])
 
-    return shards.select("shard").repartition(max(1, shards.count())).mapInArrow(each, "doc_id bigint, number bigint, shard int, start bigint, length bigint")
+    return _numbered_before(shards).repartition(max(1, shards.count())).mapInArrow(each, "doc_id bigint, number bigint, shard int, start bigint, length bigint")
 
 
 def _key_hash(doc_id: np.ndarray, number: np.ndarray) -> np.ndarray:

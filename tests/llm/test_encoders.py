@@ -122,6 +122,28 @@ def test_shards(documents, corpus):
     assert sorted(map(tuple, rows), key=lambda r: r[1]) == want
 
 
+def test_an_id_in_many_shards(spark):
+    """Rows of one doc_id, and rows without one, are dealt to many shards; their numbers go on from shard to shard, and every row is found again."""
+    texts = [f"{hashlib.md5(str(i).encode()).hexdigest()} text" for i in range(900)]
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, t) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    library, start, want = Tokenizer.from_file(WORDS), 0, []
+    for i, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1])):
+        ids = [*library.encode(t, add_special_tokens=False).ids, 2]
+        want.append((i, start, len(ids), zlib.crc32(np.array(ids, dtype="<u4").tobytes())))
+        start += len(ids)
+    merged = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # small ranges are else one shard
+    try:
+        found = encode_to_shards(docs, WORDS, 2).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", merged)
+    assert sorted(((r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) for r in found), key=lambda r: r[1]) == want
+    for i in (None, 7):
+        per_shard = collections.Counter(r["shard"] for r in found if r["doc_id"] == i)
+        assert len(per_shard) >= 2 and max(per_shard.values()) <= 250
+
+
 def test_index(spark, documents, tmp_path):
     folder = f"file://{tmp_path}/ids"
     table = stage(shard_table(stage(write_shards(documents, WORDS, 2, folder)), folder))
