@@ -63,11 +63,14 @@ class ChainCRF:
 
     def decode(self, data: Sequences, batch: int = 512) -> np.ndarray:
         """The best label of every position."""
-        labels = np.zeros(len(data.starts) - 1, dtype=np.int64)
-        lengths = np.diff(data.bounds)
+        return self.best_labels(self._scores(data), data.bounds, batch)
+
+    def best_labels(self, scores: np.ndarray, bounds: np.ndarray, batch: int = 512) -> np.ndarray:
+        """The best label of every position by the scores (position, label) of sequences one after the other."""
+        labels = np.zeros(len(scores), dtype=np.int64)
+        lengths = np.diff(bounds)
         order = np.argsort(lengths, kind="stable")
         order = order[lengths[order] > 0]
-        scores = self._scores(data)
         lo = 0
         while lo < len(order):
             count = min(batch, len(order) - lo)
@@ -75,7 +78,7 @@ class ChainCRF:
                 count //= 2
             which = order[lo : lo + count]
             lo += count
-            at, real = self._padded(data.bounds, which)
+            at, real = self._padded(bounds, which)
             best = scores[at[:, 0]] + self.first
             back = np.zeros((at.shape[1], len(which), len(self.first)), dtype=np.int8)
             for t in range(1, at.shape[1]):
@@ -89,6 +92,17 @@ class ChainCRF:
                 label = back[t][np.arange(len(which)), label]
         return labels
 
+    def undecided(self, scores: np.ndarray) -> np.ndarray:
+        """Positions of one row of sequences at which a label other than 0 may be best; at all others 0 is. Exact: what a stretch of other labels
+        can gain on the zeros in its place is at most the sum of what its positions and the steps to them gain, and the step back."""
+        stay = self.transitions[0, 0]
+        into = np.maximum(self.transitions.max(axis=0), self.first - self.first[0] + stay)[1:] - stay
+        back = max(0.0, float((self.transitions[1:, 0] - stay).max()))
+        gain = (scores[:, 1:] - scores[:, :1] + into).max(axis=1).astype(np.float64)
+        so_far, to_come = np.cumsum(gain), np.cumsum(gain[::-1])
+        low = lambda sums: np.minimum.accumulate(np.concatenate(([0.0], sums[:-1])))
+        return so_far - low(so_far) + (to_come - low(to_come))[::-1] - gain + back > -1e-3
+
     def _gradient(self, scores: np.ndarray, at: np.ndarray, real: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Expected label and transition counts under the model: marginals (sequence, step, label), transitions, first labels."""
         n, steps = at.shape

@@ -89,6 +89,13 @@ class _Line:
             word = self.syllables() if invented else self.pick(_PROSE)
             self.add((word.capitalize() if self.chance(0.15) else word) + self.pick(["", "", "", "", "", ",", ".", " and", " at", " dot.", ";"]))
 
+    def marked(self) -> None:
+        """Prose whose words end in runs of marks, some of it in capitals: no personal data."""
+        shout, some = self.chance(0.5), self.pick(["!", "?", "#$%&*", "!#$%&*|~+=", "!?"])
+        for _ in range(self.rng.randint(5, 40)):
+            word = self.syllables(1, 4) if self.chance(0.7) else self.pick(_PROSE)
+            self.add((word.upper() if shout else word) + self.pick(["", "", ",", "."]) + self.pick(some) * self.rng.randint(1, 4))
+
     def end(self) -> str:
         return self.pick(["", "", "", ".", ",", ")", ";", "!"])
 
@@ -155,6 +162,10 @@ def labelled_contacts(n: int, seed: int = 23) -> list[tuple[list[str], list[int]
     lines = []
     for i in range(n):
         line = _Line(random.Random(f"{seed}/{i}"))
+        if i % 8 == 7:
+            line.marked()
+            lines.append((line.words, line.labels))
+            continue
         line.prose(0, 8)
         for _ in range(line.rng.randint(1, 3)):
             line.pick([line.contact, line.phone, line.personal_number, line.secret, line.other, line.other, line.other, line.other, line.other])()

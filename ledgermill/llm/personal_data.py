@@ -2,15 +2,13 @@
 
 The patterns find e-mail addresses, IP addresses, card numbers (Luhn) and phone numbers with a
 country prefix. The model is a linear-chain conditional random field trained on TRAINING_LINES
-labelled lines; it labels words around anchors (a digit, an at sign, a spelled-out "dot" or "at", a
-host's ending, a word that names a secret) and adds e-mail addresses spelled out, phone numbers
+labelled lines; it labels every word of every line and adds e-mail addresses spelled out, phone numbers
 without prefix, personal numbers and secrets. What it adds must have the form of its kind (digits,
 an at and a dot, length), but no list of words is asked after it. A span that the model adds never
 overlaps one of the patterns.
 
-Texts are searched in segments of SEGMENT characters with words of context on either side, so memory
-does not grow with a text beyond its own size; a word of over LONG_WORD characters is no word of the
-model and parts what stands around it.
+Texts are searched in segments of SEGMENT characters, or of one longer word, with words of context on
+either side, so memory does not grow with a text beyond its own size.
 
 Spans count code points, the end is exclusive.
 
@@ -23,10 +21,13 @@ from __future__ import annotations
 
 import hashlib
 import re
+import string
 from bisect import bisect_left
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 from itertools import accumulate
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -34,17 +35,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgermill.llm.crf import ChainCRF, Sequences, feature
+from ledgermill.llm.crf import WIDTH, ChainCRF, Sequences, feature
 from ledgermill.llm.labelled_contacts import KINDS, labelled_contacts
 from ledgermill.llm.shared import ship
 from ledgermill.llm.text_arrays import text_buffer
 
 TRAINING_LINES = 7000
-#: Words on either side of an anchor that the model sees.
-REACH = 8
 #: Characters of a line that are searched at once, the context taken around them, and words decoded at once.
-SEGMENT, CONTEXT, DECODE_WORDS = 20_000, 600, 8_000
-LONG_WORD = 120
+SEGMENT, CONTEXT, DECODE_WORDS = 20_000, 600, 20_000
+_SPACES = " \t\n\x0b\x0c\r"
+_WORD, _GAP = re.compile(rf"[^{_SPACES}]+"), re.compile(rf"[{_SPACES}]")
+#: A score that no sum of weights comes near.
+_NEVER = np.float32(1e6)
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 ALL_KINDS = (*BASE_KINDS, "id", "secret")
@@ -119,8 +121,9 @@ def _bare(word: str) -> str:
     return word.lower().strip(_MARKS)
 
 
-_NINES = str.maketrans("012345678", "999999999")
-#: Distinct forms, and distinct words in lower case, whose features are kept between batches.
+#: Digits as nines, and letters of ASCII by their case alone.
+_FORMS = str.maketrans({c: "9" if c.isdigit() else "A" if c.isupper() else "a" for c in string.ascii_letters + string.digits})
+#: Distinct forms whose features are kept between batches, and distinct words whose parts of scores are.
 KEPT_FORMS, KEPT_WORDS = 50_000, 200_000
 #: Steps to the neighbours whose shapes and words are features.
 _SHAPE_STEPS, _WORD_STEPS = (-3, -2, -1, 1, 2, 3), (-2, -1, 1, 2)
@@ -130,8 +133,9 @@ _EDGE_SHAPES = np.array([feature(f"shape{step}:-") for step in _SHAPE_STEPS])
 _EDGE_WORDS = np.array([feature(f"word{step}:-") for step in _WORD_STEPS])
 
 
-def _form_features(form: str) -> tuple[int, ...]:
-    """Of a word whose digits are nines: its digits, whether they are most of it, its own features (-1 where there is none), its shape as each neighbour sees it."""
+def _form_features(key: str) -> tuple[int, ...]:
+    """Of a form, after a digit that tells whether the word is glued (1) and ends as a host (2): its digits, whether they are most of it, its own features (-1 where there is none), its shape as each neighbour sees it."""
+    told, form = int(key[0]), key[1:]
     shape = _shape(form)
     coarse = re.sub(r"9+", "9", shape)
     count = sum(c.isdigit() for c in form)
@@ -141,24 +145,46 @@ def _form_features(form: str) -> tuple[int, ...]:
         names.append(f"mixed:{min(changes, 6)}:{min(len(form) // 8, 5)}")
     kinds = "".join(k for k, found in (("a", re.search("[a-z]", form)), ("A", re.search("[A-Z]", form)), ("9", count), ("#", re.search(r"[^\w.,;:'\"()]", form))) if found)
     names.append(f"kinds:{kinds}:{min(len(form) // 4, 10)}")
-    if len(form) > 6 and _SPELLED.search(form):
+    if told & 1:
         names.append("glued")
-    if _HOST_END.search(form):
+    if told & 2:
         names.append("host end")
     own = [feature(n) for n in names]
     seen = [feature(f"shape{step}:{coarse if abs(step) > 1 else shape}") for step in _SHAPE_STEPS]
     return (count, count > 0 and count >= sum(c.isalpha() for c in form), *own, *[-1] * (_FORM_FEATURES - len(own)), *seen)
 
 
+#: Checksums of the names' beginnings: a feature's number goes on from them.
+_WORD0, _WORD1, _WORD2, _WORD3, _WORD4, _WORD5, _WORD6 = [crc32(name.encode()) for name in ("word:", "left:", "right:", *(f"word{step}:" for step in _WORD_STEPS))]
+
+
 def _word_features(low: str) -> tuple[int, ...]:
     """Of a word in lower case the features of itself, of those right of it, of those left of it, and of its near neighbours; -1 where it is long."""
     if len(low) > 16:
         return (-1, -1, -1, *_EDGE_WORDS)
-    return (feature(f"word:{low}"), feature(f"left:{low}"), feature(f"right:{low}"), *[feature(f"word{step}:{low}") for step in _WORD_STEPS])
+    name = low.encode()
+    return (
+        crc32(name, _WORD0) % WIDTH, crc32(name, _WORD1) % WIDTH, crc32(name, _WORD2) % WIDTH,
+        crc32(name, _WORD3) % WIDTH, crc32(name, _WORD4) % WIDTH, crc32(name, _WORD5) % WIDTH, crc32(name, _WORD6) % WIDTH,
+    )
 
 
 _forms: dict[str, tuple[int, ...]] = {}
-_lows: dict[str, tuple[int, ...]] = {}
+
+
+def _features_of(words: list[str]) -> tuple[np.ndarray, np.ndarray, list[str], np.ndarray, np.ndarray]:
+    """Of distinct words: number and features of their forms, their lower case, features of that, and of what stands before = or :."""
+    joined = " ".join(words)  # a word holds no space
+    begins = np.cumsum([0, *map(len, words)])[:-1] + np.arange(len(words))
+    told = np.zeros(len(words), dtype=np.int64)
+    for flag, pattern in ((1, _SPELLED), (2, _HOST_END)):
+        told[np.searchsorted(begins, np.array([m.start() for m in pattern.finditer(joined)], dtype=np.int64), side="right") - 1] |= flag
+    told[np.fromiter(map(len, words), np.int64, len(words)) <= 6] &= 2
+    form, forms = _table_of([f"{flags}{form}" for flags, form in zip(told.tolist(), joined.translate(_FORMS).split(" "))], _forms, KEPT_FORMS, _form_features)
+    bare = [w.strip(_MARKS) for w in joined.lower().split(" ")]
+    lows = np.array([_word_features(low) for low in bare], dtype=np.int64)
+    named = np.array([feature(f"before:{_bare(re.split('[=:]', w)[0])}") if "=" in w or ":" in w else -1 for w in words])
+    return form, forms, bare, lows, named
 
 
 def _table_of(values: list[str], kept: dict[str, tuple[int, ...]], bound: int, features: Callable[[str], tuple[int, ...]]) -> tuple[np.ndarray, np.ndarray]:
@@ -176,17 +202,17 @@ def _table_of(values: list[str], kept: dict[str, tuple[int, ...]], bound: int, f
 
 
 def word_features(runs: list[list[str]]) -> Sequences:
-    """The features of the words of each run. All that depends on digits only by their being digits is computed once for each form of a word, the rest once for each distinct word."""
+    """The features of the words of each run, computed once for each form of a word (digits and letters taken as equal) or each distinct word."""
     lengths = np.fromiter(map(len, runs), np.int64, len(runs))
     bounds = np.concatenate(([0], np.cumsum(lengths)))
     if not bounds[-1]:
         return Sequences(np.zeros(0, dtype=np.int64), np.zeros(1, dtype=np.int64), bounds)
     word, words = pd.factorize(np.array([w for run in runs for w in run], dtype=object))
-    joined = " ".join(words)  # a word holds no space
-    form, forms = _table_of(joined.translate(_NINES).split(" "), _forms, KEPT_FORMS, _form_features)
-    low, lows = _table_of([w.strip(_MARKS) for w in joined.lower().split(" ")], _lows, KEPT_WORDS, _word_features)
-    named = np.array([feature(f"before:{_bare(re.split('[=:]', w)[0])}") if "=" in w or ":" in w else -1 for w in words])[word]
-    form, low = form[word], low[word]
+    form, forms, bare, of_words, named = _features_of(list(words))
+    low, distinct = pd.factorize(np.array(bare, dtype=object))
+    lows = np.zeros((len(distinct), of_words.shape[1]), dtype=np.int64)
+    lows[low] = of_words
+    form, low, named = form[word], low[word], named[word]
     n = len(word)
     at, sequence = np.arange(n), np.repeat(np.arange(len(runs)), lengths)
     first, last = bounds[sequence], bounds[sequence + 1]
@@ -232,7 +258,7 @@ def default_model(n_lines: int = TRAINING_LINES) -> ChainCRF:
 
 
 def _cues(part: str) -> list[int]:
-    """Begins of all that leads to personal data but digits. Keys are sought in lower case, which is far faster than _CUE by itself."""
+    """Begins of all that often leads to personal data but digits; no search is bounded by them. Keys are sought in lower case, which is far faster than _CUE by itself."""
     low = part.replace("İ", "i").lower()  # the one letter that is longer in lower case
     found = []
     for key, behind in _CUE_KEYS:
@@ -245,80 +271,199 @@ def _cues(part: str) -> list[int]:
 
 
 def _segments(text: str) -> Iterator[tuple[int, int, int, int]]:
-    """Whole lines, or parts of a line longer than SEGMENT: bounds, and bounds of a part with its context in the line."""
+    """Whole lines, or parts of a line longer than SEGMENT: bounds, and bounds of a part with its context in the line. None of them cuts a word."""
     at = 0
     while at < len(text):
         stop = len(text) if at + SEGMENT >= len(text) else text.rfind("\n", at + 1, at + SEGMENT)
         if stop < 0:
             stop = text.find("\n", at + 1)
             stop = len(text) if stop < 0 else stop
-        for a in range(at, stop, SEGMENT):
-            b = min(a + SEGMENT, stop)
-            yield a, b, max(at, a - CONTEXT), min(stop, b + CONTEXT)
+        a = at
+        while a < stop:
+            b = _gap_after(text, a + SEGMENT, stop)
+            yield a, b, _gap_before(text, a - CONTEXT, at), _gap_after(text, b + CONTEXT, stop)
+            a = b
         at = stop
 
 
-def _windows(text: str) -> Iterator[tuple[int, int, list[tuple[int, int]]]]:
-    """Runs of words (bounds) within REACH of an anchor of their line, with the part of the text in which spans of the run may begin."""
+def _gap_after(text: str, at: int, stop: int) -> int:
+    gap = _GAP.search(text, at, stop) if at < stop else None
+    return gap.start() if gap else stop
+
+
+def _gap_before(text: str, at: int, start: int) -> int:
+    """The place behind the last gap before ``at``, sought in longer and longer steps."""
+    step, to = CONTEXT, at
+    while to > start:
+        lo = max(start, to - step)
+        last = max(text.rfind(c, lo, to) for c in _SPACES)
+        if last >= 0:
+            return last + 1
+        to, step = lo, 2 * step
+    return start
+
+
+@dataclass
+class _Words:
+    """Words of a segment: their texts and bounds, and the number of each one's line; spans may begin from ``a`` to ``b``."""
+
+    text: int
+    a: int
+    b: int
+    words: list[str]
+    starts: np.ndarray
+    ends: np.ndarray
+    line: np.ndarray
+
+
+def _words(number: int, text: str) -> Iterator[_Words]:
+    """All words of a text."""
     for a, b, left, right in _segments(text):
         part = text[left:right]
-        codes = np.frombuffer(part.encode("utf-32-le", "surrogatepass"), dtype="<u4")
-        anchors = np.concatenate((np.flatnonzero(codes - np.uint32(48) < 10), np.array(_cues(part), dtype=np.int64)))
-        if not len(anchors):
-            continue
-        space = np.concatenate(([True], (codes == 32) | (codes - np.uint32(9) < 5), [True]))
+        # a byte for each character: all that parts words is ASCII
+        codes = np.frombuffer(part.encode("latin-1", "replace"), dtype=np.uint8)
+        space = np.concatenate(([True], (codes == 32) | (codes - np.uint8(9) < 5), [True]))
         edges = np.flatnonzero(space[1:] != space[:-1])
-        starts, ends = edges[::2], edges[1::2]
-        if left and len(starts) and starts[0] == 0 and not text[left - 1].isspace():
-            starts, ends = starts[1:], ends[1:]  # a word that begins before the context
-        n = len(starts)
-        line = np.searchsorted(np.flatnonzero(codes == 10), starts)
-        anchored = np.unique(np.searchsorted(starts, np.sort(anchors), side="right")) - 1
-        anchored = anchored[anchored >= 0]
-        own = line[anchored]
-        opened = np.maximum(anchored - REACH, np.searchsorted(line, own, side="left"))
-        closed = np.minimum(anchored + REACH + 1, np.searchsorted(line, own, side="right"))
-        near = np.cumsum(np.bincount(opened, minlength=n + 1) - np.bincount(closed, minlength=n + 1))[:n] > 0
-        near &= ends - starts <= LONG_WORD
-        new_line = np.diff(line, prepend=-1) > 0
-        first = np.flatnonzero(near & (new_line | ~np.concatenate(([False], near[:-1]))))
-        last = np.flatnonzero(near & np.concatenate((new_line[1:] | ~near[1:], [True]))) + 1
-        words = list(zip((starts + left).tolist(), (ends + left).tolist()))
-        for lo, hi in zip(first.tolist(), last.tolist()):
-            yield a, b, words[lo:hi]
-
-
-def added_spans(texts: list[str], model: ChainCRF) -> list[list[Span]]:
-    """Spans that the model finds in each text."""
+        if len(edges):
+            starts = edges[::2]
+            yield _Words(number, a, b, _WORD.findall(part), starts + left, edges[1::2] + left, np.searchsorted(np.flatnonzero(codes == 10), starts))
+
+
+class _Scorer:
+    """Scores (word, label) of a model. The sum of the weights of all that a word adds to the scores of itself and of each neighbour is computed once for each distinct word."""
+
+    #: What a word adds: to itself, to the words right of it (1, 2, 3 and more steps away), to those left of it, and the parts of these that count once.
+    _OWN, _L1, _L2, _L3, _LEFT, _R1, _R2, _R3, _RIGHT = range(9)
+
+    def __init__(self, model: ChainCRF):
+        self.model, self.k = model, len(model.first)
+        self.weights = np.concatenate((model.weights, np.zeros((1, self.k), dtype=np.float32)))  # feature -1 adds nothing
+        self.runs = self.weights[_RUNS] - self.weights[_RUNS[0]]
+        self._clear()
+
+    def _clear(self) -> None:
+        """Row 0 stands for the end of a run."""
+        self.rows: dict[str, int] = {}
+        self.table = np.zeros((1024, 9 * self.k), dtype=np.float32)
+        self.facts = np.zeros((1024, 3), dtype=np.int64)  # digits, whether they are most of the word, and the number of its lower case
+        self.lows: dict[str, int] = {}
+        edge = self.table[0].reshape(9, self.k)
+        for block, shape, word in ((self._L1, 2, 1), (self._L2, 1, 0), (self._L3, 0, None), (self._R1, 3, 2), (self._R2, 4, 3), (self._R3, 5, None)):
+            edge[block] = self.weights[_EDGE_SHAPES[shape]] + (0 if word is None else self.weights[_EDGE_WORDS[word]])
+
+    def numbers(self, words: list[str]) -> np.ndarray:
+        """The row of each word."""
+        missing = list(set(words).difference(self.rows))
+        if len(self.rows) + len(missing) > KEPT_WORDS and self.rows:
+            self._clear()
+            missing = list(set(words))
+        if missing:
+            self._add(missing)
+        return np.fromiter(map(self.rows.__getitem__, words), np.int64, len(words))
+
+    def _add(self, words: list[str]) -> None:
+        n, w = len(self.rows) + 1, self.weights
+        form, forms, bare, lows, named = _features_of(words)
+        shape = lambda i: w[forms[:, 2 + _FORM_FEATURES + i]][form]
+        near = lambda i: w[lows[:, 3 + i]]
+        left, right = w[lows[:, 1]], w[lows[:, 2]]
+        own = w[forms[:, 2 : 2 + _FORM_FEATURES]].sum(axis=1)[form] + w[lows[:, 0]] + w[named] + w[_RUNS[0]]
+        rows = np.concatenate((own, shape(2) + near(1) + left, shape(1) + near(0) + left, shape(0) + left, left, shape(3) + near(2) + right, shape(4) + near(3) + right, shape(5) + right, right), axis=1)
+        while n + len(words) > len(self.table):
+            self.table, self.facts = (np.concatenate((t, np.zeros_like(t))) for t in (self.table, self.facts))
+        self.table[n : n + len(words)] = rows
+        self.facts[n : n + len(words), :2] = forms[form, :2]
+        self.facts[n : n + len(words), 2] = [self.lows.setdefault(x, len(self.lows) + 1) for x in bare]
+        self.rows.update(zip(words, range(n, n + len(words))))
+
+    def scores(self, row: np.ndarray) -> np.ndarray:
+        """Of words by their rows, with _LEFT zeros around every run; those of the zeros are of no use."""
+        n, k, pad = len(row), self.k, _LEFT
+        wide = np.concatenate((np.zeros(pad, dtype=np.int64), row, np.zeros(pad, dtype=np.int64)))
+        full = self.table[wide].reshape(-1, 9, k)
+        out = full[pad : pad + n, self._OWN].copy()
+        lefts, rights = (self._L1, self._L2, self._L3, self._LEFT, self._LEFT), (self._R1, self._R2, self._R3)
+        for step, block in [(-i, b) for i, b in enumerate(lefts, 1)] + list(enumerate(rights, 1)):
+            out += full[pad + step : pad + step + n, block]
+        count, numeric, low = self.facts[wide].T
+        # a word that stands twice on a side is one feature
+        for sign, reach, block in ((-1, _LEFT, self._LEFT), (1, _RIGHT, self._RIGHT)):
+            for i in range(2, reach + 1):
+                far = low[pad + sign * i : pad + sign * i + n]
+                again = np.zeros(n, dtype=bool)
+                for j in range(1, i):
+                    again |= far == low[pad + sign * j : pad + sign * j + n]
+                where = np.flatnonzero(again & (far > 0) & (row > 0))
+                out[where] -= full[where + pad + sign * i, block]
+        # digits of the run of words that hold more digits than letters
+        count, numeric = count[pad : pad + n], numeric[pad : pad + n] > 0
+        where = np.flatnonzero(numeric)
+        if len(where):
+            group = np.cumsum(np.diff(where, prepend=where[0]) > 1)
+            digits = np.bincount(group, weights=count[where])[group].astype(np.int64)
+            out[where] += self.runs[np.minimum(digits, 20)]
+        return out
+
+
+def added_spans(texts: list[str], model: ChainCRF, scorer: _Scorer | None = None) -> list[list[Span]]:
+    """Spans that the model finds in each text: every word of every line is labelled."""
     found: list[list[Span]] = [[] for _ in texts]
-    held: list[tuple[int, int, int, list[tuple[int, int]]]] = []
+    scorer = scorer or _Scorer(model)
+    held: list[_Words] = []
     size = 0
     for i, text in enumerate(texts):
-        for a, b, run in _windows(text):
-            held.append((i, a, b, run))
-            size += len(run)
+        for words in _words(i, text):
+            held.append(words)
+            size += len(words.words)
             if size >= DECODE_WORDS:
-                _decode(texts, held, model, found)
+                _decode(texts, held, scorer, found)
                 held, size = [], 0
-    _decode(texts, held, model, found)
+    _decode(texts, held, scorer, found)
     return found
 
 
-def _decode(texts: list[str], runs: list[tuple[int, int, int, list[tuple[int, int]]]], model: ChainCRF, found: list[list[Span]]) -> None:
-    if not runs:
+def _decode(texts: list[str], held: list[_Words], scorer: _Scorer, found: list[list[Span]]) -> None:
+    if not held:
+        return
+    model = scorer.model
+    sizes = np.array([len(w.words) for w in held])
+    source = np.repeat(np.arange(len(held)), sizes)
+    starts, ends, line = (np.concatenate([getattr(w, c) for w in held]) for c in ("starts", "ends", "line"))
+    first = np.concatenate(([True], (source[1:] != source[:-1]) | (line[1:] != line[:-1])))
+    # lines stand _LEFT places apart
+    place = np.arange(len(source)) + _LEFT * np.cumsum(first)
+    row = np.zeros(place[-1] + _LEFT + 1, dtype=np.int64)
+    row[place] = scorer.numbers([x for w in held for x in w.words])
+    scores = scorer.scores(row)
+    scores[row == 0, 0] = _NEVER  # no stretch of labels goes on from line to line
+    scores[row == 0, 1:] = -_NEVER
+    open_ = model.undecided(scores) & (row > 0)
+    if not open_.any():
         return
-    labels = model.decode(word_features([[texts[i][s:e] for s, e in run] for i, _, _, run in runs]))
-    run_of = np.repeat(np.arange(len(runs)), [len(run) for *_, run in runs])
-    firsts = np.searchsorted(run_of, np.arange(len(runs)))
-    changes = np.flatnonzero(np.concatenate(([True], (labels[1:] != labels[:-1]) | (run_of[1:] != run_of[:-1]))))
-    for lo, hi in zip(changes, np.append(changes[1:], len(labels))):
+    # what is undecided, with the word on either side, which has label 0
+    near = open_.copy()
+    near[1:] |= open_[:-1]
+    near[:-1] |= open_[1:]
+    near &= row > 0
+    at = np.flatnonzero(near)
+    some = scores[at].astype(np.float64)
+    some[~open_[at], 1:] = -_NEVER
+    begins = np.flatnonzero(np.diff(at, prepend=-2) > 1)
+    labels = model.best_labels(some, np.append(begins, len(at)))
+    stretch = np.repeat(np.arange(len(begins)), np.diff(np.append(begins, len(at))))
+    which = np.full(len(row), -1)
+    which[place] = np.arange(len(place))
+    which = which[at]
+    changes = np.flatnonzero(np.concatenate(([True], (labels[1:] != labels[:-1]) | (stretch[1:] != stretch[:-1]))))
+    for lo, hi in zip(changes.tolist(), np.append(changes[1:], len(labels)).tolist()):
         if labels[lo]:
-            i, a, b, run = runs[run_of[lo]]
-            kind, at = KINDS[labels[lo]], firsts[run_of[lo]]
-            if a <= run[lo - at][0] < b:
-                start, end = _trimmed(texts[i], kind, run[lo - at][0], run[hi - 1 - at][1])
-                if _plausible(kind, texts[i][start:end]):
-                    found[i].append((kind, start, end))
+            begin, end = which[lo], which[hi - 1]
+            words, kind = held[source[begin]], KINDS[labels[lo]]
+            if words.a <= starts[begin] < words.b:
+                text = texts[words.text]
+                a, b = _trimmed(text, kind, int(starts[begin]), int(ends[end]))
+                if _plausible(kind, text[a:b]):
+                    found[words.text].append((kind, a, b))
 
 
 def _trimmed(text: str, kind: str, start: int, end: int) -> tuple[int, int]:
@@ -341,10 +486,10 @@ def _plausible(kind: str, part: str) -> bool:
     return 7 <= digits <= 15 if kind == "phone" else digits >= 5
 
 
-def all_spans(texts: list[str], has_digit: np.ndarray, model: ChainCRF) -> list[tuple[list[Span], list[Span]]]:
+def all_spans(texts: list[str], has_digit: np.ndarray, model: ChainCRF, scorer: _Scorer | None = None) -> list[tuple[list[Span], list[Span]]]:
     """(spans of the patterns, all spans in order) of each text."""
     out = []
-    for i, (text, more) in enumerate(zip(texts, added_spans(texts, model))):
+    for i, (text, more) in enumerate(zip(texts, added_spans(texts, model, scorer))):
         base = base_spans(text, bool(has_digit[i])) if has_digit[i] or "@" in text else []
         added = _clear_of(more, base)
         out.append((base, sorted(base + added, key=lambda s: (ALL_KINDS.index(s[0]), s[1]))))
@@ -371,11 +516,12 @@ def find_personal_data(docs: DataFrame, model: ChainCRF | None = None) -> DataFr
     counts = [f"n_{k}" for k in BASE_KINDS]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = _Scorer(model)
         for batch in batches:
             data, bounds = text_buffer(batch.column(1))
             digit_at = np.flatnonzero((data >= 48) & (data <= 57))
             has_digit = np.diff(np.searchsorted(digit_at, bounds)) > 0
-            rows = all_spans([v.as_py() or "" for v in batch.column(1)], has_digit, model)
+            rows = all_spans([v.as_py() or "" for v in batch.column(1)], has_digit, model, scorer)
             columns = [pa.array([sum(s[0] == k for s in base) for base, _ in rows], pa.int64()) for k in BASE_KINDS]
             hashed = pa.array([hashlib.sha256(_joined(base).encode()).hexdigest() for base, _ in rows], pa.string())
             spans = pa.array([_joined(every) for _, every in rows], pa.string())
@@ -393,10 +539,11 @@ def redact(docs: DataFrame, model: ChainCRF | None = None) -> DataFrame:
     model = model or default_model()
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = _Scorer(model)
         for batch in batches:
             texts = [v.as_py() or "" for v in batch.column(1)]
             out = []
-            for text, (_, spans) in zip(texts, all_spans(texts, np.ones(len(texts), dtype=bool), model)):
+            for text, (_, spans) in zip(texts, all_spans(texts, np.ones(len(texts), dtype=bool), model, scorer)):
                 parts, at = [], 0
                 for kind, a, b in sorted(spans, key=lambda s: (s[1], -s[2])):
                     if a >= at:

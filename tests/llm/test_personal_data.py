@@ -10,7 +10,7 @@ from contact_lines import CLEAN, LINES
 
 from ledgermill.llm.crf import Sequences
 from ledgermill.llm.labelled_contacts import labelled_contacts
-from ledgermill.llm.personal_data import _CUE, _clear_of, _cues, all_spans, base_spans, default_model, find_personal_data, redact, word_features
+from ledgermill.llm.personal_data import _CUE, _clear_of, _cues, _Scorer, all_spans, base_spans, default_model, find_personal_data, redact, word_features
 
 
 def brute(text):
@@ -91,6 +91,30 @@ def test_added_spans():
     assert base == [] and {(k, text[a:b]) for k, a, b in every} == {("email", "anna dot le at example dot com"), ("phone", "(974) 555-3436"), ("secret", "04dbebab91ab85687d33eeaaf9ac699e1188f962")}
 
 
+def test_every_word_is_looked_at():
+    """Addresses whose hosts end in no known way, and secrets of over 120 characters: no digit, at sign or cue leads to them."""
+    long = "ab3d" * 40
+    lines = ["You can write to anna at firma.xyz for more of it", "contact lisa at example.app", "mail karl at museum.berlin today", f"API key = {long} is ours"]
+    assert _found(lines) == [[("email", "anna at firma.xyz")], [("email", "lisa at example.app")], [("email", "karl at museum.berlin")], [("secret", long)]]
+
+
+def test_labels_are_those_of_whole_lines():
+    """What is left out as decided has label 0 in the plain decoding of the whole line, and scores by words are those by features."""
+    model, rng = default_model(), random.Random(8)
+    runs = [[w for line, *_ in rng.choices(labelled_contacts(60, seed=79), k=3) for w in line] for _ in range(40)] + [["a"], ["a", "a", "1", "a", "1 "[0]], ["x" * 300, "1"]]
+    data, scorer, rows = word_features(runs), _Scorer(model), []
+    place = []
+    for run in runs:
+        rows += [0] * 5
+        place += range(len(rows), len(rows) + len(run))
+        rows += scorer.numbers(run).tolist()
+    found = scorer.scores(np.array(rows + [0] * 5))
+    assert np.abs(found[place] - model._scores(data)).max() < 1e-4
+    found[np.array(rows + [0] * 5) == 0] = [1e6, *[-1e6] * (found.shape[1] - 1)]
+    open_ = model.undecided(found)[place]
+    assert not (model.decode(data)[~open_]).any() and open_.mean() < 0.9
+
+
 def test_spans_do_not_depend_on_segments(monkeypatch):
     """A long line is searched in parts: each span is found once, wherever the parts meet."""
     rng = random.Random(4)
