@@ -39,7 +39,9 @@ def write_layout(orders: DataFrame, root: str, layout: Layout) -> str:
     """Writes a layout below root unless it is there; its path."""
     path = f"{root.rstrip('/')}/{layout.name}"
     if not _exists(orders.sparkSession, f"{path}/_SUCCESS"):
-        writer = orders.repartitionByRange(*layout.columns).sortWithinPartitions(*layout.columns).write.mode("overwrite")
+        # the key parts rows that agree in all columns of the layout, which would meet in one task
+        dealt = [*layout.columns, *(["order_id"] if "order_id" in orders.columns and "order_id" not in layout.columns else [])]
+        writer = orders.repartitionByRange(*dealt).sortWithinPartitions(*layout.columns).write.mode("overwrite")
         for column in layout.bloom:
             writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true")
         writer.parquet(path)
