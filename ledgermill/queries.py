@@ -421,8 +421,8 @@ def _total_recompute(star: StarSchema) -> DataFrame:
     return found.select("o_orderkey", F.col("t.value").cast("decimal(18,2)").cast("double").alias("total"), "t.replaced")
 
 
-def raw_orders(star: StarSchema) -> DataFrame:
-    """Orders as raw text records with one defect each by order_id % 16, 0 and 15 meaning none."""
+def raw_orders(star: StarSchema, orders: DataFrame | None = None) -> DataFrame:
+    """Orders, or some of them in the partitions and the order that they have, as raw text records with one defect each by order_id % 16, 0 and 15 meaning none."""
     key, kind = F.col("o_orderkey"), F.col("o_orderkey") % 16
     price = F.col("o_totalprice").cast("decimal(18,2)")
     put = lambda defects, good: _case(kind, defects, good)
@@ -438,7 +438,7 @@ def raw_orders(star: StarSchema) -> DataFrame:
         "total_amount": put({10: F.lit("5"), 11: F.lit("???")}, total),
         "items_json": put({11: "[]", 12: "not-json", 13: '[{"sku":"A","qty":-1,"unit_price":1,"total":1}]'}, item),
     }
-    return star.spread("orders").select(*(v.cast("string").alias(k) for k, v in columns.items()), key.alias("source_row_number"))
+    return (star.spread("orders") if orders is None else orders).select(*(v.cast("string").alias(k) for k, v in columns.items()), key.alias("source_row_number"))
 
 
 def _case(kind: Column, defects: dict, good: Column) -> Column:

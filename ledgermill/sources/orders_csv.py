@@ -69,7 +69,7 @@ def _with_before(rows: DataFrame, total: Column, name: str) -> DataFrame:
     blocks = rows.groupBy("source_file", "block_start").agg(total.alias("in_block"))
     earlier = Window.partitionBy("source_file").orderBy("block_start").rowsBetween(Window.unboundedPreceding, -1)
     before = blocks.select("source_file", "block_start", F.coalesce(F.sum("in_block").over(earlier), F.lit(0)).alias(name))
-    return rows.join(before, ["source_file", "block_start"])
+    return rows.join(F.broadcast(before), ["source_file", "block_start"])
 
 
 def number_rows(rows: DataFrame) -> DataFrame:
@@ -78,6 +78,6 @@ def number_rows(rows: DataFrame) -> DataFrame:
     blocks = placed.groupBy("source_file", "block_start").agg(F.min("row_id").alias("first_id"), F.count(F.lit(1)).alias("n_rows"))
     before = F.coalesce(F.expr("sum(n_rows) OVER (PARTITION BY source_file ORDER BY block_start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"), F.lit(0))
     starts = blocks.select("source_file", "block_start", "first_id", before.alias("rows_before"))
-    joined = placed.join(starts, ["source_file", "block_start"])
+    joined = placed.join(F.broadcast(starts), ["source_file", "block_start"])  # a row for each block, where the rows themselves would be shuffled
     number = F.col("row_id") - F.col("first_id") + F.col("rows_before") + 1
     return joined.withColumn("source_row_number", number).drop("row_id", "block_start", "first_id", "rows_before")

@@ -34,6 +34,8 @@ def work_folder(spark: SparkSession) -> str:
 
 
 _BEFORE = set(QUERIES)
+#: Rows of a CSV file beyond which more files are written: some 40 MB.
+FILE_ROWS = 100_000
 
 
 class Loaded:
@@ -49,16 +51,32 @@ class Loaded:
         self.star, self.folder, self.varied = star, work_folder(star.spark), varied
         self.engine = Engine(star.spark, f"{self.folder}/store", **options)
 
-    def write(self, name: str, rows: DataFrame, n_files: int = 3) -> str:
-        """rows as CSV files of key ranges, in the order of the keys."""
+    def ranged(self, orders: DataFrame, n_files: int = 3) -> DataFrame:
+        """orders in so many ranges of keys, or in more where they would hold over FILE_ROWS rows each, sorted. The keys alone tell the ranges, so two calls agree.
+
+        Orders are dealt before they are written out as text: four short columns are shuffled and sorted.
+        """
+        rows = orders.select("o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority")
+        least, most, n_rows = rows.agg(F.min("o_orderkey"), F.max("o_orderkey"), F.count(F.lit(1))).first()
+        n = max(n_files, -(-n_rows // FILE_ROWS))
+        width = -(-((most or 0) - (least or 0) + 1) // n)
+        place = F.coalesce(((F.col("o_orderkey") - F.lit(least or 0)) / F.lit(width)).cast("int"), F.lit(0))
+        return rows.repartitionById(n, place).sortWithinPartitions("o_orderkey")
+
+    def write(self, name: str, rows: DataFrame, n_files: int | None = None) -> str:
+        """rows as CSV files: one for each partition, as they are, or with ``n_files`` so many key ranges in the order of the keys."""
         path = f"{self.folder}/{name}"
-        ordered = rows.repartitionByRange(n_files, "source_row_number").sortWithinPartitions("source_row_number").drop("source_row_number")
+        ordered = (rows.repartitionByRange(n_files, "source_row_number").sortWithinPartitions("source_row_number") if n_files else rows).drop("source_row_number")
         ordered.write.option("header", True).option("escape", '"').options(ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
         return path
 
     @cached_property
     def raw(self) -> DataFrame:
-        rows = raw_orders(self.star)
+        return self.raw_in()
+
+    def raw_in(self, n_files: int = 3) -> DataFrame:
+        """All orders in ranges of keys, for that many files at least."""
+        rows = raw_orders(self.star, self.ranged(self.star.table("orders"), n_files))
         return self._image(rows, "old", "2020-01-1") if self.varied else rows
 
     def _image(self, rows: DataFrame, name: str, day: str) -> DataFrame:
@@ -68,8 +86,7 @@ class Loaded:
         return rows.withColumns({"items_json": F.replace("items_json", F.lit('"sku":"A",'), item), "order_date": F.when(F.col("order_date") == "2020-01-31T00:00:00", moved).otherwise(F.col("order_date"))})
 
     def _of(self, condition: str) -> DataFrame:
-        keys = self.star.table("orders").where(condition).select(F.col("o_orderkey").alias("source_row_number"))
-        return raw_orders(self.star).join(keys, "source_row_number").withColumn("city", F.lit(self.CITY))
+        return raw_orders(self.star, self.ranged(self.star.table("orders").where(condition))).withColumn("city", F.lit(self.CITY))
 
     @cached_property
     def first(self) -> str:
@@ -136,7 +153,7 @@ def _size_router(star: StarSchema) -> DataFrame:
 def _fingerprint(star: StarSchema) -> DataFrame:
     """Lines without headers, and whether the fingerprints of a second copy and of other orders are that of the first."""
     loaded = Loaded(star)
-    paths = loaded.write("one", loaded.raw, 1), loaded.write("again", loaded.raw, 1), loaded.second
+    paths = loaded.write("one", loaded.raw_in(1)), loaded.write("again", loaded.raw_in(1)), loaded.second
     hashes = [input_fingerprint(star.spark, p) for p in paths]
     lines = file_fingerprints(star.spark, paths[0]).agg((F.sum("n_lines") - F.count(F.lit(1))).cast("bigint").alias("n_lines"))
     return lines.select("n_lines", F.lit(hashes[0] == hashes[1]).alias("again_the_same"), F.lit(hashes[0] == hashes[2]).alias("other_the_same"))
@@ -265,7 +282,7 @@ def _load_log(star: StarSchema) -> DataFrame:
     """Files that were loaded before are known by their fingerprint."""
     loaded = Loaded(star)
     loaded.both()
-    loaded.engine.ingest(loaded.write("second-again", star.spark.read.option("header", True).option("escape", '"').csv(loaded.second).withColumn("source_row_number", F.regexp_extract("order_id", r"(\d+)$", 1).try_cast("bigint"))), "delta")
+    loaded.engine.ingest(loaded.write("second-again", star.spark.read.option("header", True).option("escape", '"').csv(loaded.second).withColumn("source_row_number", F.regexp_extract("order_id", r"(\d+)$", 1).try_cast("bigint")), 3), "delta")
     loaded.engine.ingest(loaded.second, "delta")
     log = loaded.engine.store.log("incremental")
     return star.spark.createDataFrame([(n, r["stage"], r["seen_before"]) for n, r in enumerate([*log[:2], log[-1]], 1)], "load int, stage string, seen_before boolean")
@@ -398,7 +415,7 @@ def _cli_aggregation(star: StarSchema) -> DataFrame:
 def _cli_sample(star: StarSchema) -> DataFrame:
     """Fifty rows that a command draws: all from the input, and the same for the same seed."""
     loaded = Loaded(star)
-    path = loaded.write("few", loaded.raw.select("customer_id", "total_amount", "source_row_number"), 1)
+    path = loaded.write("few", loaded.raw.select("customer_id", "total_amount", "source_row_number"))
     drawn = []
     for name in ("a", "b"):
         _command(loaded, "sample", "--input", path, "--output", f"{loaded.folder}/{name}", "--rows", "50", "--seed", "5")
