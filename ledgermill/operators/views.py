@@ -84,8 +84,8 @@ def contributions(orders: DataFrame) -> DataFrame:
 
 
 def signed(old: DataFrame, new: DataFrame) -> DataFrame:
-    """sign, day, sales and products: contributions that go and that come."""
-    fields = ("day", "sales", "products")
+    """sign, day, sales, products and mark: contributions that go and that come. Those of an order that is the same on both sides cancel out, as their marks do."""
+    fields = ("day", "sales", "products", F.xxhash64("order_id", "record_hash").cast("decimal(20,0)").alias("mark"))
     return old.select(F.lit(-1).alias("sign"), *fields).unionByName(new.select(F.lit(1).alias("sign"), *fields))
 
 
@@ -94,8 +94,20 @@ def _amount(column: Column) -> Column:
 
 
 def day_deltas(rows: DataFrame) -> DataFrame:
-    """day, orders and sales that signed contributions add."""
-    return rows.where("day IS NOT NULL").groupBy("day").agg(F.sum("sign").alias("orders"), _amount(F.col("sign") * F.col("sales")).alias("sales"))
+    """day, orders and sales that signed contributions add, of days with an order that came, went or changed."""
+    sums = rows.where("day IS NOT NULL").groupBy("day").agg(F.sum("sign").alias("orders"), _amount(F.col("sign") * F.col("sales")).alias("sales"), _marks())
+    return _moved(sums)
+
+
+_MARKS = "marks"
+
+
+def _marks() -> Column:
+    return F.sum(F.col("sign") * F.col("mark")).alias(_MARKS)
+
+
+def _moved(sums: DataFrame) -> DataFrame:
+    return sums.where(F.col(_MARKS) != 0).drop(_MARKS)
 
 
 def add_days(view: DataFrame, delta: DataFrame) -> DataFrame:
@@ -113,9 +125,9 @@ def product_parts(items: DataFrame) -> DataFrame:
 
 def part_deltas(rows: DataFrame) -> DataFrame:
     """lines, quantity and sales by sku and name that signed contributions add."""
-    lines = rows.select("sign", F.explode("products").alias("p"))
+    lines = rows.select("sign", "mark", F.explode("products").alias("p"))
     sums = (_amount(F.col("sign") * F.col(f"p.{c}")).alias(c) for c in ("quantity", "sales"))
-    return lines.groupBy(F.col("p.sku").alias("sku"), F.col("p.name").alias("name")).agg(F.sum("sign").alias("lines"), *sums)
+    return _moved(lines.groupBy(F.col("p.sku").alias("sku"), F.col("p.name").alias("name")).agg(F.sum("sign").alias("lines"), *sums, _marks()))
 
 
 def add_parts(parts: DataFrame, delta: DataFrame) -> DataFrame:
@@ -130,7 +142,7 @@ def products_of(parts: DataFrame) -> DataFrame:
 
 
 def changed_pairs(new: DataFrame, old: DataFrame) -> DataFrame:
-    """Contributions of orders that differ by hash, as structs old and new, null where there is none."""
+    """Rows (with order_id and record_hash) of orders that differ by hash, as structs old and new, null where there is none."""
     sides = [rows.select(F.struct("*").alias(name)) for rows, name in ((old, "old"), (new, "new"))]
     joined = sides[0].join(sides[1], F.col("old.order_id") == F.col("new.order_id"), "full")
     return joined.where(F.col("old").isNull() | F.col("new").isNull() | ~F.col("old.record_hash").eqNullSafe(F.col("new.record_hash")))

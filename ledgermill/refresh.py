@@ -101,11 +101,11 @@ def _catch_up(store: Store, name: str) -> int | None:
         built = full_refresh(store, (name,))
         return built["daily_rows" if name == "daily" else "product_rows"]
     since = turn.applied[_ORDERS]
-    changes = store.changes(VALIDATED_TABLE, VALIDATED_SCHEMA, since, "order_id", "record_hash", version) if since != version else None
     with _Work(store) as staged:
         n_rows = 0
-        if changes is not None:
-            signed = views.signed(views.contributions(changes.where("old IS NOT NULL").select("old.*")), views.contributions(changes.where("new IS NOT NULL").select("new.*")))
+        if since != version:
+            # orders that are the same in both versions cancel out in the sums, so no order is joined with its old image
+            signed = views.signed(*map(views.contributions, store.changed_rows(VALIDATED_TABLE, VALIDATED_SCHEMA, since, version)))
             if (n_rows := _apply(turn, name, signed, {_ORDERS: version}, staged)) is None:
                 return None
         if name == "products":
@@ -185,9 +185,9 @@ def _ledger_turn(store: Store) -> dict | None:
         if fresh or stale or anew:
             new = views.contributions(store.rows_of(VALIDATED_TABLE, VALIDATED_SCHEMA, fresh.values()))
             old = ledger.rows(views.LEDGER_SCHEMA, () if anew else stale)
-            changed = staged(views.changed_pairs(new, old))  # read by all that follows, so the two sides meet once
-            counts = views.change_counts(changed).first().asDict()
-            signed = views.signed(*(changed.where(f"{side} IS NOT NULL").select(f"{side}.*") for side in ("old", "new")))
+            # only keys, hashes and days meet; in the sums orders that stay the same cancel out
+            counts = views.change_counts(views.changed_pairs(*(side.select("order_id", "record_hash", "day") for side in (new, old)))).first().asDict()
+            signed = views.signed(old, new)
             for name, turn in (("daily", daily), ("products", parts)):
                 if _apply(turn, name, signed, applied, staged, anew) is None:
                     return None
