@@ -94,8 +94,15 @@ def _ingest(spark: SparkSession, store: Store, path: str | None, profile: str, t
             raw = read.select("source_file", "source_row_number", now.alias("ingested_at"), F.lit(ENGINE).alias("engine_used"), F.struct(*S.RAW_COLUMNS).alias("raw_record"))
             store.put_run(RAW_TABLE, raw, run_id)
             rows = raw_of_run(store, run_id)
-    found = classify(rows, profile).withColumn("record_hash", record_hash(F.col("clean"), F.col("quality_status"), F.col("corrections")))
-    found.write.partitionBy("quality_status").parquet(store.path(f"{work}/found"))
+
+    def staged(repeats: DataFrame) -> DataFrame:
+        repeats.write.parquet(store.path(f"{work}/repeats"))
+        return spark.read.schema(repeats.schema).parquet(store.path(f"{work}/repeats"))
+
+    found = classify(rows, profile, staged=staged).withColumn("record_hash", record_hash(F.col("clean"), F.col("quality_status"), F.col("corrections")))
+    # of accepted rows the raw fields are in the raw table alone; rows are not sorted by status, which would take the memory of whole rows
+    found = found.withColumns({c: F.when(F.col("quality_status") == "quarantine", F.col(c)) for c in S.RAW_COLUMNS})
+    found.write.parquet(store.path(f"{work}/found"))
     found = spark.read.schema(found.schema).parquet(store.path(f"{work}/found"))
 
     rejected = found.where("quality_status = 'quarantine'").select(
@@ -128,23 +135,27 @@ def _ingest(spark: SparkSession, store: Store, path: str | None, profile: str, t
 def merge_orders(store: Store, accepted: DataFrame, work: str, applied: dict[str, int] | None = None) -> dict[str, int]:
     """Puts accepted records into the validated table; how many were inserted, updated and unchanged.
 
-    An unchanged record keeps its row as it was. Changed ones are written below the folder ``work`` on the way. Where
+    An unchanged record keeps its row as it was; where there are any, the changed ones are written below the folder ``work`` on the way. Where
     another run has changed the same buckets meanwhile, records are compared with its rows anew.
     """
     for attempt in range(TRIES):
         turn = store.transaction(VALIDATED_TABLE)
-        near = turn.rows(VALIDATED_SCHEMA, turn.touched(accepted, "order_id"))
-        counts = upsert_outcome(near, accepted, "order_id", "record_hash").first().asDict()
+        touched = turn.touched(accepted, "order_id")
+        near = turn.rows(VALIDATED_SCHEMA, touched)
+        empty = not any(turn.buckets[b]["rows"] for b in touched if b in turn.buckets)
+        counts = {"inserted": sum(touched.values()), "updated": 0, "unchanged": 0} if empty else upsert_outcome(near, accepted, "order_id", "record_hash").first().asDict()
         if not (counts["inserted"] or counts["updated"]):
             if not applied or turn.mark(applied):
                 return counts
             continue
-        old = near.select(F.col("order_id").alias("old_id"), F.col("record_hash").alias("old_hash"))
-        changed = accepted.join(old, (F.col("order_id") == F.col("old_id")) & (F.col("record_hash") == F.col("old_hash")), "left_anti")
-        place = store.path(f"{work}/changed-{attempt}")
-        changed.select(*near.columns).write.parquet(place)
-        changed = store.spark.read.schema(near.schema).parquet(place)
-        if turn.merge(changed, "order_id", lambda rows, fresh: upsert(rows, fresh, ["order_id"], ("at_first_validated", "first_seen_run")), applied):
+        changed = accepted.select(*near.columns)
+        if counts["unchanged"]:
+            old = near.select(F.col("order_id").alias("old_id"), F.col("record_hash").alias("old_hash"))
+            place = store.path(f"{work}/changed-{attempt}")
+            changed.join(old, (F.col("order_id") == F.col("old_id")) & (F.col("record_hash") == F.col("old_hash")), "left_anti").write.parquet(place)
+            changed = store.spark.read.schema(near.schema).parquet(place)
+        put = lambda rows, fresh, empty=empty: fresh if empty else upsert(rows, fresh, ["order_id"], ("at_first_validated", "first_seen_run"))
+        if turn.merge(changed, "order_id", put, applied):
             return counts
     raise ConflictError(VALIDATED_TABLE)
 

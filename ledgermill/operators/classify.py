@@ -7,6 +7,7 @@ repeated order_id.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -142,17 +143,17 @@ def _bulk_rules(df: DataFrame) -> Rules:
 _PROFILES = {"row": _row_rules, "bulk": _bulk_rules}
 
 
-def classify(raw: DataFrame, profile: str = "row", position: str | None = "source_row_number") -> DataFrame:
+def classify(raw: DataFrame, profile: str = "row", position: str | None = "source_row_number", staged: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """raw (columns of RAW and any others) with quality_status, clean (struct), corrections, error_codes, error_details.
 
     ``position`` orders the rows of one order_id; without one, no row counts as a repeat. clean is
-    null for quarantined rows. The raw columns stay as they were.
+    null for quarantined rows. The raw columns stay as they were. ``staged``: see flag_repeats.
     """
     if profile not in _PROFILES:
         raise ValueError(f"unknown profile {profile!r}: {', '.join(_PROFILES)}")
     key = text.clean_text if profile == "row" else bulk.clean_text
     raw = raw.withColumns({name: F.lit(None).cast("string") for name in S.RAW_COLUMNS if name not in raw.columns})
-    flagged = flag_repeats(raw, F.nullif(key(F.col("order_id")), F.lit("")), position, _W + "repeats", keep_first=profile == "row")
+    flagged = flag_repeats(raw, F.nullif(key(F.col("order_id")), F.lit("")), position, _W + "repeats", keep_first=profile == "row", staged=staged)
     rules = _PROFILES[profile](flagged)
     listed = rules.listed_corrections.get(1)
     head, tail = (F.filter(F.array(*part), lambda x: x.isNotNull()) for part in (rules.corrections[:1], rules.corrections[1:]))

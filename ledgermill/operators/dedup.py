@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,11 +13,12 @@ def repeated_keys(df: DataFrame, *keys: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows")).where("n_rows > 1")
 
 
-def flag_repeats(df: DataFrame, key: Column, position: str | None, name: str, keep_first: bool = True) -> DataFrame:
+def flag_repeats(df: DataFrame, key: Column, position: str | None, name: str, keep_first: bool = True, staged: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """df with a boolean ``name``: rows of a repeated key, all of them or all but the first by position.
 
     Only keys with several rows are joined back, against their first position, so no key is sorted
-    and partial sums shrink a hot key before the shuffle. Null keys never repeat.
+    and partial sums shrink a hot key before the shuffle. Null keys never repeat. ``staged`` writes the
+    repeated keys and reads them again, so that Spark knows their size: where they are few, no row is shuffled.
     """
     if position is None and keep_first:
         return df.withColumn(name, F.lit(False))
@@ -23,6 +26,7 @@ def flag_repeats(df: DataFrame, key: Column, position: str | None, name: str, ke
     keyed = df.withColumns({"repeat_key": key, "repeat_at": at})
     groups = keyed.where("repeat_key IS NOT NULL").groupBy("repeat_key").agg(F.min("repeat_at").alias("first_at"), F.count(F.lit(1)).alias("n_rows"))
     several = groups.where("n_rows > 1").select(F.col("repeat_key").alias("several_key"), "first_at")
+    several = staged(several) if staged else several
     joined = keyed.join(several, F.col("repeat_key") == F.col("several_key"), "left")
     repeats = F.col("first_at").isNotNull()
     if keep_first:
