@@ -21,7 +21,8 @@ import os
 import re
 import time
 import uuid
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -31,6 +32,8 @@ from pyspark.sql.types import StructType
 _MANIFESTS, _DATA = "_manifests", "data"
 #: Buckets of a keyed table when it is made (the next power of two), and rows beyond which a bucket is split: some 100 MB.
 BUCKETS, BUCKET_ROWS = 16, 1_000_000
+#: Files that a task of a write by columns keeps open before it sorts the rest; 0 sorts all rows.
+_OPEN_FILES = "spark.sql.maxConcurrentOutputFileWriters"
 #: Times that buckets which came out too large are split again in one commit.
 _SPLITS = 8
 #: Times that a merge starts anew when other writers change its buckets.
@@ -67,6 +70,13 @@ def bucket_of(key: Column, buckets: Iterable[int]) -> Column:
     return F.get(F.from_json(F.lit(json.dumps(slots)), "array<int>"), slot.cast("int"))
 
 
+def _place_of(bucket: Column, buckets: Iterable[int]) -> Column:
+    """The place of a bucket among buckets, by a table with a slot for each number; 0 where it is none of them."""
+    places = {b: n for n, b in enumerate(sorted(buckets))}
+    slots = [places.get(b, 0) for b in range(max(places) + 1)]
+    return F.coalesce(F.get(F.from_json(F.lit(json.dumps(slots)), "array<int>"), bucket), F.lit(0))
+
+
 class Store:
     """``buckets`` and ``bucket_rows``: of keyed tables. A merge rewrites the buckets that its rows fall into."""
 
@@ -171,6 +181,16 @@ class Store:
                 self.delete(f"{table}/{_DATA}/{writer}")
         return len(gone)
 
+    @contextmanager
+    def unsorted(self) -> Iterator[None]:
+        """Writes by a column, of which each task has one value, go straight to the file: Spark would sort all rows of a task by it first, in memory."""
+        conf, before = self.spark.conf, self.spark.conf.get(_OPEN_FILES)
+        conf.set(_OPEN_FILES, "1")
+        try:
+            yield
+        finally:
+            conf.set(_OPEN_FILES, before)
+
     # small documents
 
     def load_json(self, name: str, default):
@@ -322,9 +342,10 @@ class Transaction:
     def _write(self, rows: DataFrame, bucket: Column, facts: dict[int, dict], key: str | None) -> dict[int, dict]:
         folder = f"{_DATA}/{uuid.uuid4().hex}"
         dealt = rows.withColumn("bucket", bucket)
-        # one task writes a bucket: one file for each, however many tasks have made the rows
-        dealt = dealt.repartition("bucket") if len(facts) > 1 else dealt
-        dealt.write.partitionBy("bucket").parquet(self.store.path(f"{self.table}/{folder}"))
+        # one task writes a bucket, and a task one bucket: one file for each, however many tasks have made the rows
+        dealt = dealt.repartitionById(len(facts), _place_of(F.col("bucket"), facts)) if len(facts) > 1 else dealt
+        with self.store.unsorted():
+            dealt.write.partitionBy("bucket").parquet(self.store.path(f"{self.table}/{folder}"))
         counts = self._counts(folder, dealt.schema, key)
         return {b: {"folder": f"{folder}/bucket={b}" if b in counts else "", "rows": counts.get(b, 0), **more} for b, more in facts.items()}
 

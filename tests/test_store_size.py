@@ -7,6 +7,7 @@ from ledgermill.operators import views
 from ledgermill.plans import layout
 from ledgermill.sources.orders_csv import read_orders
 from ledgermill.starschema import StarSchema
+from ledgermill.store import Store, _place_of, bucket_of, split
 
 
 def test_orders_are_written_to_more_files_as_they_grow(spark, sf_dir, monkeypatch):
@@ -39,3 +40,31 @@ def test_sums_of_both_images_leave_what_changed(spark):
     assert sorted(tuple(r) for r in views.day_deltas(signed).collect()) == [("d2", -1, -3.0), ("d3", 1, 3.0), ("d4", 0, 0.0)]
     assert "Join" not in views.part_deltas(signed)._jdf.queryExecution().optimizedPlan().toString()
     assert views.part_deltas(signed).where("sales = 0").count() == 2
+
+
+def _plans(spark) -> list[str]:
+    """Plans of all executions so far."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    found = spark._jsparkSession.sharedState().statusStore().executionsList()
+    return [found.apply(n).physicalPlanDescription() for n in range(found.size())]
+
+
+def test_buckets_are_written_without_a_sort_of_their_rows(spark, tmp_path):
+    store, rows = Store(spark, f"file://{tmp_path}", buckets=4, bucket_rows=20), spark.range(200).select(F.col("id").alias("k"), F.lit("v").alias("v"))
+    before = spark.conf.get("spark.sql.maxConcurrentOutputFileWriters")
+    store.merge("t", rows, "k", lambda old, fresh: fresh)
+    writes = [p for p in _plans(spark) if f"{tmp_path}/t/data/" in p and "InsertIntoHadoopFsRelationCommand" in p]
+    assert writes and not any("Sort" in p for p in writes)
+    assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == before
+    found = store.snapshot("t", rows.schema)
+    assert sorted(r["k"] for r in found.collect()) == list(range(200))
+    folders = [e["folder"] for e in store.manifest("t")["buckets"].values() if e["folder"]]
+    assert len(found.inputFiles()) == len(folders) > 4  # one file for each bucket
+
+
+def test_a_task_writes_one_bucket(spark):
+    buckets = [*split(1, 3)[1:], *split(split(1, 3)[0], 2)]
+    rows = spark.range(2000).select(bucket_of(F.col("id"), buckets).alias("bucket"))
+    dealt = rows.repartitionById(len(buckets), _place_of(F.col("bucket"), buckets))
+    parts = dealt.rdd.glom().map(lambda p: sorted({r["bucket"] for r in p})).collect()
+    assert parts == [[b] for b in sorted(buckets)]
