@@ -14,17 +14,21 @@ def _all(parts: list[Column]) -> Column:
 
 
 def upsert(target: DataFrame, source: DataFrame, keys: list[str], insert_only: tuple[str, ...] = ()) -> DataFrame:
-    """target with the rows of source put in by key; ``insert_only`` columns of rows that exist stay as they are."""
-    t, s = target.withColumn("merge_side", F.lit(1)).alias("t"), source.withColumn("merge_side", F.lit(1)).alias("s")
-    joined = t.join(s, _all([F.col(f"t.{k}").eqNullSafe(F.col(f"s.{k}")) for k in keys]), "full")
-    in_target, from_source = F.col("t.merge_side").isNotNull(), F.col("s.merge_side").isNotNull()
-    columns = []
-    for c in target.columns:
-        if c in insert_only:
-            columns.append(F.when(in_target, F.col(f"t.{c}")).otherwise(F.col(f"s.{c}")).alias(c))
-        else:
-            columns.append(F.when(from_source, F.col(f"s.{c}")).otherwise(F.col(f"t.{c}")).alias(c))
-    return joined.select(*columns)
+    """target with the rows of source put in by key; ``insert_only`` columns of rows that exist stay as they are.
+
+    The keys that both have are found first, of short rows. Whole rows of either side then meet a hash table of those alone, which
+    is no larger than their own number in a partition, and are never sorted.
+    """
+    names = [f"merge_key_{i}" for i, _ in enumerate(keys)]
+    same = _all([F.col(k).eqNullSafe(F.col(n)) for k, n in zip(keys, names)])
+    named = [F.col(k).alias(n) for k, n in zip(keys, names)]
+    first = [F.struct(*insert_only).alias("merge_first")] if insert_only else []
+    both = target.join(source.select(*named), same, "left_semi").select(*named, *first).hint("shuffle_hash")
+    kept = target.join(both, same, "left_anti")
+    if not insert_only:
+        return kept.unionByName(source.select(*target.columns))
+    old = lambda c: F.when(F.col("merge_first").isNotNull(), F.col(f"merge_first.{c}")).otherwise(F.col(c)).alias(c)
+    return kept.unionByName(source.join(both, same, "left").select(*(old(c) if c in insert_only else F.col(c) for c in target.columns)))
 
 
 def replace_rows(target: DataFrame, source: DataFrame, keys: list[str]) -> DataFrame:

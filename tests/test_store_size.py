@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ledgermill import store_queries
-from ledgermill.operators import views
+from ledgermill.operators import merge, views
 from ledgermill.plans import layout
 from ledgermill.sources.orders_csv import read_orders
 from ledgermill.starschema import StarSchema
@@ -68,3 +68,15 @@ def test_a_task_writes_one_bucket(spark):
     dealt = rows.repartitionById(len(buckets), _place_of(F.col("bucket"), buckets))
     parts = dealt.rdd.glom().map(lambda p: sorted({r["bucket"] for r in p})).collect()
     assert parts == [[b] for b in sorted(buckets)]
+
+
+def test_an_upsert_sorts_no_whole_rows(spark):
+    target = spark.createDataFrame([(1, "a", "x"), (2, "b", None), (None, "n", "y"), (4, "d", "z")], "k int, v string, first string")
+    source = spark.createDataFrame([(2, "B", "new"), (None, "N", "new"), (3, "C", "new"), (4, "D", None), (3, "E", "new")], "k int, v string, first string")
+    found = merge.upsert(target, source, ["k"], ("first",))
+    expected = [(1, "a", "x"), (2, "B", None), (3, "C", "new"), (3, "E", "new"), (4, "D", "z"), (None, "N", "y")]
+    assert sorted((tuple(r) for r in found.collect()), key=repr) == sorted(expected, key=repr)
+    assert sorted((tuple(r) for r in merge.upsert(target, source, ["k"]).collect()), key=repr) == sorted([(1, "a", "x"), *(tuple(r) for r in source.collect())], key=repr)
+    # short rows alone are sorted: whole ones, with v, meet hash tables
+    plan = merge.upsert(target, source, ["k"], ("first",))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ShuffledHashJoin") == 2 and "FullOuter" not in plan and plan.count("LeftSemi") == plan.count("SortMergeJoin") == 2
