@@ -11,13 +11,15 @@ from pyspark.sql import functions as F
 
 from ledgermill import schema as S
 from ledgermill.operators.classify import classify, record_hash
-from ledgermill.operators.merge import upsert, upsert_outcome
+from ledgermill.operators.merge import matches, upsert
 from ledgermill.sources.files import decide_strategy
 from ledgermill.sources.orders_csv import read_orders
 from ledgermill.store import TRIES, ConflictError, Store
 
 RAW_TABLE, VALIDATED_TABLE, QUARANTINE_TABLE, RUNS = "orders_raw", "orders_validated", "orders_quarantine", "runs"
 ENGINE = "spark"
+#: Records of a load up to which all tasks get their keys and hashes, some 100 MB, and the table is not shuffled to meet them.
+FEW_KEYS = 300_000
 
 _ITEM = "struct<sku:string,name:string,qty:double,unit_price:double,total:double,extra:string>"
 _CLEAN = (
@@ -55,14 +57,15 @@ def ingest(
     skip_raw: bool = False,
     from_raw: bool = False,
     batch: tuple[str, int] | None = None,
+    read: DataFrame | None = None,
 ) -> dict | None:
-    """Loads a CSV file, or with ``from_raw`` the raw rows of ``resume_run_id``, and returns the run's figures.
+    """Loads a CSV file, or with ``from_raw`` the raw rows of ``resume_run_id``, and returns the run's figures. ``read``: the rows of the file, as ``read_orders`` gives them.
 
     The raw rows are written first and are the input of all that follows, so the file is read once.
     Classified rows are written once too, below the store until the run is over, and the quarantine, the
     merge and the counts read that table. Raw rows and quarantine are those of the run, however often it is
-    resumed. The merge comes last; it reads and rewrites the buckets of the validated table that changed records fall
-    into. A run that fails leaves that table as it was.
+    resumed. The merge comes last; it reads the buckets of the validated table that records fall into, rewrites those with
+    changed records, and puts new ones beside the rest. A run that fails leaves that table as it was.
 
     ``batch``, the stream and the number of a micro-batch, names the run, and is noted in the version that the
     merge makes: a batch that has been applied is not loaded again, and None is returned.
@@ -74,20 +77,20 @@ def ingest(
     run_id = resume_run_id or (f"stream-{batch[0]}-{batch[1]:09d}" if batch else f"run-{datetime.now(timezone.utc):%Y%m%dT%H%M%S}-{uuid.uuid4().hex[:8]}")
     work = f"work/{run_id}-{uuid.uuid4().hex[:8]}"
     try:
-        return _ingest(spark, store, path, profile, threshold_mb, run_id, work, skip_raw, from_raw, batch)
+        return _ingest(spark, store, path, profile, threshold_mb, run_id, work, skip_raw, from_raw, batch, read)
     finally:
         store.delete(work)
 
 
-def _ingest(spark: SparkSession, store: Store, path: str | None, profile: str, threshold_mb: float, run_id: str, work: str, skip_raw: bool, from_raw: bool, batch: tuple[str, int] | None) -> dict:
+def _ingest(spark: SparkSession, store: Store, path: str | None, profile: str, threshold_mb: float, run_id: str, work: str, skip_raw: bool, from_raw: bool, batch: tuple[str, int] | None, read: DataFrame | None = None) -> dict:
     began = time.time()
     now = F.lit(datetime.now(timezone.utc).replace(tzinfo=None).isoformat(sep=" ")).cast("timestamp")
     if from_raw:
         decision = {"file_path": path, "strategy": "resume", "file_size_mb": None, "partitions": None}
         rows = raw_of_run(store, run_id)
     else:
-        decision = decide_strategy(spark, path, threshold_mb)
-        read = read_orders(spark, path)
+        decision = decide_strategy(spark, path, threshold_mb) if read is None else {"strategy": "stream", "file_size_mb": None, "partitions": None}
+        read = read_orders(spark, path) if read is None else read
         if skip_raw:
             rows = read
         else:
@@ -117,8 +120,9 @@ def _ingest(spark: SparkSession, store: Store, path: str | None, profile: str, t
     )
     outcome = merge_orders(store, accepted, work, dict([batch]) if batch else None)
 
-    counts = status_counts(found).first().asDict()
-    codes = {r["error_code"]: r["n_rows"] for r in error_histogram(found).collect()}  # at most one row for each code
+    tallies = found.groupBy("quality_status", F.get("error_codes", F.lit(0)).alias("error_code")).agg(F.count(F.lit(1)).alias("n")).collect()  # at most one row for each code
+    counts = {f"count_{k}": sum(r["n"] for r in tallies if r["quality_status"] == k) for k in ("valid", "corrected", "quarantine")}
+    codes = {r["error_code"]: r["n"] for r in tallies if r["error_code"]}
     seconds = time.time() - began
     read_rows = sum(counts.values())
     figures = {
@@ -135,7 +139,7 @@ def _ingest(spark: SparkSession, store: Store, path: str | None, profile: str, t
 def merge_orders(store: Store, accepted: DataFrame, work: str, applied: dict[str, int] | None = None) -> dict[str, int]:
     """Puts accepted records into the validated table; how many were inserted, updated and unchanged.
 
-    An unchanged record keeps its row as it was; where there are any, the changed ones are written below the folder ``work`` on the way. Where
+    New records are put beside the rows of their buckets; only buckets with updated ones are made anew. An unchanged record keeps its row as it was; where there are any, the changed ones are written below the folder ``work`` on the way. Where
     another run has changed the same buckets meanwhile, records are compared with its rows anew.
     """
     for attempt in range(TRIES):
@@ -143,7 +147,11 @@ def merge_orders(store: Store, accepted: DataFrame, work: str, applied: dict[str
         touched = turn.touched(accepted, "order_id")
         near = turn.rows(VALIDATED_SCHEMA, touched)
         empty = not any(turn.buckets[b]["rows"] for b in touched if b in turn.buckets)
-        counts = {"inserted": sum(touched.values()), "updated": 0, "unchanged": 0} if empty else upsert_outcome(near, accepted, "order_id", "record_hash").first().asDict()
+        incoming = F.broadcast(accepted) if sum(touched.values()) <= FEW_KEYS else accepted
+        known = {} if empty else {r["group"]: r for r in matches(near, incoming, "order_id", "record_hash", turn.bucket("order_id")).collect()}  # a row for each bucket
+        fresh = {b: n - known[b]["n_known"] if b in known else n for b, n in touched.items()}
+        updated = {b: r["n_known"] - r["n_same"] for b, r in known.items()}
+        counts = {"inserted": sum(fresh.values()), "updated": sum(updated.values()), "unchanged": sum(r["n_same"] for r in known.values())}
         if not (counts["inserted"] or counts["updated"]):
             if not applied or turn.mark(applied):
                 return counts
@@ -155,7 +163,8 @@ def merge_orders(store: Store, accepted: DataFrame, work: str, applied: dict[str
             changed.join(old, (F.col("order_id") == F.col("old_id")) & (F.col("record_hash") == F.col("old_hash")), "left_anti").write.parquet(place)
             changed = store.spark.read.schema(near.schema).parquet(place)
         put = lambda rows, fresh, empty=empty: fresh if empty else upsert(rows, fresh, ["order_id"], ("at_first_validated", "first_seen_run"))
-        if turn.merge(changed, "order_id", put, applied):
+        changes = {b: n + updated.get(b, 0) for b, n in fresh.items() if n + updated.get(b, 0)}
+        if turn.upsert(changed, "order_id", put, changes, fresh, applied):
             return counts
     raise ConflictError(VALIDATED_TABLE)
 

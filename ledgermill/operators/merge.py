@@ -60,6 +60,13 @@ def upsert_outcome(existing: DataFrame, incoming: DataFrame, key: str, version:
     return match_versions(existing, incoming, key, version).agg(*(F.count_if(F.col("outcome") == o).alias(o) for o in outcomes))
 
 
+def matches(existing: DataFrame, incoming: DataFrame, key: str, version: str, group: Column) -> DataFrame:
+    """n_known and n_same by a group of the keys: incoming rows whose key exists, and those of them whose version (a hash) is the same. Keys are unique on either side."""
+    new = incoming.select(F.col(key).alias("new_key"), F.col(version).alias("new_version"))
+    joined = existing.select(key, version).join(new, F.col(key) == F.col("new_key"))
+    return joined.groupBy(group.alias("group")).agg(F.count(F.lit(1)).alias("n_known"), F.count_if(F.col(version).eqNullSafe(F.col("new_version"))).alias("n_same"))
+
+
 def of_keys(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     """The rows whose key is among keys."""
     return rows.join(keys.select(key), key, "left_semi")

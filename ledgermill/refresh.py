@@ -21,7 +21,7 @@ from ledgermill.ingest import VALIDATED_SCHEMA, VALIDATED_TABLE
 from ledgermill.operators import views
 from ledgermill.operators.merge import replace_groups
 from ledgermill.plans.catalog import order_items
-from ledgermill.store import TRIES, ConflictError, Store, bucket_of
+from ledgermill.store import TRIES, ConflictError, Store, bucket_of, folders
 
 DAILY, PRODUCTS, PARTS, LEDGER, STATE = "daily_sales_summary", "top_products_summary", "product_parts", "mv_source_ledger", "mv_refresh_state"
 MODES = ("full", "incremental")
@@ -166,7 +166,7 @@ def refresh(store: Store, mode: str = "incremental", which: tuple[str, ...] = VI
 def ledger_refresh(store: Store) -> dict:
     """Applies the changed orders' contributions to the views by signed sums, and keeps each order's contribution.
 
-    The ledger has the buckets of the orders, and notes the folder that each of them speaks for: only buckets whose
+    The ledger has the buckets of the orders, and notes the folders that each of them speaks for: only buckets whose
     orders were written since are read and written. It speaks for the views while they show the same version; else it starts anew.
     """
     return _again(lambda: _ledger_turn(store), LEDGER)
@@ -176,14 +176,14 @@ def _ledger_turn(store: Store) -> dict | None:
     ledger, daily, parts, orders = (store.transaction(t) for t in (LEDGER, DAILY, PARTS, VALIDATED_TABLE))
     at = [t.applied.get(_ORDERS) for t in (ledger, daily, parts)]
     anew = at[0] is None or at != [at[0]] * 3
-    here = {e["folder"]: b for b, e in orders.buckets.items() if e["folder"]}
+    here = {" ".join(folders(e)): b for b, e in orders.buckets.items() if e["folder"]}
     spoken = {} if anew else {e["source"]: b for b, e in ledger.buckets.items()}
     fresh, stale = {b: f for f, b in here.items() if f not in spoken}, set(ledger.buckets) if anew else {b for f, b in spoken.items() if f not in here}
     counts = dict.fromkeys(("inserted", "updated", "removed", "skipped_invalid"), 0)
     applied = {_ORDERS: orders.number}
     with _Work(store) as staged:
         if fresh or stale or anew:
-            new = views.contributions(store.rows_of(VALIDATED_TABLE, VALIDATED_SCHEMA, fresh.values()))
+            new = views.contributions(orders.rows(VALIDATED_SCHEMA, fresh))
             old = ledger.rows(views.LEDGER_SCHEMA, () if anew else stale)
             # only keys, hashes and days meet; in the sums orders that stay the same cancel out
             counts = views.change_counts(views.changed_pairs(*(side.select("order_id", "record_hash", "day") for side in (new, old)))).first().asDict()

@@ -6,6 +6,9 @@ next manifest, which appears whole and only where no other writer has made it. W
 what the first has changed: if none of it is in the buckets that the second has read, these join the new version,
 else the second works again on the new version (``Transaction``). Buckets that nobody touches are named again.
 
+A bucket's rows lie in one folder, or in several: rows of new keys are put beside those that are there, and folders of about
+one size are made one when there are many (``PARTS``), so a row is written again a few times however many merges follow.
+
 Keys are dealt by extendible hashing: a bucket stands for the low bits of the keys' hashes, and is split in two, again and
 again, when it would hold more than ``bucket_rows`` rows, so that buckets keep their size however a table grows.
 
@@ -32,6 +35,8 @@ from pyspark.sql.types import StructType
 _MANIFESTS, _DATA = "_manifests", "data"
 #: Buckets of a keyed table when it is made (the next power of two), and rows beyond which a bucket is split: some 100 MB.
 BUCKETS, BUCKET_ROWS = 16, 1_000_000
+#: Folders of a bucket, of one size within a factor of 8, that are made one.
+PARTS = 8
 #: Files that a task of a write by columns keeps open before it sorts the rest; 0 sorts all rows.
 _OPEN_FILES = "spark.sql.maxConcurrentOutputFileWriters"
 #: Times that buckets which came out too large are split again in one commit.
@@ -57,6 +62,37 @@ def split(bucket: int, levels: int) -> list[int]:
     return [(1 << depth + levels) | (i << depth) | value for i in range(1 << levels)]
 
 
+def parts_of(entry: dict) -> list[dict]:
+    """folder and rows of what a bucket holds, oldest first."""
+    beside = entry.get("parts", [])
+    first = {"folder": entry["folder"], "rows": entry["rows"] - sum(p["rows"] for p in beside)}
+    return [first, *beside] if first["folder"] else beside
+
+
+def folders(entry: dict) -> list[str]:
+    return [p["folder"] for p in parts_of(entry)]
+
+
+def _of_parts(parts: list[dict], **facts) -> dict:
+    return {"folder": parts[0]["folder"], "rows": sum(p["rows"] for p in parts), **({"parts": parts[1:]} if parts[1:] else {}), **facts}
+
+
+def parts_kept(sizes: list[int], n_rows: int) -> int:
+    """How many parts stay as they are where n_rows are put beside them; the others, the last, are made one with the rows.
+
+    Those are the last parts of no greater size class, where they and the rows are PARTS in number.
+    """
+    size_class = lambda n: n.bit_length() // 3
+    kept, total = len(sizes), n_rows
+    while True:
+        first = kept
+        while first and size_class(sizes[first - 1]) <= size_class(total):
+            first -= 1
+        if kept - first < PARTS - 1:
+            return kept
+        kept, total = first, total + sum(sizes[first:kept])
+
+
 def bucket_of(key: Column, buckets: Iterable[int]) -> Column:
     """The bucket of a key: its hash's low bits looked up in the directory of the buckets, four bytes a slot; 0 where none of them holds it."""
     buckets = list(buckets)
@@ -112,7 +148,7 @@ class Store:
         return max(self._numbers(f"{table}/{_MANIFESTS}"), default=None)
 
     def manifest(self, table: str, version: int | None = None) -> dict | None:
-        """buckets (rows and folder by bucket; no folder where it is empty) and applied (by stream the last batch, by source its version) of a version, else of the current one."""
+        """buckets (rows and folder by bucket, and the parts beside that folder; no folder where it is empty) and applied (by stream the last batch, by source its version) of a version, else of the current one."""
         version = self.version(table) if version is None else version
         return None if version is None else json.loads(self._read_text(f"{table}/{_MANIFESTS}/{version:012d}.json"))
 
@@ -123,7 +159,7 @@ class Store:
         """The current or an earlier version of a keyed table, or some of its buckets; without a version, an empty table of the schema."""
         found = (self.manifest(table, version) or {"buckets": {}})["buckets"]
         chosen = None if buckets is None else {str(b) for b in buckets}
-        return self.rows_of(table, schema, (e["folder"] for b, e in found.items() if chosen is None or b in chosen))
+        return self.rows_of(table, schema, (f for b, e in found.items() if chosen is None or b in chosen for f in folders(e)))
 
     def rows_of(self, table: str, schema: StructType | str, folders: Iterable[str]) -> DataFrame:
         paths = [f"{self.path(table)}/{f}" for f in folders if f]
@@ -137,13 +173,13 @@ class Store:
         return sorted(self._numbers(f"{table}/{_MANIFESTS}"))
 
     def changed_rows(self, table: str, schema: StructType | str, since: int, until: int) -> tuple[DataFrame, DataFrame]:
-        """The rows of the buckets that version ``since`` has and ``until`` has not, and those that ``until`` has instead."""
-        old, new = ({e["folder"] for e in (self.manifest(table, v) or {"buckets": {}})["buckets"].values()} - {""} if v else set() for v in (since, until))
+        """The rows of the folders that version ``since`` has and ``until`` has not, and those that ``until`` has instead."""
+        old, new = ({f for e in (self.manifest(table, v) or {"buckets": {}})["buckets"].values() for f in folders(e)} if v else set() for v in (since, until))
         return self.rows_of(table, schema, sorted(old - new)), self.rows_of(table, schema, sorted(new - old))
 
     def changes(self, table: str, schema: StructType | str, since: int, key: str, version: str, until: int | None = None) -> DataFrame:
         """What a table's versions after ``since`` (0: none) have changed: structs ``old`` and ``new`` of each key whose ``version`` (a hash)
-        differs, one of them null where there is no row. Only buckets whose folders differ are read."""
+        differs, one of them null where there is no row. Only folders that differ are read."""
         found = self.changed_rows(table, schema, since, self.version(table) if until is None else until)
         old, new = (rows.select(F.struct("*").alias(name)) for rows, name in zip(found, ("old", "new")))
         joined = old.join(new, F.col(f"old.{key}").eqNullSafe(F.col(f"new.{key}")), "full")
@@ -162,12 +198,12 @@ class Store:
         raise ConflictError(table)
 
     def vacuum(self, table: str, keep: int = 2, since: int | None = None, grace: float = GRACE_SECONDS) -> int:
-        """Deletes all but the last versions of a keyed table, and what only they name; how many buckets went.
+        """Deletes all but the last versions of a keyed table, and what only they name; how many folders went.
 
         Versions from ``since`` on stay as well. Folders that no manifest names go after ``grace`` seconds.
         """
         numbers = sorted(self._numbers(f"{table}/{_MANIFESTS}"))
-        named = {n: {e["folder"] for e in self.manifest(table, n)["buckets"].values() if e["folder"]} for n in numbers}
+        named = {n: {f for e in self.manifest(table, n)["buckets"].values() for f in folders(e)} for n in numbers}
         old = [n for n in numbers[:-keep] if since is None or n < since]
         kept = set().union(*(named[n] for n in numbers if n not in old))
         for n in old:
@@ -298,22 +334,44 @@ class Transaction:
 
     def rows(self, schema: StructType | str, buckets: Iterable[int] | None = None) -> DataFrame:
         chosen = self.buckets if buckets is None else [b for b in buckets if b in self.buckets]
-        return self.store.rows_of(self.table, schema, (self.buckets[b]["folder"] for b in chosen))
+        return self.store.rows_of(self.table, schema, (f for b in chosen for f in folders(self.buckets[b])))
 
     def merge(self, changed: DataFrame, key: str, combine: Callable[[DataFrame, DataFrame], DataFrame], applied: dict[str, int] | None = None, unique: bool = True) -> bool:
         """The buckets that changed falls into made anew by combine(their rows, changed), and split where they grow too large."""
         incoming = self.touched(changed, key)
         old = self.rows(changed.schema, incoming)
         fresh = changed.join(old.select(F.col(key).alias("old_key")), F.col(key) == F.col("old_key"), "left_anti") if self.buckets else changed
-        grown = self.touched(fresh, key) if self.buckets else incoming
-        below = []
-        for b in incoming:
-            rows, levels = self.buckets.get(b, {"rows": 0})["rows"] + grown.get(b, 0), 0
+        return self._merge(changed, key, combine, incoming, self.touched(fresh, key) if self.buckets else incoming, False, applied, unique)
+
+    def upsert(self, changed: DataFrame, key: str, combine: Callable[[DataFrame, DataFrame], DataFrame], incoming: dict[int, int], fresh: dict[int, int], applied: dict[str, int] | None = None) -> bool:
+        """As ``merge``, where combine leaves rows of other keys as they are, and the rows of changed by bucket are known, and those of them whose keys
+        the table has not: a bucket that gets such rows alone is not made anew; they are put beside its rows."""
+        return self._merge(changed, key, combine, incoming, fresh, True, applied, True)
+
+    def _merge(self, changed: DataFrame, key: str, combine: Callable[[DataFrame, DataFrame], DataFrame], incoming: dict[int, int], fresh: dict[int, int], beside: bool, applied: dict[str, int] | None, unique: bool) -> bool:
+        below, aside = [], {}
+        for b, n in incoming.items():
+            there = parts_of(self.buckets[b]) if b in self.buckets else []
+            rows, levels = sum(p["rows"] for p in there) + fresh.get(b, 0), 0
+            if beside and there and n == fresh.get(b) and rows <= self.store.bucket_rows:
+                aside[b] = there[: parts_kept([p["rows"] for p in there], n)]
+                continue
             while rows > self.store.bucket_rows << levels:
                 levels += 1
             below += split(b, levels)
-        kept = [b for b in (self.buckets or self.store.first_buckets) if b not in incoming]
-        return self.put(set(incoming), combine(old, changed), bucket_of(F.col(key), [*kept, *below]), {b: {} for b in (below if self.buckets else [*kept, *below])}, key if unique else None, applied, by=key)
+        whole = [b for b in incoming if b not in aside]
+        made = combine(self.rows(changed.schema, whole), self._within(changed, key, whole) if aside else changed) if whole else None
+        if aside:
+            again = [f for b, kept in aside.items() for f in folders(self.buckets[b])[len(kept) :]]
+            added = self._within(changed, key, aside) if whole else changed
+            added = added.unionByName(self.store.rows_of(self.table, changed.schema, again)) if again else added
+            made = made.unionByName(added) if whole else added
+        rest = [b for b in (self.buckets or self.store.first_buckets) if b not in incoming]
+        facts = {b: {} for b in ([*below, *aside] if self.buckets else [*rest, *below])}
+        return self.put(set(incoming), made, bucket_of(F.col(key), [*rest, *below, *aside]), facts, key if unique else None, applied, by=key, aside=aside)
+
+    def _within(self, rows: DataFrame, key: str, buckets: Iterable[int]) -> DataFrame:
+        return rows.where(self.bucket(key).isin(*buckets))
 
     def replace(self, rows: DataFrame, key: str | None = None, whatever: bool = False, applied: dict[str, int] | None = None, unique: bool = True) -> bool:
         """rows in the place of all buckets; with ``whatever``, changes of others since the transaction began are lost."""
@@ -324,10 +382,11 @@ class Transaction:
         """The same rows, and what of another table or stream has been applied."""
         return self._commit(set(), {}, applied, False)
 
-    def put(self, gone: set[int], rows: DataFrame, bucket: Column, facts: dict[int, dict], key: str | None = None, applied: dict[str, int] | None = None, whatever: bool = False, by: str | None = None) -> bool:
+    def put(self, gone: set[int], rows: DataFrame, bucket: Column, facts: dict[int, dict], key: str | None = None, applied: dict[str, int] | None = None, whatever: bool = False, by: str | None = None, aside: dict[int, list[dict]] | None = None) -> bool:
         """rows in the buckets of ``facts`` (what the manifest says of each besides), in the place of the buckets gone. Raises where a key is repeated.
 
-        Buckets dealt ``by`` a column that came out too large are split, where that parts their rows.
+        Buckets dealt ``by`` a column that came out too large are split, where that parts their rows. ``aside``: parts of buckets
+        that the rows are put beside.
         """
         entries = self._write(rows, bucket, facts, key)
         for _ in range(_SPLITS if by else 0):
@@ -337,6 +396,7 @@ class Transaction:
             below = {c: {} for b in large for c in split(b, 1)}
             again = self.store.rows_of(self.table, rows.schema, (e["folder"] for e in large.values()))
             entries = {b: e for b, e in entries.items() if b not in large} | self._write(again, bucket_of(F.col(by), below), below, None)
+        entries |= {b: _of_parts([*parts, {"folder": entries[b]["folder"], "rows": entries[b]["rows"]}]) for b, parts in (aside or {}).items()}
         return self._commit(gone, entries, applied or {}, whatever)
 
     def _write(self, rows: DataFrame, bucket: Column, facts: dict[int, dict], key: str | None) -> dict[int, dict]:

@@ -13,6 +13,7 @@ from ledgermill.functions.text import clean_text
 from ledgermill.ingest import ingest, raw_of_run
 from ledgermill.schema import RAW
 from ledgermill.sources.files import input_fingerprint
+from ledgermill.sources.orders_csv import number_rows
 from ledgermill.store import Store
 
 LOADS, DELTA_IDS, KNOWN, LAST_DELTA = "incremental", "delta_ids", "loaded_files", "last_delta"
@@ -54,21 +55,18 @@ def latest_delta_ids(store: Store) -> DataFrame:
 
 
 def stream_folder(spark: SparkSession, store: Store, folder: str, checkpoint: str, files_per_batch: int = 1000, available_now: bool = True) -> StreamingQuery:
-    """Ingests the CSV files of a folder as they come, each micro-batch by the same merge.
+    """Ingests the CSV files of a folder as they come, each micro-batch by the same merge; the raw table names the files.
 
     The checkpoint remembers the files that are done, and names the stream. The version that a batch makes
     notes its number, so a batch that is repeated after a failure is loaded once; one that had not got so far
     replaces its raw and quarantined rows.
     """
     rows = spark.readStream.schema(RAW).option("header", True).option("escape", '"').option("maxFilesPerTrigger", files_per_batch).csv(folder)
+    rows = rows.select("*", F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.file_block_start").alias("block_start"))
 
     def merge(batch: DataFrame, number: int) -> None:
-        stream = _stream_id(batch.sparkSession, checkpoint)
-        folder = f"stream/{stream}-{number:09d}"
-        batch.write.mode("overwrite").option("header", True).option("escape", '"').options(quoteAll=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(store.path(folder))
         if not batch.isEmpty():
-            ingest(batch.sparkSession, store, store.path(folder), batch=(stream, number))
-        store.delete(folder)
+            ingest(batch.sparkSession, store, folder, batch=(_stream_id(batch.sparkSession, checkpoint), number), read=number_rows(batch))
 
     writer = rows.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()

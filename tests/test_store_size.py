@@ -1,13 +1,18 @@
 """Work of the store that must be shared by many tasks, however large the table is."""
 
+import shutil
+
 from pyspark.sql import functions as F
+from records import record, write_csv
 
 from ledgermill import store_queries
+from ledgermill.api import Engine
 from ledgermill.operators import merge, views
 from ledgermill.plans import layout
 from ledgermill.sources.orders_csv import read_orders
 from ledgermill.starschema import StarSchema
-from ledgermill.store import Store, _place_of, bucket_of, split
+from ledgermill.store import PARTS, Store, _place_of, bucket_of, folders, parts_kept, split
+from ledgermill.streaming.incremental import stream_folder
 
 
 def test_orders_are_written_to_more_files_as_they_grow(spark, sf_dir, monkeypatch):
@@ -80,3 +85,60 @@ def test_an_upsert_sorts_no_whole_rows(spark):
     # short rows alone are sorted: whole ones, with v, meet hash tables
     plan = merge.upsert(target, source, ["k"], ("first",))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ShuffledHashJoin") == 2 and "FullOuter" not in plan and plan.count("LeftSemi") == plan.count("SortMergeJoin") == 2
+
+
+def test_parts_of_one_size_are_made_one():
+    for sizes, n_rows, kept in (([], 5, 0), ([100], 100, 1), ([100] * 7, 100, 0), ([10_000] + [100] * 6, 100, 7), ([10_000] + [100] * 7, 100, 1), ([1000] * 7 + [100] * 7, 100, 0), ([100, 9000], 5, 2)):
+        assert parts_kept(sizes, n_rows) == kept
+    # a table that grows by equal loads: the rows written, with those written again, and the most parts
+    sizes, written, most = [], 0, 0
+    for _ in range(512):
+        kept = parts_kept(sizes, 1000)
+        sizes = [*sizes[:kept], sum(sizes[kept:]) + 1000]
+        written, most = written + sizes[-1], max(most, len(sizes))
+    assert sum(sizes) == 512_000 and written <= 4 * 512_000 and most <= 4 * PARTS
+
+
+def test_new_rows_are_put_beside_the_old_ones(spark, tmp_path):
+    store, put = Store(spark, f"file://{tmp_path}", buckets=2), lambda old, fresh: merge.upsert(old, fresh, ["k"])
+    def load(first, last, value):
+        rows = spark.range(first, last).select("id", F.concat(F.lit("k"), "id").alias("k"), F.lit(value).alias("v")).drop("id")
+        turn = store.transaction("t")
+        incoming = turn.touched(rows, "k")
+        fresh = turn.touched(rows.join(turn.rows(rows.schema), "k", "left_anti"), "k") if turn.buckets else incoming
+        before = {f for e in turn.buckets.values() for f in folders(e)}
+        assert turn.upsert(rows, "k", put, incoming, fresh)
+        after = {f for e in store.transaction("t").buckets.values() for f in folders(e)}
+        assert {r["k"]: r["v"] for r in store.snapshot("t", rows.schema).where(F.col("v") == value).collect()} == {f"k{i}": value for i in range(first, last)}
+        return before - after, after - before, rows.schema
+    assert [len(x) for x in load(0, 40, 0)[:2]] == [0, 2]
+    for n in range(1, PARTS - 1):
+        gone, made, schema = load(40 * n, 40 * n + 40, n)
+        assert not gone and len(made) == 2  # the rows before were not written again
+    old, new = store.changed_rows("t", schema, 1, PARTS - 1)
+    assert old.count() == 0 and new.count() == 40 * (PARTS - 2)
+    one = store.manifest("t")["buckets"]
+    gone, made, _ = load(0, 1, -1)  # an update makes its bucket anew, and leaves the other
+    assert len(gone) == PARTS - 1 and len(made) == 1 and sum(one[b] == e for b, e in store.manifest("t")["buckets"].items()) == 1
+    gone, made, _ = load(1000, 1040, 9)
+    assert len(gone) == PARTS - 1 and len(made) == 2  # the other has as many parts now as are made one
+    assert store.snapshot("t", schema).count() == 40 * PARTS
+    assert sum(e["rows"] for e in store.manifest("t")["buckets"].values()) == 40 * PARTS
+    assert store.vacuum("t", keep=1) and store.snapshot("t", schema).count() == 40 * PARTS
+
+
+def test_a_stream_writes_no_row_again(spark, tmp_path):
+    engine = Engine(spark, f"file://{tmp_path}/store", buckets=2)
+    (tmp_path / "in").mkdir()
+    seen = set()
+    for n in range(2):
+        write_csv(tmp_path / f"{n}.csv", [record(order_id=f"O-{n}-{i}", city=None if i else "") for i in range(20)], encoding="utf-8")
+        shutil.move(tmp_path / f"{n}.csv", tmp_path / "in" / f"{n}.csv")
+        stream_folder(spark, engine.store, f"file://{tmp_path}/in", f"file://{tmp_path}/checkpoint", files_per_batch=1).awaitTermination()
+        here = {f for e in engine.store.transaction("orders_validated").buckets.values() for f in folders(e)}
+        assert seen <= here and len(here) == 2 * (n + 1)
+        seen = here
+    assert engine.orders().count() == 40
+    assert engine.refresh_ledger()["inserted"] == 40
+    raw = engine.store.read("orders_raw").select("source_file", "source_row_number").collect()
+    assert sorted((r[0].rsplit("/", 2)[1:], r[1]) for r in raw) == [(["in", f"{n}.csv"], i) for n in range(2) for i in range(1, 21)]
