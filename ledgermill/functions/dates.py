@@ -13,6 +13,7 @@ from ledgermill.functions.text import ascii_digits, clean_text, let
 
 _TIME = r"(?:(?:T|\s+)\d{1,2}:\d{1,2}(?::\d{1,2}(?:\.\d+)?)?\s*(?:Z|[+-]\d{2}:?\d{2})?)?$"
 _ISO = r"^\d{4}-\d{2}-\d{2}(T\d{2}:\d{2}:\d{2})?$"
+_USUAL = r"^\d{4}-\d{2}-\d{2}(?:T\d{2}:\d{2}:\d{2})?\z"
 _YEAR_FIRST = r"(?i)^\d{4}-\d{1,2}-\d{1,2}" + _TIME
 _YEAR_LAST = r"(?i)^\d{1,2}-\d{1,2}-\d{4}" + _TIME
 _COMPACT = r"(?i)^\d{8}" + _TIME
@@ -62,7 +63,8 @@ def parse_date(raw: Column) -> Column:
         )
         return let(found, lambda t: F.when(F.year(t).between(2000, 2100), t))
 
-    return let(date_text(raw), chain)
+    usual = F.when(raw.rlike(_USUAL), raw.try_cast("timestamp_ntz"))
+    return F.when(F.year(usual).between(2000, 2100), usual).otherwise(let(date_text(raw), chain))
 
 
 def iso_text(moment: Column) -> Column:

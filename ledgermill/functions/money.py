@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ledgermill.functions.text import ascii_digits, clean_text, correction, let
+from ledgermill.functions.text import ascii_digits, clean_text, correction, let, stripped
 from ledgermill.schema import CURRENCY_WORDS, DIGITS_CONVERTED, MONEY_NORMALIZED, UNKNOWN_MONEY, WORD_NUMBERS
 
 #: Numbers as float() reads them: digits grouped by single underscores, point, exponent, or a word for no finite number.
@@ -42,7 +42,7 @@ def parse_money(raw: Column) -> Column:
 
 def _from_digits(text: Column, digits: Column) -> Column:
     bare = reduce(lambda t, word: F.replace(t, F.lit(word), F.lit("")), CURRENCY_WORDS, digits)
-    trimmed = clean_text(bare)
+    trimmed = stripped(bare)
     no_commas = F.when(trimmed.rlike("[0-9],[0-9]{3}"), F.replace(trimmed, F.lit(","), F.lit(""))).otherwise(trimmed)
     return let(
         F.struct(trimmed.alias("trimmed"), no_commas.alias("number"), (bare != digits).alias("had_word")),

@@ -22,6 +22,8 @@ from ledgermill.operators.dedup import flag_repeats
 
 #: Prefix of working columns, which the result does not have.
 _W = "w_"
+#: Between the codes of error_details.
+_BETWEEN = "; "
 
 
 @dataclass(frozen=True)
@@ -30,9 +32,9 @@ class Rules:
 
     frame: DataFrame
     clean: dict[str, Column]
-    corrections: list[Column]  # structs, null where nothing was corrected
+    corrections: list[tuple[Column, Column]]  # where, and the struct
     listed_corrections: dict[int, Column]  # arrays to put in before a place of corrections
-    errors: list[Column]  # codes, null where the rule holds
+    errors: list[tuple[Column, str]]  # where a rule is broken, and its code
 
 
 def _row_rules(df: DataFrame) -> Rules:
@@ -44,16 +46,19 @@ def _row_rules(df: DataFrame) -> Rules:
 
 @lru_cache(maxsize=1)
 def _row_columns(gateway: int) -> tuple:
-    """The working columns in three steps, and the rules over them: thousands of calls to the driver's JVM, made once for each."""
+    """The working columns in four steps, and the rules over them: thousands of calls to the driver's JVM, made once for each."""
     c = F.col
     w = lambda name: F.col(_W + name)
     amounts = ("delivery_cost", "total_amount", "payment_amount")
+    choices = ("status", "payment_method", "payment_status", "delivery_type")
+    # each text is cleaned once, and the items are parsed outside the functions that go through them, which would interpret that
+    texts = {_W + f: text.clean_text(c(f)) for f in ("order_id", "customer_id", "customer_name", "city", "district", "order_date", "customer_phone", "customer_email")}
+    texts |= {f"{_W}given_{f}": text.clean_text(c(f)) for f in choices} | {_W + "parsed": items.parse_items(c("items_json"))}
     fields = (
-        {_W + f: text.clean_text(c(f)) for f in ("order_id", "customer_id", "customer_name", "city", "district", "order_date", "customer_phone", "customer_email")}
-        | {_W + "date": dates.parse_date(c("order_date")), _W + "lines": items.read_items(items.parse_items(c("items_json")))}
+        {_W + "date": dates.parse_date(c("order_date")), _W + "lines": items.read_items(w("parsed"))}
         | {_W + f: money.parse_money(c(f)) for f in amounts}
-        | {_W + f: text.clean_choice(c(f)) for f in ("status", "payment_method", "payment_status", "delivery_type")}
-        | {_W + "phone": text.clean_phone(c("customer_phone")), _W + "email": text.clean_email(c("customer_email"))}
+        | {_W + f: text.clean_choice(w(f"given_{f}"), cleaned=True) for f in choices}
+        | {_W + "phone": text.clean_phone(c("customer_phone")), _W + "email": text.clean_email(w("customer_email"), cleaned=True)}
     )
     read = {_W + "items": items.kept_items(w("lines")), _W + "negative": items.has_negative(w("lines")), _W + "iso": dates.iso_text(w("date"))}
     corrupted = w("lines").isNull()
@@ -62,29 +67,30 @@ def _row_columns(gateway: int) -> tuple:
     replaced = F.coalesce(w("total")["replaced"], F.lit(False))
     given = w("total_amount")["value"]
 
-    choice = lambda f: F.when(w(f) != text.clean_text(c(f)), correction(f, text.clean_text(c(f)), w(f), S.CHOICE_NORMALIZED))
+    amount = lambda f: (w(f)["rule"].isNotNull(), correction(f, c(f), w(f)["value"], w(f)["rule"]))
+    choice = lambda f: (w(f) != w(f"given_{f}"), correction(f, w(f"given_{f}"), w(f), S.CHOICE_NORMALIZED))
     corrections = [
-        F.when(w("iso") != w("order_date"), correction("order_date", w("order_date"), w("iso"), S.DATE_NORMALIZED)),
-        money.money_correction("delivery_cost", c("delivery_cost"), w("delivery_cost")),
-        money.money_correction("total_amount", c("total_amount"), w("total_amount")),
-        F.when(text.currency_corrected(c("currency")), correction("currency", c("currency"), F.lit(S.CURRENCY), S.CURRENCY_UNIFIED)),
-        F.when(replaced, correction("total_amount", given, w("total")["value"], S.TOTAL_RECALCULATED)),
-        F.when(w("phone") != w("customer_phone"), correction("customer_phone", w("customer_phone"), w("phone"), S.PHONE_NORMALIZED)),
-        F.when(w("email") != w("customer_email"), correction("customer_email", w("customer_email"), w("email"), S.EMAIL_REPEATED)),
-        *(choice(f) for f in ("status", "payment_method", "payment_status", "delivery_type")),
-        money.money_correction("payment_amount", c("payment_amount"), w("payment_amount")),
+        (w("iso") != w("order_date"), correction("order_date", w("order_date"), w("iso"), S.DATE_NORMALIZED)),
+        amount("delivery_cost"),
+        amount("total_amount"),
+        (text.currency_corrected(c("currency")), correction("currency", c("currency"), F.lit(S.CURRENCY), S.CURRENCY_UNIFIED)),
+        (replaced, correction("total_amount", given, w("total")["value"], S.TOTAL_RECALCULATED)),
+        (w("phone") != w("customer_phone"), correction("customer_phone", w("customer_phone"), w("phone"), S.PHONE_NORMALIZED)),
+        (w("email") != w("customer_email"), correction("customer_email", w("customer_email"), w("email"), S.EMAIL_REPEATED)),
+        *(choice(f) for f in choices),
+        amount("payment_amount"),
     ]
     no_items = ~corrupted & (F.size(w("items")) == 0) & ~w("negative")
     errors = [
-        F.when(w("order_id") == "", F.lit(S.MISSING_ORDER_ID)),
-        F.when(w("customer_id") == "", F.lit(S.MISSING_CUSTOMER_ID)),
-        F.when(c(_W + "repeats"), F.lit(S.DUPLICATE_ORDER_ID)),
-        F.when(w("date").isNull(), F.lit(S.INVALID_DATE)),
-        F.when(corrupted, F.lit(S.CORRUPTED_ITEMS)),
-        F.when(w("negative"), F.lit(S.NEGATIVE_VALUE)),
-        F.when(no_items, F.lit(S.EMPTY_ITEMS)),
-        F.when(~usable & given.isNull(), F.lit(S.UNKNOWN_PRICE)),
-        F.when((w("email") != "") & text.email_is_broken(w("email")), F.lit(S.EMAIL_UNFIXABLE)),
+        (w("order_id") == "", S.MISSING_ORDER_ID),
+        (w("customer_id") == "", S.MISSING_CUSTOMER_ID),
+        (c(_W + "repeats"), S.DUPLICATE_ORDER_ID),
+        (w("date").isNull(), S.INVALID_DATE),
+        (corrupted, S.CORRUPTED_ITEMS),
+        (w("negative"), S.NEGATIVE_VALUE),
+        (no_items, S.EMPTY_ITEMS),
+        (~usable & given.isNull(), S.UNKNOWN_PRICE),
+        ((w("email") != "") & text.email_is_broken(w("email")), S.EMAIL_UNFIXABLE),
     ]
     clean = {
         "order_id": w("order_id"), "order_date": w("date"), "status": w("status"), "customer_id": w("customer_id"), "customer_name": w("customer_name"),
@@ -92,7 +98,7 @@ def _row_columns(gateway: int) -> tuple:
         "delivery_cost": F.coalesce(w("delivery_cost")["value"], F.lit(0.0)), "payment_method": w("payment_method"), "payment_status": w("payment_status"),
         "payment_amount": w("payment_amount")["value"], "currency": F.lit(S.CURRENCY), "total_amount": F.coalesce(w("total")["value"], given), "items": w("items"),
     }
-    return (fields, read, summed), (clean, corrections, {1: items.item_corrections(w("lines"))}, errors)
+    return (texts, fields, read, summed), (clean, corrections, {1: items.item_corrections(w("lines"))}, errors)
 
 
 def _bulk_rules(df: DataFrame) -> Rules:
@@ -113,23 +119,23 @@ def _bulk_rules(df: DataFrame) -> Rules:
     df = df.withColumn(_W + "final", F.coalesce(w("sum"), w("total_amount")))
     recomputed = w("sum").isNotNull() & (w("total_amount").isNull() | (F.abs(w("total_amount") - w("sum")) > 0.5))
     corrections = [
-        F.when(w("date_text") != bulk.clean_text(c("order_date")), correction("order_date", c("order_date"), w("date_text"), S.DATE_NORMALIZED)),
-        F.when(bulk.clean_text(c("currency")) != S.CURRENCY, correction("currency", c("currency"), F.lit(S.CURRENCY), S.CURRENCY_UNIFIED)),
-        F.when(w("email") != bulk.clean_text(c("customer_email")), correction("customer_email", c("customer_email"), w("email"), S.EMAIL_REPEATED)),
-        F.when(w("phone") != bulk.clean_text(c("customer_phone")), correction("customer_phone", c("customer_phone"), w("phone"), S.PHONE_NORMALIZED)),
-        F.when(recomputed, correction("total_amount", c("total_amount"), w("final"), S.TOTAL_RECALCULATED)),
+        (w("date_text") != bulk.clean_text(c("order_date")), correction("order_date", c("order_date"), w("date_text"), S.DATE_NORMALIZED)),
+        (bulk.clean_text(c("currency")) != S.CURRENCY, correction("currency", c("currency"), F.lit(S.CURRENCY), S.CURRENCY_UNIFIED)),
+        (w("email") != bulk.clean_text(c("customer_email")), correction("customer_email", c("customer_email"), w("email"), S.EMAIL_REPEATED)),
+        (w("phone") != bulk.clean_text(c("customer_phone")), correction("customer_phone", c("customer_phone"), w("phone"), S.PHONE_NORMALIZED)),
+        (recomputed, correction("total_amount", c("total_amount"), w("final"), S.TOTAL_RECALCULATED)),
     ]
     in_range = F.coalesce(F.year(w("date")).between(2000, 2100), F.lit(False))
     errors = [
-        F.when(w("order_id") == "", F.lit(S.MISSING_ORDER_ID)),
-        F.when(w("customer_id") == "", F.lit(S.MISSING_CUSTOMER_ID)),
-        F.when(~in_range, F.lit(S.INVALID_DATE)),
-        F.when(corrupted, F.lit(S.CORRUPTED_ITEMS)),
-        F.when(empty, F.lit(S.EMPTY_ITEMS)),
-        F.when(bad, F.lit(S.NEGATIVE_VALUE)),
-        F.when(w("delivery_cost").isNull() | w("final").isNull(), F.lit(S.UNKNOWN_PRICE)),
-        F.when((w("email") != "") & ~w("email").rlike(S.EMAIL_PATTERN), F.lit(S.EMAIL_UNFIXABLE)),
-        F.when(c(_W + "repeats"), F.lit(S.DUPLICATE_ORDER_ID)),
+        (w("order_id") == "", S.MISSING_ORDER_ID),
+        (w("customer_id") == "", S.MISSING_CUSTOMER_ID),
+        (~in_range, S.INVALID_DATE),
+        (corrupted, S.CORRUPTED_ITEMS),
+        (empty, S.EMPTY_ITEMS),
+        (bad, S.NEGATIVE_VALUE),
+        (w("delivery_cost").isNull() | w("final").isNull(), S.UNKNOWN_PRICE),
+        ((w("email") != "") & ~w("email").rlike(S.EMAIL_PATTERN), S.EMAIL_UNFIXABLE),
+        (c(_W + "repeats"), S.DUPLICATE_ORDER_ID),
     ]
     clean = {
         "order_id": w("order_id"), "order_date": w("date"), "status": w("status"), "customer_id": w("customer_id"), "customer_name": w("customer_name"),
@@ -156,18 +162,20 @@ def classify(raw: DataFrame, profile: str = "row", position: str | None = "sourc
     flagged = flag_repeats(raw, F.nullif(key(F.col("order_id")), F.lit("")), position, _W + "repeats", keep_first=profile == "row", staged=staged)
     rules = _PROFILES[profile](flagged)
     listed = rules.listed_corrections.get(1)
-    head, tail = (F.filter(F.array(*part), lambda x: x.isNotNull()) for part in (rules.corrections[:1], rules.corrections[1:]))
-    corrections = F.concat(head, listed, tail) if listed is not None else F.concat(head, tail)
-    df = rules.frame.withColumns({_W + "errors": F.filter(F.array(*rules.errors), lambda x: x.isNotNull()), _W + "corrections": corrections})
+    # whatever is named here is generated code: a higher-order function over an array of rules would interpret them all
+    found = [F.when(where, F.array(what)).otherwise(F.array().cast(f"array<{S.CORRECTION}>")) for where, what in rules.corrections]
+    corrections = F.concat(*found[:1], *([] if listed is None else [listed]), *found[1:])
+    details = F.concat_ws(_BETWEEN, *(F.when(where, F.lit(code)) for where, code in rules.errors))
+    df = rules.frame.withColumns({_W + "errors": details, _W + "corrections": corrections})
     errors = F.col(_W + "errors")
-    rejected = F.size(errors) > 0
+    rejected = errors != ""
     return df.select(
         *raw.columns,
         F.when(rejected, "quarantine").when(F.size(_W + "corrections") > 0, "corrected").otherwise("valid").alias("quality_status"),
         F.when(~rejected, F.struct(*(v.alias(k) for k, v in rules.clean.items()))).alias("clean"),
         F.col(_W + "corrections").alias("corrections"),
-        F.when(F.size(errors) > 1, F.array(F.lit(S.SEVERAL_ERRORS))).otherwise(errors).alias("error_codes"),
-        F.array_join(errors, "; ").alias("error_details"),
+        F.when(errors.contains(_BETWEEN), F.array(F.lit(S.SEVERAL_ERRORS))).when(rejected, F.array(errors)).otherwise(F.array().cast("array<string>")).alias("error_codes"),
+        errors.alias("error_details"),
     )
 
 

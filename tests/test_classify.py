@@ -118,3 +118,23 @@ def test_bulk_flags_all_of_a_repeated_id(outcomes):
 def test_unknown_profile(spark):
     with pytest.raises(ValueError, match="profile"):
         classify(frame(spark, [record()]), "other")
+
+
+def test_rules_are_generated_code(spark):
+    """Higher-order functions are interpreted with all that is inside them: they go through the lines of an order, not through the rules, and parse no text."""
+    spark.conf.set("spark.sql.debug.maxToStringFields", "1000")
+    try:
+        plan = classify(frame(spark, [record()]))._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.debug.maxToStringFields")
+    assert "array_join" not in plan and "concat_ws(; " in plan
+    assert plan.count("filter(array(") == 1  # the corrections of a line
+    assert "transform(w_parsed" in plan and "transform(try_variant_get" not in plan
+
+
+def test_texts_that_do_not_stay_as_they_are(outcomes):
+    ends = ["\xa0", "​", "\t", "\n", "\x1c", "\x85", " ", "　", " "]
+    rows = outcomes(*({"order_id": f"B-{n}", "city": f"{e}تعز{e}", "status": f"{e}تم{e}{e}ا{e}", "customer_email": f"{e}a@@b..c{e}", "customer_phone": f"00967{e}711222333"} for n, e in enumerate(ends)))
+    for r, e in zip(rows, ends):
+        assert (r["clean"]["city"], r["clean"]["customer_email"], r["clean"]["customer_phone"]) == ("تعز", "a@b.c", "711222333")
+        assert r["clean"]["status"] == ("تما" if e == "​" else "تم ا")
